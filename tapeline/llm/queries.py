@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeline.llm import lattice, minhash
+from tapeline.llm import bpe, lattice, minhash, positional, simple8b
 from tapeline.llm.common import table
 
 
@@ -14,12 +16,27 @@ def op1_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = simple8b.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return simple8b.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_neardup, op4_minmax_neardup)}
+    return {f.__name__: f for f in (op1_lattice_neardup, op2_simple8b_tokens, op3_positional_decontamination, op4_minmax_neardup, op5_rank_array_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
