@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, lattice, minhash, positional, simple8b
+from tapeline.llm import bpe, langid, lattice, minhash, pii, positional, simple8b
 from tapeline.llm.common import table
 
 
@@ -35,8 +35,19 @@ def op5_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op6_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    done = langid.fit_and_identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs).select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), "pii")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_neardup, op2_simple8b_tokens, op3_positional_decontamination, op4_minmax_neardup, op5_rank_array_bpe)}
+    return {f.__name__: f for f in (op1_lattice_neardup, op2_simple8b_tokens, op3_positional_decontamination, op4_minmax_neardup, op5_rank_array_bpe, op6_piece_langid, op7_feistel_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,82 @@
+import itertools
+import math
+import random
+
+import public_tokenizers as P
+import pytest
+
+from tapeline.llm import langid, pii
+
+
+def test_permutation_and_inverse():
+    for n in (1, 2, 7, 100, 9999):
+        there = [pii.permute(x, n, "t") for x in range(n)]
+        assert sorted(there) == list(range(n))
+        assert [pii.permute(y, n, "t", back=True) for y in there] == list(range(n))
+    assert pii.permute(5, 10**16, "a", b"k1") != pii.permute(5, 10**16, "a", b"k2")
+
+
+def test_kinds():
+    found = {
+        "a.b+c@mail.example.com": "email", "+1 (988) 555-2485": "phone", "42.144.35.254": "ip", "4041894974608795": "card", "4041-8949-7460-8795": "card",
+        "GB82 WEST 1234 5698 7654 32": "iban", "123-45-6789": "ssn", "2021-02-28": "date", "31/12/1999": "date", "12/31/1999": "date",
+    }
+    for value, kind in found.items():
+        text = f"x {value} y, {value}. z"
+        new, spans = pii.replace(text)
+        assert [s[0] for s in spans] == [kind] * 2, value
+        a, b = (new[s[1] : s[2]] for s in spans)
+        assert a == b != value and new == f"x {a} y, {a}. z"
+        assert [s[0] for s in pii.replace(new)[1]] == [kind] * 2
+    new, spans = pii.replace('token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" password=b7db7aa4a5fcc78305 z')
+    assert len(spans) == 2 and "1beb58" not in new and "b7db7" not in new and new.endswith(" z")
+
+
+@pytest.mark.parametrize("text", ["", None, "plain words", "4041894974608796", "300.1.2.3", "2021-02-30", "000-12-3456", "1.2.3.4.5", "order 12345678", "GB00 WEST 1234 5698 7654 32", "99/99/1999", "a@b"])
+def test_left_alone(text):
+    assert pii.replace(text) == (text, [])
+
+
+def test_pseudonymise_operator(spark):
+    rows = [(1, "mail x.y@z.example.com " * 3, "q"), (2, None, None), (3, "", "q"), (1, "n " * 50000 + "10.0.0.1", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii string")
+    got = pii.pseudonymise(df).collect()
+    assert [len(r.pii) for r in got] == [3, 0, 0, 1] and [r.doc_id for r in got] == [1, 2, 3, 1]
+    assert all("x.y@" not in (r.text or "") for r in got)
+    assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    model = {"a": (0.2, 0.1), "b": (0.3, 0.2), "ab": (0.1, 0.4), "ba": (0.05, 0.01), "aba": (0.01, 0.02)}
+    word = "abaz"
+    want = [0.0, 0.0]
+    for cuts in itertools.product((0, 1), repeat=len(word) - 1):
+        edges = [0, *(k + 1 for k, c in enumerate(cuts) if c), len(word)]
+        parts = [word[a:b] for a, b in itertools.pairwise(edges)]
+        for x in range(2):
+            p = math.prod(langid.FLOOR if q == "z" else model.get(q, (0, 0))[x] for q in parts)
+            want[x] += p
+    got = langid.log_likelihoods(word, model, 3, 2)
+    assert got == pytest.approx([math.log(w) for w in want])
+    one = {p: v[0] for p, v in model.items()}
+    counts = langid.expected_counts(word, one, 3)
+    assert sum(len(p) * c for p, c in counts.items()) == pytest.approx(len(word))
+
+
+def test_identify_held_out(spark):
+    rng = random.Random(5)
+    syllables = {"xx": ["the", "ing", "er", "on", "sh"], "yy": ["eau", "tion", "ou", "é", "que"]}
+    rows = []
+    for k in range(160):
+        lang = "xx" if k % 2 else "yy"
+        rows.append((k, " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(30)), lang, 1.5))
+    rows += [(1001, None, "xx", 0.0), (1002, "12 ... !", "xx", 0.0), (1003, "THEING " * 9000, None, 0.0), (1003, "THEING", None, 0.0), (None, "eau", "yy", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    path = P.path("piece_bpe_32k.model")
+    got = langid.fit_and_identify(df, path).collect()
+    assert len(got) == len(rows)
+    assert all(r.lang_pred == r.lang for r in got if r.doc_id is not None and r.doc_id < 200)
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for r in got if r.doc_id in (1001, 1002))
+    assert all(r.lang_pred == "xx" and 0 <= r.score <= 1 for r in got if r.doc_id == 1003)
+    assert langid.fit_and_identify(df.limit(0), path).count() == 0
+    assert {r.lang_pred for r in langid.fit_and_identify(df.where("lang is null"), path).collect()} == {"und"}
