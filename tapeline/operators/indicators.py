@@ -35,20 +35,21 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def true_range() -> Column:
+    """The first row has no previous close: its range is high less low (greatest skips nulls)."""
     pc = F.lag("c").over(by())
     return F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - pc), F.abs(F.col("l") - pc))
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    """Mean true range of the last n bars that have a predecessor."""
-    d = bars.withColumn("_tr", F.when(F.lag("c").over(by()).isNotNull(), true_range()))
+    """Mean true range of the last n bars."""
+    d = bars.withColumn("_tr", true_range())
     return d.withColumn("atr", full(F.avg("_tr").over(over(n)), F.col("_tr"), n)).drop("_tr")
 
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     """Directional movement index with simple means; null where the directional sum is zero anywhere in the window."""
     up, down = F.col("h") - F.lag("h").over(by()), F.lag("l").over(by()) - F.col("l")
-    d = bars.withColumns({"_tr": F.when(F.lag("c").over(by()).isNotNull(), true_range()), "_p": F.when((up > down) & (up > 0), up).otherwise(F.when(up.isNotNull(), 0.0)), "_m": F.when((down > up) & (down > 0), down).otherwise(F.when(up.isNotNull(), 0.0))})
+    d = bars.withColumns({"_tr": true_range(), "_p": F.when((up > down) & (up > 0), up).otherwise(0.0), "_m": F.when((down > up) & (down > 0), down).otherwise(0.0)})
     a = {k: full(F.avg(k).over(over(n)), F.col(k), n) for k in ("_tr", "_p", "_m")}
     d = d.withColumns({f"{k}s": v for k, v in a.items()})
     p, m = (F.when(F.col("_trs") != 0, 100 * F.col(k) / F.col("_trs")) for k in ("_ps", "_ms"))

@@ -14,10 +14,10 @@ def join_sides(calls: DataFrame, puts: DataFrame) -> DataFrame:
     return d.select("symbol", "strike", *[F.coalesce(F.nanvl(F.col(k).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(k) for k in ("call_oi", "put_oi", "call_iv", "put_iv")])
 
 
-def gamma_exposure(chain: DataFrame, spot: float, years: float = 30 / 365) -> DataFrame:
-    """Adds gamma (Black-Scholes without rates) and net_gamma: dealers long calls and short puts, per 1 % move of 100-share contracts."""
+def gamma_exposure(chain: DataFrame, spot: float, years: float = 30 / 365, rate: float = 0.045) -> DataFrame:
+    """Adds gamma (Black-Scholes, zero without volatility) and net_gamma: dealers long calls and short puts, per 1 % move of 100-share contracts."""
     root = F.col("iv") * years**0.5
-    d1 = (F.log(F.lit(spot) / F.col("strike")) + F.col("iv") ** 2 / 2 * years) / root
+    d1 = (F.log(F.lit(spot) / F.col("strike")) + (rate + F.col("iv") ** 2 / 2) * years) / root
     gamma = F.when(F.col("iv") > 0, F.exp(-(d1**2) / 2) / (2 * 3.141592653589793) ** 0.5 / (spot * root)).otherwise(0.0)
     d = chain.withColumn("gamma", gamma)
     return d.withColumn("net_gamma", F.col("gamma") * (F.col("call_oi") - F.col("put_oi")) * 100 * spot * spot * 0.01)

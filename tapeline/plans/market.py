@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.clock import session_window
 from tapeline.operators import bars as B
+from tapeline.operators import folds as D
 from tapeline.operators import indicators as I
 from tapeline.operators import joins as J
 from tapeline.operators import levels as L
 from tapeline.operators import options as O
 from tapeline.operators import portfolio as P
+from tapeline.operators import records as E
 from tapeline.operators import rules as R
+from tapeline.operators import structure as S
 from tapeline.sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,7 +105,7 @@ def rsi(spark, d):
 
 _ADX = (
     "a AS (SELECT *, lag(c) OVER w AS pc, h - lag(h) OVER w AS up, lag(l) OVER w - l AS dn FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)), "
-    "b AS (SELECT symbol, t, CASE WHEN pc IS NOT NULL THEN greatest(h - l, abs(h - pc), abs(l - pc)) END AS tr, CASE WHEN up > dn AND up > 0 THEN up WHEN up IS NOT NULL THEN 0.0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn WHEN up IS NOT NULL THEN 0.0 END AS m FROM a), "
+    "b AS (SELECT symbol, t, greatest(h - l, abs(h - pc), abs(l - pc)) AS tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END AS m FROM a), "
     "e AS (SELECT symbol, t, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS trs, CASE WHEN count(p) OVER w = 14 THEN avg(p) OVER w END AS ps, CASE WHEN count(m) OVER w = 14 THEN avg(m) OVER w END AS ms FROM b WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS 13 PRECEDING)), "
     "f AS (SELECT symbol, t, trs, 100 * ps / nullif(trs, 0) AS pd, 100 * ms / nullif(trs, 0) AS md FROM e), g AS (SELECT *, 100 * abs(pd - md) / nullif(pd + md, 0) AS dx FROM f) "
 )
@@ -288,7 +291,7 @@ def option_walls(spark, d):
     return O.walls(V.chain(spark, d))
 
 
-_GEX = f"WITH {CHAIN}, a AS (SELECT *, iv * sqrt(30 / 365.0) AS root, (ln(25.0 / strike) + iv * iv / 2 * (30 / 365.0)) / (iv * sqrt(30 / 365.0)) AS d1 FROM chain), b AS (SELECT symbol, strike, exp(-(d1 * d1) / 2) / sqrt(2 * pi()) / (25.0 * root) AS gamma, exp(-(d1 * d1) / 2) / sqrt(2 * pi()) / (25.0 * root) * (call_oi - put_oi) * 100 * 25.0 * 25.0 * 0.01 AS net_gamma FROM a)"
+_GEX = f"WITH {CHAIN}, a AS (SELECT *, iv * sqrt(30 / 365.0) AS root, (ln(25.0 / strike) + (0.045 + iv * iv / 2) * (30 / 365.0)) / (iv * sqrt(30 / 365.0)) AS d1 FROM chain), b AS (SELECT symbol, strike, exp(-(d1 * d1) / 2) / sqrt(2 * pi()) / (25.0 * root) AS gamma, exp(-(d1 * d1) / 2) / sqrt(2 * pi()) / (25.0 * root) * (call_oi - put_oi) * 100 * 25.0 * 25.0 * 0.01 AS net_gamma FROM a)"
 
 
 @query(_GEX + " SELECT symbol, strike, round(gamma, 6) AS gamma, round(net_gamma, 3) + 0.0 AS net_gamma FROM b")
@@ -359,3 +362,79 @@ def alerts(spark, d):
 @query(f"WITH {HOURS}, a AS (SELECT *, avg(c) OVER (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING) AS x, avg(c) OVER (PARTITION BY symbol ORDER BY t ROWS 49 PRECEDING) AS y, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n, count(*) OVER (PARTITION BY symbol) AS k FROM bars) SELECT symbol, c, round(x, 6) AS sma_20, CASE WHEN k >= 50 THEN round(y, 6) END AS sma_50, CASE WHEN c > x AND x > y THEN 'bullish' WHEN c < x AND x < y THEN 'bearish' ELSE 'neutral' END AS trend FROM a WHERE n = 1")
 def market_trend(spark, d):
     return I.trend(hours(spark, d)).select("symbol", "c", r("sma_20"), r("sma_50"), "trend")
+
+
+_BACK = f"WITH {HOURS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS back FROM bars)"
+
+
+@query(
+    f"WITH {DAYS}, a AS (SELECT *, row_number() OVER w AS i, max(h) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS sh, min(l) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS sl, max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ch, min(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS cl FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)), "
+    "k AS (SELECT *, CASE WHEN c < o AND ch > sh THEN 'bullish' WHEN c > o AND cl < sl THEN 'bearish' END AS kind FROM a WHERE i > 5), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY t DESC) AS n FROM k WHERE kind IS NOT NULL) "
+    f"SELECT symbol, {TEXT.format('t')} AS t, kind, l AS bottom, h AS top, EXISTS (SELECT 1 FROM a b WHERE b.symbol = n.symbol AND b.i >= n.i + 4 AND b.l <= n.h AND b.h >= n.l) AS mitigated FROM n WHERE n <= 6"
+)
+def order_blocks(spark, d):
+    return S.order_blocks(days(spark, d)).select("symbol", text("t"), "kind", "bottom", "top", "mitigated")
+
+
+@query(_BACK + ", g AS (SELECT symbol, max(CASE WHEN back <= 5 THEN h END) AS recent_high, max(CASE WHEN back > 5 THEN h END) AS prior_high, max(CASE WHEN back = 1 THEN c END) AS c FROM a WHERE back <= 10 GROUP BY symbol) SELECT *, recent_high > prior_high AND c > prior_high AS broken FROM g")
+def break_of_structure(spark, d):
+    return S.break_of_structure(hours(spark, d))
+
+
+@query(
+    _BACK + ", g AS (SELECT symbol, max(CASE WHEN back <= 10 THEN h END) AS nh, min(CASE WHEN back <= 10 THEN l END) AS nl, max(CASE WHEN back > 10 THEN h END) AS oh, min(CASE WHEN back > 10 THEN l END) AS ol, avg(CASE WHEN back <= 10 THEN v END) / nullif(avg(CASE WHEN back > 10 THEN v END), 0) AS rv FROM a WHERE back <= 20 GROUP BY symbol) "
+    "SELECT symbol, CASE WHEN nh > oh AND nl > ol THEN 'higher highs and lows' WHEN nh < oh AND nl < ol THEN 'lower highs and lows' ELSE 'mixed' END AS pattern, round(rv, 6) AS relative_volume FROM g"
+)
+def momentum_pattern(spark, d):
+    return S.momentum(hours(spark, d)).select("symbol", "pattern", r("relative_volume"))
+
+
+@query(
+    _BACK + ", g AS (SELECT symbol, max(CASE WHEN back <= 10 THEN h END) - min(CASE WHEN back <= 10 THEN l END) AS base, max(CASE WHEN back > 10 THEN h END) - min(CASE WHEN back > 10 THEN l END) AS prior, avg(CASE WHEN back <= 10 THEN v END) AS nv, avg(CASE WHEN back > 10 THEN v END) AS ov FROM a WHERE back <= 30 GROUP BY symbol) "
+    "SELECT symbol, base, prior, round(CASE WHEN prior > 0 THEN (1 - base / prior) * 100 END, 6) AS contraction_pct, CASE WHEN nv < ov THEN 'declining' ELSE 'rising' END AS volume, base < prior / 2 AS coiling FROM g"
+)
+def consolidation(spark, d):
+    return S.consolidation(hours(spark, d)).select("symbol", "base", "prior", r("contraction_pct"), "volume", "coiling")
+
+
+@query(
+    f"WITH {HOURS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS n, count(*) OVER w AS k, min(c) OVER w AS lo, max(c) OVER w AS hi FROM bars WINDOW w AS (PARTITION BY symbol)) "
+    "SELECT symbol, CAST(least(greatest(ceil((c - lo) / ((hi - lo) / 50)) - 1, 0), 49) AS INT) AS price_bin, CAST(floor((n - 1) * 20 / k) AS INT) AS time_bucket, CAST(sum(v) AS BIGINT) AS v FROM a WHERE hi > lo GROUP BY ALL"
+)
+def price_time_histogram(spark, d):
+    return S.price_time_histogram(hours(spark, d))
+
+
+@query(f"WITH {DAYS}, a AS (SELECT *, date_diff('day', t, max(t) OVER (PARTITION BY symbol)) AS age FROM bars) SELECT symbol, round(sum(CASE WHEN age <= 7 THEN c * v END) / sum(CASE WHEN age <= 7 THEN v END), 6) AS line_7, round(sum(CASE WHEN age <= 14 THEN c * v END) / sum(CASE WHEN age <= 14 THEN v END), 6) AS line_14, round(sum(CASE WHEN age <= 28 THEN c * v END) / sum(CASE WHEN age <= 28 THEN v END), 6) AS line_28 FROM a GROUP BY symbol")
+def weighted_lines(spark, d):
+    return S.weighted_lines(days(spark, d)).select("symbol", r("line_7"), r("line_14"), r("line_28"))
+
+
+_NUMBERS = r"n AS (SELECT conv_id, turn, role, CAST(replace(x, ',', '') AS DOUBLE) AS x FROM (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '-?\d+(?:,\d{3})*(?:\.\d+)?')) AS x FROM conversations) WHERE abs(CAST(replace(x, ',', '') AS DOUBLE)) >= 10)"
+
+
+@query(f"WITH {_NUMBERS}, s AS (SELECT DISTINCT conv_id, turn, x FROM n WHERE role = 'assistant') SELECT conv_id, count(*) AS n, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM n b WHERE b.conv_id = s.conv_id AND b.turn < s.turn AND abs(b.x - s.x) <= greatest(0.01, abs(b.x) * 0.01)) THEN 1 ELSE 0 END) AS BIGINT) AS grounded FROM s GROUP BY conv_id")
+def grounding(spark, d):
+    return E.grounding(V.table(spark, d, "conversations"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def html_strip(spark, d):
+    return V.table(spark, d, "pages").select("page_id", E.plain_text(F.col("html")).alias("text"))
+
+
+@query()
+def value_area(spark, d):
+    return D.value_area(L.volume_profile(hours(spark, d)))
+
+
+@query()
+def paper_fills(spark, d):
+    orders = V.ledger(spark, d).select(F.col("symbol").alias("account"), F.col("seq").cast("long"), "symbol", "action", F.lit(3.0).alias("quantity"), "price")
+    return D.paper_fills(orders)
+
+
+@query()
+def suppressed_spikes(spark, d):
+    x = hours(spark, d).select("symbol", F.row_number().over(I.by()).alias("i"), "v")
+    return D.suppress_neighbours(x.where("v > 0"))
