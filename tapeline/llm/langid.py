@@ -202,13 +202,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def fit_and_identify(docs: DataFrame, path: str) -> DataFrame:
     """Fit on the documents that are not held out, then identify every document.
 
-    A null doc_id is not held out and not fitted on.
+    A row without a doc_id is not held out.
     """
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"), path)
     return identify(docs, model)
