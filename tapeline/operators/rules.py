@@ -40,3 +40,18 @@ def trailing_stop(bars: DataFrame, percent: float = 5.0) -> DataFrame:
     """Running highest close, its stop and whether the close has fallen to it."""
     high = F.max("c").over(by().rowsBetween(W.unboundedPreceding, 0))
     return bars.select("symbol", "t", "c", high.alias("high"), (high * (1 - percent / 100)).alias("stop"), (F.col("c") <= high * (1 - percent / 100)).alias("hit"))
+
+
+def ratchet_stop(prices: DataFrame, brackets: DataFrame) -> DataFrame:
+    """prices (symbol, t, c) against one bracket per symbol (armed_at, entry, armed, target): the trailing stop at each time.
+
+    It stays at `armed` until the high since arming has cleared entry by one risk (entry less
+    armed), then covers the share of its way to the target that the high has covered. Brackets
+    armed at or above the entry don't move.
+    """
+    d = prices.join(brackets, "symbol").where("t >= armed_at")
+    d = d.withColumn("high", F.max("c").over(by().rowsBetween(W.unboundedPreceding, 0)))
+    progress = F.least(F.lit(1.0), (F.col("high") - F.col("entry")) / (F.col("target") - F.col("entry")))
+    on = (F.col("armed") < F.col("entry")) & (F.col("target") > F.col("entry")) & (F.col("high") >= 2 * F.col("entry") - F.col("armed"))
+    stop = F.when(on, F.round(F.col("armed") + progress * (F.col("target") - F.col("armed")), 4)).otherwise(F.col("armed"))
+    return d.select("symbol", "t", "c", "high", stop.alias("stop"), (F.col("c") <= stop).alias("hit"))

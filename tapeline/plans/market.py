@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeline.functions.clock import session_window
@@ -14,9 +15,11 @@ from tapeline.operators import indicators as I
 from tapeline.operators import joins as J
 from tapeline.operators import levels as L
 from tapeline.operators import options as O
+from tapeline.operators import pace as C
 from tapeline.operators import portfolio as P
 from tapeline.operators import records as E
 from tapeline.operators import rules as R
+from tapeline.operators import scoring as G
 from tapeline.operators import structure as S
 from tapeline.sources import views as V
 
@@ -438,3 +441,47 @@ def paper_fills(spark, d):
 def suppressed_spikes(spark, d):
     x = hours(spark, d).select("symbol", F.row_number().over(I.by()).alias("i"), "v")
     return D.suppress_neighbours(x.where("v > 0"))
+
+
+@query(
+    f"WITH {DAYS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n, max(t) OVER (PARTITION BY symbol) AS z FROM bars), a AS (SELECT symbol, avg(v) AS adv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS k FROM n WHERE t < z AND v > 0) WHERE k <= 20 GROUP BY symbol HAVING count(*) >= 5), "
+    "h AS (SELECT symbol, t AS tt, t - INTERVAL 5 hour AS e, CAST(sum(s) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS day_volume FROM trades), m AS (SELECT *, hour(e) * 60 + minute(e) + second(e) / 60.0 - 570 AS m FROM h), "
+    "c(a, x, b, y) AS (VALUES " + ", ".join(f"({p[0]}, {p[1]}, {q[0]}, {q[1]})" for p, q in zip(C.CURVE, C.CURVE[1:])) + "), "
+    "f AS (SELECT m.*, CASE WHEN m < 0 THEN NULL WHEN m > 390 THEN 1.0 ELSE (SELECT min(x + (y - x) * (m - c.a) / (b - c.a)) FROM c WHERE m >= c.a AND m <= b) END AS share FROM m) "
+    f"SELECT f.symbol, {TEXT.format('tt')} AS t, day_volume, round(day_volume / adv, 5) AS ratio, round(CASE WHEN share IS NOT NULL THEN day_volume / (adv * greatest(share, 0.01)) END, 5) AS pace FROM f JOIN a ON f.symbol = a.symbol"
+)
+def volume_pace(spark, d):
+    trades = V.trades(spark, d)
+    w = W.partitionBy("symbol", F.to_date("t")).orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    adv = B.average_daily_volume(B.daily(trades)).where("days >= 5").select("symbol", "adv")
+    return C.relative_pace(trades.select("symbol", "t", F.sum("s").over(w).alias("day_volume")), adv).select("symbol", text("t"), "day_volume", r("ratio", 5), r("pace", 5))
+
+
+@query(
+    f"WITH {HOURS}, k AS (SELECT symbol, min(t) AS armed_at, arg_min(c, t) AS entry, arg_min(c, t) * 0.9 AS armed, arg_min(c, t) * 3 AS target FROM bars GROUP BY symbol), h AS (SELECT b.symbol, t, c, entry, armed, target, max(c) OVER (PARTITION BY b.symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS high FROM bars b JOIN k ON b.symbol = k.symbol), "
+    "s AS (SELECT *, CASE WHEN high >= 2 * entry - armed THEN round(armed + least(1.0, (high - entry) / (target - entry)) * (target - armed), 4) ELSE armed END AS stop FROM h) "
+    f"SELECT symbol, {TEXT.format('t')} AS t, high, round(stop, 4) AS stop, c <= stop AS hit FROM s"
+)
+def ratchet_stop(spark, d):
+    x = hours(spark, d)
+    entry = F.min_by("c", "t")
+    k = x.groupBy("symbol").agg(F.min("t").alias("armed_at"), entry.alias("entry"), (entry * 0.9).alias("armed"), (entry * 3).alias("target"))
+    return R.ratchet_stop(x.select("symbol", "t", "c"), k).select("symbol", text("t"), "high", r("stop", 4), "hit")
+
+
+@query(
+    f"WITH {LEDGER}, w AS (SELECT symbol, ts AS started_at, lead(ts) OVER (PARTITION BY symbol ORDER BY seq) AS ended_at, seq FROM ledger WHERE seq % 10 = 1), t AS (SELECT event_type AS symbol, ts FROM events) "
+    "SELECT w.symbol, w.seq, count(*) AS n FROM w JOIN t ON t.symbol = w.symbol AND t.ts >= w.started_at AND (w.ended_at IS NULL OR t.ts <= w.ended_at) GROUP BY ALL"
+)
+def activation_events(spark, d):
+    w = V.ledger(spark, d).where("seq % 10 = 1")
+    w = w.select("symbol", F.col("ts").alias("started_at"), F.lead("ts").over(W.partitionBy("symbol").orderBy("seq")).alias("ended_at"), "seq")
+    events = V.trades(spark, d).select("symbol", F.col("t").alias("ts"))
+    return G.in_windows(w, events, ["symbol"]).groupBy("symbol", "seq").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS symbol, count(*) AS n, count(*) FILTER (event_type IN ('purchase')) AS active, round(count(*) FILTER (event_type IN ('purchase')) / count(*), 6) AS active_rate, round((arg_max(value, ts) / nullif(arg_min(value, ts), 0) - 1) * 100, 4) AS return_pct FROM events GROUP BY event_type")
+def decision_quality(spark, d):
+    e = V.table(spark, d, "events")
+    x = e.select("ts", F.col("event_type").alias("symbol"), F.when(F.col("event_type") == "purchase", "buy").otherwise("hold").alias("action"), F.lit("filled").alias("status"), "value")
+    return G.decision_quality(x, ["symbol"]).select("symbol", "n", "active", r("active_rate"), r("return_pct", 4))
