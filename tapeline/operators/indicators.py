@@ -105,8 +105,16 @@ def beta(days: DataFrame, market: str, least: int = 20) -> DataFrame:
 
 
 def trend(bars: DataFrame) -> DataFrame:
-    """Latest row per symbol: close against SMA 20 and 50, RSI and a reading (bullish, bearish, neutral)."""
-    d = rsi(sma(sma(bars, 20, "sma_20"), 50, "sma_50"))
-    d = d.withColumn("_n", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("t")))).where("_n = 1")
-    up, down = (F.col("c") > F.col("sma_20")) & (F.col("sma_20") > F.col("sma_50")), (F.col("c") < F.col("sma_20")) & (F.col("sma_20") < F.col("sma_50"))
-    return d.withColumn("trend", F.when(up, "bullish").when(down, "bearish").when(F.col("sma_50").isNotNull(), "neutral")).drop("_n")
+    """One row per symbol: a vote of close against SMA 20 and 200, SMA 20 against 50 and the change over all bars (1 % either way).
+
+    Two votes or more make a bullish or bearish regime, three a strong one.
+    """
+    whole = W.partitionBy("symbol")
+    d = rsi(sma(sma(sma(bars, 20, "sma_20"), 50, "sma_50"), 200, "sma_200"))
+    d = d.withColumns({"_n": F.row_number().over(whole.orderBy(F.desc("t"))), "_first": F.first("c").over(by().rowsBetween(W.unboundedPreceding, 0))}).where("_n = 1")
+    vote = lambda a, b: F.coalesce(F.signum(F.col(a) - F.col(b)), F.lit(0.0))
+    pct = F.when(F.col("_first") != 0, (F.col("c") / F.col("_first") - 1) * 100).otherwise(0.0)
+    score = vote("c", "sma_20") + vote("sma_20", "sma_50") + vote("c", "sma_200") + F.when(pct > 1, 1).when(pct < -1, -1).otherwise(0)
+    regime = F.when(F.col("score") >= 2, "bullish").when(F.col("score") <= -2, "bearish").otherwise("neutral")
+    strength = F.when(F.abs("score") >= 3, "strong").when(F.abs("score") == 2, "moderate").otherwise("weak")
+    return d.withColumns({"pct_change": pct, "score": score.cast("int")}).withColumns({"trend": regime, "strength": strength}).drop("_n", "_first")

@@ -13,6 +13,7 @@ from tapeline.operators import bars as B
 from tapeline.operators import folds as D
 from tapeline.operators import indicators as I
 from tapeline.operators import joins as J
+from tapeline.operators import kernels as K
 from tapeline.operators import levels as L
 from tapeline.operators import options as O
 from tapeline.operators import pace as C
@@ -362,9 +363,13 @@ def alerts(spark, d):
     return R.fire(x, m.withColumns({"alert_id": F.concat_ws("-", "symbol", "field"), "condition": F.lit("above")})).select("alert_id", "symbol", "field", text("fired_at"), "value")
 
 
-@query(f"WITH {HOURS}, a AS (SELECT *, avg(c) OVER (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING) AS x, avg(c) OVER (PARTITION BY symbol ORDER BY t ROWS 49 PRECEDING) AS y, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n, count(*) OVER (PARTITION BY symbol) AS k FROM bars) SELECT symbol, c, round(x, 6) AS sma_20, CASE WHEN k >= 50 THEN round(y, 6) END AS sma_50, CASE WHEN c > x AND x > y THEN 'bullish' WHEN c < x AND x < y THEN 'bearish' ELSE 'neutral' END AS trend FROM a WHERE n = 1")
+@query(
+    f"WITH {HOURS}, a AS (SELECT *, avg(c) OVER (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING) AS x, avg(c) OVER (PARTITION BY symbol ORDER BY t ROWS 49 PRECEDING) AS y, avg(c) OVER (PARTITION BY symbol ORDER BY t ROWS 199 PRECEDING) AS z, first(c) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS f, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n, count(*) OVER (PARTITION BY symbol) AS k FROM bars), "
+    "s AS (SELECT *, CAST(CASE WHEN k >= 20 THEN sign(c - x) ELSE 0 END + CASE WHEN k >= 50 THEN sign(x - y) ELSE 0 END + CASE WHEN k >= 200 THEN sign(c - z) ELSE 0 END + CASE WHEN c / f - 1 > 0.01 THEN 1 WHEN c / f - 1 < -0.01 THEN -1 ELSE 0 END AS INT) AS score FROM a WHERE n = 1) "
+    "SELECT symbol, c, round((c / f - 1) * 100, 4) AS pct_change, score, CASE WHEN score >= 2 THEN 'bullish' WHEN score <= -2 THEN 'bearish' ELSE 'neutral' END AS trend, CASE WHEN abs(score) >= 3 THEN 'strong' WHEN abs(score) = 2 THEN 'moderate' ELSE 'weak' END AS strength FROM s"
+)
 def market_trend(spark, d):
-    return I.trend(hours(spark, d)).select("symbol", "c", r("sma_20"), r("sma_50"), "trend")
+    return I.trend(hours(spark, d)).select("symbol", "c", r("pct_change", 4), "score", "trend", "strength")
 
 
 _BACK = f"WITH {HOURS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS back FROM bars)"
@@ -485,3 +490,15 @@ def decision_quality(spark, d):
     e = V.table(spark, d, "events")
     x = e.select("ts", F.col("event_type").alias("symbol"), F.when(F.col("event_type") == "purchase", "buy").otherwise("hold").alias("action"), F.lit("filled").alias("status"), "value")
     return G.decision_quality(x, ["symbol"]).select("symbol", "n", "active", r("active_rate"), r("return_pct", 4))
+
+
+@query()
+def momentum_legs(spark, d):
+    return K.momentum_legs(hours(spark, d))
+
+
+@query()
+def liquidity_pools(spark, d):
+    x = L.swings(hours(spark, d), 3)
+    high = x.where("swing_high").select("symbol", F.lit("buy").alias("side"), F.col("h").alias("price"))
+    return K.liquidity_pools(high.union(x.where("swing_low").select("symbol", F.lit("sell").alias("side"), F.col("l").alias("price"))))
