@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written tables: spark.checkpoint.dir, or a folder in the warehouse where that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
