@@ -68,15 +68,41 @@ def _lattice(word: str, pieces: dict, longest: int, unknown) -> list[list[tuple[
     return ends
 
 
+class Pieces:
+    """Pieces with a row of probabilities each: row 0 is no piece, row 1 a letter outside the vocabulary."""
+
+    def __init__(self, model: dict[str, tuple[float, ...]], n: int):
+        self.at = {p: k for k, p in enumerate(model, 2)}
+        self.rows = np.array([(0.0,) * n, (FLOOR,) * n, *model.values()]).reshape(len(model) + 2, n)
+        self.longest = max(map(len, model), default=1)
+
+    def log_likelihoods(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word in each language, summed over all segmentations; words of one length advance together."""
+        out = np.zeros((len(words), self.rows.shape[1]))
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for k, w in enumerate(words):
+            by_length[len(w)].append(k)
+        get = self.at.get
+        for length, which in by_length.items():
+            spans = [(i, j) for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)]
+            some = [words[k] for k in which]
+            at = np.fromiter((get(w[i:j], 0) for i, j in spans for w in some), np.int32, len(spans) * len(some)).reshape(len(spans), len(some))
+            alpha = [np.ones((len(some), self.rows.shape[1]))]
+            for (i, j), x in zip(spans, at):
+                if len(alpha) == j:
+                    alpha.append(np.zeros_like(alpha[0]))
+                if i == j - 1:
+                    x = np.where(x == 0, 1, x)
+                elif not x.any():
+                    continue
+                alpha[j] += alpha[i] * self.rows[x]
+            out[which] = np.log(np.maximum(alpha[-1], 1e-300))
+        return out
+
+
 def log_likelihoods(word: str, model: dict[str, tuple[float, ...]], longest: int, n: int) -> tuple[float, ...]:
-    """Log probability of a word in each language, summed over all segmentations."""
-    alpha = [(1.0,) * n]
-    for here in _lattice(word, model, longest, (FLOOR,) * n):
-        total = [0.0] * n
-        for i, p in here:
-            total = [t + a * q for t, a, q in zip(total, alpha[i], p)]
-        alpha.append(tuple(total))
-    return tuple(math.log(max(x, 1e-300)) for x in alpha[-1])
+    """Log probability of one word in each language."""
+    return tuple(Pieces({p: v for p, v in model.items() if len(p) <= longest}, n).log_likelihoods([word])[0].tolist())
 
 
 def expected_counts(word: str, probs: dict[str, float], longest: int) -> dict[str, float]:
@@ -97,7 +123,6 @@ def expected_counts(word: str, probs: dict[str, float], longest: int) -> dict[st
 class Model:
     def __init__(self, langs: list[str], priors: list[float], pieces: dict[str, tuple[float, ...]]):
         self.langs, self.priors, self.pieces = langs, priors, pieces
-        self.longest = max(map(len, pieces), default=1)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,32 +177,33 @@ def fit(labelled: DataFrame, path: str) -> Model:
     return Model(names, [math.log(langs[x] / total) for x in names], {p: tuple(max(probs[x].get(p, 0.0), FLOOR) for x in names) for p in known})
 
 
-class _Scorer(dict):
-    """Word to its row in a matrix of log probabilities."""
+class _Scorer:
+    """Sums the words' rows of log probabilities; new words of a batch are scored together."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, np.zeros((1024, len(model.langs)))
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        m = self.model
-        self.rows[k] = log_likelihoods(word, m.pieces, m.longest, len(m.langs))
-        self[word] = k
-        return k
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        words = runs_of_letters(text) if text else []
-        if not words or not self.model.langs:
-            return "und", 0.0
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.rows[at].sum(axis=0) + self.model.priors
-        share = np.exp(total - total.max())
-        best = int(share.argmax())
-        return self.model.langs[best], float(share[best] / share.sum())
+        self.model, self.pieces = model, Pieces(model.pieces, len(model.langs))
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(model.langs)))
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        split = [runs_of_letters(t) if t else [] for t in texts]
+        if not self.model.langs:
+            return [("und", 0.0)] * len(texts)
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.rows = {}, self.rows[:0]
+        new = list(set().union(*split).difference(self.known))
+        self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.concatenate([self.rows, self.pieces.log_likelihoods(new)])
+        out = []
+        for words in split:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            total = self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0) + self.model.priors
+            share = np.exp(total - total.max())
+            best = int(share.argmax())
+            out.append((self.model.langs[best], float(share[best] / share.sum())))
+        return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -194,7 +220,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(sent.value)
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column("text").to_pylist()]
+            found = scorer.score(batch.column("text").to_pylist())
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score"])
 

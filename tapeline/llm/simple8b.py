@@ -29,15 +29,20 @@ FRAME = 4096
 BLOCK_IDS = 65_536
 #: (values, bits) of selectors 1 to 14; fixed values of the code.
 LAYOUT = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
+_LIMITS = np.array([1 << b for _, b in LAYOUT], np.uint64)
+_NARROWER = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 
 
 def _pack_frame(v: np.ndarray) -> np.ndarray:
     n = len(v)
     best = np.zeros(n, np.int64)  # the escape, until a selector fits
+    wide = _NARROWER[v] if v.max(initial=0) < len(_NARROWER) else np.searchsorted(_LIMITS, v, side="right")  # selectors too narrow for each value
+    narrow = np.cumsum(np.bincount(wide, minlength=len(LAYOUT) + 1))
     for s in range(len(LAYOUT), 0, -1):
-        count, bits = LAYOUT[s - 1]
-        if count <= n:
-            over = np.concatenate([[0], np.cumsum(v >> np.uint64(bits) > 0)])
+        count = LAYOUT[s - 1][0]
+        if count <= n and narrow[s - 1] >= count:  # else no run of so many values can fit
+            over = np.zeros(n + 1, np.int32)
+            np.cumsum(wide >= s, out=over[1:])
             best[: n - count + 1][over[count:] == over[: n - count + 1]] = s
     step = np.array([1] + [c for c, _ in LAYOUT])
     after, at, starts = (np.arange(n) + step[best]).tolist(), 0, []
@@ -97,8 +102,9 @@ def unpack(offsets: np.ndarray, data: bytes) -> np.ndarray:
     return np.concatenate(frames) if frames else np.zeros(0, np.uint64)
 
 
-#: Words the library's normalizer and splitter leave as they are: one word of lower-case letters, perhaps with a full stop or comma.
-_PLAIN = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([.,]?)")
+#: A run of Latin letters that normalization only lower-cases, and a run of ASCII punctuation that no contraction can begin in.
+_PLAIN = re.compile(r"([a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+#: Words in the younger of two generations that a worker keeps; when it is full, it becomes the older one.
 KEPT_WORDS = 400_000
 
 
@@ -114,6 +120,7 @@ class Encoder(dict):
 
         from tapeline.llm.bpe import byte_symbols
 
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -123,14 +130,21 @@ class Encoder(dict):
         self.marks = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, chunk: bytes) -> bytes:
+        out = self.older.get(chunk)
+        if out is None:
+            text = chunk.decode("utf-8")
+            m = _PLAIN.fullmatch(text)
+            if m is None:
+                out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            elif m[2]:
+                out = self[m[1].encode()] + self[m[2].encode()]
+            else:
+                word = text if text.isascii() else text.lower().encode().decode("latin-1").translate(self.symbols)
+                out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
         if len(self) >= KEPT_WORDS:
+            self.older = dict(self)
             self.clear()
-        text = chunk.decode("utf-8")
-        if m := _PLAIN.fullmatch(text):
-            ids = [t.id for part in m.groups() if part for t in self.model.tokenize(part.encode("latin-1" if part.isascii() else "utf-8").decode("latin-1").translate(self.symbols))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self[chunk] = out = np.array(ids, "<u4").tobytes()
+        self[chunk] = out
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
