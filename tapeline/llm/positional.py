@@ -75,7 +75,7 @@ def _counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> dict[int, int]:
 
 
 def build_index(docs: DataFrame, windows: Windows, reach: int) -> DataFrame:
-    """docs (row, text) to (row, n_words, terms, positions): postings within reach of a rarest term."""
+    """docs (row, doc_id, text) to (row, doc_id, n_words, terms, positions): postings within reach of a rarest term."""
     vocabulary, anchors = windows.vocabulary, np.zeros(len(windows.vocabulary) + 1, bool)
     anchors[[t + 1 for t in windows.by_rarest]] = True
 
@@ -95,11 +95,12 @@ def build_index(docs: DataFrame, windows: Windows, reach: int) -> DataFrame:
                 terms.append(ids[at].astype(np.int32))
                 positions.append(at.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(positions, pa.list_(pa.int32()))],
-                names=["row", "n_words", "terms", "positions"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(positions, pa.list_(pa.int32()))],
+                names=["row", "doc_id", "n_words", "terms", "positions"],
             )
 
-    return docs.select("row", "text").mapInArrow(index, "row long, n_words long, terms array<int>, positions array<int>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("row", "doc_id", "text").mapInArrow(index, f"row long, doc_id {kind}, n_words long, terms array<int>, positions array<int>")
 
 
 def _spans(starts: dict[int, int]) -> list[tuple[int, int]]:
@@ -179,14 +180,13 @@ def proximity_matches(index: DataFrame, windows: Windows, slop: int) -> DataFram
     return index.select("row", "terms", "positions").mapInArrow(search, _MATCH)
 
 
-def _parts(tests: DataFrame, size: int) -> Iterator[Windows]:
-    """Windows of the test set, in parts of bounded size by item."""
+def _parts(tests: DataFrame, size: int) -> tuple[int, Iterator[Windows]]:
+    """Windows of the test set, in parts of bounded size by item, and how many parts there are."""
     tests = tests.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
     total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // PART_CHARS)
-    for k in range(n):
-        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield Windows([(r.item_id, words(r.text)) for r in rows], size)
+    taken = (tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() for k in range(n))
+    return n, (Windows([(r.item_id, words(r.text)) for r in rows], size) for rows in taken)
 
 
 def search(docs: DataFrame, tests: DataFrame, size: int = WINDOW, slop: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -196,17 +196,19 @@ def search(docs: DataFrame, tests: DataFrame, size: int = WINDOW, slop: int | No
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    matches, lengths = None, None
-    for part in _parts(tests, size):
+    n, parts = _parts(tests, size)
+    docs = common.materialize(docs) if n > 1 else docs  # row numbers must agree between parts
+    matches, rows = None, None
+    for part in parts:
         part.rank(_counts(docs, part.vocabulary))
         index = common.materialize(build_index(docs, part, size - 1 + (slop or 0)))
         found = phrase_matches(index, part) if slop is None else proximity_matches(index, part, slop)
         matches = found if matches is None else matches.union(found)
-        lengths = index.select("row", "n_words") if lengths is None else lengths
+        rows = index.select("row", "doc_id", "n_words") if rows is None else rows
     if matches is None:
-        index = build_index(docs, Windows([], size), 0)
-        return docs.select("row", "doc_id").join(index.select("row", "n_words"), "row"), docs.sparkSession.createDataFrame([], _MATCH)
-    return docs.select("row", "doc_id").join(lengths, "row"), matches
+        rows = build_index(docs, Windows([], size), 0).select("row", "doc_id", "n_words")
+        matches = docs.sparkSession.createDataFrame([], _MATCH)
+    return rows, matches
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame) -> DataFrame:
