@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, langid, lattice, licence, minhash, pii, positional, simple8b, warc, wrapper
+from tapeline.llm import bpe, langid, lattice, licence, minhash, pii, positional, simple8b, sql, warc, wrapper
 from tapeline.llm.common import table
 
 
@@ -123,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_revisits": OP9_SQL}
+    return {"op1_lattice_neardup": sql.OP1, "op3_positional_decontamination": sql.OP3, "op4_minmax_neardup": sql.OP4, "op9_warc_revisits": OP9_SQL}
