@@ -86,9 +86,13 @@ def blocks(members: DataFrame, limit: float) -> DataFrame:
     """Deal the members (id, grp, weight) of each group into blocks of about `limit` weight and pair the blocks.
 
     Returns (id, grp, i, j, side): every two members of a group meet in exactly one (grp, i, j)
-    with i <= j, on sides i and j; a group within the limit is the single block pair (0, 0).
+    with i <= j, on sides i and j; a group within limit / 16 is the single block pair (0, 0).
+    Groups between that and 8 * limit are dealt into up to 8 blocks, so that their 36 block
+    pairs spread over tasks at no more than 8 copies of a member.
     """
-    sizes = materialize(members.groupBy("grp").agg(F.ceil(F.sum("weight") / F.lit(float(limit))).cast("int").alias("nb")))
+    full = F.sum("weight") / F.lit(float(limit))
+    nb = F.greatest(F.ceil(full), F.least(F.ceil(full * 16), F.lit(8)))
+    sizes = materialize(members.groupBy("grp").agg(nb.cast("int").alias("nb")))
     dealt = members.join(sizes, "grp").withColumn("side", F.pmod(F.xxhash64("id"), F.greatest("nb", F.lit(1))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, greatest(nb, 1) - 1)")))
     return dealt.select("id", "grp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
