@@ -1,15 +1,17 @@
 """Main-text extraction by wrapper induction.
 
-Pages of a host are aligned with the host's reference page (its smallest page_id) by simple
-tree matching. A node of the reference whose own text stays equal on nine tenths of the pages
-that have it is template; the others are varying slots. The counts behind this cover every page
-and are summed per host and node, so no host's pages meet in one task. Content is the article
-(or main) element where a page has one, whose text is never taken as template; else what fills
-varying slots. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-are left out by element or class name.
-
-The wrappers (one reference and its template nodes per host) are broadcast while they are
-below WRAPPERS_BYTES in all, and joined by host beyond it.
+Pages of a host and layout (the labels of the wanted elements of their body) are aligned with
+its reference page (the smallest page_id) by simple tree matching. A node of the reference whose
+own text stays equal on nine tenths of the pages that have it is template; the others are varying
+slots. The counts behind this cover every page that is no copy of the reference and are summed
+per layout and node, so no host's pages meet in one task. Content is what fills varying slots;
+an article (or main) element that holds any of them confines it, one that holds none does not.
+Inside such an element a node is template only if at least ARTICLE_PAGES pages have it, since
+near copies of an article share paragraphs. Menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments are left out by element or class name.
+
+The wrappers (one reference and its template nodes per layout) are broadcast while they are
+below WRAPPERS_BYTES in all, and joined by host and layout beyond it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tapeline.llm import common
 WRAPPERS_BYTES = 16_000_000
 #: Share of pages on which a template node's text is equal.
 CONSTANT = 0.9
+#: Pages besides the reference that a template node inside an article needs.
+ARTICLE_PAGES = 5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|textarea|iframe|svg|title|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -139,6 +143,24 @@ def _unwanted(node: Node) -> bool:
     return node.tag in _NOT_CONTENT or bool(node.names & _NOT_NAMES)
 
 
+def _mains(root: Node) -> list[Node]:
+    """The outermost wanted articles of a page, else its outermost main elements."""
+    nodes = numbered(root)
+    banned: set[int] = set()
+    for n in nodes:
+        if id(n) in banned or _unwanted(n):
+            banned |= {id(c) for c in n.children()}
+    mains = [n for n in nodes if n.tag == "article" and not _unwanted(n) and id(n) not in banned] or [n for n in nodes if (n.tag == "main" or "main" in n.names) and id(n) not in banned]
+    nested = {id(d) for n in mains for d in numbered(n)[1:]}
+    return [n for n in mains if id(n) not in nested]
+
+
+def layout(root: Node) -> str:
+    """What pages of one layout share: the labels of the wanted elements of the body."""
+    body = next((n for n in numbered(root) if n.tag == "body"), root)
+    return " ".join(sorted({n.label for n in body.children() if not _unwanted(n)}))
+
+
 def _content(root: Node, template: set[int]) -> str:
     blocks: list[list[str]] = [[]]
 
@@ -160,24 +182,20 @@ def _content(root: Node, template: set[int]) -> str:
                 todo.append((None, inside))
             elif x.tag == "br":
                 blocks[-1].append(" ")
-            own = [p for p in reversed(x.parts) if not (isinstance(p, str) and not inside and id(x) in template)]
+            own = [p for p in reversed(x.parts) if not (isinstance(p, str) and id(x) in template)]
             todo += [(p, inside) for p in own]
 
-    nodes = numbered(root)
-    banned: set[int] = set()
-    for n in nodes:
-        if id(n) in banned or _unwanted(n):
-            banned |= {id(c) for c in n.children()}
-    mains = [n for n in nodes if n.tag == "article" and not _unwanted(n) and id(n) not in banned] or [n for n in nodes if (n.tag == "main" or "main" in n.names) and id(n) not in banned]
-    nested = {id(d) for n in mains for d in numbered(n)[1:]}
-    tops = [n for n in mains if id(n) not in nested]
-    for n in tops or [root]:
-        walk(n, bool(tops))
+    tops = _mains(root)
+    for n in tops:
+        walk(n, True)
+    if not tops or template and not any(t.strip() for b in blocks for t in b):
+        blocks[:] = [[]]
+        walk(root, False)
     return "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
 
 
 def extract(page: str | None, reference: str | None = None, template: list[int] = ()) -> str:
-    """The main text of a page, by its host's wrapper: a reference page and the numbers of its template nodes."""
+    """The main text of a page, by its layout's wrapper: a reference page and the numbers of its template nodes."""
     if not page:
         return ""
     root = parse(page)
@@ -193,42 +211,57 @@ def _host():
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z]*:?//([^/?#:]+)", 1)), F.lit(""))
 
 
+def _laid_out(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with host and layout; null html has no layout."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("layout", pa.array([None if h is None else layout(parse(h)) for h in batch.column("html").to_pylist()], pa.string()))
+
+    columns = ", ".join(f"{c} {t}" for c, t in pages.dtypes)
+    return common.materialize(pages.mapInArrow(run, f"{columns}, layout string").withColumn("host", _host()))
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """pages (page_id, host, html) to one wrapper per host: (host, reference, template node numbers)."""
-    refs = common.materialize(pages.where("html is not null").groupBy("host").agg(F.min(F.struct("page_id", "html")).alias("r")).select("host", F.col("r.html").alias("reference")))
+    """pages (page_id, host, layout, html) to one wrapper per host and layout: (host, layout, reference, template node numbers)."""
+    by = ["host", "layout"]
+    refs = common.materialize(pages.where("html is not null").groupBy(*by).agg(F.min(F.struct("page_id", "html")).alias("r")).select(*by, F.col("r.html").alias("reference")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-        parsed: dict[str, tuple[Node, dict[int, int]]] = {}
+        seen: dict[tuple[str, str, int, bool], list[int]] = defaultdict(lambda: [0, 0])
+        parsed: dict[tuple[str, str], tuple[Node, dict[int, int], set[int]]] = {}
         for batch in batches:
-            for host, page, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference"))):
-                if host not in parsed:
+            for host, kind, page, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "html", "reference"))):
+                if (host, kind) not in parsed:
+                    if len(parsed) > 200:
+                        parsed.clear()
                     ref = parse(reference)
-                    parsed = {host: (ref, {id(n): k for k, n in enumerate(numbered(ref))})} if len(parsed) > 200 else parsed | {host: (ref, {id(n): k for k, n in enumerate(numbered(ref))})}
-                ref, number = parsed[host]
+                    parsed[host, kind] = (ref, {id(n): k for k, n in enumerate(numbered(ref))}, {id(n) for top in _mains(ref) for n in numbered(top)})
+                ref, number, inside = parsed[host, kind]
                 for x, y in align(ref, parse(page)):
                     if own := x.text():
-                        n = seen[host, number[id(x)]]
+                        n = seen[host, kind, number[id(x)], id(x) in inside]
                         n[0] += 1
                         n[1] += own == y.text()
-        cols = [[k[0] for k in seen], [k[1] for k in seen], [n[0] for n in seen.values()], [n[1] for n in seen.values()]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "n", "equal"])
+        cols = [*([k[c] for k in seen] for c in range(4)), *([n[c] for n in seen.values()] for c in range(2))]
+        types = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "layout", "node", "inside", "n", "equal"])
 
-    joined = _with_wrappers(pages.where("html is not null").select("host", "html"), refs)
-    counts = joined.mapInArrow(count, "host string, node int, n long, equal long").groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("equal").alias("equal"))
-    constant = counts.where((F.col("n") > 1) & (F.col("equal") >= CONSTANT * F.col("n"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return common.materialize(refs.join(constant, "host", "left"))
+    joined = _with_wrappers(pages.where("html is not null").select(*by, "html"), refs).where("html <> reference")
+    counts = joined.mapInArrow(count, "host string, layout string, node int, inside boolean, n long, equal long").groupBy(*by, "node", "inside").agg(F.sum("n").alias("n"), F.sum("equal").alias("equal"))
+    constant = counts.where((F.col("n") >= F.when(F.col("inside"), ARTICLE_PAGES).otherwise(1)) & (F.col("equal") >= CONSTANT * F.col("n"))).groupBy(*by).agg(F.sort_array(F.collect_list("node")).alias("template"))
+    return common.materialize(refs.join(constant, by, "left"))
 
 
 def _with_wrappers(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     size = wrappers.agg(F.sum(F.length("reference"))).first()[0] or 0
-    return pages.join(F.broadcast(wrappers) if size <= WRAPPERS_BYTES else wrappers, "host", "left")
+    return pages.join(F.broadcast(wrappers) if size <= WRAPPERS_BYTES else wrappers, ["host", "layout"], "left")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per row of pages: (page_id, url, text, n_chars). Null html counts as empty, a null url as a host of its own."""
     common.small_batches(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html").withColumn("host", _host())
+    pages = _laid_out(pages.select("page_id", "url", "html"))
     wrappers = induce(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

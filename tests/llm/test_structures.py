@@ -37,6 +37,19 @@ def test_wrapper_of_pages_without_article(spark):
     assert wrapper.extract_pages(df.limit(0)).count() == 0
 
 
+def test_wrapper_decides_over_article(spark):
+    line = "<body><article><p>Subscribe to our letter</p><p>story {0}</p></article></body>"
+    promo = "<body><article><p>Our offer</p></article><section><p>Site</p><p>text {0}</p></section></body>"
+    other = "<body><div><p>Old site</p><p>note {0}</p></div></body>"
+    copy = "<body><article><p>same one</p><p>same two</p></article></body>"
+    rows = [(k, "http://a.example/", line.format(k)) for k in range(8)] + [(10 + k, "http://b.example/", promo.format(k)) for k in range(8)]
+    rows += [(30 + k, "http://a.example/", other.format(k)) for k in range(8)] + [(50 + k, "http://c.example/", copy) for k in range(8)]
+    rows += [(60 + k, "http://d.example/", copy.replace("two", f"two {k}")) for k in range(2)]
+    got = {r.page_id: r.text for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: f"story {k}" for k in range(8)} | {10 + k: f"text {k}" for k in range(8)} | {30 + k: f"note {k}" for k in range(8)}
+    assert got == want | {50 + k: "same one\nsame two" for k in range(8)} | {60 + k: f"same one\nsame two {k}" for k in range(2)}
+
+
 def test_canonical_url(spark):
     urls = {
         "HTTP://www.Ex.com:80/a/?utm_source=x&b=2&a=1#f": "https://ex.com/a?a=1&b=2", "https://ex.com": "https://ex.com", "https://ex.com/?ref=q": "https://ex.com",
