@@ -11,6 +11,8 @@ from tapeline.llm.common import materialize, table
 
 #: A language below this posterior is taken as not identified; even odds between four languages are 0.25.
 LEAST_SCORE = 0.3
+#: Jaccard over five-word shingles, in hundredths, from which documents are near copies.
+NEAR = 80
 #: SQL can express neither the language model nor the pseudonyms.
 ORACLE_SQL = None
 
@@ -23,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near copies; documents without an id are not compared."""
-    gone = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
+    gone = minhash.near_duplicates(docs, num=NEAR).where("not kept and doc_id is not null").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

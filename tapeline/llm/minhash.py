@@ -2,8 +2,8 @@
 
 Every document is the set of its distinct five-word shingles. Each of 60 hash functions is
 evaluated once per shingle and gives two signature values, the minimum and the maximum, so
-120 values cost 60 evaluations. 20 bands of 6 values find candidates; a minimum and a
-maximum of the same function never share a band.
+120 values cost 60 evaluations. Bands of the values find candidates: 20 of 6 at the threshold
+0.85, 24 of 5 at 0.8; a minimum and a maximum of the same function never share a band.
 
 Plan: identical sets collapse first (one partial aggregation), so groups of copies cost one
 row each. Band keys link each set to the smallest id of its bucket (never all pairs), and the
@@ -29,7 +29,8 @@ from tapeline.llm import common
 
 SHINGLE = 5
 PERMUTATIONS = 60
-ROWS = 6
+#: Chance to miss a pair at the threshold, at most.
+MISS = 1e-4
 #: Shingles per block; a member counts 600 more than its shingles, so a block holds at most some 1,600 members.
 BLOCK = 1_000_000
 
@@ -37,7 +38,7 @@ _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _POS = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(1, 2**63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -88,20 +89,26 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    """(documents, 20) band keys as signed 64-bit integers; each key holds its band's number."""
-    per = sig.reshape(len(sig), -1, ROWS)
-    key = (_mix(per) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(per.shape[1], dtype=np.uint64)
+def band_rows(num: int, den: int) -> int:
+    """Values per band: as many, up to 6, as miss a pair at the threshold with chance MISS at most."""
+    fit = [r for r in (6, 5, 4, 3, 2) if (1 - (num / den) ** r) ** (2 * PERMUTATIONS / r) <= MISS]
+    return fit[0] if fit else 1
+
+
+def bands(sig: np.ndarray, rows: int = 6) -> np.ndarray:
+    """(documents, 120 / rows) band keys as signed 64-bit integers; each key holds its band's number."""
+    per = sig.reshape(len(sig), 2 * PERMUTATIONS // rows, rows)
+    key = (_mix(per) * _BAND[:rows]).sum(axis=2, dtype=np.uint64) + np.arange(per.shape[1], dtype=np.uint64)
     return _mix(key).view(np.int64)
 
 
 _PROFILE = "id long, n_shingles long, digest binary, bands array<long>"
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(batch.column("text").to_pylist())
-        keys = bands(signatures(sets))
+        keys = bands(signatures(sets), rows)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
@@ -158,7 +165,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
     """
     common.small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = common.materialize(texts.mapInArrow(_profile, _PROFILE))
+    rows = band_rows(num, den)
+    profile = common.materialize(texts.mapInArrow(lambda batches: _profile(batches, rows), _PROFILE))
     reps = common.materialize(profile.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
     nodes = profile.join(reps, "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"), "bands", "digest")
     keys = nodes.where("digest is not null and id = rep").select(F.explode("bands").alias("key"), "id").distinct()

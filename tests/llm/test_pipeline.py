@@ -31,6 +31,19 @@ def test_pipeline_matches_plain_version(spark, tmp_path):
     assert "4041894974608795" not in got[105].decoded and "a.b@" not in got[105].decoded
 
 
+def test_near_copies_from_0_8(spark):
+    words = [[f"d{k}w{n}" for n in range(100)] for k in range(40)]
+    rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate(words)]
+    rows += [(100 + k, " ".join([*w[:-10], *(f"x{k}y{n}" for n in range(10))]), "en", "s", 1) for k, w in enumerate(words)]
+    rows += [(200 + k, " ".join([*w[:-12], *(f"z{k}y{n}" for n in range(12))]), "en", "s", 1) for k, w in enumerate(words[:1])]
+    far = [(300, " ".join([*words[0][:50], *(f"f{n}" for n in range(50))]), "en", "s", 1)]
+    sets = [{tuple(w[n : n + 5]) for n in range(len(w) - 4)} for w in (rows[0][1].split(), rows[40][1].split())]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    docs = spark.createDataFrame(rows + far, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == {*range(40), 200, 300}
+
+
 def test_stage_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontaminate", "personal_data", "tokens"]
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
