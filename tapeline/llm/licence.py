@@ -1,10 +1,11 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance along directories.
 
 Each line of a file (a header) is a TF-IDF vector over words; a licence file's whole text is
-one more. Inverse document frequencies of the templates' words count over all files. Only the
-templates' words are multiplied (templates are few and fixed); a line's length takes all its
-words, those outside the templates with the idf of a word seen once. A file without a licence
-of its own takes that of the licence file in its nearest ancestor directory, by joins on paths.
+one more. Document frequencies of all words count over all files. Only the templates' words are
+multiplied (templates are few and fixed); a line's length takes all its words. A line whose
+cosine over the templates' words alone, which bounds the true one from above, is below the
+threshold is done; the other words of the rest are joined with their frequencies. A file without
+a licence of its own takes that of the licence file in its nearest ancestor directory, by joins on paths.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,56 +41,72 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
-#: Every template holds one of these, and a text without any of them shares no telling word with one.
-MARKS = re.compile(r"(?i)licen[sc]e|permi|redistribut|public\s+domain|unencumbered")
+#: Distinct words that a task holds while it counts.
+HELD_WORDS = 300_000
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
+_PASSAGES = pa.list_(pa.struct([("k", pa.int32()), ("name", pa.string()), ("dot", pa.float64()), ("square", pa.float64()), ("others", pa.map_(pa.string(), pa.int32()))]))
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
 class Scanner:
     def __init__(self, df: dict[str, int], n: int):
-        self.rare = math.log(1 + n)
         self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) for _, t in TEMPLATES for w in words(t)}
-        self.vectors = []
+        self.vectors, telling = [], set()
         for name, text in TEMPLATES:
             v = {w: c * self.idf[w] for w, c in Counter(words(text)).items()}
             norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
             self.vectors.append((name, {w: x / norm for w, x in v.items()}))
-
-    def score(self, text: str) -> tuple[str | None, float]:
+            held = 0.0
+            for w, x in sorted(self.vectors[-1][1].items(), key=lambda i: i[1]):
+                held += x * x
+                if held >= (THRESHOLD - 1e-6) ** 2:
+                    telling.add(w)
+        #: By Cauchy-Schwarz a text without any of these words is below the threshold for every template.
+        self.telling = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(telling)))})(?![a-z0-9])") if telling else None
+
+    def passage(self, text: str) -> tuple[str, float, float, dict[str, int]] | None:
+        """The best template of a text with the dot product, the square of the length over template words, and the
+        counts of other words; None if no cosine can reach the threshold."""
         counts = Counter(words(text))
-        v = {w: c * self.idf.get(w, self.rare) for w, c in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        if not norm:
-            return None, 0.0
-        return max(((name, sum(v.get(w, 0.0) * x for w, x in t.items()) / norm) for name, t in self.vectors), key=lambda x: x[1])
-
-    def scan(self, text: str | None, whole: bool) -> tuple[str | None, float]:
-        """The best licence at or above the threshold of a file's lines, and of its whole text if it is a licence file."""
-        if not text or not MARKS.search(text):
-            return None, 0.0
-        passages = [x for x in text.splitlines() if MARKS.search(x)] + [text] * whole
-        name, best = max((self.score(x) for x in passages), key=lambda x: x[1], default=(None, 0.0))
-        return (name, round(min(best, 1.0), 9)) if best >= THRESHOLD else (None, 0.0)
-
-
-def _frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
-    """In how many files each template word occurs, over all files; the result is bounded by the templates."""
-    vocabulary = sorted({w for _, t in TEMPLATES for w in words(t)})
+        v = {w: c * self.idf[w] for w, c in counts.items() if w in self.idf}
+        square = sum(x * x for x in v.values())
+        if not square:
+            return None
+        name, dot = max(((name, sum(v.get(w, 0.0) * x for w, x in t.items())) for name, t in self.vectors), key=lambda x: x[1])
+        return (name, dot, square, {w: c for w, c in counts.items() if w not in self.idf}) if dot >= (THRESHOLD - 1e-6) * math.sqrt(square) else None
+
+    def passages(self, text: str | None, whole: bool) -> list[tuple[str, float, float, dict[str, int]]]:
+        """What may reach the threshold of a file's lines, and of its whole text if it is a licence file; equal lines once."""
+        if not text or self.telling is None or not self.telling.search(text.lower()):
+            return []
+        lines = dict.fromkeys([x for x in text.splitlines() if self.telling.search(x.lower())] + [text] * whole)
+        return [p for x in lines if (p := self.passage(x))]
+
+
+def _frequencies(files: DataFrame) -> DataFrame:
+    """(word, n): in how many files each word occurs, and the number of files as that of the empty word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = Counter({"": 0}), set(vocabulary)
+        total = Counter({"": 0})
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(np.array(list(total.values())), pa.int64())], names=["word", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total.update(known.intersection(words(text or "")))
+                total.update(set(words(text or "")))
                 total[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(np.array(list(total.values())), pa.int64())], names=["word", "n"])
+                if len(total) > HELD_WORDS:
+                    yield out()
+                    total.clear()
+        yield out()
 
-    found = {r.word: r.n for r in files.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return found, found.pop("", 0)
+    return common.materialize(files.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -103,16 +121,33 @@ def scan(files: DataFrame) -> DataFrame:
     common.small_batches(files.sparkSession)
     files = files.select("file_id", "path", "text")
     is_licence = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"(?i)^(licen[sc]e|copying)(\.[^/]*)?$"), F.lit(False))
-    scanner = Scanner(*_frequencies(files))
+    frequencies = _frequencies(files)
+    vocabulary = sorted({w for _, t in TEMPLATES for w in words(t)})
+    df = {r.word: r.n for r in frequencies.where(F.col("word").isin(["", *vocabulary])).collect()}
+    n_files = df.pop("", 0)
+    scanner = Scanner(df, n_files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            found = [scanner.scan(t, w) for t, w in zip(batch.column("text").to_pylist(), batch.column("is_licence").to_pylist())]
-            cols = [batch.column("file_id"), batch.column("path"), batch.column("is_licence"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["file_id", "path", "is_licence", "own", "score"])
+            found = [scanner.passages(t, w) for t, w in zip(batch.column("text").to_pylist(), batch.column("is_licence").to_pylist())]
+            shown = [[{"k": k, "name": p[0], "dot": p[1], "square": p[2], "others": list(p[3].items())} for k, p in enumerate(f)] for f in found]
+            cols = [pa.array(range(at, at + len(found)), pa.int64()), batch.column("file_id"), batch.column("path"), batch.column("is_licence"), pa.array(shown, _PASSAGES)]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "file_id", "path", "is_licence", "passages"])
+            at += len(found)
 
     kind = dict(files.dtypes)["file_id"]
-    own = common.materialize(files.withColumn("is_licence", is_licence).mapInArrow(run, f"file_id {kind}, path string, is_licence boolean, own string, score double").withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")))
+    passages = "array<struct<k:int,name:string,dot:double,square:double,others:map<string,int>>>"
+    seen = common.materialize(files.withColumn("is_licence", is_licence).mapInArrow(run, f"row long, file_id {kind}, path string, is_licence boolean, passages {passages}"))
+    every = seen.select("row", F.explode("passages").alias("p")).select("row", "p.*")
+    others = every.select("row", "k", F.explode("others").alias("word", "c"))
+    idf = F.log((F.lit(1.0) + n_files) / (F.lit(1.0) + F.col("n")))
+    lengths = others.join(frequencies, "word").groupBy("row", "k").agg(F.sum((F.col("c") * idf) ** 2).alias("rest"))
+    cosine = F.col("dot") / F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0)))
+    scored = every.join(lengths, ["row", "k"], "left").withColumn("cosine", cosine).where(F.col("cosine") >= THRESHOLD)
+    best = scored.groupBy("row").agg(F.max_by("name", F.struct("cosine", -F.col("k"))).alias("own"), F.round(F.least(F.max("cosine"), F.lit(1.0)), 9).alias("score"))
+    own = seen.drop("passages").join(best, "row", "left").drop("row").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    own = common.materialize(own.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")))
     given = own.where("is_licence and own is not null").groupBy("dir").agg(F.max_by("own", F.struct("score", "path")).alias("given"))
     parts = F.split("dir", "/")
     above = own.select("dir").where("dir is not null").distinct().withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts))))

@@ -1,4 +1,6 @@
 import gzip
+import math
+from collections import Counter
 
 from tapeline.llm import licence, warc, wrapper
 
@@ -114,3 +116,25 @@ def test_licences(spark):
         6: (None, None, None), 7: ("MIT", "MIT", None), 8: (None, "MIT", "r"), 9: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 10: (None, "MIT", "r"), 11: (None, None, None),
     }
     assert licence.scan(df.limit(0)).count() == 0
+
+
+def test_licences_match_plain_tf_idf(spark):
+    fill = [" ".join(f"w{(k * 7 + n) % 90}" for n in range(12)) + " by and the of it that is" * (k % 3 > 0) for k in range(300)]
+    telling = ["CC BY-NC 4.0", "Dedicated under CC0 1.0 Universal", "Released under the MIT License and that is it for w1", "Released under the MIT License unseen words follow here", "free software in the public domain", "version 3 of it"]
+    texts = [*fill, *(f"{fill[k]}\n{t}" for k, t in enumerate(telling)), "\n".join(telling), None, ""]
+    df, n = Counter(w for t in texts for w in set(licence.words(t or ""))), len(texts)
+
+    def vector(t):
+        return {w: c * math.log((1 + n) / (1 + df[w])) for w, c in Counter(licence.words(t)).items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(w, 0) for w, x in a.items()) / (math.hypot(*a.values()) * math.hypot(*b.values()) or 1)
+
+    templates = [(name, vector(t)) for name, t in licence.TEMPLATES]
+    want = []
+    for t in texts:
+        score, name = max(((cosine(vector(x), v), name) for x in (t or "").splitlines() for name, v in templates), default=(0, None), key=lambda x: x[0])
+        want.append((name, round(score, 6)) if score >= licence.THRESHOLD else (None, 0))
+    rows = [(k, f"s/{k}.txt", t) for k, t in enumerate(texts)]
+    got = {r.file_id: (r.own, round(r.score, 6)) for r in licence.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert [got[k] for k in range(n)] == want and {w[0] for w in want} >= {"CC-BY-NC-4.0", "CC0-1.0", "MIT"}
