@@ -19,7 +19,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_on: str, righ
     w = W.partitionBy(by).orderBy("_t", "_side")
     found = F.last("_r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     if clip:
-        found = F.coalesce(found, F.first("_r", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+        found = F.coalesce(found, F.first("_r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     return a.unionByName(b).withColumn("_m", found).where("_side = 1").select("_l.*", F.col("_m._at").alias(right_on), *[F.col(f"_m.{c}").alias(c) for c in take])
 
 

@@ -261,6 +261,20 @@ def spike_news(spark, d):
     return J.within(spikes, V.news(spark, d), "symbol", "t", "created_at", 900).select("symbol", text("t"), "id")
 
 
+_ALL_NEWS = "news AS (SELECT event_id AS id, event_type AS symbol, ts AS created_at FROM events)"
+
+
+@query(f"WITH {HOURS}, {_ALL_NEWS} SELECT n.id, n.symbol, {TEXT.format('coalesce(b.t, f.t)')} AS t, coalesce(b.c, f.c) AS c FROM news n ASOF LEFT JOIN bars b ON n.symbol = b.symbol AND n.created_at >= b.t LEFT JOIN (SELECT symbol, min(t) AS t, arg_min(c, t) AS c FROM bars GROUP BY symbol) f ON f.symbol = n.symbol")
+def all_news_to_bar(spark, d):
+    return J.asof_backward(V.all_news(spark, d), hours(spark, d), "symbol", "created_at", "t", ["c"], clip=True).select("id", "symbol", text("t"), "c")
+
+
+@query(f"WITH {QUARTERS}, {_ALL_NEWS}, m AS (SELECT symbol, median(v) AS base FROM bars WHERE v > 0 GROUP BY symbol), s AS (SELECT b.symbol, b.t FROM bars b JOIN m ON b.symbol = m.symbol WHERE v >= 3 * base) SELECT s.symbol, {TEXT.format('s.t')} AS t, n.id FROM s JOIN news n ON s.symbol = n.symbol AND abs(epoch_us(s.t) - epoch_us(n.created_at)) <= 900000000")
+def spike_all_news(spark, d):
+    spikes = L.volume_spikes(B.rollup(V.trades(spark, d), 15)).select("symbol", "t")
+    return J.within(spikes, V.all_news(spark, d), "symbol", "t", "created_at", 900).select("symbol", text("t"), "id")
+
+
 @query(f"WITH {TRADES} SELECT symbol, {TEXT.format("time_bucket(INTERVAL 1 hour, t)")} AS t, round(quantile_cont(p, 0.2), 6) AS p20, round(quantile_cont(p, 0.8), 6) AS p80 FROM trades GROUP BY symbol, time_bucket(INTERVAL 1 hour, t)")
 def trade_percentiles(spark, d):
     binned = J.in_bins(V.trades(spark, d), hours(spark, d), 60)

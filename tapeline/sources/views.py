@@ -22,6 +22,12 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("ts").alias("created_at"))
 
 
+def all_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, symbol, created_at): every event."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("ts").alias("created_at"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, ts, symbol, action, price): purchases as alternating buys and sells of one share, by time."""
     from pyspark.sql import Window as W
