@@ -32,13 +32,14 @@ _KINDS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*\w)?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9_\-+/]{6,}",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d([/.])\d\d\1\d{4})(?![\w/-]|\.\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d([/.])\d\d\1\d{4})(?!(?!T\d\d:?\d\d)[\w/-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
     "phone": r"(?<![\w+.])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.-])(?:\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{13,19})(?![\w-]|\.\d)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()).replace(r"\1", "(?P=slash)").replace("([/.])", "(?P<slash>[/.])").replace(r"\2", "(?P=gap)").replace("([ -])", "(?P<gap>[ -])"))
+_IBAN = re.compile(_KINDS["iban"])
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
@@ -164,15 +165,22 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[
     if not text or "@" not in text and not any(c in text for c in string.digits) and "=" not in text and ":" not in text:
         return text, []
     out, spans, at, size = [], [], 0, 0
-    for m in _ANY.finditer(text):
+    m = _ANY.search(text)
+    while m:
         kind = next(k for k in _KINDS if m[k] is not None)
-        new = pseudonym(kind, m.group(), key)
+        end, new = m.end(), pseudonym(kind, m.group(), key)
+        if new is None and kind == "iban":  # the match may have taken in the words behind: try its shorter prefixes
+            for cut in range(m.end() - 1, m.start() + 11, -1):
+                if not (text[cut].isalnum() or text[cut] == "_") and _IBAN.fullmatch(text, m.start(), cut) and (new := pseudonym(kind, text[m.start() : cut], key)) is not None:
+                    end = cut
+                    break
         if new is not None:
             out += [text[at : m.start()], new]
             size += m.start() - at
             spans.append((kind, size, size + len(new)))
             size += len(new)
-            at = m.end()
+            at = end
+        m = _ANY.search(text, m.start() + 1 if new is None and kind == "iban" else end)
     return "".join([*out, text[at:]]), spans
 
 

@@ -32,6 +32,13 @@ def test_kinds():
     assert len(spans) == 2 and "1beb58" not in new and "b7db7" not in new and new.endswith(" z")
 
 
+@pytest.mark.parametrize("value, behind", [("BE68 5390 0754 7034", " EUR 100"), ("BE68539007547034", " A payment"), ("2024-01-05", "T10:00"), ("2024-01-05", "T1000Z")])
+def test_words_behind(value, behind):
+    new, spans = pii.replace(f"x {value}{behind}")
+    assert len(spans) == 1 and value not in new and new.endswith(behind)
+    assert pii.replace("x GB00 WEST 1234 5698 7654 EUR a.b@mail.example.com")[1][0][0] == "email"
+
+
 @pytest.mark.parametrize("text", ["", None, "plain words", "4041894974608796", "300.1.2.3", "2021-02-30", "000-12-3456", "1.2.3.4.5", "order 12345678", "GB00 WEST 1234 5698 7654 32", "99/99/1999", "a@b"])
 def test_left_alone(text):
     assert pii.replace(text) == (text, [])
