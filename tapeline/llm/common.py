@@ -1,4 +1,4 @@
-"""Helpers that the operators of this subpackage share: tables, scratch tables, components and blocks."""
+"""Helpers that the operators of this subpackage share: tables, scratch tables, components and meetings of groups."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,23 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Characters of text, and rows, that a worker takes apart at a time.
+SLICE_CHARS, SLICE_ROWS = 2_000_000, 500
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the texts of a column pass SLICE_CHARS (a longer text stands alone), so what a worker holds beside them is bounded."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+        first = done = 0
+        for k in range(batch.num_rows):
+            if k > first and (ends[k] - done > SLICE_CHARS or k - first >= SLICE_ROWS):
+                yield batch.slice(first, k - first)
+                first, done = k, ends[k - 1]
+        if batch.num_rows:
+            yield batch.slice(first)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of text that an Arrow batch may hold; a value of the user's own that is smaller stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,29 +57,53 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "500")
 
 
+#: Tasks that the rows of one hot key are dealt over.
+SALTS = 64
+
+
+def salt(by: str):
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+
+
+def salts_used():
+    """Which salts a key has rows in, as a mask of SALTS bits."""
+    return F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_mask")
+
+
+def per_salt(facts: DataFrame) -> DataFrame:
+    """A row of facts for each salt of its mask and no others, so a hot key is split and a small one costs no more."""
+    return facts.withColumn("_salt", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), x -> shiftright(_mask, x) & 1L = 1L)"))).drop("_mask")
+
+
+def with_facts(rows: DataFrame, keys: list[str], by: str, facts: list, having: str = "true") -> DataFrame:
+    """rows with aggregates over their keys, for keys that satisfy `having`; rows of a key are dealt over SALTS tasks by `by`.
+
+    rows is read twice: give a written table.
+    """
+    salted = rows.withColumn("_salt", salt(by))
+    per_key = salted.groupBy(*keys).agg(*facts, salts_used()).where(having)
+    return salted.join(per_salt(per_key), [*keys, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of edges (a, b), as (node, component): component is the smallest node reachable.
 
     Alternating large-star and small-star contraction; each round is written to the shared
-    folder and only one flag reaches the driver. Self-links and nulls are ignored. Hubs are
-    safe: minima are partially aggregated, and the joins back are plain equi-joins that
-    adaptive execution may split.
+    folder and only one flag reaches the driver. Self-links and nulls are ignored. A hub's
+    links are dealt over many tasks (with_facts).
     """
     e = materialize(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .distinct()
     )
+    low = [F.min("v").alias("low")]
     while not _is_star_forest(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = materialize(
-            large.join(small, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        large = materialize(with_facts(both, ["u"], "v", low).where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct())
+        small = with_facts(large, ["u"], "v", low)
+        down = small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        e = materialize(down.union(small.where("v = low").select("u", "v")).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
@@ -76,26 +118,21 @@ def _is_star_forest(e: DataFrame) -> bool:
     return not per_node.agg(F.max(bad).alias("bad")).first()["bad"]
 
 
-def star_edges(keys: DataFrame) -> DataFrame:
-    """keys: (key, id). One link (a, b) from each id to the smallest id of its key; no pairs within a key."""
-    low = materialize(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").drop("z"))
-    return keys.join(low, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-
-
-def blocks(members: DataFrame, limit: float) -> DataFrame:
-    """Deal the members (id, grp, weight) of each group into blocks of about `limit` weight and pair the blocks.
+def meetings(rows: DataFrame, keys: list[str], guest: str, home: str, weight: str, limit: float) -> DataFrame:
+    """Let every guest of a key meet every row of that key that is at home there, in blocks of about `limit` weight.
 
-    Returns (id, grp, i, j, side): every two members of a group meet in exactly one (grp, i, j)
-    with i <= j, on sides i and j; a group within limit / 16 is the single block pair (0, 0).
-    Groups between that and 8 * limit are dealt into up to 8 blocks, so that their 36 block
-    pairs spread over tasks at no more than 8 copies of a member.
+    rows: keys, id, the flags `guest` and `home` (a row may be both), further columns. Returns
+    rows with i, j and side: a guest has side 0 and comes to block i with all j, a row at home
+    has side 1 and comes to block j with all i. A key costs a guest as many copies as it has
+    home blocks, and a row at home as many as it has guest blocks. rows is read twice.
     """
-    full = F.sum("weight") / F.lit(float(limit))
-    nb = F.greatest(F.ceil(full), F.least(F.ceil(full * 16), F.lit(8)))
-    sizes = materialize(members.groupBy("grp").agg(nb.cast("int").alias("nb")))
-    dealt = members.join(sizes, "grp").withColumn("side", F.pmod(F.xxhash64("id"), F.greatest("nb", F.lit(1))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, greatest(nb, 1) - 1)")))
-    return dealt.select("id", "grp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    blocks = lambda flag: F.ceil(F.sum(F.when(F.col(flag), F.col(weight))) / F.lit(float(limit))).cast("int")
+    facts = [blocks(guest).alias("ni"), blocks(home).alias("nj"), F.min("id").alias("low"), F.max("id").alias("high")]
+    dealt = with_facts(rows, keys, "id", facts, "ni > 0 and nj > 0 and low <> high")
+    i, j = (F.pmod(F.xxhash64("id", F.lit(k)), F.col(n)).cast("int") for k, n in ((1, "ni"), (2, "nj")))
+    a = dealt.where(guest).withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, nj - 1)"))).withColumn("side", F.lit(0))
+    b = dealt.where(home).withColumn("j", j).withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).withColumn("side", F.lit(1))
+    return a.unionByName(b).drop("ni", "nj", "low", "high")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

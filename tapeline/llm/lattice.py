@@ -1,15 +1,17 @@
 """Near-duplicate embeddings by E8 lattice hashing.
 
-Each of 8 tables projects a unit vector to three orthonormal 8-dimensional blocks and decodes
-each block to its nearest point of the E8 lattice; the three points name the vector's cell.
+Each of 8 tables projects a unit vector to two orthonormal 8-dimensional blocks and decodes
+each block to its nearest point of the E8 lattice; the two points name the vector's cell.
 Besides its own cell a vector looks into the 8 neighbouring cells that are nearest to it (one
 block moved by one of the lattice's 240 shortest vectors). At the threshold of 0.93 a pair
-meets in one table with probability 0.43 and in one of eight with 0.99; closer pairs more.
-
-Plan: equal vectors collapse first. A vector is linked to the smallest id of each cell (never
-all pairs), the components of these links are candidate groups, and the members of a group
-meet in blocks of bounded size where a matrix product verifies every cosine in double
-precision. A block returns per vector the number of links and one spanning link, never pairs.
+meets in one table with probability 0.48 and in one of eight with 0.994; closer pairs more.
+Random pairs of the same label meet with probability 2e-4, so few others are compared.
+
+Plan: equal vectors collapse first. A cell with a vector at home and another that looks in is a
+meeting, in blocks of bounded size, where a matrix product verifies the cosines of guests and
+those at home in double precision; nothing is compared outside a cell. A pair counts only in
+the first cell where it meets. A block returns per vector the number of links and one spanning
+link, never pairs.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 from tapeline.llm import common
 
 TABLES = 8
-PARTS = 3
+PARTS = 2
 PROBES = 8
-SCALE = 1.0
+SCALE = 1.5
 #: Vectors per block.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def _shortest() -> np.ndarray:
@@ -89,41 +91,91 @@ def cells(x: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(own, axis=1), np.concatenate(near, axis=1)
 
 
-def _units(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Which rows hold usable vectors, and per dimension their row numbers and unit rows in double precision."""
+def _units(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per dimension the row numbers of the usable vectors and their unit rows in double precision."""
     by_dim: dict[int, tuple[list, list]] = {}
-    usable = np.zeros(len(column), bool)
     for k, v in enumerate(column.to_pylist()):
         if v and None not in v:
             x = np.asarray(v, np.float64)
             norm = np.sqrt((x * x).sum())
             if np.isfinite(norm) and norm > 0:
-                usable[k] = True
                 at, rows = by_dim.setdefault(len(v), ([], []))
                 at.append(k)
                 rows.append(x / norm)
-    return usable, {d: (np.array(at), np.stack(rows)) for d, (at, rows) in by_dim.items()}
+    return {d: (np.array(at), np.stack(rows)) for d, (at, rows) in by_dim.items()}
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column, labels = batch.column("embedding"), batch.column("label").to_pylist()
-        usable, units = _units(column)
-        usable &= np.array([x is not None for x in labels], bool)
         digests: list[bytes | None] = [None] * len(labels)
-        own: list = [None] * len(labels)
-        near: list = [None] * len(labels)
-        for dim, (at, x) in units.items():
-            salt = np.array([(xxhash.xxh3_64_intdigest(str(labels[k]).encode()) ^ dim) & (2**62 - 1) for k in at], np.int64)
-            a, b = cells(x, salt)
+        salts = [0] * len(labels)
+        for dim, (at, x) in _units(column).items():
             for r, k in enumerate(at.tolist()):
-                if usable[k]:
+                if labels[k] is not None:
                     digests[k] = xxhash.xxh3_128_digest(f"{labels[k]} {dim} ".encode() + x[r].tobytes())
-                    own[k], near[k] = a[r], b[r]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), column, batch.column("label"), pa.array(digests, pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))],
-            names=["id", "embedding", "label", "digest", "own", "near"],
-        )
+                    salts[k] = (xxhash.xxh3_64_intdigest(str(labels[k]).encode()) ^ dim) & (2**62 - 1)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), column, batch.column("label"), pa.array(digests, pa.binary()), pa.array(salts, pa.int64())], names=["id", "embedding", "label", "digest", "salt"])
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells that each vector is at home in and looks into."""
+    for batch in batches:
+        ids, salts = batch.column("id").to_numpy(), batch.column("salt").to_numpy()
+        for at, x in _units(batch.column("embedding")).values():
+            own, near = cells(x, salts[at])
+            tables = np.arange(TABLES, dtype=np.int32)
+            for keys, numbers, home in ((own, tables, True), (near, tables.repeat(PROBES), False)):
+                cols = [keys.ravel(), np.tile(numbers, len(at)), ids[at].repeat(keys.shape[1]), np.full(keys.size, home)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "number", "id", "home"])
+
+
+def _met_before(own: np.ndarray, near: np.ndarray, g: np.ndarray, h: np.ndarray, number: int, key: int) -> np.ndarray:
+    """Of pairs of rows (g, h), which meet in an earlier table, or in this one in a cell that comes before `key`."""
+    out = np.zeros(len(g), bool)
+    near = near.reshape(len(near), TABLES, PROBES)
+    for t in range(number + 1):
+        rest = np.flatnonzero(~out)
+        own_g, own_h = own[g[rest], t], own[h[rest], t]
+        same = own_g == own_h
+        at_h, at_g = (near[g[rest], t] == own_h[:, None]).any(axis=1), (near[h[rest], t] == own_g[:, None]).any(axis=1)
+        out[rest] = same | at_h | at_g if t < number else ~same & ((at_h & (own_h < key)) | (at_g & (own_g < key)))
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Per vector of a block the links found there, each counted where its pair meets first, and the smallest id it reaches over them.
+
+    A guest that is at home too meets those at home from both sides, and counts its own links only.
+    """
+    for (key, number, _, _), part in common.runs(batches, ["key", "number", "i", "j"]):
+        ids, labels = part.column("id").to_numpy(), np.array(part.column("label").to_pylist(), object)
+        side, at_home, copies = part.column("side").to_numpy(), part.column("home").to_numpy(zero_copy_only=False), part.column("copies").to_numpy()
+        salts = part.column("salt").to_numpy()
+        names, node = np.unique(ids, return_inverse=True)
+        n, forest = np.zeros(len(names), np.int64), common.Forest(len(names))
+        for at, x in _units(part.column("embedding").combine_chunks()).values():
+            guests, homes = np.flatnonzero(side[at] == 0), np.flatnonzero(side[at] == 1)
+            seen = cells(x, salts[at]) if len(guests) and len(homes) else None
+            for lo in range(0, len(guests), 256):
+                some = guests[lo : lo + 256]
+                hit = (x[some] @ x[homes].T >= threshold) & (ids[at][some][:, None] != ids[at][homes][None, :]) & (labels[at][some][:, None] == labels[at][homes][None, :])
+                g, h = np.nonzero(hit)
+                g, h = some[g], homes[h]
+                first = ~_met_before(*seen, g, h, number, key)
+                g, h = at[g[first]], at[h[first]]
+                np.add.at(n, node[g], copies[h])
+                one_way = ~at_home[g]
+                np.add.at(n, node[h[one_way]], copies[g[one_way]])
+                root = np.array([forest.find(k) for k in range(len(names))])
+                for a, b in np.unique(np.stack([root[node[g]], root[node[h]]], axis=1), axis=0).tolist():
+                    forest.join(a, b)
+        found = np.array([forest.find(k) for k in range(len(names))])
+        keep = (n > 0) | (found != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(names[found[keep]], pa.int64())], names=["id", "n", "root"])
+
+
+_LOOK = "key long, number int, id long, home boolean"
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -137,47 +189,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     """
     common.small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
-    hashed = common.materialize(rows.mapInArrow(_hash, "id long, embedding array<double>, label string, digest binary, own array<long>, near array<long>"))
-    reps = common.materialize(hashed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    firsts = hashed.join(reps, "digest").where("id = rep").dropDuplicates(["id", "digest"])
-    own = firsts.select(F.explode("own").alias("key"), "id")
-    heads = common.materialize(own.groupBy("key").agg(F.min("id").alias("a")))
-    looks = own.union(firsts.select(F.explode("near").alias("key"), "id"))
-    groups = common.connected_components(looks.join(heads, "key").where("a <> id").select("a", F.col("id").alias("b")))
-    dealt = common.materialize(common.blocks(groups.select(F.col("node").alias("id"), F.col("component").alias("grp"), F.lit(1).alias("weight")), BLOCK))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), part in common.runs(batches, ["grp", "i", "j"]):
-            part = part.sort_by("id")
-            label = np.array(part.column("label").to_pylist(), object)
-            side = part.column("side").to_numpy()
-            ids, copies = part.column("id").to_numpy(), part.column("copies").to_numpy()
-            links, forest = np.zeros(len(ids), np.int64), common.Forest(len(ids))
-            for at, x in _units(part.column("embedding").combine_chunks())[1].values():
-                for lo in range(0, len(at), 512):
-                    some = at[lo : lo + 512]
-                    hit = (x[lo : lo + 512] @ x.T >= threshold) & (label[some][:, None] == label[at][None, :]) & (some[:, None] != at[None, :])
-                    if i != j:
-                        hit &= side[some][:, None] != side[at][None, :]
-                    links[some] += hit @ copies[at]
-                    root = np.array([forest.find(k) for k in at.tolist()])
-                    for r, k in enumerate(some.tolist()):
-                        there = np.flatnonzero(hit[r])
-                        for first in np.unique(root[there], return_index=True)[1].tolist():
-                            forest.join(k, int(at[there[first]]))
-            found = [forest.find(k) for k in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64()), pa.array(ids[found], pa.int64())], names=["id", "n", "root"])
-
-    carried = firsts.select("id", "embedding", "label", "copies")
-    met = dealt.join(carried, "id").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    found = common.materialize(met.mapInArrow(verify, "id long, n long, root long"))
+    hashed = common.materialize(rows.mapInArrow(_hash, "id long, embedding array<double>, label string, digest binary, salt long"))
+    usable = common.with_facts(hashed.where("digest is not null and id is not null"), ["digest"], "id", [F.min("id").alias("rep"), F.count("*").alias("copies")])
+    nodes = common.materialize(usable.select("id", "digest", "rep", "copies").union(hashed.where("digest is null or id is null").select("id", "digest", F.lit(None).cast("long"), F.lit(None).cast("long"))))
+    firsts = common.materialize(usable.where("id = rep").dropDuplicates(["id", "digest"]).select("id", "embedding", "label", "salt", "copies"))
+    looks = common.materialize(firsts.mapInArrow(_look, _LOOK))
+    met = common.meetings(looks.withColumns({"guest": F.lit(True), "one": F.lit(1)}), ["key", "number"], "guest", "home", "one", BLOCK)
+    met = met.join(firsts, "id").repartition("key", "number", "i", "j").sortWithinPartitions("key", "number", "i", "j", "id")
+    found = common.materialize(met.mapInArrow(lambda batches: _verify(batches, threshold), "id long, n long, root long"))
     parts = common.connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
-    nodes = hashed.select("id", "digest").join(reps, "digest", "left").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
+    nodes = nodes.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return nodes.select(
         F.col("id").alias("vec_id"),
-        (F.coalesce("n", F.lit(0)) + F.when(F.col("id").isNull(), 1).otherwise(F.coalesce("copies", F.lit(1))) - 1).cast("long").alias("n_links"),
+        (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )

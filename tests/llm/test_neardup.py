@@ -41,9 +41,10 @@ def corpus():
     return [*texts, None, "", "  ", "one two", "One  Two", "one two three", "word " * 5000, "word " * 7]
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 8000])
+@pytest.mark.parametrize("block", [minhash.BLOCK, 7])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block * 100)
     texts = corpus()
     sets = [shingles(t) for t in texts]
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
@@ -55,6 +56,39 @@ def test_near_duplicates(spark, monkeypatch, block):
         assert (got[k].n_shingles, got[k].component_id, got[k].kept) == (len(sets[k]), want[k], want[k] == k)
 
 
+def brute(texts):
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: sets[a] and 20 * min(len(sets[a]), len(sets[b])) >= 17 * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    return components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if near(a, b)])
+
+
+@pytest.mark.parametrize("leads", [0, minhash.LEADS])
+def test_links_over_a_hub_and_near_the_threshold(spark, monkeypatch, leads):
+    """Copies that link only over a hub that is not the smallest, chains, and 300 planted pairs just above and below 0.85."""
+    monkeypatch.setattr(minhash, "LEADS", leads)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(200)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for at in rng.sample(range(0, 195, 5), 3):
+            w[at] = word()
+        texts.append(" ".join(w))
+    texts.insert(30, " ".join(base))
+    chain = [word() for _ in range(150)]
+    for k in range(12):
+        texts.append(" ".join(chain[5 * k : 5 * k + 90]))
+    for k in range(300):
+        w = [word() for _ in range(104)]
+        texts += [" ".join(w), " ".join(w[: 104 - (7 + k % 3)] + [word() for _ in range(7 + k % 3)])]
+    want = brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert sum(want[k] != k for k in range(73, len(texts))) >= 100
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b"), (4, "a b"), (4, "a b"), (2, None)], "doc_id long, text string")
     rows = sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=str)
@@ -72,6 +106,28 @@ def test_lattice_points():
     assert all((((x - p - v) ** 2).sum(axis=1) >= d - 1e-9).all() for v in lattice.SHORTEST) and d.max() <= 1 + 1e-9
 
 
+def test_lattice_recall_and_pruning():
+    """Of 20,000 random vectors of one label less than 5 % of the pairs meet; planted links from 0.93 on meet, at least 0.95 of them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    own, near = lattice.cells(x, np.zeros(len(x), np.int64))
+    looks = np.concatenate([own.ravel(), near.ravel()])
+    keys, counts = np.unique(own, return_counts=True)
+    at = np.searchsorted(keys, looks).clip(max=len(keys) - 1)
+    assert np.where(keys[at] == looks, counts[at], 0).sum() - own.size < 0.05 * len(x) ** 2 / 2
+    for cosine, least in ((0.93, 0.98), (0.95, 0.99), (0.99, 0.999)):
+        a, z = x[:4000], x[4000:8000]
+        z = z - (z * a).sum(axis=1)[:, None] * a
+        b = cosine * a + (1 - cosine**2) ** 0.5 * z / np.linalg.norm(z, axis=1)[:, None]
+        own_b, near_b = lattice.cells(b, np.zeros(len(b), np.int64))
+        met = (own[:4000] == own_b).any(axis=1)
+        for t in range(lattice.TABLES):
+            part = slice(t * lattice.PROBES, (t + 1) * lattice.PROBES)
+            met |= (near[:4000, part] == own_b[:, t, None]).any(axis=1) | (near_b[:, part] == own[:4000, t, None]).any(axis=1)
+        assert met.mean() >= least
+
+
 @pytest.mark.parametrize("block", [lattice.BLOCK, 40])
 def test_embeddings(spark, monkeypatch, block):
     monkeypatch.setattr(lattice, "BLOCK", block)
