@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -135,26 +137,34 @@ def meetings(rows: DataFrame, keys: list[str], guest: str, home: str, weight: st
     return a.unionByName(b).drop("ni", "nj", "low", "high")
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole runs of equal keys with the bounds of the runs, from batches sorted by the keys; a run may span batches."""
+    held: pa.Table | None = None
+    for batch in itertools.chain(batches, [None]):
+        last = batch is None
+        if not last:
+            if not batch.num_rows:
+                continue
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+        if held is None:
+            return
+        new = np.zeros(held.num_rows - 1, bool)
+        for k in keys:
+            x = held.column(k).to_numpy()
+            new |= x[1:] != x[:-1]
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), *([held.num_rows] if last else [])]
+        if bounds[-1]:
+            yield held.slice(0, bounds[-1]).combine_chunks(), bounds
+            held = held.slice(bounds[-1])
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Contiguous rows of equal keys, one table at a time, from batches sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    now: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_pylist() for k in keys]
-        rows = list(zip(*cols))
-        start = 0
-        for n in range(1, len(rows) + 1):
-            if n == len(rows) or rows[n] != rows[start]:
-                if rows[start] != now and held:
-                    yield now, pa.Table.from_batches(held)
-                    held = []
-                now = rows[start]
-                held.append(batch.slice(start, n - start))
-                start = n
-    if held:
-        yield now, pa.Table.from_batches(held)
+    """Contiguous rows of equal integer keys, one table at a time, from batches sorted by the keys."""
+    for table, bounds in whole_runs(batches, keys):
+        names = [table.column(k).to_numpy() for k in keys]
+        for a, b in zip(bounds, bounds[1:]):
+            yield tuple(int(x[a]) for x in names), table.slice(a, b - a)
 
 
 class Forest:

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ PROBES = 8
 SCALE = 1.5
 #: Vectors per block.
 BLOCK = 1024
+#: Runs up to this size are looked at for any link first.
+SMALL = 64
 
 
 def _shortest() -> np.ndarray:
@@ -65,6 +69,7 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where(((x - a) ** 2).sum(axis=1)[:, None] <= ((x - b) ** 2).sum(axis=1)[:, None], a, b)
 
 
+@lru_cache(maxsize=8)
 def _bases(dim: int) -> list[np.ndarray]:
     rng = np.random.default_rng(81 + dim)
     width = 8 * PARTS
@@ -105,24 +110,41 @@ def _units(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: (np.array(at), np.stack(rows)) for d, (at, rows) in by_dim.items()}
 
 
+_HASHED = "id long, unit binary, label string, digest binary, salt long"
+
+
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors in double precision, a digest of label and vector, and a number that sets labels and dimensions apart; null where nothing can link."""
     for batch in batches:
-        column, labels = batch.column("embedding"), batch.column("label").to_pylist()
+        labels = batch.column("label").to_pylist()
+        units: list[bytes | None] = [None] * len(labels)
         digests: list[bytes | None] = [None] * len(labels)
         salts = [0] * len(labels)
-        for dim, (at, x) in _units(column).items():
+        for dim, (at, x) in _units(batch.column("embedding")).items():
             for r, k in enumerate(at.tolist()):
                 if labels[k] is not None:
-                    digests[k] = xxhash.xxh3_128_digest(f"{labels[k]} {dim} ".encode() + x[r].tobytes())
+                    units[k] = x[r].tobytes()
+                    digests[k] = xxhash.xxh3_128_digest(f"{labels[k]} {dim} ".encode() + units[k])
                     salts[k] = (xxhash.xxh3_64_intdigest(str(labels[k]).encode()) ^ dim) & (2**62 - 1)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), column, batch.column("label"), pa.array(digests, pa.binary()), pa.array(salts, pa.int64())], names=["id", "embedding", "label", "digest", "salt"])
+        cols = [batch.column("id"), pa.array(units, pa.binary()), batch.column("label"), pa.array(digests, pa.binary()), pa.array(salts, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "unit", "label", "digest", "salt"])
+
+
+def _by_dim(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and their unit vectors, for each dimension."""
+    sizes = pc.binary_length(column).to_numpy()
+    out = []
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out.append((at, np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1)))
+    return out
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cells that each vector is at home in and looks into."""
     for batch in batches:
         ids, salts = batch.column("id").to_numpy(), batch.column("salt").to_numpy()
-        for at, x in _units(batch.column("embedding")).values():
+        for at, x in _by_dim(batch.column("unit")):
             own, near = cells(x, salts[at])
             tables = np.arange(TABLES, dtype=np.int32)
             for keys, numbers, home in ((own, tables, True), (near, tables.repeat(PROBES), False)):
@@ -143,36 +165,52 @@ def _met_before(own: np.ndarray, near: np.ndarray, g: np.ndarray, h: np.ndarray,
     return out
 
 
+def _any_link(ids: np.ndarray, x: np.ndarray, threshold: float) -> bool:
+    return bool(((x @ x.T >= threshold) & (ids[:, None] != ids[None, :])).any())
+
+
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per vector of a block the links found there, each counted where its pair meets first, and the smallest id it reaches over them.
 
     A guest that is at home too meets those at home from both sides, and counts its own links only.
     """
-    for (key, number, _, _), part in common.runs(batches, ["key", "number", "i", "j"]):
-        ids, labels = part.column("id").to_numpy(), np.array(part.column("label").to_pylist(), object)
-        side, at_home, copies = part.column("side").to_numpy(), part.column("home").to_numpy(zero_copy_only=False), part.column("copies").to_numpy()
-        salts = part.column("salt").to_numpy()
-        names, node = np.unique(ids, return_inverse=True)
-        n, forest = np.zeros(len(names), np.int64), common.Forest(len(names))
-        for at, x in _units(part.column("embedding").combine_chunks()).values():
-            guests, homes = np.flatnonzero(side[at] == 0), np.flatnonzero(side[at] == 1)
-            seen = cells(x, salts[at]) if len(guests) and len(homes) else None
-            for lo in range(0, len(guests), 256):
-                some = guests[lo : lo + 256]
-                hit = (x[some] @ x[homes].T >= threshold) & (ids[at][some][:, None] != ids[at][homes][None, :]) & (labels[at][some][:, None] == labels[at][homes][None, :])
-                g, h = np.nonzero(hit)
-                g, h = some[g], homes[h]
-                first = ~_met_before(*seen, g, h, number, key)
-                g, h = at[g[first]], at[h[first]]
-                np.add.at(n, node[g], copies[h])
-                one_way = ~at_home[g]
-                np.add.at(n, node[h[one_way]], copies[g[one_way]])
-                root = np.array([forest.find(k) for k in range(len(names))])
-                for a, b in np.unique(np.stack([root[node[g]], root[node[h]]], axis=1), axis=0).tolist():
-                    forest.join(a, b)
-        found = np.array([forest.find(k) for k in range(len(names))])
-        keep = (n > 0) | (found != np.arange(len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(names[found[keep]], pa.int64())], names=["id", "n", "root"])
+    for table, bounds in common.whole_runs(batches, ["key", "number", "i", "j"]):
+        keys, numbers, every_id, sides, at_homes, all_copies, all_salts = (table.column(c).to_numpy() for c in ("key", "number", "id", "side", "home", "copies", "salt"))
+        out: list[list] = [[], [], []]
+        dims = _by_dim(table.column("unit"))
+        for rows, vectors in dims:
+            edges = bounds if len(dims) == 1 else np.searchsorted(rows, bounds).tolist()
+            linked = [(a, b) for a, b in zip(edges, edges[1:]) if b - a > SMALL or b - a > 1 and _any_link(every_id[rows[a:b]], vectors[a:b], threshold)]
+            if not linked:
+                continue
+            need = np.concatenate([np.arange(a, b) for a, b in linked])
+            place = np.searchsorted(need, [a for a, _ in linked]).tolist()
+            own, near = cells(vectors[need], all_salts[rows[need]])
+            for (a, b), at in zip(linked, place):
+                here, x, seen = rows[a:b], vectors[a:b], (own[at : at + b - a], near[at : at + b - a])
+                ids, side, copies, at_home, salts = every_id[here], sides[here], all_copies[here], at_homes[here], all_salts[here]
+                guests, homes = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                names, node = np.unique(ids, return_inverse=True)
+                n, forest = np.zeros(len(names), np.int64), common.Forest(len(names))
+                for first in range(0, len(guests), 256):
+                    some = guests[first : first + 256]
+                    g, h = np.nonzero(x[some] @ x[homes].T >= threshold)
+                    g, h = some[g], homes[h]
+                    real = (ids[g] != ids[h]) & (salts[g] == salts[h])
+                    g, h = g[real], h[real]
+                    new = ~_met_before(*seen, g, h, int(numbers[here[0]]), int(keys[here[0]]))
+                    g, h = g[new], h[new]
+                    np.add.at(n, node[g], copies[h])
+                    one_way = ~at_home[g]
+                    np.add.at(n, node[h[one_way]], copies[g[one_way]])
+                    root = np.array([forest.find(k) for k in range(len(names))])
+                    for p, q in np.unique(np.stack([root[node[g]], root[node[h]]], axis=1), axis=0).tolist():
+                        forest.join(p, q)
+                found = np.array([forest.find(k) for k in range(len(names))])
+                keep = n > 0
+                for col, more in zip(out, (names, n, names[found])):
+                    col.extend(more[keep].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["id", "n", "root"])
 
 
 _LOOK = "key long, number int, id long, home boolean"
@@ -189,10 +227,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     """
     common.small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
-    hashed = common.materialize(rows.mapInArrow(_hash, "id long, embedding array<double>, label string, digest binary, salt long"))
+    hashed = common.materialize(rows.mapInArrow(_hash, _HASHED))
     usable = common.with_facts(hashed.where("digest is not null and id is not null"), ["digest"], "id", [F.min("id").alias("rep"), F.count("*").alias("copies")])
     nodes = common.materialize(usable.select("id", "digest", "rep", "copies").union(hashed.where("digest is null or id is null").select("id", "digest", F.lit(None).cast("long"), F.lit(None).cast("long"))))
-    firsts = common.materialize(usable.where("id = rep").dropDuplicates(["id", "digest"]).select("id", "embedding", "label", "salt", "copies"))
+    firsts = common.materialize(usable.where("id = rep").dropDuplicates(["id", "digest"]).select("id", "unit", "salt", "copies"))
     looks = common.materialize(firsts.mapInArrow(_look, _LOOK))
     met = common.meetings(looks.withColumns({"guest": F.lit(True), "one": F.lit(1)}), ["key", "number"], "guest", "home", "one", BLOCK)
     met = met.join(firsts, "id").repartition("key", "number", "i", "j").sortWithinPartitions("key", "number", "i", "j", "id")
