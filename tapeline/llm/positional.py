@@ -1,214 +1,260 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is sharded by training document: every shard row holds the postings of one document,
-as parallel lists of term numbers and positions, and is a Parquet table in the shared folder.
-Test windows are sent to the shards, and in each one the offset-adjusted posting lists are
-intersected from the window's rarest term on (rarity counted over the whole corpus). So no
-posting list crosses the network, however frequent its term.
-
-Only terms of the test vocabulary are indexed, and only within reach of an occurrence of some
-window's rarest term: an exact or proximity match lies wholly within that reach, so nothing
-that can match is left out. The test set is taken in parts of bounded size (PART_CHARS), each
-with its own index, so what is sent with the tasks is bounded whatever the size of the test set.
+The index is stored once and serves any number of test sets. One pass over the training texts
+writes every token's posting: a row per (term, shard) with the term's positions in that shard,
+a shard being a range of up to some two million characters of documents, so a frequent term is
+split over many rows. Rows are laid out by (term, shard). A term is the 64-bit hash of its word.
+
+A search reads the postings of the test terms only. It counts them, takes each window's rarest
+term, drops windows with a term that never occurs, and sends the other postings to their shards,
+where offset-adjusted lists are intersected from the rarest term on. Windows go with the tasks
+in parts of bounded size (PART_WINDOWS); each part reads its own terms' rows of the index again,
+never the texts.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeline.llm import common
 
 WINDOW = 13
-#: Characters of test text whose windows and vocabulary are held at once.
-PART_CHARS = 2_000_000
+#: Windows that are sent with the tasks at once.
+PART_WINDOWS = 200_000
+#: Words whose hashes a worker keeps; the memory is emptied when full.
+KEPT_WORDS = 200_000
 
 #: Bytes that end a word become spaces, A-Z become a-z, digits, letters and all bytes from 0x80 stay.
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() and not 65 <= c <= 90 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
-
-
-class Windows:
-    """Distinct windows of one part of the test set, by their rarest term."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
-        self.vocabulary: dict[bytes, int] = {}
-        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary))
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            ids = [number(w) for w in text]
-            for k in range(max(1, len(ids) - size + 1) if ids else 0):
-                owners[tuple(ids[k : k + size])].add(item)
-        self.windows = [(w, sorted(x)) for w, x in owners.items()]
-        self.by_rarest: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
-
-    def rank(self, counts: dict[int, int]) -> None:
-        """Order each window's (offset, term) from the rarest term on."""
-        found = defaultdict(list)
-        for k, (w, _) in enumerate(self.windows):
-            order = sorted(enumerate(w), key=lambda x: (counts.get(x[1], 0), x[1], x[0]))
-            found[order[0][1]].append((k, order))
-        self.by_rarest = dict(found)
-
-
-def _counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> dict[int, int]:
-    """Occurrences of each term in the corpus; one row per term and task is shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary) + 1, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids = np.fromiter((vocabulary.get(w, -1) for w in words(text)), np.int64)
-                total += np.bincount(ids + 1, minlength=len(total))
-        term = np.flatnonzero(total[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(total[1:][term], pa.int64())], names=["term", "n"])
-
-    return {r.term: r.n for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-
-
-def build_index(docs: DataFrame, windows: Windows, reach: int) -> DataFrame:
-    """docs (row, doc_id, text) to (row, doc_id, n_words, terms, positions): postings within reach of a rarest term."""
-    vocabulary, anchors = windows.vocabulary, np.zeros(len(windows.vocabulary) + 1, bool)
-    anchors[[t + 1 for t in windows.by_rarest]] = True
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths, terms, positions = [], [], []
-            for text in batch.column("text").to_pylist():
-                split = words(text)
-                ids = np.fromiter((vocabulary.get(w, -1) for w in split), np.int64, len(split))
-                at = np.flatnonzero(anchors[ids + 1])
-                if len(at):
-                    edge = np.zeros(len(ids) + 1, np.int64)
-                    np.add.at(edge, np.maximum(at - reach, 0), 1)
-                    np.add.at(edge, np.minimum(at + reach + 1, len(ids)), -1)
-                    at = np.flatnonzero((edge.cumsum()[:-1] > 0) & (ids >= 0))
-                lengths.append(len(split))
-                terms.append(ids[at].astype(np.int32))
-                positions.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(positions, pa.list_(pa.int32()))],
-                names=["row", "doc_id", "n_words", "terms", "positions"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("row", "doc_id", "text").mapInArrow(index, f"row long, doc_id {kind}, n_words long, terms array<int>, positions array<int>")
-
-
-def _spans(starts: dict[int, int]) -> list[tuple[int, int]]:
-    """Merge start -> size to disjoint (first, last)."""
-    out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        e = s + starts[s] - 1
-        if out and s <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
+class _Terms(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        return h
 
 
-_MATCH = "row long, item_id string, first int, last int"
+_terms = _Terms()
 
 
-def _matches(rows: list[tuple[int, str, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["row", "item_id", "first", "last"])
+def terms(text: str | None) -> np.ndarray:
+    """The words of a text as term numbers."""
+    words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
+    return np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
 
 
-def phrase_matches(index: DataFrame, windows: Windows) -> DataFrame:
-    """(row, item_id, first, last): maximal runs of document words inside exact occurrences of an item's windows."""
-    by_rarest, owners = windows.by_rarest, windows.windows
+def _write_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard = TaskContext.get().partitionId() << 32
+    names = ["kind", "shard", "term", "n", "positions", "doc_ids", "n_words"]
+    for batch in common.slices(batches, "text"):
+        ids = batch.column("doc_id")
+        texts = [terms(t) for t in batch.column("text").to_pylist()]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        starts = _starts(sizes)
+        term = np.concatenate(texts)
+        at = np.arange(len(term), dtype=np.int64) + np.repeat(np.arange(len(texts)), sizes)  # one free place between documents
+        order = np.argsort(term, kind="stable")
+        term, at = term[order], at[order].astype("<u4")
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+        ends = np.r_[first, len(term)]
+        k = len(first)
+        postings = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(at.tobytes())])
+        no_lists = [pa.nulls(k, pa.list_(ids.type)), pa.nulls(k, pa.list_(pa.int32()))]
+        listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(sizes, pa.int32()))]
+        one = [pa.array([0], pa.int32()), pa.array([shard]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *listed]
+        yield pa.RecordBatch.from_arrays(one, names=names)
+        assert not len(texts) or starts[-1] + sizes[-1] < 1 << 32
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, shard)), pa.array(term[first]), pa.array(np.diff(ends).astype(np.int32)), postings, *no_lists], names=names)
+        shard += 1
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, terms, positions in zip(*(batch.column(c).to_pylist() for c in ("row", "terms", "positions"))):
-                lists = defaultdict(set)
-                for t, p in zip(terms, positions):
-                    lists[t].add(p)
-                found: dict[str, dict[int, int]] = defaultdict(dict)
-                for rarest in lists.keys() & by_rarest.keys():
-                    for k, order in by_rarest[rarest]:
-                        starts = [p - order[0][0] for p in lists[rarest]]
-                        for offset, term in order[1:]:
-                            there = lists.get(term)
-                            starts = [s for s in starts if s + offset in there] if there else []
-                            if not starts:
-                                break
-                        for s in starts:
-                            for item in owners[k][1]:
-                                found[item][s] = max(found[item].get(s, 0), len(order))
-                out += [(row, item, a, b) for item, starts in found.items() for a, b in _spans(starts)]
-            yield _matches(out)
 
-    return index.select("row", "terms", "positions").mapInArrow(search, _MATCH)
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each document of a shard begins."""
+    return np.cumsum(sizes + 1) - (sizes + 1)
 
 
-def proximity_matches(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
-    """(row, item_id, first, last) where all terms of a window lie within its size plus slop words, in any order.
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the index of docs (doc_id, text) to path, or to the shared folder, and return it.
 
-    For each occurrence of the rarest term, the occurrence of every other term that is nearest
-    to it (the earlier on a tie) is taken. The index must reach over the window's size plus slop.
-    """
-    by_rarest, owners = windows.by_rarest, windows.windows
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = set()
-            for row, terms, positions in zip(*(batch.column(c).to_pylist() for c in ("row", "terms", "positions"))):
-                t, p = np.asarray(terms), np.asarray(positions)
-                lists = {x: np.sort(p[t == x]) for x in set(terms)}
-                for rarest in lists.keys() & by_rarest.keys():
-                    for k, order in by_rarest[rarest]:
-                        need = {term for _, term in order} - {rarest}
-                        if not need <= lists.keys():
-                            continue
-                        for at in lists[rarest].tolist():
-                            near = [at] + [int(lists[x][np.abs(lists[x] - at).argmin()]) for x in need]
-                            if max(near) - min(near) < len(order) + slop:
-                                out |= {(row, item, min(near), max(near)) for item in owners[k][1]}
-            yield _matches(sorted(out))
-
-    return index.select("row", "terms", "positions").mapInArrow(search, _MATCH)
-
-
-def _parts(tests: DataFrame, size: int) -> tuple[int, Iterator[Windows]]:
-    """Windows of the test set, in parts of bounded size by item, and how many parts there are."""
-    tests = tests.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
-    total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // PART_CHARS)
-    taken = (tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() for k in range(n))
-    return n, (Windows([(r.item_id, words(r.text)) for r in rows], size) for rows in taken)
-
-
-def search(docs: DataFrame, tests: DataFrame, size: int = WINDOW, slop: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Documents as (row, doc_id, n_words), and matches as (row, item_id, first, last) by word position.
-
-    slop None: exact windows of `size` words, of all words where an item has fewer. Else proximity matches.
+    Rows of kind 1: (term, shard, n, positions), the positions as little-endian unsigned 32-bit
+    places in the shard. Rows of kind 0: a shard's doc_ids and n_words. Null and empty texts have
+    no words; rows with equal ids or none stay apart; other columns are ignored.
     """
     common.small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    n, parts = _parts(tests, size)
-    docs = common.materialize(docs) if n > 1 else docs  # row numbers must agree between parts
-    matches, rows = None, None
-    for part in parts:
-        part.rank(_counts(docs, part.vocabulary))
-        index = common.materialize(build_index(docs, part, size - 1 + (slop or 0)))
-        found = phrase_matches(index, part) if slop is None else proximity_matches(index, part, slop)
-        matches = found if matches is None else matches.union(found)
-        rows = index.select("row", "doc_id", "n_words") if rows is None else rows
-    if matches is None:
-        rows = build_index(docs, Windows([], size), 0).select("row", "doc_id", "n_words")
-        matches = docs.sparkSession.createDataFrame([], _MATCH)
-    return rows, matches
+    id_type = docs.schema["doc_id"].dataType
+    fields = [("kind", T.IntegerType()), ("shard", T.LongType()), ("term", T.LongType()), ("n", T.IntegerType()), ("positions", T.BinaryType()), ("doc_ids", T.ArrayType(id_type)), ("n_words", T.ArrayType(T.IntegerType()))]
+    rows = docs.select("doc_id", "text").mapInArrow(_write_index, T.StructType([T.StructField(*f) for f in fields]))
+    rows = rows.repartitionByRange("kind", "term", "shard").sortWithinPartitions("kind", "term", "shard")
+    if path is None:
+        return common.materialize(rows)
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def documents(index: DataFrame) -> DataFrame:
+    """(shard, k, doc_id, n_words) of every indexed row."""
+    listed = index.where("kind = 0").select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("k", "d"))
+    return listed.select("shard", "k", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
+
+
+def windows_of(tests: DataFrame, size: int) -> DataFrame:
+    """Distinct windows (window, terms, items) of tests (item_id, text); items with a null id or text or without words have none."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                x = terms(text)
+                if len(x):
+                    n = min(size, len(x))
+                    rows = np.lib.stride_tricks.sliding_window_view(x, n)
+                    names = [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, n), pa.int32()), pa.array(rows.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists, pa.array([item] * len(rows), pa.string())], names=["window", "terms", "item_id"])
+
+    tests = tests.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    cut_up = tests.mapInArrow(cut, "window long, terms array<long>, item_id string")
+    return cut_up.groupBy("window").agg(F.first("terms").alias("terms"), F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+_FOUND = "shard long, k int, first array<int>, last array<int>, sets array<long>"
+
+
+def _phrases(lists: dict[int, np.ndarray], place: np.ndarray, by_anchor: dict) -> Iterator[tuple[int, int, int]]:
+    """(first, last, set) of each occurrence of a window, in places of the shard; place: the term number at each place."""
+    for term in lists.keys() & by_anchor.keys():
+        for order, group in by_anchor[term]:
+            at = lists[term] - order[0][0]
+            at = at[(at >= 0) & (at + len(order) <= len(place))]
+            for offset, t in order[1:]:
+                if not len(at):
+                    break
+                at = at[place[at + offset] == t]
+            for s in at.tolist():
+                yield s, s + len(order) - 1, group
+
+
+def _near(lists: dict[int, np.ndarray], bounds: np.ndarray, by_anchor: dict, slop: int) -> Iterator[tuple[int, int, int]]:
+    """(first, last, set) of the shortest stretch (the earliest of equal ones) around each occurrence of a window's rarest
+    term that holds all terms of the window, as often as it does, within its size plus slop places of one document."""
+    for term in lists.keys() & by_anchor.keys():
+        for order, group in by_anchor[term]:
+            need, reach = Counter(t for _, t in order), len(order) + slop
+            if not need.keys() <= lists.keys():
+                continue
+            for at in lists[term].tolist():
+                doc = np.searchsorted(bounds, at, side="right")
+                low, high = max(at - reach + 1, bounds[doc - 1]), min(at + reach - 1, bounds[doc] - 2 if doc < len(bounds) else at + reach - 1)
+                events = sorted((p, t) for t in need for x in [lists[t]] for p in x[np.searchsorted(x, low) : np.searchsorted(x, high, side="right")].tolist())
+                have: Counter = Counter()
+                lack, left, best = len(need), 0, None
+                for p, t in events:
+                    have[t] += 1
+                    lack -= have[t] == need[t]
+                    while not lack:
+                        q, u = events[left]
+                        if q <= at <= p and p - q < reach and (best is None or p - q < best[1] - best[0]):
+                            best = (q, p)
+                        have[u] -= 1
+                        lack += have[u] == need[u] - 1
+                        left += 1
+                if best:
+                    yield *best, group
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _search_part(index: DataFrame, windows: list, slop: int | None) -> DataFrame:
+    """Matches of one bounded part of the windows: (shard, k, first, last, sets), one row per document with any."""
+    spark = index.sparkSession
+    wanted = spark.createDataFrame([(int(t),) for t in {t for w, _ in windows for t in w}], "term long")
+    postings = index.where("kind = 1").select("shard", "term", "n", "positions").join(F.broadcast(wanted), "term")  # bounded by PART_WINDOWS
+    counts = {r.term: r.n for r in postings.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    by_anchor = defaultdict(list)
+    alive: set[int] = set()
+    for w, group in windows:
+        if all(t in counts for t in w):
+            order = sorted(enumerate(w), key=lambda x: (counts[x[1]], x[1], x[0]))
+            by_anchor[order[0][1]].append((order, group))
+            alive.update(w)
+    sent = spark.sparkContext.broadcast((dict(by_anchor), sorted(alive)))  # bounded by PART_WINDOWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_anchor, known = sent.value
+        number = np.array(known, np.int64)
+        numbered = {int(np.searchsorted(number, t)): [([(o, int(np.searchsorted(number, x))) for o, x in order], g) for order, g in found] for t, found in by_anchor.items()}
+        for (shard,), part in common.runs(batches, ["shard"]):
+            sizes, lists = None, {}
+            for term, positions, n_words in zip(*(part.column(c).to_pylist() for c in ("term", "positions", "n_words"))):
+                if term is None:
+                    sizes = np.array(n_words, np.int64)
+                else:
+                    lists[int(np.searchsorted(number, term))] = np.frombuffer(positions, "<u4").astype(np.int64)
+            if not lists.keys() & numbered.keys():
+                continue
+            starts = _starts(sizes)
+            if slop is None:
+                place = np.full(int(starts[-1] + sizes[-1]), -1, np.int32)
+                for t, x in lists.items():
+                    place[x] = t
+                found = _phrases(lists, place, numbered)
+            else:
+                found = _near(lists, starts, numbered, slop)
+            spans, sets = defaultdict(set), defaultdict(set)
+            for first, last, group in found:
+                k = int(np.searchsorted(starts, first, side="right")) - 1
+                spans[k].add((first - int(starts[k]), last - int(starts[k])))
+                sets[k].add(group)
+            rows = sorted(spans)
+            merged = [_merged(list(spans[k])) for k in rows]
+            cols = [[shard] * len(rows), rows, *([[s[e] for s in m] for m in merged] for e in (0, 1)), [sorted(sets[k]) for k in rows]]
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["shard", "k", "first", "last", "sets"])
+
+    kept = postings.join(F.broadcast(spark.createDataFrame([(int(t),) for t in alive], "term long")), "term")
+    rows = kept.select("shard", "term", "positions", F.lit(None).cast("array<int>").alias("n_words"))
+    rows = rows.union(index.where("kind = 0").select("shard", F.lit(None).cast("long"), F.lit(None).cast("binary"), "n_words"))
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _FOUND)
+
+
+def search(index: DataFrame, tests: DataFrame, size: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """(shard, k, spans, items) of every document with a match, by its place in the index.
+
+    slop None: exact windows of `size` words, of all words where an item has fewer. Else the
+    words of a window in any order within its size plus slop words, each as often as in it.
+    spans: maximal runs (first, last) of words inside matches; items: the item ids, sorted.
+    """
+    windows = windows_of(tests, size).withColumn("group", F.xxhash64("items"))
+    windows = common.materialize(windows)
+    parts = -(-windows.count() // PART_WINDOWS)
+    found = index.sparkSession.createDataFrame([], _FOUND)
+    for p in range(parts):
+        some = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == p).select("terms", "group").collect()
+        found = found.union(_search_part(index, [(tuple(r.terms), r.group) for r in some], slop))
+    found = common.materialize(found)
+    groups = windows.select(F.col("group"), "items").dropDuplicates(["group"])
+    items = found.select("shard", "k", F.explode("sets").alias("group")).distinct().join(groups, "group")
+    items = items.groupBy("shard", "k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    spans = found.groupBy("shard", "k").agg(F.flatten(F.collect_list(F.arrays_zip("first", "last"))).alias("spans"))
+    return spans.join(items, ["shard", "k"])
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame) -> DataFrame:
@@ -217,19 +263,17 @@ def decontaminate(docs: DataFrame, tests: DataFrame) -> DataFrame:
     n_hit: words inside an occurrence of any window; n_items: items with occurring windows;
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null or empty texts have no words; items
     with a null id or text or without words have no windows; repeated ids keep a row each, and
-    other columns are ignored.
+    other columns are ignored. Empty tables give an empty result, or no hits.
     """
-    rows, matches = search(docs, tests)
-    matches = common.materialize(matches)
-    hits = matches.select("row", F.explode(F.sequence("first", "last")).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    items = matches.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    index = build_index(docs)
+    found = search(index, tests).withColumn("n_hit", F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.first, s.last)))))"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    found = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.join(hits.join(items, "row"), "row", "left").select(
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return documents(index).join(found, ["shard", "k"], "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(found).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", found), 256).alias("items_sha256"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

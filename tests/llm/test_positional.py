@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 import pytest
 
-from tapeline.llm import positional
+from tapeline.llm import common, positional
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -41,9 +43,10 @@ def rows(df):
     return sorted((tuple(r) for r in df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=str)
 
 
-@pytest.mark.parametrize("chars", [positional.PART_CHARS, 60])
-def test_matches_brute_force(spark, monkeypatch, chars):
-    monkeypatch.setattr(positional, "PART_CHARS", chars)
+@pytest.mark.parametrize("windows, chars", [(positional.PART_WINDOWS, common.SLICE_CHARS), (20, 60)])
+def test_matches_brute_force(spark, monkeypatch, windows, chars):
+    monkeypatch.setattr(positional, "PART_WINDOWS", windows)
+    monkeypatch.setattr(common, "SLICE_CHARS", chars)
     docs = spark.createDataFrame([(*d, "a", 1) for d in DOCS], "doc_id long, text string, item_id string, row long")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert rows(positional.decontaminate(docs.drop("row"), items)) == brute(DOCS, ITEMS)
@@ -56,8 +59,29 @@ def test_empty_tables(spark):
     assert rows(positional.decontaminate(docs, items.limit(0))) == brute(DOCS, [])
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha x x x x beta gamma")], "doc_id long, text string")
-    items = spark.createDataFrame([("q", "gamma beta alpha")], "item_id string, text string")
-    found, matches = positional.search(docs, items, slop=2)
-    assert [(r.doc_id, r.first, r.last) for r in matches.join(found, "row").collect()] == [(1, 0, 4)]
+def test_stored_index_serves_two_test_sets(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    index = positional.build_index(docs, str(tmp_path / "index"))
+    again = spark.read.parquet(str(tmp_path / "index"))
+    assert again.where("kind = 1").agg({"n": "sum"}).first()[0] == sum(len(WORD.findall(low(t))) for _, t in DOCS)
+    for items in (ITEMS[:1], [("z", "y"), ("q", "été solo")]):
+        tests = spark.createDataFrame(items, "item_id string, text string")
+        got = positional.search(again, tests).join(positional.documents(index), ["shard", "k"]).collect()
+        want = {(d, n, h) for d, n, h, *_ in brute(DOCS, items) if h}
+        assert {(r.doc_id, r.n_words, sum(s.last - s.first + 1 for s in r.spans)) for r in got} == want
+
+
+def near(words, item, slop):
+    need, reach = Counter(item), len(item) + slop
+    return any(not need - Counter(words[k : k + reach]) for k in range(len(words)))
+
+
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(k, " ".join(rng.choices("abcdef", k=rng.randrange(1, 14)))) for k in range(150)] + [(200, "x9 a b c x9 x9 x9 x9 x9 x9 x9 c a x9"), (201, "a x1 x2 x3 x4 x5 x6 x7 x8 b r x9 b"), (202, None)]
+    items = [("1", "a b c"), ("2", "f f e"), ("3", "r b a"), ("4", "d"), ("5", "a a b b")]
+    index = positional.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    for slop in (0, 2, 8):
+        found = positional.search(index, spark.createDataFrame(items, "item_id string, text string"), slop=slop).join(positional.documents(index), ["shard", "k"])
+        got = {(r.doc_id, i) for r in found.collect() for i in r.items}
+        assert got == {(d, i) for d, t in docs for i, q in items if near((t or "").split(), q.split(), slop)}
