@@ -5,7 +5,7 @@ of a word is the sum over all its segmentations into pieces, by a forward algori
 is the product over its words. Expectation maximisation fits the pieces from word counts of
 labelled texts: forward-backward inside tasks, one sum per language and piece between rounds.
 
-FIT_ROWS bounds the labelled rows that are fitted on; the model is bounded by the vocabulary
+FIT_ROWS bounds the labelled rows of a language that are fitted on; the model is bounded by the vocabulary
 times the number of languages. Scoring covers every word of every text.
 """
 
@@ -24,28 +24,24 @@ from pyspark.sql import types as T
 
 from tapeline.llm import common
 
-#: Labelled rows that the model is fitted on, at most (in expectation), by a hash of the id.
-FIT_ROWS = 2_000
+#: Labelled rows of each language that the model is fitted on, at most (in expectation), by a hash of the id.
+FIT_ROWS = 500
 ROUNDS = 2
 #: Probability of a single letter outside the vocabulary, and the floor of a piece in a language that never used it.
 FLOOR = 1e-7
-#: Runs of letters beyond this length are scored as several runs.
-RUN = 40
-KEPT_WORDS = 400_000
+#: Words that a worker remembers, and the letters of the longest one; the memory is emptied when full, longer words are scored anew.
+KEPT_WORDS, KEPT_LETTERS = 200_000, 64
+#: Letters up to which the fit multiplies plain doubles; FLOOR to this power is one.
+PLAIN_LETTERS = 40
+#: Positions after which a forward pass is scaled; FLOOR to this power is far above the smallest double.
+STRETCH = 16
 
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def runs_of_letters(text: str) -> list[str]:
-    """Lower-case runs of letters with a word-start mark, cut at RUN letters."""
-    out = []
-    for w in _WORDS.findall(text.lower()):
-        if len(w) <= RUN:
-            out.append("\u2581" + w)
-        else:
-            w = "\u2581" + w
-            out += [w[k : k + RUN] for k in range(0, len(w), RUN)]
-    return out
+    """Lower-case runs of letters with a word-start mark."""
+    return ["\u2581" + w for w in _WORDS.findall(text.lower())]
 
 
 def vocabulary(path: str) -> list[str]:
@@ -57,17 +53,6 @@ def vocabulary(path: str) -> list[str]:
     return [p for p in pieces if p == "\u2581" or (q := p.removeprefix("\u2581")) and q == q.lower() and _WORDS.fullmatch(q)]
 
 
-def _lattice(word: str, pieces: dict, longest: int, unknown) -> list[list[tuple[int, object]]]:
-    """For each end position the (start, value) of the pieces that end there; letters outside the vocabulary count as unknown."""
-    ends = []
-    for j in range(1, len(word) + 1):
-        here = [(i, v) for i in range(max(0, j - longest), j) if (v := pieces.get(word[i:j])) is not None]
-        if word[j - 1 : j] not in pieces:
-            here.append((j - 1, unknown))
-        ends.append(here)
-    return ends
-
-
 class Pieces:
     """Pieces with a row of probabilities each: row 0 is no piece, row 1 a letter outside the vocabulary."""
 
@@ -82,22 +67,32 @@ class Pieces:
         by_length: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(words):
             by_length[len(w)].append(k)
-        get = self.at.get
         for length, which in by_length.items():
-            spans = [(i, j) for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)]
-            some = [words[k] for k in which]
-            at = np.fromiter((get(w[i:j], 0) for i, j in spans for w in some), np.int32, len(spans) * len(some)).reshape(len(spans), len(some))
-            alpha = [np.ones((len(some), self.rows.shape[1]))]
+            out[which] = self._forward([words[k] for k in which], length)
+        return out
+
+    def _forward(self, words: list[str], length: int) -> np.ndarray:
+        """The forward pass over words of one length; only the last `longest` positions are held, and scaled every STRETCH."""
+        get, n = self.at.get, self.rows.shape[1]
+        alpha, scale = {0: np.ones((len(words), n))}, np.zeros((len(words), n))
+        for first in range(1, length + 1, STRETCH):
+            spans = [(i, j) for j in range(first, min(first + STRETCH, length + 1)) for i in range(max(0, j - self.longest), j)]
+            at = np.fromiter((get(w[i:j], 0) for i, j in spans for w in words), np.int32, len(spans) * len(words)).reshape(len(spans), len(words))
             for (i, j), x in zip(spans, at):
-                if len(alpha) == j:
-                    alpha.append(np.zeros_like(alpha[0]))
+                if j not in alpha:
+                    alpha[j] = np.zeros((len(words), n))
                 if i == j - 1:
                     x = np.where(x == 0, 1, x)
                 elif not x.any():
                     continue
                 alpha[j] += alpha[i] * self.rows[x]
-            out[which] = np.log(np.maximum(alpha[-1], 1e-300))
-        return out
+            end = spans[-1][1]
+            alpha = {k: v for k, v in alpha.items() if k > end - self.longest}
+            top = np.max(list(alpha.values()), axis=0)
+            scale += np.log(top)
+            for v in alpha.values():
+                v /= top
+        return scale + np.log(alpha[length])
 
 
 def log_likelihoods(word: str, model: dict[str, tuple[float, ...]], longest: int, n: int) -> tuple[float, ...]:
@@ -105,18 +100,48 @@ def log_likelihoods(word: str, model: dict[str, tuple[float, ...]], longest: int
     return tuple(Pieces({p: v for p, v in model.items() if len(p) <= longest}, n).log_likelihoods([word])[0].tolist())
 
 
+def _log_sum(xs: list[float]) -> float:
+    top = max(xs)
+    return top + math.log(sum(math.exp(x - top) for x in xs))
+
+
 def expected_counts(word: str, probs: dict[str, float], longest: int) -> dict[str, float]:
-    """Expected number of uses of each piece in a word, by forward-backward."""
-    ends = _lattice(word, probs, longest, FLOOR)
-    alpha = [1.0]
-    for here in ends:
-        alpha.append(sum(alpha[i] * p for i, p in here))
-    beta = [0.0] * len(word) + [1.0]
+    """Expected number of uses of each piece in a word, by forward-backward; letters outside the vocabulary count as FLOOR.
+
+    Words of more than PLAIN_LETTERS letters, whose product of floors may be no double, are summed in logarithms.
+    """
+    n, get = len(word), probs.get
+    ends = []
+    for j in range(1, n + 1):
+        here = [(i, p) for i in range(max(0, j - longest), j) if (p := get(word[i:j], 0.0)) > 0]
+        if word[j - 1 : j] not in probs:
+            here.append((j - 1, FLOOR))
+        ends.append(here)
     out: dict[str, float] = defaultdict(float)
-    for j in range(len(word), 0, -1):
-        for i, p in ends[j - 1]:
-            out[word[i:j]] += alpha[i] * p * beta[j] / max(alpha[-1], 1e-300)
-            beta[i] += p * beta[j]
+    if n <= PLAIN_LETTERS:
+        alpha = [1.0]
+        for here in ends:
+            alpha.append(sum([alpha[i] * p for i, p in here]))
+        beta = [0.0] * n + [1.0]
+        for j in range(n, 0, -1):
+            for i, p in ends[j - 1]:
+                if x := alpha[i] * p * beta[j]:
+                    out[word[i:j]] += x / alpha[-1]
+                beta[i] += p * beta[j]
+        return out
+    none = -math.inf
+    logs = [0.0]
+    for here in ends:
+        ways = [logs[i] + math.log(p) for i, p in here if logs[i] > none]
+        logs.append(_log_sum(ways) if ways else none)
+    after: list[list[float]] = [[] for _ in range(n)] + [[0.0]]
+    for j in range(n, 0, -1):
+        if after[j] and logs[-1] > none:
+            beta = _log_sum(after[j])
+            for i, p in ends[j - 1]:
+                after[i].append(math.log(p) + beta)
+                if logs[i] > none:
+                    out[word[i:j]] += math.exp(logs[i] + math.log(p) + beta - logs[-1])
     return out
 
 
@@ -142,7 +167,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, path: str) -> Model:
-    """Fit on rows (doc_id, text, lang); rows without a text or lang are ignored."""
+    """Fit on rows (doc_id, text, lang); rows without a text or lang are ignored, repeated ones count as often as they occur.
+
+    Of a language with more than FIT_ROWS rows a sample of about so many is taken, so every
+    language has its share. A language whose rows hold no word keeps the floor of every piece.
+    Words of any length are summed over all segmentations.
+    """
     common.small_batches(labelled.sparkSession)
     labelled = labelled.where("text is not null and lang is not null")
     langs = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -151,8 +181,8 @@ def fit(labelled: DataFrame, path: str) -> Model:
     pieces = vocabulary(path)
     if not total:
         return Model([], [], {})
-    share = min(1.0, FIT_ROWS / total)
-    some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    shares = F.create_map([F.lit(v) for x, n in langs.items() for v in (x, min(1.0, FIT_ROWS / n))])
+    some = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * (1 << 20))
     counts = common.materialize(some.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     probs: dict[str, dict[str, float]] = {x: dict.fromkeys(pieces, 1 / len(pieces)) for x in names}
     for _ in range(ROUNDS):
@@ -168,7 +198,7 @@ def fit(labelled: DataFrame, path: str) -> Model:
             cols = [[k[0] for k in uses], [k[1] for k in uses], list(uses.values())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64()))], names=["lang", "piece", "x"])
 
-        summed = counts.mapInArrow(expect, "lang string, piece string, x double").groupBy("lang", "piece").agg(F.sum("x").alias("x")).where("x > 1e-3")
+        summed = counts.mapInArrow(expect, "lang string, piece string, x double").groupBy("lang", "piece").agg(F.sum("x").alias("x"))
         used: dict[str, dict[str, float]] = {x: {} for x in names}
         for r in summed.collect():
             used[r.lang][r.piece] = r.x
@@ -186,20 +216,28 @@ class _Scorer:
         self.rows = np.zeros((0, len(model.langs)))
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [runs_of_letters(t) if t else [] for t in texts]
+        """Language and posterior of each text; give a bounded slice, as new words of all its texts are scored together."""
         if not self.model.langs:
             return [("und", 0.0)] * len(texts)
+        split = [runs_of_letters(t) if t else [] for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.known, self.rows = {}, self.rows[:0]
-        new = list(set().union(*split).difference(self.known))
-        self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-        self.rows = np.concatenate([self.rows, self.pieces.log_likelihoods(new)])
+        new = set().union(*split).difference(self.known)
+        long = {w for w in new if len(w) > KEPT_LETTERS}
+        brief = list(new - long)
+        self.known.update(zip(brief, range(len(self.rows), len(self.rows) + len(brief))))
+        self.rows = np.concatenate([self.rows, self.pieces.log_likelihoods(brief)])
         out = []
         for words in split:
             if not words:
                 out.append(("und", 0.0))
                 continue
-            total = self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0) + self.model.priors
+            total = self.model.priors + np.zeros(self.rows.shape[1])
+            if long and not long.isdisjoint(words):
+                for w, n in Counter(w for w in words if w in long).items():
+                    total += n * self.pieces.log_likelihoods([w])[0]
+                words = [w for w in words if w not in long]
+            total += self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
             share = np.exp(total - total.max())
             best = int(share.argmax())
             out.append((self.model.langs[best], float(share[best] / share.sum())))
@@ -219,7 +257,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(sent.value)
-        for batch in batches:
+        for batch in common.slices(batches, "text"):
             found = scorer.score(batch.column("text").to_pylist())
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score"])

@@ -95,7 +95,8 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     fields = [("kind", T.IntegerType()), ("shard", T.LongType()), ("term", T.LongType()), ("n", T.IntegerType()), ("positions", T.BinaryType()), ("doc_ids", T.ArrayType(id_type)), ("n_words", T.ArrayType(T.IntegerType()))]
     rows = docs.select("doc_id", "text").mapInArrow(_write_index, T.StructType([T.StructField(*f) for f in fields]))
-    rows = rows.repartitionByRange("kind", "term", "shard").sortWithinPartitions("kind", "term", "shard")
+    ranges = F.shiftright("term", 56)  # terms are hashes, so their ranges are even; a frequent term's shards are dealt further
+    rows = rows.repartition(ranges, F.pmod(F.xxhash64("shard"), F.lit(64))).sortWithinPartitions("kind", "term", "shard")
     if path is None:
         return common.materialize(rows)
     rows.write.parquet(path)

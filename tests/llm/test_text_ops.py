@@ -87,3 +87,34 @@ def test_identify_held_out(spark):
     assert all(r.lang_pred == "xx" and 0 <= r.score <= 1 for r in got if r.doc_id == 1003)
     assert langid.fit_and_identify(df.limit(0), path).count() == 0
     assert {r.lang_pred for r in langid.fit_and_identify(df.where("lang is null"), path).collect()} == {"und"}
+
+
+def test_long_words_keep_all_segmentations(monkeypatch):
+    """A word of 5,000 letters against a plain forward sum in exact fractions, and the expected counts of a long word against those of short ones."""
+    from fractions import Fraction
+
+    rng = random.Random(6)
+    model = {"a": (0.2, 0.01), "ab": (0.1, 0.3), "ba": (0.05, 1e-7), "aba": (0.01, 0.2), "b": (1e-7, 0.1)}
+    word = "".join(rng.choices("abz", weights=(5, 5, 1), k=5000))
+    got = langid.log_likelihoods(word, model, 3, 2)
+    for x in range(2):
+        alpha, shift = [Fraction(1)], 0.0
+        for j in range(1, len(word) + 1):
+            p = sum(alpha[max(0, len(alpha) - n)] * Fraction(model[word[j - n : j]][x]) for n in (1, 2, 3) if j >= n and word[j - n : j] in model)
+            p += alpha[-1] * Fraction(langid.FLOOR) if word[j - 1] == "z" else 0
+            alpha = [*alpha[-2:], p]
+            top = max(alpha)
+            if j % 50 == 0:
+                shift += math.log(top.numerator) - math.log(top.denominator)
+                alpha = [Fraction(float(v / top)) for v in alpha]
+        want = shift + math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+        assert math.isclose(got[x], want, rel_tol=1e-9)
+    for w in ("abzab" * 7, "zz", "b" * 40):
+        probs = {"a": 0.3, "b": 1e-7, "ab": 0.4, "zab": 0.01}
+        plain = langid.expected_counts(w, probs, 3)
+        monkeypatch.setattr(langid, "PLAIN_LETTERS", 0)
+        logs = langid.expected_counts(w, probs, 3)
+        monkeypatch.undo()
+        assert plain.keys() == logs.keys() and all(math.isclose(plain[k], logs[k], rel_tol=1e-9) for k in plain)
+    counts = langid.expected_counts("ab" * 3000, {"a": 0.3, "b": 0.3, "ab": 0.4}, 2)
+    assert math.isclose(counts["ab"] / 3000, 0.4 / 0.49, rel_tol=1e-6) and math.isclose(counts["a"], counts["b"], rel_tol=1e-9)
