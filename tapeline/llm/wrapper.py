@@ -1,44 +1,61 @@
 """Main-text extraction by wrapper induction.
 
 Pages of a host and layout (the labels of the wanted elements of their body) are aligned with
-its reference page (the smallest page_id) by simple tree matching. A node of the reference whose
-own text stays equal on nine tenths of the pages that have it is template; the others are varying
-slots. The counts behind this cover every page that is no copy of the reference and are summed
-per layout and node, so no host's pages meet in one task. Content is what fills varying slots;
-an article (or main) element that holds any of them confines it, one that holds none does not.
-Inside such an element a node is template only if at least ARTICLE_PAGES pages have it, since
-near copies of an article share paragraphs. Menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments are left out by element or class name.
-
-The wrappers (one reference and its template nodes per layout) are broadcast while they are
-below WRAPPERS_BYTES in all, and joined by host and layout beyond it.
+its reference page (the smallest page_id) by simple tree matching. Over all pages that are no
+copy of the reference, each reference node counts how often its own text is equal, and how much
+text outside links varies at it, text of unaligned nodes counting at their nearest aligned
+ancestor. From these counts, summed per layout and node, the wrapper follows:
+
+- region: from the root down as long as one child has REGION of the varying text and no sibling
+  has a heading whose text varies; this is where the content is;
+- template: nodes of the region whose own text is equal on CONSTANT of the pages that have them,
+  at least ARTICLE_PAGES of them, as near copies of an article share paragraphs.
+
+A page's text is that of the node aligned with the region, without template nodes. Names decide
+only what the wrapper cannot: a layout of fewer than REGION_PAGES pages beside its reference, or
+a page without the region, takes its article, main or whole body; and menus, forms, adverts and
+comments within the region are left out by element or class name.
+
+Matching is exact while the children that are left after equal ends are paired make at most
+MATCH_CELLS pairs in a page; beyond it subtrees that occur once are paired by a longest increasing
+subsequence, and what lies between them in order of equal labels.
+
+The wrappers go with the tasks while they are below WRAPPERS_BYTES in all; beyond it pages travel
+to their wrapper, dealt over many tasks per layout, and a wrapper travels once to each.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
+import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tapeline.llm import common
 
 WRAPPERS_BYTES = 16_000_000
 #: Share of pages on which a template node's text is equal.
 CONSTANT = 0.9
-#: Pages besides the reference that a template node inside an article needs.
+#: Pages besides the reference that a template node needs inside the region.
 ARTICLE_PAGES = 5
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|textarea|iframe|svg|title|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Share of the varying text that makes a child the region, and pages besides the reference that a region needs.
+REGION, REGION_PAGES = 0.7, 2
+#: Pairs of children compared exactly for one page.
+MATCH_CELLS = 50_000
+
+_NAME = re.compile(r"[a-zA-Z][\w:-]*")
+_STOP = re.compile("[>\"']")
+_RAW = {t: re.compile(f"</{t}(?![\\w:-])", re.I) for t in "script style noscript template textarea iframe svg title select".split()}
+_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_DIGITS = re.compile(r"\d+")
+_HEADINGS = frozenset("h1 h2 h3".split())
 #: Elements without content, elements that end a block, and elements and names that are never content.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -49,11 +66,11 @@ _NOT_NAMES = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "names", "parts", "label")
+    __slots__ = ("tag", "names", "parts", "label", "shape", "size")
 
     def __init__(self, tag: str, names: frozenset[str]):
         self.tag, self.names, self.parts = tag, names, []  # parts: texts and nodes, in order
-        self.label = f"{tag}.{'.'.join(sorted(names))}"
+        self.label = f"{tag}.{_DIGITS.sub('#', '.'.join(sorted(names)))}" if names else tag
 
     def children(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
@@ -62,37 +79,86 @@ class Node:
         return " ".join(" ".join(p for p in self.parts if isinstance(p, str)).split())
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): text, open, empty (an open tag that ends in a slash), close; raw elements give one space. Linear in the page."""
+    at = held = 0
+    last = {q: page.rfind(q) for q in "\"'>"}
+    quoted = True
+    while (lt := page.find("<", at)) >= 0:
+        nxt = page[lt + 1 : lt + 2]
+        if nxt in ("!", "?"):
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->" if comment else ">", lt + (4 if comment else 1))
+            end = len(page) if end < 0 else end + (3 if comment else 1)
+            if held < lt:
+                yield "text", page[held:lt], ""
+            at = held = end
+            continue
+        close = nxt == "/"
+        m = _NAME.match(page, lt + 1 + close)
+        if m is None or last[">"] < m.end():
+            at = lt + 1  # a sign, not a tag
+            continue
+        end = m.end()
+        while quoted and (stop := _STOP.search(page, end)) and (q := stop.group()) != ">":
+            end = page.find(q, stop.end()) + 1 if stop.start() < last[q] else stop.end()
+        quoted = quoted and stop is not None  # once the quotes of a page do not close, they count for nothing
+        end = stop.start() if quoted else page.find(">", m.end())
+        if held < lt:
+            yield "text", page[held:lt], ""
+        name, attributes = m.group().lower(), page[m.end() : end]
+        at = held = end + 1
+        if not close and name in _RAW:
+            m = _RAW[name].search(page, at)
+            at = page.find(">", m.end()) + 1 if m else 0
+            at = held = at or len(page)
+            yield "text", " ", ""
+        else:
+            yield ("close" if close else "empty" if attributes.rstrip().endswith("/") else "open"), name, attributes
+    if held < len(page):
+        yield "text", page[held:], ""
+
+
+_CLOSES = {"li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
+
+
 def parse(page: str) -> Node:
     """A forgiving tree: paragraphs and list items end where the next begins, stray end tags are ignored."""
     root = Node("#", frozenset())
-    stack, at = [root], 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            stack[-1].parts.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[3] is None:
-            stack[-1].parts.append(" ") if m[1] else None
+    stack = [root]
+    opened: Counter = Counter()
+
+    def cut(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
+            stack[-1].parts.append(entities.unescape(tag) if "&" in tag else tag)
             continue
-        tag = m[3].lower()
-        if m[2]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+        if kind == "close":
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                cut(k)
             continue
         if tag in _BLOCK and tag not in ("html", "body"):
-            closes = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}.get(tag, set()) | {"p"}
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _BLOCK:
-                    break
-        names = {w.lower() for _, a, b, c in _ATTRIBUTE.findall(m[4]) for w in (a or b or c).split()} if m[4] else ()
+            closes = _CLOSES.get(tag, {"p"})
+            if any(opened[t] for t in closes):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in closes:
+                        cut(k)
+                        break
+                    if stack[k].tag in _BLOCK:
+                        break
+        names = {w.lower() for _, a, b, c in _ATTRIBUTE.findall(attributes) for w in (a or b or c).split()} if attributes else ()
         node = Node(tag, frozenset(names))
         stack[-1].parts.append(node)
-        if tag not in _VOID and not m[4].rstrip().endswith("/"):
+        if tag not in _VOID and kind == "open":
             stack.append(node)
-    stack[-1].parts.append(entities.unescape(page[at:]))
+            opened[tag] += 1
     return root
 
 
@@ -105,37 +171,126 @@ def numbered(root: Node) -> list[Node]:
     return out
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest order-keeping match of nodes with equal labels under matched parents."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
+def shaped(root: Node) -> None:
+    """Give every node a hash of its subtree's labels, and its size."""
+    for n in reversed(numbered(root)):
+        below = n.children()
+        n.size = 1 + sum(c.size for c in below)
+        n.shape = hash((n.label, *(c.shape for c in below)))
+
+
+def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+    """Pairs of many children: subtrees that occur once on each side by a longest increasing subsequence, and equal labels in order between them."""
+    once_x, once_y = ({h for h, n in Counter(c.shape for c in side).items() if n == 1} for side in (xs, ys))
+    places = {v.shape: j for j, v in enumerate(ys) if v.shape in once_y}
+    tails: list[int] = []
+    ends: list[tuple] = []
+    for i, u in enumerate(xs):
+        if u.shape in once_x and u.shape in places:
+            j = places[u.shape]
+            k = bisect.bisect_left(tails, j)
+            link = (i, j, ends[k - 1] if k else None)
+            if k == len(tails):
+                tails.append(j)
+                ends.append(link)
+            else:
+                tails[k], ends[k] = j, link
+    anchors, link = [], ends[-1] if ends else None
+    while link:
+        anchors.append(link[:2])
+        link = link[2]
+    out, i, j = [], 0, 0
+    for a, b in [*reversed(anchors), (len(xs), len(ys))]:
+        while i < a and j < b:
+            ahead = next((k for k in range(j, min(b, j + 8)) if ys[k].label == xs[i].label), None)
+            if ahead is not None:
+                out.append((xs[i], ys[ahead]))
+                j = ahead + 1
+            i += 1
+        if a < len(xs):
+            out.append((xs[a], ys[b]))
+        i, j = a + 1, b + 1
+    return out
 
-    def match(x: Node, y: Node) -> tuple[int, list]:
-        key = (id(x), id(y))
-        if key in memo:
-            return memo[key]
-        xs, ys = x.children(), y.children()
-        table = [[(0, None)] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, u in enumerate(xs, 1):
-            for j, v in enumerate(ys, 1):
-                best = max(table[i - 1][j][0], table[i][j - 1][0])
-                step = "up" if table[i - 1][j][0] == best else "left"
-                if u.label == v.label and (w := table[i - 1][j - 1][0] + (match(u, v)[0] if u.parts and v.parts else 1)) > best:
-                    best, step = w, "pair"
-                table[i][j] = (best, step)
-        i, j, pairs = len(xs), len(ys), []
-        while i and j:
-            step = table[i][j][1]
-            if step == "pair":
-                pairs.append((xs[i - 1], ys[j - 1]))
-            i, j = i - (step != "left"), j - (step != "up")
-        memo[key] = (1 + table[-1][-1][0], pairs)
-        return memo[key]
 
+def _best(xs: list[Node], ys: list[Node], weight: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
+    """The order-keeping pairs of equal labels with the largest sum of weights."""
+    table = [[0] * (len(ys) + 1)]
+    for u in xs:
+        above, row = table[-1], [0]
+        for j, v in enumerate(ys):
+            best = row[j] if row[j] > above[j + 1] else above[j + 1]
+            if u.label == v.label and (w := above[j] + weight[id(u), id(v)]) > best:
+                best = w
+            row.append(best)
+        table.append(row)
+    i, j, out = len(xs), len(ys), []
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((xs[i], ys[j]))
+    return out[::-1]
+
+
+def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Simple tree matching: the largest order-keeping match of nodes with equal labels under matched parents.
+
+    Equal subtrees at both ends of two child lists are paired first, which loses nothing: each
+    then has its largest possible weight. No recursion, so depth does not matter.
+    """
+    shaped(a)
+    shaped(b)
+    pairs: dict[tuple[int, int], list] = {}
+    weight: dict[tuple[int, int], int] = {}
+    left = [MATCH_CELLS]
+
+    def split(x: Node, y: Node) -> tuple[list, list[Node], list[Node]]:
+        xs, ys = x.children(), y.children()
+        n = min(len(xs), len(ys))
+        p = 0
+        while p < n and xs[p].shape == ys[p].shape:
+            p += 1
+        q = 0
+        while q < n - p and xs[-1 - q].shape == ys[-1 - q].shape:
+            q += 1
+        ends = list(zip(xs[:p], ys[:p])) + list(zip(xs[len(xs) - q :], ys[len(ys) - q :]))
+        return ends, xs[p : len(xs) - q], ys[p : len(ys) - q]
+
+    todo: list[tuple[Node, Node, tuple | None, list | None]] = [(a, b, None, None)]
+    while todo:
+        x, y, parts, rough = todo.pop()
+        if (id(x), id(y)) in weight:
+            continue
+        if x.shape == y.shape:
+            weight[id(x), id(y)] = x.size
+            continue
+        if parts is None:
+            parts = split(x, y)
+            _, xs, ys = parts
+            if len(xs) * len(ys) > left[0]:
+                rough = _in_order(xs, ys)
+                below = rough
+            else:
+                left[0] -= len(xs) * len(ys)
+                below = [(u, v) for u in xs for v in ys if u.label == v.label]
+            todo.append((x, y, parts, rough))
+            todo += [(u, v, None, None) for u, v in below if (id(u), id(v)) not in weight]
+            continue
+        ends, xs, ys = parts
+        middle = rough if rough is not None else _best(xs, ys, weight)
+        pairs[id(x), id(y)] = ends + middle
+        weight[id(x), id(y)] = 1 + sum(u.size for u, _ in ends) + sum(weight[id(u), id(v)] for u, v in middle)
     out, todo = [(a, b)], [(a, b)]
     while todo:
-        pairs = match(*todo.pop())[1]
-        out += pairs
-        todo += pairs
+        x, y = todo.pop()
+        found = pairs.get((id(x), id(y)))
+        found = list(zip(x.children(), y.children())) if found is None else found
+        out += found
+        todo += found
     return out
 
 
@@ -151,7 +306,10 @@ def _mains(root: Node) -> list[Node]:
         if id(n) in banned or _unwanted(n):
             banned |= {id(c) for c in n.children()}
     mains = [n for n in nodes if n.tag == "article" and not _unwanted(n) and id(n) not in banned] or [n for n in nodes if (n.tag == "main" or "main" in n.names) and id(n) not in banned]
-    nested = {id(d) for n in mains for d in numbered(n)[1:]}
+    nested: set[int] = set()
+    for n in mains:
+        if id(n) not in nested:
+            nested |= {id(d) for d in numbered(n)[1:]}
     return [n for n in mains if id(n) not in nested]
 
 
@@ -161,113 +319,218 @@ def layout(root: Node) -> str:
     return " ".join(sorted({n.label for n in body.children() if not _unwanted(n)}))
 
 
-def _content(root: Node, template: set[int]) -> str:
+def _content(tops: list[Node], template: set[int], inside: bool) -> str:
+    """The text of the tops without template nodes' own texts and what is left out by name; inside: headers are content."""
     blocks: list[list[str]] = [[]]
-
-    def walk(top: Node, inside: bool) -> None:
-        todo: list = [(top, inside)]
+    for top in tops:
+        todo: list = [top]
         while todo:
-            x, inside = todo.pop()
+            x = todo.pop()
             if isinstance(x, str):
                 blocks[-1].append(x)
                 continue
             if x is None:
                 blocks.append([])
                 continue
-            if id(x) != id(top) and (x.names & _NOT_NAMES or x.tag in _NOT_CONTENT and not (inside and x.tag in ("header", "label"))):
+            if x is not top and (x.names & _NOT_NAMES or x.tag in _NOT_CONTENT and not (inside and x.tag in ("header", "label"))):
                 blocks.append([])
                 continue
             if x.tag in _BLOCK:
                 blocks.append([])
-                todo.append((None, inside))
+                todo.append(None)
             elif x.tag == "br":
                 blocks[-1].append(" ")
-            own = [p for p in reversed(x.parts) if not (isinstance(p, str) and id(x) in template)]
-            todo += [(p, inside) for p in own]
-
-    tops = _mains(root)
-    for n in tops:
-        walk(n, True)
-    if not tops or template and not any(t.strip() for b in blocks for t in b):
-        blocks[:] = [[]]
-        walk(root, False)
+            todo += [p for p in reversed(x.parts) if not (isinstance(p, str) and id(x) in template)]
     return "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
 
 
-def extract(page: str | None, reference: str | None = None, template: list[int] = ()) -> str:
-    """The main text of a page, by its layout's wrapper: a reference page and the numbers of its template nodes."""
+def varying(ref: Node, root: Node) -> dict[int, list[int]]:
+    """For each node of the reference, by its number, that the page has: pages with an own text (0 or 1), of these equal ones, and letters outside links that vary."""
+    number = {id(n): k for k, n in enumerate(numbered(ref))}
+    home = {id(y): x for x, y in align(ref, root)}
+    out: dict[int, list[int]] = {}
+    todo: list[tuple[Node, int, bool]] = [(root, 0, False)]
+    while todo:
+        y, at, link = todo.pop()
+        link = link or y.tag == "a" or y.tag in ("head", "option", "button")
+        x = home.get(id(y))
+        own = y.text()
+        if x is None:
+            out[at][2] += 0 if link else len(own)
+        else:
+            at = number[id(x)]
+            there = x.text()
+            out[at] = [int(bool(there)), int(bool(there) and there == own), 0 if link or there == own else len(own)]
+        todo += [(c, at, link) for c in y.children()]
+    return out
+
+
+def wrapper_of(reference: str, counts: dict[int, tuple[int, int, int]], pages: int) -> tuple[int | None, list[int]]:
+    """Region and template nodes of a layout from the sums of `varying` over its pages."""
+    nodes = numbered(parse(reference))
+    number = {id(n): k for k, n in enumerate(nodes)}
+    below = [0] * len(nodes)
+    headed = [False] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):
+        n = nodes[k]
+        own = counts.get(k, (0, 0, 0))[2]
+        kids = [number[id(c)] for c in n.children()]
+        below[k] = own + sum(below[c] for c in kids)
+        headed[k] = n.tag in _HEADINGS and below[k] > 0 or any(headed[c] for c in kids)
+    at = 0 if pages >= REGION_PAGES and below and below[0] else None
+    while at is not None:
+        kids = [number[id(c)] for c in nodes[at].children()]
+        top = max(kids, key=lambda c: below[c], default=None)
+        if top is None or below[top] < REGION * below[at] or any(headed[c] for c in kids if c != top):
+            break
+        at = top
+    least = lambda k: ARTICLE_PAGES if inside[k] else 1
+    inside = [False] * len(nodes)
+    if at is not None:
+        for n in numbered(nodes[at]):
+            inside[number[id(n)]] = nodes[at].tag not in ("#", "html", "body")
+    return at, [k for k, (n, equal, _) in sorted(counts.items()) if n >= least(k) and equal >= CONSTANT * n]
+
+
+def extract(page: str | None, reference: str | None = None, region: int | None = None, template: list[int] = ()) -> str:
+    """The main text of a page, by its layout's wrapper: a reference page, and the numbers of its region and template nodes."""
     if not page:
         return ""
     root = parse(page)
-    constant: set[int] = set()
-    if reference and template:
+    if reference and (region is not None or template):
         ref = parse(reference)
-        chosen = {id(n) for k, n in enumerate(numbered(ref)) if k in set(template)}
-        constant = {id(y) for x, y in align(ref, root) if id(x) in chosen and x.text() == y.text()}
-    return _content(root, constant)
+        nodes = numbered(ref)
+        place = {id(n): k for k, n in enumerate(nodes)}
+        pairs, chosen = align(ref, root), set(template)
+        constant = {id(y) for x, y in pairs if place[id(x)] in chosen and x.text() == y.text()}
+        top = next((y for x, y in pairs if place[id(x)] == region), None)
+        if top is not None and (text := _content([top], constant, top.tag not in ("#", "html", "body"))):
+            return text
+        tops = _mains(root)
+        if text := _content(tops or [root], constant if not tops else set(), bool(tops)):
+            return text
+    tops = _mains(root)
+    return _content(tops, set(), True) or _content([root], set(), False)
 
 
 def _host():
-    return F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z]*:?//([^/?#:]+)", 1)), F.lit(""))
+    """The host of a url; a page without one is a host of its own."""
+    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]*:?//([^/?#:]+)", 1))
+    return F.when(F.coalesce(host, F.lit("")) == "", F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("html", F.lit(""))))).otherwise(host)
 
 
 def _laid_out(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with host and layout; null html has no layout."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, "html"):
             yield batch.append_column("layout", pa.array([None if h is None else layout(parse(h)) for h in batch.column("html").to_pylist()], pa.string()))
 
     columns = ", ".join(f"{c} {t}" for c, t in pages.dtypes)
     return common.materialize(pages.mapInArrow(run, f"{columns}, layout string").withColumn("host", _host()))
 
 
+def _met(pages: DataFrame, wrappers: DataFrame, run, schema: str) -> DataFrame:
+    """Run over pages (.., host, layout, html) beside the wrapper (a string) of their host and layout: run(iterator of (wrapper or None, rows))."""
+    columns = pages.columns
+    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    if size <= WRAPPERS_BYTES:
+        held = {(r.host, r.layout): r.wrapper for r in wrappers.select("host", "layout", "wrapper").collect()}
+        sent = pages.sparkSession.sparkContext.broadcast(held)  # bounded by WRAPPERS_BYTES
+
+        def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in common.slices(batches, "html"):
+                yield from run((sent.value.get((r["host"], r["layout"])), r) for r in batch.to_pylist())
+
+        return pages.mapInArrow(here, schema)
+    salted = pages.withColumn("_salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(common.SALTS)).cast("int"))
+    used = salted.select("host", "layout", "_salt").distinct()
+    first = wrappers.select("host", "layout", "wrapper").join(used, ["host", "layout"]).select(*[F.lit(None).cast(t).alias(c) if c not in ("host", "layout") else F.col(c) for c, t in pages.dtypes], "_salt", "wrapper")
+    met = salted.withColumn("wrapper", F.lit(None).cast("string")).unionByName(first)
+    met = met.repartition("host", "layout", "_salt").sortWithinPartitions("host", "layout", "_salt", F.col("wrapper").desc_nulls_last())
+
+    def travelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple = (None, None, None)
+        for batch in common.slices(batches, "html"):
+            rows = []
+            for r in batch.to_pylist():
+                if r["wrapper"] is not None:
+                    now = (r["host"], r["layout"], r["wrapper"])
+                else:
+                    rows.append((now[2] if now[:2] == (r["host"], r["layout"]) else None, {c: r[c] for c in columns}))
+            yield from run(iter(rows))
+
+    return met.mapInArrow(travelled, schema)
+
+
+class _Parsed(dict):
+    """References by text, parsed; the memory is emptied when full."""
+
+    def __missing__(self, reference: str) -> Node:
+        if len(self) > 100:
+            self.clear()
+        self[reference] = node = parse(reference)
+        return node
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """pages (page_id, host, layout, html) to one wrapper per host and layout: (host, layout, reference, template node numbers)."""
+    """pages (page_id, host, layout, html) to one wrapper per host and layout: (host, layout, wrapper), the wrapper as JSON of reference, region and template."""
     by = ["host", "layout"]
-    refs = common.materialize(pages.where("html is not null").groupBy(*by).agg(F.min(F.struct("page_id", "html")).alias("r")).select(*by, F.col("r.html").alias("reference")))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str, int, bool], list[int]] = defaultdict(lambda: [0, 0])
-        parsed: dict[tuple[str, str], tuple[Node, dict[int, int], set[int]]] = {}
-        for batch in batches:
-            for host, kind, page, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "html", "reference"))):
-                if (host, kind) not in parsed:
-                    if len(parsed) > 200:
-                        parsed.clear()
-                    ref = parse(reference)
-                    parsed[host, kind] = (ref, {id(n): k for k, n in enumerate(numbered(ref))}, {id(n) for top in _mains(ref) for n in numbered(top)})
-                ref, number, inside = parsed[host, kind]
-                for x, y in align(ref, parse(page)):
-                    if own := x.text():
-                        n = seen[host, kind, number[id(x)], id(x) in inside]
-                        n[0] += 1
-                        n[1] += own == y.text()
-        cols = [*([k[c] for k in seen] for c in range(4)), *([n[c] for n in seen.values()] for c in range(2))]
-        types = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "layout", "node", "inside", "n", "equal"])
-
-    joined = _with_wrappers(pages.where("html is not null").select(*by, "html"), refs).where("html <> reference")
-    counts = joined.mapInArrow(count, "host string, layout string, node int, inside boolean, n long, equal long").groupBy(*by, "node", "inside").agg(F.sum("n").alias("n"), F.sum("equal").alias("equal"))
-    constant = counts.where((F.col("n") >= F.when(F.col("inside"), ARTICLE_PAGES).otherwise(1)) & (F.col("equal") >= CONSTANT * F.col("n"))).groupBy(*by).agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return common.materialize(refs.join(constant, by, "left"))
-
-
-def _with_wrappers(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    size = wrappers.agg(F.sum(F.length("reference"))).first()[0] or 0
-    return pages.join(F.broadcast(wrappers) if size <= WRAPPERS_BYTES else wrappers, ["host", "layout"], "left")
+    some = pages.where("html is not null").select("page_id", *by, "html")
+    refs = common.materialize(some.groupBy(*by).agg(F.min(F.struct("page_id", "html")).alias("r")).select(*by, F.col("r.html").alias("wrapper")))
+
+    def count(rows: Iterator[tuple[str | None, dict]]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
+        refs = _Parsed()
+        for reference, r in rows:
+            if reference is None or r["html"] == reference:
+                continue
+            seen[r["host"], r["layout"], -1][0] += 1
+            for node, found in varying(refs[reference], parse(r["html"])).items():
+                n = seen[r["host"], r["layout"], node]
+                for k in range(3):
+                    n[k] += found[k]
+        cols = [*([k[c] for k in seen] for c in range(3)), *([n[c] for n in seen.values()] for c in range(3))]
+        types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "layout", "node", "n", "equal", "letters"])
+
+    counts = _met(some.drop("page_id"), refs, count, "host string, layout string, node int, n long, equal long, letters long")
+    sums = counts.groupBy(*by, "node").agg(*(F.sum(c).alias(c) for c in ("n", "equal", "letters")))
+    listed = sums.groupBy(*by).agg(F.collect_list(F.struct("node", "n", "equal", "letters")).alias("counts"))  # bounded by the nodes of a page
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "wrapper"):
+            out = []
+            for reference, found in zip(batch.column("wrapper").to_pylist(), batch.column("counts").to_pylist()):
+                by_node = {c["node"]: (c["n"], c["equal"], c["letters"]) for c in found or ()}
+                n = by_node.pop(-1, (0, 0, 0))[0]
+                region, template = wrapper_of(reference, by_node, n)
+                out.append(json.dumps([reference, region, template]))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array(out, pa.string())], names=["host", "layout", "wrapper"])
+
+    return common.materialize(refs.join(listed, by, "left").mapInArrow(settle, "host string, layout string, wrapper string"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """One row per row of pages: (page_id, url, text, n_chars). Null html counts as empty, a null url as a host of its own."""
+    """One row per row of pages: (page_id, url, text, n_chars). Null html counts as empty, and a page without a host in its url is alone.
+
+    Rows with equal ids stay apart, copies of a reference count nothing towards its wrapper, an
+    empty table gives an empty result, and other columns are ignored. Pages of any depth and
+    length are read whole, unclosed tags and quotes included.
+    """
     common.small_batches(pages.sparkSession)
     pages = _laid_out(pages.select("page_id", "url", "html"))
     wrappers = induce(pages)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [extract(h, r, t or ()) for h, r, t in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "template")))]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    joined = _with_wrappers(pages, wrappers).select("page_id", "url", "html", "reference", "template")
-    return joined.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
+    kind = pages.schema["page_id"].dataType
+
+    def run(rows: Iterator[tuple[str | None, dict]]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        out = []
+        for wrapper, r in rows:
+            if wrapper is not None and wrapper not in held:
+                held = {wrapper: json.loads(wrapper)} if len(held) > 100 else held | {wrapper: json.loads(wrapper)}
+            out.append((r["page_id"], r["url"], extract(r["html"], *(held[wrapper] if wrapper else ()))))
+        ids, urls, texts = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return _met(pages.select("page_id", "url", "html", "host", "layout"), wrappers, run, f"page_id {kind.simpleString()}, url string, text string, n_chars long")

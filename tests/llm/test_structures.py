@@ -1,7 +1,11 @@
 import gzip
 import math
+import random
+import time
 from collections import Counter
 
+import pytest
+
 from tapeline.llm import licence, warc, wrapper
 
 
@@ -12,6 +16,57 @@ def test_tree_matching_aligns_lists():
     assert ("ul", "", "") in pairs and ("li", "x", "x") in pairs and len([p for p in pairs if p[0] == "p"]) == 1 and not [p for p in pairs if p[0] == "h1"]
 
 
+def weight(x, y):
+    """Simple tree matching by its plain recursion."""
+    xs, ys = x.children(), y.children()
+    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, u in enumerate(xs):
+        for j, v in enumerate(ys):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (weight(u, v) if u.label == v.label else 0))
+    return 1 + table[-1][-1]
+
+
+def test_tree_matching_is_the_largest():
+    rng = random.Random(7)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(["b", "i", "u"], k=rng.randrange(5)))
+
+    for _ in range(150):
+        a, b = wrapper.parse(tree(3)), wrapper.parse(tree(3))
+        pairs = wrapper.align(a, b)
+        assert len(pairs) == weight(a, b) and len({id(y) for _, y in pairs}) == len({id(x) for x, _ in pairs}) == len(pairs)
+        assert all(x.label == y.label for x, y in pairs)
+
+
+def test_large_deep_and_broken_pages(monkeypatch):
+    assert wrapper.extract("<div>" * 100_000 + "x") == "x"
+    assert len(wrapper.align(wrapper.parse("<b>" * 3000 + "x"), wrapper.parse("<b>" * 3000 + "<i>x</i>"))) == 3001
+    rng = random.Random(3)
+    items = lambda: wrapper.parse("<ul>" + "".join(f"<li>{'<b>x</b>' * rng.randrange(4)}</li>" for _ in range(2000)) + "</ul>")
+    a, b = items(), items()
+    start = time.time()
+    pairs = wrapper.align(a, b)
+    assert time.time() - start < 5 and len(pairs) > 2000 and all(x.label == y.label for x, y in pairs)
+    for broken, text in (('<a title="x ' * 20_000, None), ("<b" * 20_000 + ">y", "y"), ("<a 'x> z" * 20_001, None), ("a < b <3 c<", "a < b <3 c<"), ("<p title='a>b'>c</p>d", "c\nd"), ("<script>x", "")):
+        start = time.time()
+        got = wrapper.extract(broken)
+        assert time.time() - start < 5 and (text is None or got == text), broken[:20]
+
+
+@pytest.mark.parametrize("limit", [wrapper.WRAPPERS_BYTES, 0])
+def test_wrapper_finds_the_region_without_names(spark, monkeypatch, limit):
+    """Menus and footers that vary, with no telling tag or name: only the wrapper sets them apart from the text."""
+    monkeypatch.setattr(wrapper, "WRAPPERS_BYTES", limit)
+    story = "<h2>Head {0}</h2><p>first part {0} of a long story</p><p>second part {0} of it, long too</p><p>Read on at our shop</p>"
+    page = "<body><div><a href=x>menu {0}</a></div><div><span><b>" + story + "</b></span></div><div>printed {0}</div></body>"
+    rows = [(k, "http://h.example/x", page.format(k * 7)) for k in range(9)] + [(50, "http://other.example/", page.format(1))]
+    got = {r.page_id: r.text for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(9):
+        assert got[k] == f"Head {k * 7}\nfirst part {k * 7} of a long story\nsecond part {k * 7} of it, long too" != wrapper.extract(page.format(k * 7))
+    assert got[50] == wrapper.extract(page.format(1))
+
+
 def test_extract_article():
     page = (
         "<html><body><nav><li>Menu</nav><!-- c --><div class='ad'>Buy</div><div class='cookie-x notice'>Cookies</div><article><header><h1>A &amp; B</h1></header>"
