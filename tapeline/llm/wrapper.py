@@ -494,7 +494,7 @@ def induce(pages: DataFrame) -> DataFrame:
         types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "layout", "node", "n", "equal", "letters"])
 
-    counts = _met(some.drop("page_id"), refs, count, "host string, layout string, node int, n long, equal long, letters long")
+    counts = _met(some, refs, count, "host string, layout string, node int, n long, equal long, letters long")
     sums = counts.groupBy(*by, "node").agg(*(F.sum(c).alias(c) for c in ("n", "equal", "letters")))
     listed = sums.groupBy(*by).agg(F.collect_list(F.struct("node", "n", "equal", "letters")).alias("counts"))  # bounded by the nodes of a page
 
