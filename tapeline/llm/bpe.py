@@ -26,7 +26,7 @@ from tapeline.llm import common
 
 SHORT = 64
 #: Words whose ids a worker keeps; the memory is emptied when full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _NONE = 1 << 30
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -121,16 +121,20 @@ def encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit integers; null is as empty. One row per row of docs."""
+    """(doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit integers; null is as empty.
+
+    One row per row of docs, repeated ones included, in no set order; texts of any length are
+    encoded whole; other columns are ignored; an empty table gives an empty result.
+    """
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in batches:
-            ids = [e.encode(t) for t in batch.column(1).to_pylist()]
+        for batch in common.slices(batches, "text"):
+            ids = [e.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -7,43 +7,64 @@ ones, without any table or shuffle. Check digits are computed anew, dates stay d
 Kinds: email (local part), phone (digits after the country code), ip (IPv4), card (13 to 19
 digits with a valid Luhn digit; the check digit is made valid again), iban (valid mod 97), ssn,
 date (ISO, or day and month and year between slashes or dots), secret (values assigned to
-password, token, secret or api key). Numbers that don't validate stay as they are.
+password, token, secret or api key, and bearer tokens), key (cloud access keys), ip6. Numbers
+that don't validate stay as they are. National phone numbers without separators are not found.
+In a small format a value may be its own pseudonym, as in any permutation.
+
+The key is secret and has no default: whoever has it can reverse the pseudonyms.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
+import secrets
 import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tapeline.llm import common
 
-KEY = b"tapeline"
+#: The Spark setting that holds the key; texts under one key are linked with each other.
+KEY_SETTING = "spark.tapeline.pii.key"
 ROUNDS = 8
 
 _KINDS = {
-    "email": r"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*\w)?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9_\-+/]{6,}",
+    "email": r"(?<![\w.+%-])\w(?:[\w.+%-]*\w)?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9_\-+/]{6,}|(?i:\bbearer\s+)[A-Za-z0-9._~+/-]{16,}",
+    "key": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){2,6})(?![\w:])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d([/.])\d\d\1\d{4})(?!(?!T\d\d:?\d\d)[\w/-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
     "phone": r"(?<![\w+.])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w.-])(?:\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{13,19})(?![\w-]|\.\d)",
+    "card": r"(?<![\w.-])(?:\d{4}([ -])(?:\d{4}\2\d{4}\2\d{4}|\d{6}\2\d{5})|\d{13,19})(?![\w-]|\.\d)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()).replace(r"\1", "(?P=slash)").replace("([/.])", "(?P<slash>[/.])").replace(r"\2", "(?P=gap)").replace("([ -])", "(?P<gap>[ -])"))
 _IBAN = re.compile(_KINDS["iban"])
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
-def permute(x: int, n: int, tweak: str, key: bytes = KEY, back: bool = False) -> int:
+@lru_cache(maxsize=1)
+def _random_key() -> bytes:
+    return secrets.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in KEY_SETTING, or where that is unset one drawn at random for this application, whose pseudonyms nobody can reverse or link later."""
+    text = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING, None)
+    return hashlib.blake2b(text.encode(), digest_size=32).digest() if text else _random_key()
+
+
+def permute(x: int, n: int, tweak: str, key: bytes, back: bool = False) -> int:
     """A keyed permutation of 0..n-1: a balanced Feistel network over the next square, walked until it is within n."""
     if n < 2:
         return x
@@ -61,10 +82,14 @@ def permute(x: int, n: int, tweak: str, key: bytes = KEY, back: bool = False) ->
             return x
 
 
+_LATIN = "".join(c for c in map(chr, range(0xDF, 0x100)) if c != "\xf7")
+_LATIN_UPPER = "".join(c for c in map(chr, range(0xC0, 0xDF)) if c != "\xd7")
+
+
 def _in_alphabet(text: str, tweak: str, key: bytes) -> str:
-    """Permute the lower-case letters, upper-case letters and digits of a text within their kinds; other characters stay."""
+    """Permute the letters (ASCII and Latin-1, by case) and digits of a text within their kinds; other characters stay."""
     out = list(text)
-    for name, alphabet in (("d", string.digits), ("l", string.ascii_lowercase), ("u", string.ascii_uppercase)):
+    for name, alphabet in (("d", string.digits), ("l", string.ascii_lowercase), ("u", string.ascii_uppercase), ("m", _LATIN), ("n", _LATIN_UPPER)):
         at = [k for k, c in enumerate(text) if c in alphabet]
         if at:
             x = 0
@@ -100,19 +125,27 @@ def _ssn_ok(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
 
-def pseudonym(kind: str, value: str, key: bytes = KEY) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The pseudonym of a value, or None if it doesn't validate."""
     digits = "".join(c for c in value if c in string.digits)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         return f"{_in_alphabet(local, 'email', key)}@{domain}"
     if kind == "secret":
-        cut = re.search(r"[A-Za-z0-9_\-+/]+\Z", value).start()
-        cut = max(cut, re.search(r"[=:]\s*[\"']?", value).end())
+        cut = re.search(r"[A-Za-z0-9._~\-+/]+\Z", value).start()
+        cut = max(cut, re.match(r"(?i:bearer\s+)|.*?[=:]\s*[\"']?", value).end())
         body = value[cut:]
         if re.fullmatch("[0-9a-f]+", body):
             return value[:cut] + f"{permute(int(body, 16), 16 ** len(body), 'hex', key):0{len(body)}x}"
         return value[:cut] + _in_alphabet(body, "secret", key)
+    if kind == "key":
+        return value[:4] + _in_alphabet(value[4:], "key", key)
+    if kind == "ip6":
+        try:
+            x = int(ipaddress.IPv6Address(value))
+        except ValueError:
+            return None
+        return str(ipaddress.IPv6Address(permute(x, 1 << 128, "ip6", key)))
     if kind == "ip":
         parts = [int(p) for p in value.split(".")]
         if max(parts) > 255:
@@ -160,9 +193,9 @@ def pseudonym(kind: str, value: str, key: bytes = KEY) -> str | None:
     raise ValueError(kind)
 
 
-def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[str, int, int]]]:
+def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, first, end) of each in characters of the new text."""
-    if not text or "@" not in text and not any(c in text for c in string.digits) and "=" not in text and ":" not in text:
+    if not text or "@" not in text and not any(c in text for c in string.digits) and "=" not in text and ":" not in text and "earer" not in text:
         return text, []
     out, spans, at, size = [], [], 0, 0
     m = _ANY.search(text)
@@ -188,17 +221,18 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Stru
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with pseudonyms in the text, and `pii`: (kind, first, end) of each, in place of a column of that name.
 
-    Null and empty texts stay as they are, with an empty list. All other columns pass unchanged.
+    Null and empty texts stay as they are, with an empty list; equal values get equal pseudonyms
+    in all rows, repeated ones included; an empty table stays empty. All other columns pass unchanged.
     """
     common.small_batches(docs.sparkSession)
     docs = docs.drop("pii")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, text_col):
             done = [replace(t, key) for t in batch.column(at).to_pylist()]
             cols = [*batch.columns, pa.array([[dict(zip(("kind", "first", "end"), s)) for s in x] for _, x in done], _ARROW)]
             cols[at] = pa.array([t for t, _ in done], pa.string())

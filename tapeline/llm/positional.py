@@ -77,6 +77,7 @@ def _write_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assert not len(texts) or starts[-1] + sizes[-1] < 1 << 32
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, shard)), pa.array(term[first]), pa.array(np.diff(ends).astype(np.int32)), postings, *no_lists], names=names)
         shard += 1
+    _terms.clear()  # workers live on for other stages
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:

@@ -43,7 +43,7 @@ def op6_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs).select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), "pii")
+    return pii.pseudonymise(docs, pii.session_key(spark)).select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), "pii")
 
 
 def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:

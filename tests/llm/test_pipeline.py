@@ -24,7 +24,7 @@ def test_pipeline_matches_plain_version(spark, tmp_path):
     spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    want = {r[0]: pii.replace(r[1])[0] for r in rows if r[0] not in (7, 100, 101, 102, 103, 104, 106)}
+    want = {r[0]: pii.replace(r[1], pii.session_key(spark))[0] for r in rows if r[0] not in (7, 100, 101, 102, 103, 104, 106)}
     assert got.keys() == want.keys()
     for k, t in want.items():
         assert got[k].decoded == t and np.frombuffer(got[k].ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
@@ -49,3 +49,18 @@ def test_stage_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.personal_data(spark, docs.limit(0), "").columns == docs.columns
     assert corpus_pipeline.near_duplicates(spark, docs, "").collect() == docs.collect()
+
+
+def test_empty_tables_and_extra_columns(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, pii string, lang_pred string, row string, kept string"
+    rows = [(k, " ".join(f"word{k}{n}" for n in range(40)) + (" a.b@mail.example.com" if k == 3 else ""), "en" if k % 2 else None, "s", 1, "p", "q", "r", "x") for k in range(12)]
+    spark.createDataFrame([(1, None)], "item_id long, text string").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows + rows[:1], columns)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 13 and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert {r.pii for r in corpus_pipeline.personal_data(spark, docs, "").collect()} == {"p"}
+    for name, kept in (("a", docs), ("b", docs.limit(0))):
+        kept.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == (13 if name == "a" else 0)
