@@ -18,31 +18,51 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters or without an identified language."""
+    """Drop documents without letters or without an identified language.
+
+    Null and empty texts have no letters, so they go; rows with a null doc_id or lang are judged
+    by their text like all others, equal rows alike; extra columns pass. No rows give no rows.
+    """
     done = langid.fit_and_identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return done.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near copies; documents without an id are not compared."""
+    """Keep the smallest doc_id of each group of near copies.
+
+    Documents without an id are not compared and stay, as do texts without words; rows that
+    repeat a kept doc_id stay with it; extra columns pass. No rows give no rows.
+    """
     gone = minhash.near_duplicates(docs, num=NEAR).where("not kept and doc_id is not null").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that benchmark passages contaminate."""
+    """Drop documents that benchmark passages contaminate.
+
+    A row goes if any row of its doc_id is contaminated; rows without an id stay, as do null and
+    empty texts; an empty benchmark drops nothing; extra columns pass. No rows give no rows.
+    """
     gone = positional.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by pseudonyms; n_chars follows the text."""
-    done = pii.pseudonymise(docs)
-    return done.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Replace personal data by pseudonyms; n_chars follows the text where it changed.
+
+    Every row stays: null and empty texts as they are, equal values alike in all rows; extra
+    columns pass, one named `pii` too. No rows give no rows.
+    """
+    done = pii.pseudonymise(docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row")), pii.session_key(spark))
+    n_chars = F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return done.select(*[F.col("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit) and the text that they decode to."""
+    """(doc_id, n_tokens, ids, decoded): token ids (little-endian unsigned 32-bit) and the text that they decode to.
+
+    One row per row, repeated ones included; null texts count as empty. No rows give no rows.
+    """
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.decode(bpe.encode(docs, path), path)
 
@@ -57,6 +77,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written and read again: tokens of every document that is kept. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs if k == 0 else materialize(docs), sf_dir)
