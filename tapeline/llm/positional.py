@@ -2,7 +2,7 @@
 
 The index is stored once and serves any number of test sets. One pass over the training texts
 writes every token's posting: a row per (term, shard) with the term's positions in that shard,
-a shard being a range of up to some two million characters of documents, so a frequent term is
+a shard being a range of documents of some million words, so a frequent term is
 split over many rows. Rows are laid out by (term, shard). A term is the 64-bit hash of its word.
 
 A search reads the postings of the test terms only. It counts them, takes each window's rarest
@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from tapeline.llm import common
 
 WINDOW = 13
+#: Words after which a shard is closed.
+SHARD_WORDS = 1_000_000
 #: Windows that are sent with the tasks at once.
 PART_WINDOWS = 200_000
 #: Words whose hashes a worker keeps; the memory is emptied when full.
@@ -54,12 +56,24 @@ def terms(text: str | None) -> np.ndarray:
     return np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Document ids and words of one shard after the other."""
+    ids, texts, size = [], [], 0
+    for batch in common.slices(batches, "text"):
+        ids.append(batch.column("doc_id"))
+        texts += [terms(t) for t in batch.column("text").to_pylist()]
+        size += sum(len(x) for x in texts[-batch.num_rows :])
+        if size >= SHARD_WORDS:
+            yield pa.concat_arrays(ids), texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), texts
+
+
 def _write_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard = TaskContext.get().partitionId() << 32
     names = ["kind", "shard", "term", "n", "positions", "doc_ids", "n_words"]
-    for batch in common.slices(batches, "text"):
-        ids = batch.column("doc_id")
-        texts = [terms(t) for t in batch.column("text").to_pylist()]
+    for ids, texts in _shards(batches):
         sizes = np.array([len(x) for x in texts], np.int64)
         starts = _starts(sizes)
         term = np.concatenate(texts)

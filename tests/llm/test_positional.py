@@ -47,6 +47,7 @@ def rows(df):
 def test_matches_brute_force(spark, monkeypatch, windows, chars):
     monkeypatch.setattr(positional, "PART_WINDOWS", windows)
     monkeypatch.setattr(common, "SLICE_CHARS", chars)
+    monkeypatch.setattr(positional, "SHARD_WORDS", chars)
     docs = spark.createDataFrame([(*d, "a", 1) for d in DOCS], "doc_id long, text string, item_id string, row long")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert rows(positional.decontaminate(docs.drop("row"), items)) == brute(DOCS, ITEMS)
