@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 
 def rollup(trades: DataFrame, minutes: int) -> DataFrame:
-    """(symbol, t, p, s) to OHLCV bars (symbol, t, o, h, l, c, v, vw); one partial aggregation and one shuffle by symbol and bucket."""
+    """(symbol, t, p, s) to OHLCV bars (symbol, t, o, h, l, c, v, vw); one partial aggregation and one shuffle by symbol and bucket.
+
+    Trades of one time follow each other by id where there is one, else by price and size.
+    """
+    order = F.struct("t", *(["id"] if "id" in trades.columns else ["p", "s"]))
     return (
         trades.groupBy("symbol", F.window("t", f"{minutes} minutes").alias("w"))
         .agg(
-            F.min_by("p", "t").alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", "t").alias("c"),
+            F.min_by("p", order).alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", order).alias("c"),
             F.sum("s").alias("v"), (F.sum(F.col("p") * F.col("s")) / F.sum("s")).alias("vw"),
         )
         .select("symbol", F.col("w.start").alias("t"), "o", "h", "l", "c", "v", "vw")

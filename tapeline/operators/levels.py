@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.clock import eastern, minute_of_day
 from tapeline.operators.indicators import by
+from tapeline.operators.structure import last, overlapped
 
 #: Retracement ratios; fixed values.
 FIBONACCI = [0.0, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0]
@@ -91,31 +92,29 @@ def swings(bars: DataFrame, k: int = 2) -> DataFrame:
     return d.where("swing_high or swing_low")
 
 
-def fair_value_gaps(bars: DataFrame) -> DataFrame:
-    """Three-bar gaps (bullish: next low above previous high; bearish mirrored) and whether a later bar overlaps them."""
-    d = bars.withColumns({"_ph": F.lag("h").over(by()), "_pl": F.lag("l").over(by()), "_nh": F.lead("h").over(by()), "_nl": F.lead("l").over(by())})
-    kind = F.when(F.col("_nl") > F.col("_ph"), "bullish").when(F.col("_nh") < F.col("_pl"), "bearish")
-    later = by().rowsBetween(2, W.unboundedFollowing)
-    d = d.withColumns({"kind": kind, "bottom": F.when(F.col("_nl") > F.col("_ph"), F.col("_ph")).otherwise(F.col("_nh")), "top": F.when(F.col("_nl") > F.col("_ph"), F.col("_nl")).otherwise(F.col("_pl"))})
-    # A bullish gap lies under the next bar: it is overlapped once a later low reaches its top while that bar's high is not below its bottom.
-    d = d.withColumns({"_low": F.min("l").over(later), "_high": F.max("h").over(later)})
-    return d.where("kind is not null").select("symbol", "t", "kind", "bottom", "top", "_low", "_high")
+def fair_value_gaps(bars: DataFrame, keep: int = 6) -> DataFrame:
+    """The last `keep` three-bar gaps per symbol (bullish: next low above previous high; bearish mirrored), edges to four places, at the middle bar `i`."""
+    d = bars.withColumns({"i": F.row_number().over(by()), "_ph": F.lag("h").over(by()), "_pl": F.lag("l").over(by()), "_nh": F.lead("h").over(by()), "_nl": F.lead("l").over(by())})
+    up, down = F.col("_nl") > F.col("_ph"), F.col("_nh") < F.col("_pl")
+    gaps = d.where(up | down).select(
+        "symbol", "t", "i", F.when(up, "bullish").otherwise("bearish").alias("kind"), F.round(F.when(up, F.col("_ph")).otherwise(F.col("_nh")), 4).alias("bottom"), F.round(F.when(up, F.col("_nl")).otherwise(F.col("_pl")), 4).alias("top")
+    )
+    return last(gaps, keep)
 
 
-def filled_gaps(bars: DataFrame) -> DataFrame:
-    """Gaps with `filled`: some bar from the second after on overlaps [bottom, top]. Gaps that no later bar can reach skip the join."""
-    gaps = fair_value_gaps(bars)
-    may = (F.col("_low") <= F.col("top")) & (F.col("_high") >= F.col("bottom"))
-    numbered = bars.withColumn("_i", F.row_number().over(by())).select("symbol", F.col("t").alias("_t"), "h", "l", "_i")
-    at = gaps.where(may).select("symbol", "t", "bottom", "top").join(numbered.select("symbol", F.col("_t").alias("t"), F.col("_i").alias("_g")), ["symbol", "t"])
-    hit = at.join(numbered, "symbol").where("_i >= _g + 2 and l <= top and h >= bottom").select("symbol", "t").distinct().withColumn("_hit", F.lit(True))
-    return gaps.join(hit, ["symbol", "t"], "left").select("symbol", "t", "kind", "bottom", "top", F.coalesce("_hit", F.lit(False)).alias("filled"))
+def filled_gaps(bars: DataFrame, keep: int = 6) -> DataFrame:
+    """The kept gaps with `filled`: some bar from the second after on overlaps [bottom, top]."""
+    return overlapped(fair_value_gaps(bars, keep), bars, 2, "filled")
 
 
 def premium_discount(bars: DataFrame) -> DataFrame:
-    """Equilibrium of the range and whether the last close is at a premium or discount."""
-    g = bars.groupBy("symbol").agg(F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "t").alias("c")).withColumn("equilibrium", (F.col("h") + F.col("l")) / 2)
-    return g.select("symbol", "equilibrium", "c", F.when(F.col("c") > F.col("equilibrium"), "premium").when(F.col("c") < F.col("equilibrium"), "discount").otherwise("equilibrium").alias("zone"))
+    """Equilibrium of the range, the last close's place in it (discount below 0.45, premium above 0.55), and whether it
+    lies in the retracement of 0.618 to 0.79 down from the high. A flat range has no place."""
+    g = bars.groupBy("symbol").agg(F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "t").alias("c")).withColumn("_r", F.col("h") - F.col("l"))
+    place = F.when(F.col("_r") > 0, (F.col("c") - F.col("l")) / F.col("_r"))
+    zone = F.when(place < 0.45, "discount").when(place > 0.55, "premium").when(place.isNotNull(), "equilibrium")
+    top, bottom = F.round(F.col("h") - 0.618 * F.col("_r"), 4), F.round(F.col("h") - 0.79 * F.col("_r"), 4)
+    return g.select("symbol", ((F.col("h") + F.col("l")) / 2).alias("equilibrium"), "c", zone.alias("zone"), F.when(F.col("_r") > 0, F.col("c").between(bottom, top)).alias("in_retracement"))
 
 
 def volume_spikes(bars: DataFrame, times: float = 3.0) -> DataFrame:

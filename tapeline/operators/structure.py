@@ -1,4 +1,4 @@
-"""Market structure: order blocks, liquidity sweeps, breaks, momentum patterns and consolidation."""
+"""Market structure: order blocks, breaks, momentum patterns and consolidation."""
 
 from __future__ import annotations
 
@@ -17,21 +17,32 @@ def recent(bars: DataFrame) -> DataFrame:
 def order_blocks(bars: DataFrame, swing: int = 5, ahead: int = 3, keep: int = 6) -> DataFrame:
     """Last opposing candles before an impulse past the extreme of the preceding `swing` bars within `ahead` bars.
 
-    Bullish: a falling candle with a close above the swing high ahead; bearish mirrored. Keeps the
-    last `keep` per symbol and kind, with `mitigated`: a later bar (beyond the look-ahead) overlaps it.
+    Bullish: a falling candle with a high above the swing high ahead; bearish mirrored. Candles
+    without `ahead` bars behind them don't count. Keeps the last `keep` per symbol, with edges to
+    four places and `mitigated`: a later bar (beyond the look-ahead) overlaps the zone.
     """
-    before, after, later = by().rowsBetween(-swing, -1), by().rowsBetween(1, ahead), by().rowsBetween(ahead + 1, W.unboundedFollowing)
-    d = bars.withColumns(
-        {"i": F.row_number().over(by()), "_sh": F.max("h").over(before), "_sl": F.min("l").over(before), "_ch": F.max("c").over(after), "_cl": F.min("c").over(after), "_ll": F.min("l").over(later), "_lh": F.max("h").over(later)}
-    )
-    kind = F.when((F.col("c") < F.col("o")) & (F.col("_ch") > F.col("_sh")), "bullish").when((F.col("c") > F.col("o")) & (F.col("_cl") < F.col("_sl")), "bearish")
-    d = d.where(F.col("i") > swing).withColumn("kind", kind).where("kind is not null")
-    d = d.withColumn("_n", F.row_number().over(W.partitionBy("symbol", "kind").orderBy(F.desc("t")))).where(F.col("_n") <= keep)
-    # Bars that together reach a zone from both sides need not overlap it one by one: confirm by a join of the few kept blocks.
-    numbered = bars.withColumn("j", F.row_number().over(by())).select("symbol", "j", F.col("h").alias("jh"), F.col("l").alias("jl"))
-    may = d.where((F.col("_ll") <= F.col("h")) & (F.col("_lh") >= F.col("l"))).select("symbol", "i", "h", "l")
-    hit = may.join(numbered, "symbol").where(F.col("j") >= F.col("i") + ahead + 1).where("jl <= h and jh >= l").select("symbol", "i").distinct().withColumn("_hit", F.lit(True))
-    return d.join(hit, ["symbol", "i"], "left").select("symbol", "t", "kind", F.col("l").alias("bottom"), F.col("h").alias("top"), F.coalesce("_hit", F.lit(False)).alias("mitigated"))
+    before, after = by().rowsBetween(-swing, -1), by().rowsBetween(1, ahead)
+    d = bars.withColumns({"i": F.row_number().over(by()), "_sh": F.max("h").over(before), "_sl": F.min("l").over(before), "_ih": F.max("h").over(after), "_il": F.min("l").over(after), "_n": F.count("*").over(after)})
+    kind = F.when((F.col("c") < F.col("o")) & (F.col("_ih") > F.col("_sh")), "bullish").when((F.col("c") > F.col("o")) & (F.col("_il") < F.col("_sl")), "bearish")
+    d = d.where((F.col("i") > swing) & (F.col("_n") == ahead)).withColumn("kind", kind).where("kind is not null")
+    d = d.select("symbol", "t", "i", "kind", F.round("l", 4).alias("bottom"), F.round("h", 4).alias("top"))
+    return overlapped(last(d, keep), bars, ahead + 1, "mitigated")
+
+
+def last(zones: DataFrame, keep: int) -> DataFrame:
+    """The last `keep` rows of each symbol."""
+    return zones.withColumn("_n", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("t")))).where(F.col("_n") <= keep).drop("_n")
+
+
+def overlapped(zones: DataFrame, bars: DataFrame, after: int, name: str) -> DataFrame:
+    """Adds a flag: some bar from the `after`-th behind the zone's bar `i` on overlaps [bottom, top].
+
+    Zones are few per symbol, so each bar meets a bounded number of them.
+    """
+    later = bars.withColumn("_j", F.row_number().over(by())).select("symbol", "_j", F.col("h").alias("_h"), F.col("l").alias("_l"))
+    hit = zones.join(later, "symbol").where((F.col("_j") >= F.col("i") + after) & (F.col("_l") <= F.col("top")) & (F.col("_h") >= F.col("bottom")))
+    hit = hit.select("symbol", "i").distinct().withColumn("_hit", F.lit(True))
+    return zones.join(hit, ["symbol", "i"], "left").select("symbol", "t", "kind", "bottom", "top", F.coalesce("_hit", F.lit(False)).alias(name))
 
 
 def break_of_structure(bars: DataFrame) -> DataFrame:
@@ -42,15 +53,21 @@ def break_of_structure(bars: DataFrame) -> DataFrame:
 
 
 def momentum(bars: DataFrame, n: int = 10) -> DataFrame:
-    """Two adjacent blocks of n bars: higher highs and lows, lower ones, or mixed; with volume of the last 10 over the 10 before."""
-    d = recent(bars).where(F.col("back") <= 2 * n)
-    new, old = F.col("back") <= n, F.col("back") > n
+    """Two adjacent blocks of min(n, half the symbol's bars): higher highs and lows, lower ones, or mixed; with volume of the last n over the n before.
+
+    Fewer than four bars give no pattern.
+    """
+    d = recent(bars.withColumn("_all", F.count("*").over(W.partitionBy("symbol")))).where(F.col("back") <= 2 * n)
+    size = F.least(F.lit(n), F.floor(F.col("_all") / 2))
+    new, old = F.col("back") <= size, (F.col("back") > size) & (F.col("back") <= 2 * size)
     g = d.groupBy("symbol").agg(
+        F.max("_all").alias("_all"),
         F.max(F.when(new, F.col("h"))).alias("nh"), F.min(F.when(new, F.col("l"))).alias("nl"), F.max(F.when(old, F.col("h"))).alias("oh"), F.min(F.when(old, F.col("l"))).alias("ol"),
-        (F.avg(F.when(new, F.col("v"))) / F.nullif(F.avg(F.when(old, F.col("v"))), F.lit(0.0))).alias("relative_volume"),
+        (F.avg(F.when(F.col("back") <= n, F.col("v"))) / F.nullif(F.avg(F.when(F.col("back") > n, F.col("v"))), F.lit(0.0))).alias("relative_volume"),
     )
     up, down = (F.col("nh") > F.col("oh")) & (F.col("nl") > F.col("ol")), (F.col("nh") < F.col("oh")) & (F.col("nl") < F.col("ol"))
-    return g.select("symbol", F.when(up, "higher highs and lows").when(down, "lower highs and lows").otherwise("mixed").alias("pattern"), "relative_volume")
+    pattern = F.when(F.col("_all") < 4, "not enough bars").when(up, "higher highs and lows").when(down, "lower highs and lows").otherwise("mixed")
+    return g.select("symbol", pattern.alias("pattern"), "relative_volume")
 
 
 def consolidation(bars: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 TRADES = "trades AS (SELECT event_type AS symbol, ts AS t, value AS p, 1 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS s, event_id AS id FROM events)"
-_BAR = "SELECT symbol, {t} AS t, arg_min(p, t) AS o, max(p) AS h, min(p) AS l, arg_max(p, t) AS c, CAST(sum(s) AS BIGINT) AS v, sum(p * s) / sum(s) AS vw FROM trades GROUP BY symbol, {t}"
+_BAR = "SELECT symbol, {t} AS t, arg_min(p, row(t, id)) AS o, max(p) AS h, min(p) AS l, arg_max(p, row(t, id)) AS c, CAST(sum(s) AS BIGINT) AS v, sum(p * s) / sum(s) AS vw FROM trades GROUP BY symbol, {t}"
 HOURS = f"{TRADES}, bars AS ({_BAR.format(t="time_bucket(INTERVAL 1 hour, trades.t)")})"
 DAYS = f"{TRADES}, bars AS ({_BAR.format(t="time_bucket(INTERVAL 1 day, trades.t)")})"
 QUARTERS = f"{TRADES}, bars AS ({_BAR.format(t="time_bucket(INTERVAL 15 minute, trades.t)")})"
@@ -74,9 +74,9 @@ def daily_bars(spark, d):
     return days(spark, d).select("symbol", text("t"), "o", "h", "l", "c", "v", r("vw"))
 
 
-@query(f"WITH {TRADES} SELECT symbol, {TEXT.format('max(t)')} AS t, arg_max(p, t) AS p, arg_max(s, t) AS s FROM trades GROUP BY symbol")
+@query(f"WITH {TRADES} SELECT symbol, {TEXT.format('max(t)')} AS t, arg_max(p, row(t, id)) AS p, arg_max(s, row(t, id)) AS s FROM trades GROUP BY symbol")
 def latest_trade(spark, d):
-    return V.trades(spark, d).groupBy("symbol").agg(F.max_by("p", "t").alias("p"), F.max_by("s", "t").alias("s"), F.max("t").alias("t")).withColumn("t", text("t"))
+    return V.trades(spark, d).groupBy("symbol").agg(F.max(F.struct("t", "id", "p", "s")).alias("x")).select("symbol", text("x.t").alias("t"), "x.p", "x.s")
 
 
 @query(
@@ -219,14 +219,19 @@ def swing_points(spark, d):
 
 
 @query(
-    f"WITH {DAYS}, a AS (SELECT *, row_number() OVER w AS i, lag(h) OVER w AS ph, lag(l) OVER w AS pl, lead(h) OVER w AS nh, lead(l) OVER w AS nl FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)), g AS (SELECT symbol, t, i, CASE WHEN nl > ph THEN 'bullish' ELSE 'bearish' END AS kind, CASE WHEN nl > ph THEN ph ELSE nh END AS bottom, CASE WHEN nl > ph THEN nl ELSE pl END AS top FROM a WHERE nl > ph OR nh < pl) "
-    f"SELECT symbol, {TEXT.format('t')} AS t, kind, bottom, top, EXISTS (SELECT 1 FROM a b WHERE b.symbol = g.symbol AND b.i >= g.i + 2 AND b.l <= g.top AND b.h >= g.bottom) AS filled FROM g"
+    f"WITH {QUARTERS}, a AS (SELECT *, row_number() OVER w AS i, lag(h) OVER w AS ph, lag(l) OVER w AS pl, lead(h) OVER w AS nh, lead(l) OVER w AS nl FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)), g AS (SELECT symbol, t, i, CASE WHEN nl > ph THEN 'bullish' ELSE 'bearish' END AS kind, round(CASE WHEN nl > ph THEN ph ELSE nh END, 4) AS bottom, round(CASE WHEN nl > ph THEN nl ELSE pl END, 4) AS top FROM a WHERE nl > ph OR nh < pl), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n FROM g) "
+    f"SELECT symbol, {TEXT.format('t')} AS t, kind, bottom, top, EXISTS (SELECT 1 FROM a b WHERE b.symbol = n.symbol AND b.i >= n.i + 2 AND b.l <= n.top AND b.h >= n.bottom) AS filled FROM n WHERE n <= 6"
 )
 def fair_value_gaps(spark, d):
-    return L.filled_gaps(days(spark, d)).select("symbol", text("t"), "kind", "bottom", "top", "filled")
+    return L.filled_gaps(B.rollup(V.trades(spark, d), 15)).select("symbol", text("t"), "kind", "bottom", "top", "filled")
 
 
-@query(f"WITH {HOURS} SELECT symbol, (max(h) + min(l)) / 2 AS equilibrium, arg_max(c, t) AS c, CASE WHEN arg_max(c, t) > (max(h) + min(l)) / 2 THEN 'premium' WHEN arg_max(c, t) < (max(h) + min(l)) / 2 THEN 'discount' ELSE 'equilibrium' END AS zone FROM bars GROUP BY symbol")
+@query(
+    f"WITH {HOURS}, g AS (SELECT symbol, max(h) AS h, min(l) AS l, arg_max(c, t) AS c FROM bars GROUP BY symbol) "
+    "SELECT symbol, (h + l) / 2 AS equilibrium, c, CASE WHEN h <= l THEN NULL WHEN (c - l) / (h - l) < 0.45 THEN 'discount' WHEN (c - l) / (h - l) > 0.55 THEN 'premium' ELSE 'equilibrium' END AS zone, "
+    "CASE WHEN h > l THEN c BETWEEN round(h - 0.79 * (h - l), 4) AND round(h - 0.618 * (h - l), 4) END AS in_retracement FROM g"
+)
 def premium_discount(spark, d):
     return L.premium_discount(hours(spark, d))
 
@@ -390,9 +395,9 @@ _BACK = f"WITH {HOURS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol O
 
 
 @query(
-    f"WITH {DAYS}, a AS (SELECT *, row_number() OVER w AS i, max(h) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS sh, min(l) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS sl, max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ch, min(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS cl FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)), "
-    "k AS (SELECT *, CASE WHEN c < o AND ch > sh THEN 'bullish' WHEN c > o AND cl < sl THEN 'bearish' END AS kind FROM a WHERE i > 5), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY t DESC) AS n FROM k WHERE kind IS NOT NULL) "
-    f"SELECT symbol, {TEXT.format('t')} AS t, kind, l AS bottom, h AS top, EXISTS (SELECT 1 FROM a b WHERE b.symbol = n.symbol AND b.i >= n.i + 4 AND b.l <= n.h AND b.h >= n.l) AS mitigated FROM n WHERE n <= 6"
+    f"WITH {DAYS}, a AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol) AS total, max(h) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS sh, min(l) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS sl, max(h) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ih, min(l) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS il FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)), "
+    "k AS (SELECT *, CASE WHEN c < o AND ih > sh THEN 'bullish' WHEN c > o AND il < sl THEN 'bearish' END AS kind, round(l, 4) AS bottom, round(h, 4) AS top FROM a WHERE i > 5 AND i <= total - 3), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n FROM k WHERE kind IS NOT NULL) "
+    f"SELECT symbol, {TEXT.format('t')} AS t, kind, bottom, top, EXISTS (SELECT 1 FROM a b WHERE b.symbol = n.symbol AND b.i >= n.i + 4 AND b.l <= n.top AND b.h >= n.bottom) AS mitigated FROM n WHERE n <= 6"
 )
 def order_blocks(spark, d):
     return S.order_blocks(days(spark, d)).select("symbol", text("t"), "kind", "bottom", "top", "mitigated")

@@ -15,7 +15,20 @@ def test_legs():
 
 def test_density():
     grid, d = kernels.density(np.linspace(-80, 80, 11), np.linspace(5, 95, 11))
-    assert (d >= 0).all() and float(((d[1:] + d[:-1]) / 2 * np.diff(grid)).sum()) == pytest.approx(1, abs=0.03) and d[0] == d[-1] == 0
+    assert (d >= 0).all() and float(((d[1:] + d[:-1]) / 2 * np.diff(grid)).sum()) == pytest.approx(1, abs=0.03) and d[0] < d.max() / 4 > d[-1]
+
+
+def test_monotone_slopes():
+    x = np.array([0.0, 1.0, 3.0, 4.0])
+    assert kernels.monotone_slopes(x, 2 * x) == pytest.approx([2, 2, 2, 2])
+    # harmonic mean 2 / (1/1 + 1/3) of equal widths; ends by the outer parabola, never below 0
+    assert kernels.monotone_slopes(np.array([0.0, 1.0, 2.0]), np.array([0.0, 1.0, 4.0])) == pytest.approx([0, 1.5, 4])
+    assert kernels.monotone_slopes(np.array([0.0, 1.0, 2.0]), np.array([0.0, 1.0, 0.0]))[1] == 0
+
+
+def test_legs_of_odd_length_and_net_move():
+    assert kernels.legs(np.array([100.0, 100.0, 100.0]))[-1][1] == 2
+    assert [x[4] for x in kernels.legs(np.array([100.0, 100.05, 100.0, 100.05, 100.05]), tol_pct=5)] == ["flat"]
 
 
 def test_registry(spark):

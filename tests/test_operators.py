@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline.functions.clock import session_window
-from tapeline.operators import bars, folds, indicators, levels, options, records, rules
+from tapeline.operators import bars, folds, indicators, levels, options, records, rules, structure
 from tapeline.sources import views
 from tapeline.streaming import bars as stream
 
@@ -34,6 +34,36 @@ def test_short_and_empty(spark):
         assert op(x.limit(0)).count() == 0
 
 
+def candles(spark, ohlc):
+    rows = [("X", dt.datetime(2024, 1, 2, 14, 30) + dt.timedelta(minutes=k), *map(float, x), 1000) for k, x in enumerate(ohlc)]
+    return spark.createDataFrame(rows, "symbol string, t timestamp, o double, h double, l double, c double, v long")
+
+
+def test_zones(spark):
+    flat = [(100, 101, 99, 100)] * 5
+    # the sixth candle falls, the next one's high passes the swing high; the one after the look-ahead returns into the zone
+    rise = [*flat, (100, 100.5, 98.00004, 99), (99, 104, 98.9, 103), (103, 105, 102, 104), (104, 106, 103, 105), (105, 105, 100, 101)]
+    got = structure.order_blocks(candles(spark, rise)).collect()
+    assert [(r.kind, r.bottom, r.top, r.mitigated) for r in got] == [("bullish", 98.0, 100.5, True)]
+    assert structure.order_blocks(candles(spark, rise[:8])).count() == 0  # no full look-ahead behind it
+    gaps = [(1, 2, 1, 2), (2, 4, 2, 4), (4, 6, 3.00004, 5), (5, 6, 4, 5), (5, 5, 2.5, 3)]
+    assert [(r.kind, r.bottom, r.top, r.filled) for r in levels.filled_gaps(candles(spark, gaps)).collect()] == [("bullish", 2.0, 3.0, True)]
+    steps = [(10 * k, 10 * k + 1, 10 * k, 10 * k + 1) for k in range(1, 15)]
+    assert levels.filled_gaps(candles(spark, steps)).count() == 6
+    for close, zone, inside in ((104.4, "discount", False), (105, "equilibrium", False), (105.6, "premium", False), (103, "discount", True)):
+        r = levels.premium_discount(candles(spark, [(100, 110, 100, 100), (100, 110, 100, close)])).first()
+        assert (r.zone, r.in_retracement) == (zone, inside)
+    assert levels.premium_discount(candles(spark, [(1, 1, 1, 1)])).first().zone is None
+    assert structure.momentum(frame(spark, [1, 2, 3])).first().pattern == "not enough bars"
+    assert structure.momentum(frame(spark, [1, 2, 3, 4])).first().pattern == "higher highs and lows"
+
+
+def test_ties_follow_the_id(spark):
+    t = dt.datetime(2024, 1, 2)
+    d = spark.createDataFrame([("X", t, float(p), 1, k) for k, p in ((3, 30), (1, 10), (2, 20))], "symbol string, t timestamp, p double, s long, id long")
+    assert [(r.o, r.c) for r in bars.rollup(d, 60).collect()] == [(10.0, 30.0)]
+
+
 def test_pivots(spark):
     rows = [("X", dt.datetime(2024, 1, k), 0.0, 110.0, 100.0, 105.0, 1) for k in (1, 2)]
     d = spark.createDataFrame(rows, "symbol string, t timestamp, o double, h double, l double, c double, v long")
