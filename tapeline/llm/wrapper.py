@@ -32,6 +32,7 @@ import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -242,8 +243,9 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     Equal subtrees at both ends of two child lists are paired first, which loses nothing: each
     then has its largest possible weight. No recursion, so depth does not matter.
     """
-    shaped(a)
-    shaped(b)
+    for root in (a, b):
+        if not hasattr(root, "shape"):  # a reference meets many pages
+            shaped(root)
     pairs: dict[tuple[int, int], list] = {}
     weight: dict[tuple[int, int], int] = {}
     left = [MATCH_CELLS]
@@ -344,9 +346,16 @@ def _content(tops: list[Node], template: set[int], inside: bool) -> str:
     return "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
 
 
-def varying(ref: Node, root: Node) -> dict[int, list[int]]:
+@lru_cache(maxsize=32)
+def _reference(page: str) -> tuple[Node, dict[int, int]]:
+    """A reference page's tree, and the number of each of its nodes."""
+    ref = parse(page)
+    return ref, {id(n): k for k, n in enumerate(numbered(ref))}
+
+
+def varying(reference: str, root: Node) -> dict[int, list[int]]:
     """For each node of the reference, by its number, that the page has: pages with an own text (0 or 1), of these equal ones, and letters outside links that vary."""
-    number = {id(n): k for k, n in enumerate(numbered(ref))}
+    ref, number = _reference(reference)
     home = {id(y): x for x, y in align(ref, root)}
     out: dict[int, list[int]] = {}
     todo: list[tuple[Node, int, bool]] = [(root, 0, False)]
@@ -398,9 +407,7 @@ def extract(page: str | None, reference: str | None = None, region: int | None =
         return ""
     root = parse(page)
     if reference and (region is not None or template):
-        ref = parse(reference)
-        nodes = numbered(ref)
-        place = {id(n): k for k, n in enumerate(nodes)}
+        ref, place = _reference(reference)
         pairs, chosen = align(ref, root), set(template)
         constant = {id(y) for x, y in pairs if place[id(x)] in chosen and x.text() == y.text()}
         top = next((y for x, y in pairs if place[id(x)] == region), None)
@@ -463,16 +470,6 @@ def _met(pages: DataFrame, wrappers: DataFrame, run, schema: str) -> DataFrame:
     return met.mapInArrow(travelled, schema)
 
 
-class _Parsed(dict):
-    """References by text, parsed; the memory is emptied when full."""
-
-    def __missing__(self, reference: str) -> Node:
-        if len(self) > 100:
-            self.clear()
-        self[reference] = node = parse(reference)
-        return node
-
-
 def induce(pages: DataFrame) -> DataFrame:
     """pages (page_id, host, layout, html) to one wrapper per host and layout: (host, layout, wrapper), the wrapper as JSON of reference, region and template."""
     by = ["host", "layout"]
@@ -481,12 +478,11 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def count(rows: Iterator[tuple[str | None, dict]]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
-        refs = _Parsed()
         for reference, r in rows:
             if reference is None or r["html"] == reference:
                 continue
             seen[r["host"], r["layout"], -1][0] += 1
-            for node, found in varying(refs[reference], parse(r["html"])).items():
+            for node, found in varying(reference, parse(r["html"])).items():
                 n = seen[r["host"], r["layout"], node]
                 for k in range(3):
                     n[k] += found[k]
