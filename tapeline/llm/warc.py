@@ -12,7 +12,7 @@ don't take part; they can be joined by record id.
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,16 +36,50 @@ def canonical_url(url: Column) -> Column:
     return F.when(part(1) == "", url).otherwise(F.concat(scheme, F.lit("://"), host, F.regexp_replace(part(3), "/+$", ""), query))
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of a file one after the other, or the bytes themselves; of a cut or damaged member what can be read, and nothing behind it."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at, rest = memoryview(data), 0, b""
+    while at < len(view) or rest:
+        member, out = zlib.decompressobj(31), []
+        try:
+            while not member.eof and (rest or at < len(view)):
+                chunk, rest = rest, b""
+                if not chunk:
+                    chunk, at = bytes(view[at : at + 65_536]), at + 65_536
+                out.append(member.decompress(chunk))
+        except zlib.error:
+            rest, at = b"", len(view)
+        else:
+            rest = member.unused_data
+        yield b"".join(out)
+
+
 def parse_records(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file's bytes, gzipped or not: type, url, record id, date, status, headers (lower-case names), payload."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    """Records of a WARC file's bytes, gzipped or not: type, url, record id, date, status, headers (lower-case names), payload.
+
+    A record without a readable length ends where the next one begins, or with the file; a
+    record cut off has the payload that is there; bytes that are no record are passed over.
+    """
+    for member in _members(data):
+        yield from _records(member)
+
+
+def _records(data: bytes) -> Iterator[dict]:
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
         cut = data.find(b"\r\n\r\n", start)
         if cut < 0:
             return
         head = _fields(data[start:cut])
-        size = int(head.get("content-length", "0") or 0)
+        length = head.get("content-length", "")
+        if length.isascii() and length.isdigit():
+            size = int(length)
+        else:
+            following = data.find(b"\r\n\r\nWARC/", cut + 2)
+            size = (len(data) if following < 0 else max(following, cut + 4)) - cut - 4
         body, at = data[cut + 4 : cut + 4 + size], cut + 4 + size
         status, headers = None, {}
         if head.get("content-type", "").startswith("application/http") and body.startswith(b"HTTP/"):
@@ -73,7 +107,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for content in batch["content"]:
-                yield pd.DataFrame(list(parse_records(bytes(content))), columns=["record_id", "kind", "url", "ts", "status", "headers", "digest", "payload"])
+                for record in parse_records(bytes(content)):
+                    yield pd.DataFrame([record], columns=["record_id", "kind", "url", "ts", "status", "headers", "digest", "payload"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, schema).withColumn("ts", F.to_timestamp("ts"))

@@ -193,3 +193,18 @@ def test_licences_match_plain_tf_idf(spark):
     rows = [(k, f"s/{k}.txt", t) for k, t in enumerate(texts)]
     got = {r.file_id: (r.own, round(r.score, 6)) for r in licence.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
     assert [got[k] for k in range(n)] == want and {w[0] for w in want} >= {"CC-BY-NC-4.0", "CC0-1.0", "MIT"}
+
+
+def test_damaged_warc_files():
+    def record(name, body, length=None):
+        return f"WARC/1.0\r\nWARC-Record-ID: {name}\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n{body}\r\n\r\n".encode()
+
+    read = lambda data: [(r["record_id"], bytes(r["payload"])) for r in warc.parse_records(data)]
+    assert read(record("a", "one", "x3") + record("b", "two")) == [("a", b"one"), ("b", b"two")]
+    assert read(record("a", "one", "") + b"junk") == [("a", b"one\r\n\r\njunk")]
+    assert read(record("a", "", "-5") + record("b", "two"))[-1] == ("b", b"two")
+    whole = b"".join(gzip.compress(record(str(k), "body " * 50)) for k in range(2000))
+    assert len(read(whole)) == 2000
+    assert [n for n, _ in read(whole[:-30])][:1999] == [str(k) for k in range(1999)]
+    assert len(read(whole[:5000] + b"broken" + whole[5006:])) >= 1
+    assert read(b"") == read(b"nothing") == read(b"WARC/1.0 no end") == []
