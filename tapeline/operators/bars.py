@@ -28,14 +28,19 @@ def daily(trades: DataFrame) -> DataFrame:
     return rollup(trades.withColumn("t", F.col("t")), 1440)
 
 
-def fill_gaps(bars: DataFrame, minutes: int) -> DataFrame:
-    """Per symbol and UTC date, every step between the first and last bar; missing bars repeat the previous close with v = 0 and synthetic = true."""
-    day = F.to_date("t")
-    ends = bars.groupBy("symbol", day.alias("d")).agg(F.min("t").alias("a"), F.max("t").alias("z"))
-    grid = ends.select("symbol", "d", F.explode(F.expr(f"sequence(a, z, interval {minutes} minutes)")).alias("t"))
-    w = W.partitionBy("symbol", "d").orderBy("t")
-    joined = grid.join(bars, ["symbol", "t"], "left").withColumn("synthetic", F.col("c").isNull())
-    last = F.last("c", ignorenulls=True).over(w)
+def fill_gaps(bars: DataFrame) -> DataFrame:
+    """Per symbol and UTC date, every step between the first and last bar; missing bars repeat the previous close with v = 0 and synthetic = true.
+
+    The step is the smallest spacing of the symbol's bars. Bars off the grid stay. A symbol of fewer
+    than three bars, or with two bars at one time, stays as it is.
+    """
+    gap = F.col("t") - F.lag("t").over(W.partitionBy("symbol").orderBy("t"))
+    every = W.partitionBy("symbol")
+    d = bars.select("symbol", "t", gap.alias("gap")).withColumns({"step": F.min("gap").over(every), "n": F.count("*").over(every)})
+    ends = d.where("n >= 3 and step > interval '0' second").groupBy("symbol", F.to_date("t").alias("d")).agg(F.min("t").alias("a"), F.max("t").alias("z"), F.first("step").alias("step"))
+    grid = ends.select("symbol", F.explode(F.expr("sequence(a, z, step)")).alias("t"))
+    joined = grid.join(bars, ["symbol", "t"], "full").withColumn("synthetic", F.col("c").isNull())
+    last = F.last("c", ignorenulls=True).over(W.partitionBy("symbol", F.to_date("t")).orderBy("t"))
     return joined.select(
         "symbol", "t", *[F.coalesce(x, last).alias(x) for x in ("o", "h", "l")], last.alias("c"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("vw", last).alias("vw"), "synthetic"
     )

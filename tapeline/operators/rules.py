@@ -15,12 +15,17 @@ def compare(value: Column, condition: Column, threshold: Column) -> Column:
     return F.coalesce(F.when(condition == "above", value >= threshold).when(condition == "below", value <= threshold), F.lit(False))
 
 
-def fire(rows: DataFrame, alerts: DataFrame) -> DataFrame:
-    """First time each one-shot alert (alert_id, symbol, field, condition, threshold) holds over rows (symbol, t, fields...)."""
+def fire(rows: DataFrame, alerts: DataFrame, sets: tuple[str, ...] = ()) -> DataFrame:
+    """The first hit of each set of one-shot alerts (alert_id, symbol, field, condition, threshold) over rows (symbol, t, fields...).
+
+    A hit clears its whole set, whatever symbol it is on. `sets` names columns of `alerts` that tell
+    sets apart; without them all alerts are one. Of hits at one time the smallest alert_id counts.
+    """
     fields = [c for c in rows.columns if c not in ("symbol", "t")]
     long = rows.unpivot(["symbol", "t"], fields, "field", "value")
     hit = long.join(alerts, ["symbol", "field"]).where(compare(F.col("value"), F.col("condition"), F.col("threshold")))
-    return hit.groupBy("alert_id", "symbol", "field").agg(F.min("t").alias("fired_at"), F.min_by("value", "t").alias("value"))
+    first = hit.groupBy(*sets).agg(F.min(F.struct("t", "alert_id", "symbol", "field", "value")).alias("_x")).where("_x is not null")
+    return first.select("_x.alert_id", "_x.symbol", "_x.field", F.col("_x.t").alias("fired_at"), "_x.value")
 
 
 def changes(rows: DataFrame, column: str) -> DataFrame:

@@ -37,8 +37,37 @@ def strategy_stats(activations: DataFrame) -> DataFrame:
     return g.withColumn("hit_rate", F.col("effective") / F.col("activations"))
 
 
-def trade_geometry(entry: Column, stop: Column, target: Column, least: float = 1.5) -> Column:
-    """Risk, reward, their ratio and whether it meets `least`; null where there is no risk."""
+def breakout_geometry(entry: Column, stop: Column, base_height: Column, atr: Column, resistance: Column) -> Column:
+    """A long breakout: targets one and two base heights and one and two ATR above the entry, each over the risk, the best
+    ratio (2 at least is wanted), and the room below the next resistance (none if it is already cleared).
+
+    Null unless 0 < stop < entry; a size or resistance that is null or not positive gives nulls of its own.
+    """
+    risk = F.when((stop > 0) & (stop < entry), entry - stop)
+    sizes = {"1_base": base_height, "2_base": 2 * base_height, "1_atr": atr, "2_atr": 2 * atr}
+    targets = {f"target{k}": F.when(size > 0, F.round(entry + size, 4)) for k, size in sizes.items()}
+    ratios = {k.replace("target", "ratio"): F.round((target - entry) / risk, 2) for k, target in targets.items()}
+    best = F.greatest(*ratios.values())
+    at_resistance = F.when(resistance > entry, F.round((resistance - entry) / risk, 2))
+    room = F.when(resistance > 0, (resistance <= entry) | (at_resistance >= 2))
+    out = {"risk": F.round(risk, 4)} | targets | ratios | {"best": best, "meets": F.coalesce(best >= 2, F.lit(False)), "ratio_at_resistance": at_resistance, "room": room}
+    return F.when(risk.isNotNull(), F.struct(*[c.alias(k) for k, c in out.items()]))
+
+
+def _plan(entry: Column, stop: Column, target: Column, least: float, valid: Column) -> Column:
     risk, reward = F.abs(entry - stop), F.abs(target - entry)
-    ratio = F.when(risk > 0, reward / risk)
-    return F.struct(risk.alias("risk"), reward.alias("reward"), ratio.alias("ratio"), (ratio >= least).alias("meets"))
+    ratio = F.when(valid, reward / risk)
+    out = {"stop": F.round(stop, 4), "target": F.round(target, 4), "risk": F.round(risk, 4), "reward": F.round(reward, 4), "ratio": F.round(ratio, 2), "meets": ratio >= least}
+    return F.when(valid, F.struct(*[c.alias(k) for k, c in out.items()]))
+
+
+def reversion_geometry(entry: Column, vwap: Column, deviation: Column, side: Column, least: float = 1.5) -> Column:
+    """Back to the VWAP with the stop one deviation beyond the entry: side 'long' from below it, 'short' from above; else null."""
+    long = F.lower(side) == "long"
+    valid = (entry > 0) & (vwap > 0) & (deviation > 0) & ((long & (entry < vwap)) | ((F.lower(side) == "short") & (entry > vwap)))
+    return _plan(entry, F.when(long, entry - deviation).otherwise(entry + deviation), vwap, least, valid)
+
+
+def block_geometry(entry: Column, stop: Column, target: Column, least: float = 3.0) -> Column:
+    """A long entry at a demand block, stop just beyond it, target at the next opposing level; null unless 0 < stop < entry < target."""
+    return _plan(entry, stop, target, least, (stop > 0) & (stop < entry) & (entry < target))

@@ -70,15 +70,30 @@ def momentum(bars: DataFrame, n: int = 10) -> DataFrame:
     return g.select("symbol", pattern.alias("pattern"), "relative_volume")
 
 
-def consolidation(bars: DataFrame) -> DataFrame:
-    """Range of the last 10 bars against the 20 before: contraction in percent, volume trend and whether the range coils."""
-    d = recent(bars).where("back <= 30")
-    new = F.col("back") <= 10
+def consolidation(bars: DataFrame, base_bars: int = 10, prior_bars: int = 20) -> DataFrame:
+    """The base of a symbol's last `base_bars` bars against the `prior_bars` before, of which five at least must exist.
+
+    Contraction of the range in percent, the trend of the mean volume (a tenth either way is flat),
+    bars that touch either edge (within 15 % of the height, or 0.1 % of the price), and whether the
+    base coils: contracted by more than 10 % on volume that doesn't rise.
+    """
+    w = W.partitionBy("symbol")
+    new = F.col("back") <= base_bars
+    d = recent(bars).where(F.col("back") <= base_bars + prior_bars)
+    d = d.withColumns({"_top": F.max(F.when(new, F.col("h"))).over(w), "_low": F.min(F.when(new, F.col("l"))).over(w), "_c": F.max(F.when(F.col("back") == 1, F.col("c"))).over(w)})
+    near = F.greatest((F.col("_top") - F.col("_low")) * 0.15, F.col("_c") * 0.001)
     g = d.groupBy("symbol").agg(
-        (F.max(F.when(new, F.col("h"))) - F.min(F.when(new, F.col("l")))).alias("base"), (F.max(F.when(~new, F.col("h"))) - F.min(F.when(~new, F.col("l")))).alias("prior"),
+        F.count("*").alias("_n"), F.first("_c").alias("c"), F.first("_top").alias("base_high"), F.first("_low").alias("base_low"), (F.max(F.when(~new, F.col("h"))) - F.min(F.when(~new, F.col("l")))).alias("prior"),
         F.avg(F.when(new, F.col("v"))).alias("nv"), F.avg(F.when(~new, F.col("v"))).alias("ov"),
+        F.count_if(new & (F.col("_top") - F.col("h") <= near)).alias("touches_high"), F.count_if(new & (F.col("l") - F.col("_low") <= near)).alias("touches_low"),
+    ).where(F.col("_n") >= base_bars + 5).withColumn("base", F.col("base_high") - F.col("base_low"))
+    contraction = F.when(F.col("prior") > 0, (F.col("prior") - F.col("base")) / F.col("prior") * 100).otherwise(0.0)
+    volume = F.when(F.coalesce("ov", F.lit(0.0)) == 0, "unknown").when(F.col("nv") < F.col("ov") * 0.9, "declining").when(F.col("nv") > F.col("ov") * 1.1, "rising").otherwise("flat")
+    g = g.withColumns({"contraction_pct": contraction, "volume": volume, "height_pct": F.when(F.col("c") != 0, F.col("base") / F.col("c") * 100).otherwise(0.0)})
+    return g.select(
+        "symbol", "base_high", "base_low", "base", "height_pct", "prior", "contraction_pct", "volume", "touches_high", "touches_low",
+        ((F.col("touches_high") >= 2) | (F.col("touches_low") >= 2)).alias("well_tested"), ((F.col("contraction_pct") > 10) & F.col("volume").isin("declining", "flat")).alias("coiling"),
     )
-    return g.select("symbol", "base", "prior", F.when(F.col("prior") > 0, (1 - F.col("base") / F.col("prior")) * 100).alias("contraction_pct"), F.when(F.col("nv") < F.col("ov"), "declining").otherwise("rising").alias("volume"), (F.col("base") < F.col("prior") / 2).alias("coiling"))
 
 
 def price_time_histogram(bars: DataFrame, prices: int = 50, times: int = 20) -> DataFrame:
@@ -90,7 +105,7 @@ def price_time_histogram(bars: DataFrame, prices: int = 50, times: int = 20) ->
     return d.where("_hi > _lo").groupBy("symbol", price.alias("price_bin"), time.alias("time_bucket")).agg(F.sum("v").alias("v"))
 
 
-def weighted_lines(days: DataFrame, spans: tuple[int, ...] = (7, 14, 28)) -> DataFrame:
+def weighted_lines(days: DataFrame, spans: tuple[int, ...] = (7, 28, 365)) -> DataFrame:
     """Volume-weighted close over the last N days of each symbol, one column a span."""
     last = F.max("t").over(W.partitionBy("symbol"))
     d = days.withColumn("_age", F.datediff(last, "t"))

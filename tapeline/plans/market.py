@@ -80,13 +80,15 @@ def latest_trade(spark, d):
 
 
 @query(
-    f"WITH {HALVES}, e AS (SELECT symbol, CAST(t AS DATE) AS d, min(t) AS a, max(t) AS z FROM bars GROUP BY ALL), g AS (SELECT symbol, d, unnest(generate_series(a, z, INTERVAL 30 minute)) AS t FROM e), "
-    "j AS (SELECT g.symbol, g.d, g.t, b.* EXCLUDE (symbol, t) FROM g LEFT JOIN bars b ON g.symbol = b.symbol AND g.t = b.t), "
-    "k AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY symbol, d ORDER BY t ROWS UNBOUNDED PRECEDING) AS p FROM j) "
+    f"WITH {HALVES}, s AS (SELECT symbol, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS gap FROM bars), m AS (SELECT symbol, min(gap) AS step FROM s GROUP BY symbol HAVING count(*) >= 3), "
+    "e AS (SELECT symbol, CAST(t AS DATE) AS d, min(t) AS a, max(t) AS z FROM bars GROUP BY ALL), g AS (SELECT e.symbol, unnest(generate_series(a, z, step)) AS t FROM e JOIN m ON e.symbol = m.symbol), "
+    "j AS (SELECT coalesce(g.symbol, b.symbol) AS symbol, coalesce(g.t, b.t) AS t, b.* EXCLUDE (symbol, t) FROM g FULL JOIN bars b ON g.symbol = b.symbol AND g.t = b.t), "
+    "k AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t ROWS UNBOUNDED PRECEDING) AS p FROM j) "
     f"SELECT symbol, {TEXT.format('t')} AS t, coalesce(o, p) AS o, coalesce(h, p) AS h, coalesce(l, p) AS l, p AS c, coalesce(v, 0) AS v, c IS NULL AS synthetic FROM k"
 )
 def gap_fill(spark, d):
-    return B.fill_gaps(B.rollup(V.trades(spark, d), 30), 30).select("symbol", text("t"), "o", "h", "l", "c", "v", "synthetic")
+    return B.fill_gaps(B.rollup(V.trades(spark, d), 30)).select("symbol", text("t"), "o", "h", "l", "c", "v", "synthetic")
+
 
 
 @query(
@@ -252,7 +254,7 @@ def average_daily_volume(spark, d):
     return B.average_daily_volume(days(spark, d)).select("symbol", "days", r("adv"))
 
 
-_NEWS = "news AS (SELECT event_id AS id, event_type AS symbol, ts AS created_at FROM events WHERE user_id % 50 = 0)"
+_NEWS = "news AS (SELECT event_id AS id, event_type AS symbol, ts AS created_at FROM events)"
 
 
 @query(f"WITH {HOURS}, {_NEWS} SELECT n.id, n.symbol, {TEXT.format('coalesce(b.t, f.t)')} AS t, coalesce(b.c, f.c) AS c FROM news n ASOF LEFT JOIN bars b ON n.symbol = b.symbol AND n.created_at >= b.t LEFT JOIN (SELECT symbol, min(t) AS t, arg_min(c, t) AS c FROM bars GROUP BY symbol) f ON f.symbol = n.symbol")
@@ -266,18 +268,9 @@ def spike_news(spark, d):
     return J.within(spikes, V.news(spark, d), "symbol", "t", "created_at", 900).select("symbol", text("t"), "id")
 
 
-_ALL_NEWS = "news AS (SELECT event_id AS id, event_type AS symbol, ts AS created_at FROM events)"
-
-
-@query(f"WITH {HOURS}, {_ALL_NEWS} SELECT n.id, n.symbol, {TEXT.format('coalesce(b.t, f.t)')} AS t, coalesce(b.c, f.c) AS c FROM news n ASOF LEFT JOIN bars b ON n.symbol = b.symbol AND n.created_at >= b.t LEFT JOIN (SELECT symbol, min(t) AS t, arg_min(c, t) AS c FROM bars GROUP BY symbol) f ON f.symbol = n.symbol")
-def all_news_to_bar(spark, d):
-    return J.asof_backward(V.all_news(spark, d), hours(spark, d), "symbol", "created_at", "t", ["c"], clip=True).select("id", "symbol", text("t"), "c")
-
-
-@query(f"WITH {QUARTERS}, {_ALL_NEWS}, m AS (SELECT symbol, median(v) AS base FROM bars WHERE v > 0 GROUP BY symbol), s AS (SELECT b.symbol, b.t FROM bars b JOIN m ON b.symbol = m.symbol WHERE v >= 3 * base) SELECT s.symbol, {TEXT.format('s.t')} AS t, n.id FROM s JOIN news n ON s.symbol = n.symbol AND abs(epoch_us(s.t) - epoch_us(n.created_at)) <= 900000000")
-def spike_all_news(spark, d):
-    spikes = L.volume_spikes(B.rollup(V.trades(spark, d), 15)).select("symbol", "t")
-    return J.within(spikes, V.all_news(spark, d), "symbol", "t", "created_at", 900).select("symbol", text("t"), "id")
+#: Earlier names of the two.
+for _old, _new in (("all_news_to_bar", "news_to_bar"), ("spike_all_news", "spike_news")):
+    QUERIES[_old], SQL[_old] = QUERIES[_new], SQL[_new]
 
 
 @query(f"WITH {TRADES} SELECT symbol, {TEXT.format("time_bucket(INTERVAL 1 hour, t)")} AS t, round(quantile_cont(p, 0.2), 6) AS p20, round(quantile_cont(p, 0.8), 6) AS p80 FROM trades GROUP BY symbol, time_bucket(INTERVAL 1 hour, t)")
@@ -375,11 +368,11 @@ def trailing_stop(spark, d):
     return R.trailing_stop(hours(spark, d)).select("symbol", text("t"), "c", "high", r("stop"), "hit")
 
 
-@query(f"WITH {HOURS}, m AS (SELECT symbol, avg(c) AS a, avg(v) AS b FROM bars GROUP BY symbol), k AS (SELECT symbol || '-c' AS alert_id, symbol, 'c' AS field, round(a * 1.5, 3) AS x FROM m UNION ALL SELECT symbol || '-v', symbol, 'v', round(b * 2, 3) FROM m), u AS (SELECT symbol, t, 'c' AS field, c AS value FROM bars UNION ALL SELECT symbol, t, 'v', CAST(v AS DOUBLE) FROM bars) SELECT alert_id, k.symbol, k.field, {TEXT.format('min(t)')} AS fired_at, arg_min(value, t) AS value FROM u JOIN k ON u.symbol = k.symbol AND u.field = k.field WHERE value >= x GROUP BY ALL")
+@query(f"WITH {HOURS}, m AS (SELECT symbol, avg(c) AS a, avg(v) AS b FROM bars GROUP BY symbol), k AS (SELECT symbol || '-c' AS alert_id, symbol, 'c' AS field, round(a * 1.5, 3) AS x FROM m UNION ALL SELECT symbol || '-v', symbol, 'v', round(b * 2, 3) FROM m), u AS (SELECT symbol, t, 'c' AS field, c AS value FROM bars UNION ALL SELECT symbol, t, 'v', CAST(v AS DOUBLE) FROM bars), z AS (SELECT alert_id, k.symbol, k.field, t, value, row_number() OVER (PARTITION BY k.field ORDER BY t, alert_id) AS n FROM u JOIN k ON u.symbol = k.symbol AND u.field = k.field WHERE value >= x) SELECT alert_id, symbol, field, {TEXT.format('t')} AS fired_at, value FROM z WHERE n = 1")
 def alerts(spark, d):
     x = hours(spark, d).select("symbol", "t", "c", F.col("v").cast("double").alias("v"))
     m = x.groupBy("symbol").agg(F.round(F.avg("c") * 1.5, 3).alias("c"), F.round(F.avg("v") * 2, 3).alias("v")).unpivot(["symbol"], ["c", "v"], "field", "threshold")
-    return R.fire(x, m.withColumns({"alert_id": F.concat_ws("-", "symbol", "field"), "condition": F.lit("above")})).select("alert_id", "symbol", "field", text("fired_at"), "value")
+    return R.fire(x, m.withColumns({"alert_id": F.concat_ws("-", "symbol", "field"), "condition": F.lit("above"), "set": F.col("field")}), ("set",)).select("alert_id", "symbol", "field", text("fired_at"), "value")
 
 
 @query(
@@ -417,11 +410,16 @@ def momentum_pattern(spark, d):
 
 
 @query(
-    _BACK + ", g AS (SELECT symbol, max(CASE WHEN back <= 10 THEN h END) - min(CASE WHEN back <= 10 THEN l END) AS base, max(CASE WHEN back > 10 THEN h END) - min(CASE WHEN back > 10 THEN l END) AS prior, avg(CASE WHEN back <= 10 THEN v END) AS nv, avg(CASE WHEN back > 10 THEN v END) AS ov FROM a WHERE back <= 30 GROUP BY symbol) "
-    "SELECT symbol, base, prior, round(CASE WHEN prior > 0 THEN (1 - base / prior) * 100 END, 6) AS contraction_pct, CASE WHEN nv < ov THEN 'declining' ELSE 'rising' END AS volume, base < prior / 2 AS coiling FROM g"
+    _BACK + ", e AS (SELECT *, max(CASE WHEN back <= 10 THEN h END) OVER w AS top, min(CASE WHEN back <= 10 THEN l END) OVER w AS low, max(CASE WHEN back = 1 THEN c END) OVER w AS z FROM a WHERE back <= 30 WINDOW w AS (PARTITION BY symbol)), "
+    "g AS (SELECT symbol, any_value(top) AS base_high, any_value(low) AS base_low, any_value(top) - any_value(low) AS base, any_value(z) AS z, max(CASE WHEN back > 10 THEN h END) - min(CASE WHEN back > 10 THEN l END) AS prior, avg(CASE WHEN back <= 10 THEN v END) AS nv, avg(CASE WHEN back > 10 THEN v END) AS ov, "
+    "count(*) FILTER (back <= 10 AND top - h <= greatest((top - low) * 0.15, z * 0.001)) AS touches_high, count(*) FILTER (back <= 10 AND l - low <= greatest((top - low) * 0.15, z * 0.001)) AS touches_low FROM e GROUP BY symbol HAVING count(*) >= 15), "
+    "f AS (SELECT *, CASE WHEN prior > 0 THEN (prior - base) / prior * 100 ELSE 0 END AS pct, CASE WHEN coalesce(ov, 0) = 0 THEN 'unknown' WHEN nv < ov * 0.9 THEN 'declining' WHEN nv > ov * 1.1 THEN 'rising' ELSE 'flat' END AS volume FROM g) "
+    "SELECT symbol, base_high, base_low, base, round(CASE WHEN z <> 0 THEN base / z * 100 ELSE 0 END, 6) AS height_pct, prior, round(pct, 6) AS contraction_pct, volume, touches_high, touches_low, touches_high >= 2 OR touches_low >= 2 AS well_tested, pct > 10 AND volume IN ('declining', 'flat') AS coiling FROM f"
 )
 def consolidation(spark, d):
-    return S.consolidation(hours(spark, d)).select("symbol", "base", "prior", r("contraction_pct"), "volume", "coiling")
+    got = S.consolidation(hours(spark, d))
+    return got.withColumns({"height_pct": F.round("height_pct", 6), "contraction_pct": F.round("contraction_pct", 6)})
+
 
 
 @query(
@@ -432,9 +430,59 @@ def price_time_histogram(spark, d):
     return S.price_time_histogram(hours(spark, d))
 
 
-@query(f"WITH {DAYS}, a AS (SELECT *, date_diff('day', t, max(t) OVER (PARTITION BY symbol)) AS age FROM bars) SELECT symbol, round(sum(CASE WHEN age <= 7 THEN c * v END) / sum(CASE WHEN age <= 7 THEN v END), 6) AS line_7, round(sum(CASE WHEN age <= 14 THEN c * v END) / sum(CASE WHEN age <= 14 THEN v END), 6) AS line_14, round(sum(CASE WHEN age <= 28 THEN c * v END) / sum(CASE WHEN age <= 28 THEN v END), 6) AS line_28 FROM a GROUP BY symbol")
+@query(
+    f"WITH {DAYS}, a AS (SELECT *, date_diff('day', t, max(t) OVER (PARTITION BY symbol)) AS age FROM bars) SELECT symbol, "
+    + ", ".join(f"round(sum(CASE WHEN age <= {n} THEN c * v END) / sum(CASE WHEN age <= {n} THEN v END), 6) AS line_{n}" for n in (7, 28, 365)) + " FROM a GROUP BY symbol"
+)
 def weighted_lines(spark, d):
-    return S.weighted_lines(days(spark, d)).select("symbol", r("line_7"), r("line_14"), r("line_28"))
+    return S.weighted_lines(days(spark, d)).select("symbol", r("line_7"), r("line_28"), r("line_365"))
+
+
+@query(
+    f"WITH {DAYS}, a AS (SELECT *, lag(h) OVER (PARTITION BY symbol ORDER BY t) AS top FROM bars), b AS (SELECT *, h - l AS risk, round(h + (h - c), 4) AS t1, round(h + 2 * (h - c), 4) AS t2 FROM a WHERE l > 0 AND l < h), "
+    "r AS (SELECT *, CASE WHEN h > c THEN round((t1 - h) / risk, 2) END AS r1, CASE WHEN h > c THEN round((t2 - h) / risk, 2) END AS r2, CASE WHEN h > o THEN round((round(h + (h - o), 4) - h) / risk, 2) END AS a1, CASE WHEN h > o THEN round((round(h + 2 * (h - o), 4) - h) / risk, 2) END AS a2, CASE WHEN top > h THEN round((top - h) / risk, 2) END AS near FROM b) "
+    f"SELECT symbol, {TEXT.format('t')} AS t, round(risk, 4) AS risk, r1 AS ratio1_base, r2 AS ratio2_base, a1 AS ratio1_atr, a2 AS ratio2_atr, greatest(r1, r2, a1, a2) AS best, coalesce(greatest(r1, r2, a1, a2) >= 2, false) AS meets, near AS ratio_at_resistance, CASE WHEN top > 0 THEN top <= h OR near >= 2 END AS room FROM r"
+)
+def breakout_plans(spark, d):
+    """A breakout of each day's high with the stop at its low, the previous high as resistance."""
+    x = days(spark, d).withColumn("top", F.lag("h").over(I.by()))
+    x = x.withColumn("g", G.breakout_geometry(F.col("h"), F.col("l"), F.col("h") - F.col("c"), F.col("h") - F.col("o"), F.col("top"))).where("g is not null")
+    return x.select("symbol", text("t"), *[f"g.{k}" for k in ("risk", "ratio1_base", "ratio2_base", "ratio1_atr", "ratio2_atr", "best", "meets", "ratio_at_resistance", "room")])
+
+
+@query(
+    f"WITH {HOURS}, a AS (SELECT *, (h - l) / 4 AS sd, CASE WHEN c < vw THEN 'long' ELSE 'short' END AS side FROM bars), b AS (SELECT *, CASE WHEN side = 'long' THEN c - sd ELSE c + sd END AS stop FROM a WHERE c > 0 AND vw > 0 AND sd > 0 AND c <> vw) "
+    f"SELECT symbol, {TEXT.format('t')} AS t, side, round(stop, 4) AS stop, round(vw, 4) AS target, round(abs(c - stop), 4) AS risk, round(abs(vw - c), 4) AS reward, round(abs(vw - c) / abs(c - stop), 2) AS ratio, abs(vw - c) / abs(c - stop) >= 1.5 AS meets FROM b"
+)
+def reversion_plans(spark, d):
+    """A return of each hour's close to its VWAP, a quarter of the range as deviation."""
+    x = hours(spark, d).withColumn("side", F.when(F.col("c") < F.col("vw"), "long").otherwise("short"))
+    x = x.withColumn("g", G.reversion_geometry(F.col("c"), F.col("vw"), (F.col("h") - F.col("l")) / 4, F.col("side"))).where("g is not null")
+    return x.select("symbol", text("t"), "side", "g.*")
+
+
+@query(
+    f"WITH {HOURS}, b AS (SELECT * FROM bars WHERE l > 0 AND l < c AND c < h) "
+    f"SELECT symbol, {TEXT.format('t')} AS t, round(l, 4) AS stop, round(h, 4) AS target, round(c - l, 4) AS risk, round(h - c, 4) AS reward, round((h - c) / (c - l), 2) AS ratio, (h - c) / (c - l) >= 3 AS meets FROM b"
+)
+def block_plans(spark, d):
+    """A long entry at each hour's close, its low as stop and its high as target."""
+    x = hours(spark, d).withColumn("g", G.block_geometry(F.col("c"), F.col("l"), F.col("h"))).where("g is not null")
+    return x.select("symbol", text("t"), "g.*")
+
+
+@query(
+    f"WITH {DAYS}, a AS (SELECT symbol AS strategy, CASE WHEN c >= o THEN 'up' ELSE 'down' END AS regime, CASE WHEN v % 3 <> 0 THEN (c / nullif(o, 0) - 1) * 100 END AS return_pct, v % 2 AS active FROM bars) "
+    "SELECT strategy, count(*) AS activations, count(*) FILTER (CASE WHEN return_pct IS NOT NULL THEN return_pct > 0 ELSE active > 0 END) AS effective, count(*) FILTER (active = 0) AS alert_only, round(avg(return_pct), 6) AS mean_return, "
+    "string_agg(DISTINCT regime, ',' ORDER BY regime) AS regimes, round(count(*) FILTER (CASE WHEN return_pct IS NOT NULL THEN return_pct > 0 ELSE active > 0 END) / count(*), 6) AS hit_rate FROM a GROUP BY strategy"
+)
+def strategy_stats(spark, d):
+    """Each day of a symbol as an activation; days whose volume is a multiple of three have no known return."""
+    x = days(spark, d).select(
+        F.col("symbol").alias("strategy"), F.when(F.col("c") >= F.col("o"), "up").otherwise("down").alias("regime"), F.when(F.col("v") % 3 != 0, (F.col("c") / F.nullif("o", F.lit(0.0)) - 1) * 100).alias("return_pct"), (F.col("v") % 2).alias("active")
+    )
+    return G.strategy_stats(x).select("strategy", "activations", "effective", "alert_only", r("mean_return"), F.concat_ws(",", "regimes").alias("regimes"), r("hit_rate"))
+
 
 
 _NUMBERS = r"n AS (SELECT conv_id, turn, role, CAST(replace(x, ',', '') AS DOUBLE) AS x FROM (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '-?\d+(?:,\d{3})*(?:\.\d+)?')) AS x FROM conversations) WHERE abs(CAST(replace(x, ',', '') AS DOUBLE)) >= 10)"

@@ -17,12 +17,6 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, symbol, created_at): every event of a user divisible by 50."""
-    e = table(spark, sf_dir, "events").where("user_id % 50 = 0")
-    return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("ts").alias("created_at"))
-
-
-def all_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, symbol, created_at): every event."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("ts").alias("created_at"))

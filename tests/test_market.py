@@ -35,7 +35,6 @@ def test_matches_sql(spark, duck, name):
     assert norm(tuple(r[c] for c in cols) for r in got.collect()) == norm(want.project(", ".join(f'"{c}"' for c in cols)).fetchall())
 
 
-def test_all_news_takes_every_event(spark, duck):
+def test_news_takes_every_event(spark, duck):
     n = duck.sql("SELECT count(*) FROM events").fetchall()[0][0]
-    assert market.QUERIES["all_news_to_bar"](spark, DATA).count() == n
-    assert market.QUERIES["spike_all_news"](spark, DATA).count() > market.QUERIES["spike_news"](spark, DATA).count()
+    assert market.QUERIES["news_to_bar"](spark, DATA).count() == n

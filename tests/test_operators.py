@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline.functions.clock import session_window
-from tapeline.operators import bars, folds, indicators, levels, options, records, rules, structure
+from tapeline.operators import bars, folds, indicators, levels, options, records, rules, scoring, structure
 from tapeline.sources import views
 from tapeline.streaming import bars as stream
 
@@ -72,7 +72,7 @@ def test_pivots(spark):
 
 def test_gap_fill(spark):
     d = frame(spark, [101, 102, 103, 104, 105])
-    assert [(r.c, r.v, r.synthetic) for r in bars.fill_gaps(d.where("c not in (103, 104)").withColumn("vw", F.col("c")), 1).orderBy("t").collect()] == [(101, 1000, False), (102, 1000, False), (102, 0, True), (102, 0, True), (105, 1000, False)]
+    assert [(r.c, r.v, r.synthetic) for r in bars.fill_gaps(d.where("c not in (103, 104)").withColumn("vw", F.col("c"))).orderBy("t").collect()] == [(101, 1000, False), (102, 1000, False), (102, 0, True), (102, 0, True), (105, 1000, False)]
 
 
 def test_chain_sides(spark):
@@ -125,3 +125,39 @@ def test_streaming_twins(spark, tmp_path):
     assert len(got) >= len(want) - 4 and all(want[k] == v for k, v in got.items())
     stops = stream.run_available(stream.trailing_stop(src.select("symbol", "t", "p")), "stops", str(tmp_path / "c2")).collect()
     assert stops and all(r.p <= r.high * 0.95 for r in stops)
+
+
+def test_gap_fill_keeps_short_and_odd_bars(spark):
+    d = frame(spark, range(101, 108)).withColumn("vw", F.col("c"))
+    assert bars.fill_gaps(d.where("c in (101, 105)")).where("synthetic").count() == 0
+    odd = d.where("c in (101, 103, 106)")  # step 2 minutes: 105 is filled, 106 is off the grid
+    assert [(r.c, r.synthetic) for r in bars.fill_gaps(odd).orderBy("t").collect()] == [(101, False), (103, False), (103, True), (106, False)]
+
+
+def test_first_hit_clears_the_set(spark):
+    rows = frame(spark, [1, 2, 3, 4]).select("symbol", "t", "c")
+    alerts = spark.createDataFrame([("b", "X", "c", "above", 2.0, 1), ("a", "X", "c", "above", 2.0, 1), ("z", "X", "c", "above", 4.0, 2)], "alert_id string, symbol string, field string, condition string, threshold double, owner int")
+    assert [(r.alert_id, r.value) for r in rules.fire(rows, alerts).collect()] == [("a", 2.0)]
+    assert sorted(r.alert_id for r in rules.fire(rows, alerts, ("owner",)).collect()) == ["a", "z"]
+    assert rules.fire(rows.limit(0), alerts).count() == 0
+
+
+def test_consolidation_touches_and_coil(spark):
+    base = candles(spark, [(100, 110, 90, 100)] * 20 + [(100, 101, 99, 100)] * 10)
+    got = structure.consolidation(base).first()
+    assert (got.base, got.contraction_pct, got.volume, got.touches_high, got.well_tested, got.coiling) == (2.0, 90.0, "flat", 10, True, True)
+    assert structure.consolidation(base.limit(14)).count() == 0
+
+
+def test_trade_geometries(spark):
+    one, c = spark.range(1), lambda *x: [F.lit(float(k)) if k is not None else F.lit(None).cast("double") for k in x]
+    g = one.select(scoring.breakout_geometry(*c(100, 98, 4, 2, 103)).alias("g")).first().g
+    assert (g.target2_base, g.ratio1_base, g.ratio2_base, g.ratio1_atr, g.best, g.meets, g.ratio_at_resistance, g.room) == (108.0, 2.0, 4.0, 1.0, 4.0, True, 1.5, False)
+    g = one.select(scoring.breakout_geometry(*c(100, 98, None, 0, 99)).alias("g")).first().g
+    assert (g.best, g.meets, g.room) == (None, False, True)
+    assert one.select(scoring.breakout_geometry(*c(100, 101, 4, 2, 103)).alias("g")).first().g is None
+    g = one.select(scoring.reversion_geometry(*c(96, 100, 2), F.lit("Long")).alias("g")).first().g
+    assert (g.stop, g.target, g.ratio, g.meets) == (94.0, 100.0, 2.0, True)
+    assert one.select(scoring.reversion_geometry(*c(96, 100, 2), F.lit("short")).alias("g")).first().g is None
+    g = one.select(scoring.block_geometry(*c(100, 99, 102)).alias("g")).first().g
+    assert (g.ratio, g.meets) == (2.0, False)
