@@ -42,6 +42,11 @@ def text(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
+def half_up(x: str, places: int) -> str:
+    """SQL that rounds the shortest decimal form of a double, halves away from zero, as F.round does."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 22)), {places}) AS DOUBLE)"
+
+
 def r(c: str, places: int = 6):
     return F.round(c, places).alias(c)
 
@@ -440,7 +445,7 @@ def weighted_lines(spark, d):
 
 @query(
     f"WITH {DAYS}, a AS (SELECT *, lag(h) OVER (PARTITION BY symbol ORDER BY t) AS top FROM bars), b AS (SELECT *, h - l AS risk, round(h + (h - c), 4) AS t1, round(h + 2 * (h - c), 4) AS t2 FROM a WHERE l > 0 AND l < h), "
-    "r AS (SELECT *, CASE WHEN h > c THEN round((t1 - h) / risk, 2) END AS r1, CASE WHEN h > c THEN round((t2 - h) / risk, 2) END AS r2, CASE WHEN h > o THEN round((round(h + (h - o), 4) - h) / risk, 2) END AS a1, CASE WHEN h > o THEN round((round(h + 2 * (h - o), 4) - h) / risk, 2) END AS a2, CASE WHEN top > h THEN round((top - h) / risk, 2) END AS near FROM b) "
+    f"r AS (SELECT *, CASE WHEN h > c THEN {half_up('(t1 - h) / risk', 2)} END AS r1, CASE WHEN h > c THEN {half_up('(t2 - h) / risk', 2)} END AS r2, CASE WHEN h > o THEN round((round(h + (h - o), 4) - h) / risk, 2) END AS a1, CASE WHEN h > o THEN round((round(h + 2 * (h - o), 4) - h) / risk, 2) END AS a2, CASE WHEN top > h THEN {half_up('(top - h) / risk', 2)} END AS near FROM b) "
     f"SELECT symbol, {TEXT.format('t')} AS t, round(risk, 4) AS risk, r1 AS ratio1_base, r2 AS ratio2_base, a1 AS ratio1_atr, a2 AS ratio2_atr, greatest(r1, r2, a1, a2) AS best, coalesce(greatest(r1, r2, a1, a2) >= 2, false) AS meets, near AS ratio_at_resistance, CASE WHEN top > 0 THEN top <= h OR near >= 2 END AS room FROM r"
 )
 def breakout_plans(spark, d):
@@ -451,19 +456,19 @@ def breakout_plans(spark, d):
 
 
 @query(
-    f"WITH {HOURS}, a AS (SELECT *, (h - l) / 4 AS sd, CASE WHEN c < vw THEN 'long' ELSE 'short' END AS side FROM bars), b AS (SELECT *, CASE WHEN side = 'long' THEN c - sd ELSE c + sd END AS stop FROM a WHERE c > 0 AND vw > 0 AND sd > 0 AND c <> vw) "
-    f"SELECT symbol, {TEXT.format('t')} AS t, side, round(stop, 4) AS stop, round(vw, 4) AS target, round(abs(c - stop), 4) AS risk, round(abs(vw - c), 4) AS reward, round(abs(vw - c) / abs(c - stop), 2) AS ratio, abs(vw - c) / abs(c - stop) >= 1.5 AS meets FROM b"
+    f"WITH {HOURS}, a AS (SELECT symbol, t, c, (h + l + c) / 3 AS m, (h - l) / 4 AS sd FROM bars), b AS (SELECT *, CASE WHEN c < m THEN 'long' ELSE 'short' END AS side, CASE WHEN c < m THEN c - sd ELSE c + sd END AS stop FROM a WHERE c > 0 AND m > 0 AND sd > 0 AND c <> m) "
+    f"SELECT symbol, {TEXT.format('t')} AS t, side, {half_up('stop', 4)} AS stop, {half_up('m', 4)} AS target, {half_up('abs(c - stop)', 4)} AS risk, {half_up('abs(m - c)', 4)} AS reward, {half_up('abs(m - c) / abs(c - stop)', 2)} AS ratio, abs(m - c) / abs(c - stop) >= 1.5 AS meets FROM b"
 )
 def reversion_plans(spark, d):
-    """A return of each hour's close to its VWAP, a quarter of the range as deviation."""
-    x = hours(spark, d).withColumn("side", F.when(F.col("c") < F.col("vw"), "long").otherwise("short"))
-    x = x.withColumn("g", G.reversion_geometry(F.col("c"), F.col("vw"), (F.col("h") - F.col("l")) / 4, F.col("side"))).where("g is not null")
+    """A return of each hour's close to its typical price, a quarter of the range as deviation."""
+    x = hours(spark, d).withColumn("m", (F.col("h") + F.col("l") + F.col("c")) / 3).withColumn("side", F.when(F.col("c") < F.col("m"), "long").otherwise("short"))
+    x = x.withColumn("g", G.reversion_geometry(F.col("c"), F.col("m"), (F.col("h") - F.col("l")) / 4, F.col("side"))).where("g is not null")
     return x.select("symbol", text("t"), "side", "g.*")
 
 
 @query(
     f"WITH {HOURS}, b AS (SELECT * FROM bars WHERE l > 0 AND l < c AND c < h) "
-    f"SELECT symbol, {TEXT.format('t')} AS t, round(l, 4) AS stop, round(h, 4) AS target, round(c - l, 4) AS risk, round(h - c, 4) AS reward, round((h - c) / (c - l), 2) AS ratio, (h - c) / (c - l) >= 3 AS meets FROM b"
+    f"SELECT symbol, {TEXT.format('t')} AS t, {half_up('l', 4)} AS stop, {half_up('h', 4)} AS target, {half_up('c - l', 4)} AS risk, {half_up('h - c', 4)} AS reward, {half_up('(h - c) / (c - l)', 2)} AS ratio, (h - c) / (c - l) >= 3 AS meets FROM b"
 )
 def block_plans(spark, d):
     """A long entry at each hour's close, its low as stop and its high as target."""
