@@ -26,17 +26,19 @@ def paper_fills(orders: DataFrame, cash: float = 1000.0, fee: float = FEE) -> Da
     return orders.groupBy("account").applyInPandas(fold, "account string, seq long, symbol string, action string, filled double, status string, cash_after double, position_after double")
 
 
-def suppress_neighbours(peaks: DataFrame, width: int = 5) -> DataFrame:
-    """Peaks (symbol, i, v): by falling volume, each suppresses those within `width` positions; ties by position."""
+def suppress_neighbours(peaks: DataFrame, width: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """Peaks (keys, by default symbol; i, v): by falling volume, each suppresses those within `width` positions; ties by position."""
+    keys = keys or ["symbol"]
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[int] = []
+        chosen: set[int] = set()
         for i in rows.sort_values(["v", "i"], ascending=[False, True])["i"]:
-            if all(abs(i - j) > width for j in chosen):
-                chosen.append(i)
+            if chosen.isdisjoint(range(i - width, i + width + 1)):
+                chosen.add(i)
         return rows[rows["i"].isin(chosen)]
 
-    return peaks.select("symbol", "i", "v").groupBy("symbol").applyInPandas(keep, peaks.select("symbol", "i", "v").schema)
+    narrow = peaks.select(*keys, "i", "v")
+    return narrow.groupBy(*keys).applyInPandas(keep, narrow.schema)
 
 
 def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:

@@ -23,6 +23,21 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_on: str, righ
     return a.unionByName(b).withColumn("_m", found).where("_side = 1").select("_l.*", F.col("_m._at").alias(right_on), *[F.col(f"_m.{c}").alias(c) for c in take])
 
 
+def nearest(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, take: list[str]) -> DataFrame:
+    """left with the columns `take` of the right row nearest in time, the earlier of two equally near; right must be unique by (by, right_on)."""
+    row = F.struct(F.col(right_on).alias("_at"), *take)
+    empty = lambda df, c: F.lit(None).cast(df.select(c.alias("x")).schema["x"].dataType)
+    whole = F.struct(*left.columns)
+    a = left.select(F.col(by), F.col(left_on).alias("_t"), F.lit(1).alias("_side"), whole.alias("_l"), empty(right, row).alias("_r"))
+    b = right.select(F.col(by), F.col(right_on).alias("_t"), F.lit(0).alias("_side"), empty(left, whole).alias("_l"), row.alias("_r"))
+    w = W.partitionBy(by).orderBy("_t", "_side")
+    d = a.unionByName(b).withColumns({"_p": F.last("_r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_n": F.first("_r", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))}).where("_side = 1")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    later = F.col("_p").isNull() | (micros("_n._at") - micros("_t") < micros("_t") - micros("_p._at"))
+    d = d.withColumn("_m", F.when(F.col("_n").isNotNull() & later, F.col("_n")).otherwise(F.col("_p")))
+    return d.select("_l.*", F.col("_m._at").alias(right_on), *[F.col(f"_m.{c}").alias(c) for c in take])
+
+
 def within(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, seconds: int) -> DataFrame:
     """Pairs of equal key whose times differ by at most `seconds`: an equi-join on time buckets of that width, each right row in three."""
     bucket = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / seconds)

@@ -41,6 +41,28 @@ def held(rows: DataFrame, condition: Column) -> DataFrame:
     return d.groupBy("symbol", "_run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n")).drop("_run")
 
 
+def held_for(rows: DataFrame, condition: Column, seconds: int) -> DataFrame:
+    """(symbol, start, fired_at): of each run on which a condition holds, the first row at least `seconds` after the run's first."""
+    d = rows.withColumns({"_ok": F.coalesce(condition, F.lit(False)), "_n": F.row_number().over(by())}).where("_ok")
+    d = d.withColumn("_run", F.col("_n") - F.row_number().over(by()))
+    d = d.withColumn("start", F.min("t").over(W.partitionBy("symbol", "_run")))
+    long = F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp")) >= seconds * 1_000_000
+    return d.where(long).groupBy("symbol", "start").agg(F.min("t").alias("fired_at"))
+
+
+def latched(rows: DataFrame, condition: Column, keys: list[str]) -> DataFrame:
+    """The first row of each key, in time, on which a condition holds."""
+    first = rows.where(condition).groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), "t").alias("_x"))
+    return first.select(*keys, "_x.*")
+
+
+def price_alert(trades: DataFrame, condition: str, threshold: float, seconds: int = 60) -> DataFrame:
+    """trades (symbol, t, p) with `met`: some price of the last `seconds`, the row's own included, meets an 'above' or 'below' threshold."""
+    w = W.partitionBy("symbol").orderBy(F.unix_micros(F.col("t").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    best = {"above": F.max("p"), "below": F.min("p")}[condition].over(w)
+    return trades.withColumn("met", compare(best, F.lit(condition), F.lit(threshold)))
+
+
 def trailing_stop(bars: DataFrame, percent: float = 5.0) -> DataFrame:
     """Running highest close, its stop and whether the close has fallen to it."""
     high = F.max("c").over(by().rowsBetween(W.unboundedPreceding, 0))
