@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.clock import eastern, minute_of_day
 from tapeline.operators import folds
-from tapeline.operators.indicators import by, true_range
-from tapeline.operators.levels import swings
-from tapeline.operators.structure import recent
+from tapeline.operators.indicators import by, trend, true_range
+from tapeline.operators.levels import filled_gaps, swings
+from tapeline.operators.scoring import block_geometry
+from tapeline.operators.structure import break_of_structure, order_blocks, recent
 
 #: Upper bounds of the volatility index and their labels; fixed values.
 FEAR = [(13, "very low (complacent)"), (17, "low (calm)"), (20, "normal"), (26, "elevated"), (35, "high (fear)")]
@@ -200,3 +201,52 @@ def levels_around(levels: DataFrame, spot: DataFrame) -> DataFrame:
     """levels (symbol, level, price) against spot (symbol, c): those above as resistance, those below as support, each ranked nearest first; a level at the spot is neither."""
     d = levels.join(spot.select("symbol", "c"), "symbol").where("price <> c").withColumn("side", F.when(F.col("price") > F.col("c"), "resistance").otherwise("support"))
     return d.withColumn("rank", F.row_number().over(W.partitionBy("symbol", "side").orderBy(F.abs(F.col("price") - F.col("c")), "level"))).select("symbol", "level", "price", "side", "rank")
+
+
+def smart_money_setup(days: DataFrame, bars: DataFrame, least: float = 3.0, buffer: float = 0.1) -> DataFrame:
+    """One row per symbol of at least eight daily bars: signal (long_setup, watching, no_setup), quality, zones, confirmations and plan.
+
+    Demand is the highest bullish block that starts at or below the last intraday close, supply the
+    lowest bearish one that ends at or above it. Confirmations: a bullish rejection on the last bar,
+    the nearest bullish gap filled, a break of structure, a bullish sweep. A long setup needs a
+    close inside demand, a regime that isn't bearish, a confirmation and `least` as reward to risk.
+    """
+    w = W.partitionBy("symbol")
+    d = recent(days).withColumns({"_days": F.count("*").over(w)}).where("_days >= 8")
+    head = d.groupBy("symbol").agg(F.max(F.when(F.col("back") == 1, F.col("c"))).alias("_dc"), F.max(F.when(F.col("back") <= 20, F.col("h"))).alias("_high"), F.min(F.when(F.col("back") <= 20, F.col("l"))).alias("_low"))
+    b = recent(bars).withColumn("_bars", F.count("*").over(w)).where("back = 1")
+    b = b.select("symbol", F.col("c").alias("_ic"), "_bars", rejection(*map(F.col, "ohlc")).alias("_candle"))
+    base = head.join(b, "symbol", "left").withColumn("spot", F.coalesce("_ic", "_dc"))
+    spot = base.select("symbol", "spot")
+    blocks = order_blocks(days).join(spot, "symbol")
+    zone = F.struct("top", "bottom", "mitigated")
+    zones = blocks.groupBy("symbol").agg(
+        F.max(F.when((F.col("kind") == "bullish") & (F.col("bottom") <= F.col("spot")), zone)).alias("demand"),
+        F.min(F.when((F.col("kind") == "bearish") & (F.col("top") >= F.col("spot")), F.struct("bottom", "top", "mitigated"))).alias("supply"),
+    )
+    gaps = filled_gaps(bars).join(spot, "symbol").where((F.col("kind") == "bullish") & (F.col("bottom") <= F.col("spot") * 1.001))
+    gaps = gaps.groupBy("symbol").agg(F.max(F.struct("top", "bottom", "filled")).alias("gap"))
+    enough = F.col("_bars") >= 3
+    g = (
+        base.join(zones, "symbol", "left").join(gaps, "symbol", "left").join(trend(days).select("symbol", F.col("trend").alias("regime")), "symbol", "left")
+        .join(break_of_structure(bars).select("symbol", "broken"), "symbol", "left").join(liquidity_sweeps(bars).select("symbol", F.col("type").alias("sweep")), "symbol", "left")
+    )
+    signs = {"rejection_candle": F.col("_candle") == "bullish_rejection", "fvg_fill": F.col("gap.filled"), "breaker": (F.col("_bars") >= 10) & F.col("broken"), "liquidity_sweep": F.col("sweep") == "bullish"}
+    place = (F.col("spot") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    g = g.withColumns({
+        "confirmations": F.array_compact(F.array(*[F.when(enough & yes, name) for name, yes in signs.items()])),
+        "inside": F.coalesce(F.col("spot").between(F.col("demand.bottom"), F.col("demand.top")), F.lit(False)),
+        "zone": F.when(place < 0.45, "discount").when(place > 0.55, "premium").when(place.isNotNull(), "equilibrium"),
+    })
+    g = g.withColumn("entry", F.when(F.col("demand").isNotNull(), F.round(F.when(F.col("inside"), F.col("spot")).otherwise(F.col("demand.top")), 4)))
+    height = F.greatest(F.col("demand.top") - F.col("demand.bottom"), F.col("entry") * 0.001)
+    target = F.when(F.col("supply.bottom") > F.col("entry"), F.col("supply.bottom")).when(F.col("_high") > F.col("entry"), F.round("_high", 4))
+    g = g.withColumns({"stop": F.round(F.col("demand.bottom") - buffer * height, 4), "target": target})
+    g = g.withColumn("plan", block_geometry(F.col("entry"), F.col("stop"), F.col("target"), least))
+    meets = F.coalesce("plan.meets", F.lit(False))
+    found = F.size("confirmations")
+    signal = F.when(F.col("demand").isNull() | (F.col("regime") == "bearish"), "no_setup").when(F.col("inside") & (found > 0) & meets, "long_setup").otherwise("watching")
+    best = (found >= 2) & (F.col("regime") == "bullish") & (F.col("zone") == "discount") & (F.col("plan.ratio") >= 4)
+    g = g.withColumn("signal", signal)
+    quality = F.when((F.col("signal") == "long_setup") & best, "A+").when(F.col("signal") == "long_setup", "B").otherwise("C")
+    return g.select("symbol", "signal", quality.alias("quality"), "regime", "spot", "demand", "supply", F.col("inside").alias("price_in_block"), "zone", "confirmations", "sweep", "gap", "entry", "stop", "target", F.col("plan.ratio").alias("reward_risk"), meets.alias("meets"))

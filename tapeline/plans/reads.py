@@ -180,3 +180,10 @@ def held_conditions(spark, d):
     x = quarters(spark, d)
     rows = x.join(x.groupBy("symbol").agg(F.avg("c").alias("mean")), "symbol")
     return R.held_for(rows, F.col("c") > F.col("mean"), 2700).select("symbol", text("start"), text("fired_at"))
+
+
+@query()
+def smart_money_setup(spark, d):
+    """Days as the higher time frame, quarters of an hour as the lower one; nested zones are flattened. The parts have SQL of their own."""
+    x = Q.smart_money_setup(days(spark, d), quarters(spark, d))
+    return x.select("symbol", "signal", "quality", "regime", "spot", F.col("demand.top").alias("demand_top"), F.col("demand.bottom").alias("demand_bottom"), F.col("supply.bottom").alias("supply_bottom"), "price_in_block", "zone", F.concat_ws(",", "confirmations").alias("confirmations"), "entry", "stop", "target", "reward_risk", "meets")
