@@ -508,12 +508,6 @@ def value_area(spark, d):
     return D.value_area(L.volume_profile(hours(spark, d)))
 
 
-@query()
-def paper_fills(spark, d):
-    orders = V.ledger(spark, d).select(F.col("symbol").alias("account"), F.col("seq").cast("long"), "symbol", "action", F.lit(3.0).alias("quantity"), "price")
-    return D.paper_fills(orders)
-
-
 @query(
     f"WITH {DAYS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n, max(t) OVER (PARTITION BY symbol) AS z FROM bars), a AS (SELECT symbol, avg(v) AS adv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS k FROM n WHERE t < z AND v > 0) WHERE k <= 20 GROUP BY symbol HAVING count(*) >= 5), "
     "h AS (SELECT symbol, t AS tt, t - INTERVAL 5 hour AS e, CAST(sum(s) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS day_volume FROM trades), m AS (SELECT *, hour(e) * 60 + minute(e) + second(e) / 60.0 - 570 AS m FROM h), "

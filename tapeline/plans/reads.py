@@ -187,3 +187,18 @@ def smart_money_setup(spark, d):
     """Days as the higher time frame, quarters of an hour as the lower one; nested zones are flattened. The parts have SQL of their own."""
     x = Q.smart_money_setup(days(spark, d), quarters(spark, d))
     return x.select("symbol", "signal", "quality", "regime", "spot", F.col("demand.top").alias("demand_top"), F.col("demand.bottom").alias("demand_bottom"), F.col("supply.bottom").alias("supply_bottom"), "price_in_block", "zone", F.concat_ws(",", "confirmations").alias("confirmations"), "entry", "stop", "target", "reward_risk", "meets")
+
+
+_BUY = "least(3.0, CASE WHEN p.price > 0 THEN greatest(0.0, (f.cash - 1.15) / p.price) ELSE 0.0 END)"
+_FILL = "CASE WHEN p.buy THEN " + _BUY + " ELSE least(3.0, f.held) END"
+
+
+@query(
+    "WITH RECURSIVE p AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS account, row_number() OVER w AS seq, row_number() OVER w % 2 = 1 AS buy, value AS price FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "f AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS seq, false AS buy, 0.0::DOUBLE AS filled, 1000.0::DOUBLE AS cash, 0.0::DOUBLE AS held FROM p "
+    f"UNION ALL SELECT p.account, p.seq, p.buy, {_FILL}, CASE WHEN {_FILL} > 0 THEN f.cash - CASE WHEN p.buy THEN 1 ELSE -1 END * {_FILL} * p.price - 1.15 ELSE f.cash END, f.held + CASE WHEN p.buy THEN 1 ELSE -1 END * {_FILL} FROM f JOIN p ON p.account = f.account AND p.seq = f.seq + 1) "
+    "SELECT account, seq, 'purchase' AS symbol, CASE WHEN buy THEN 'buy' ELSE 'sell' END AS action, round(filled, 6) + 0.0 AS filled, CASE WHEN filled > 0 THEN 'filled' ELSE 'rejected' END AS status, round(cash, 6) + 0.0 AS cash_after, round(held, 6) + 0.0 AS position_after FROM f WHERE seq > 0"
+)
+def paper_fills(spark, d):
+    got = D.paper_fills(V.account_orders(spark, d))
+    return got.withColumns({c: F.round(c, 6) + 0.0 for c in ("filled", "cash_after", "position_after")})

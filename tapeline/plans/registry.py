@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from tapeline.operators import indicators, kernels, levels, options, structure
+from tapeline.operators import indicators, kernels, levels, options, reads, structure
 
 #: Tool to operator, and its arguments with default, least and most.
 TOOLS: dict[str, tuple[Callable[..., DataFrame], dict[str, tuple[float, float, float]]]] = {
@@ -26,6 +26,10 @@ TOOLS: dict[str, tuple[Callable[..., DataFrame], dict[str, tuple[float, float, f
     "analyze_volume": (indicators.obv, {"n": (20, 2, 200)}),
     "current_leg": (kernels.momentum_legs, {}),
     "get_put_call_walls": (options.walls, {}),
+    "analyze_liquidity": (reads.liquidity_sweeps, {"swing": (3, 2, 10), "recent_bars": (5, 1, 20)}),
+    "analyze_volume_profile_2": (reads.session_spikes, {"warmup": (15, 0, 120), "width": (5, 1, 30)}),
+    "cluster_swing_levels": (reads.swing_clusters, {"swing": (3, 2, 10), "keep": (6, 1, 20)}),
+    "momentum_pct": (reads.momentum_pct, {"minutes": (10, 1, 120)}),
 }
 
 

@@ -31,6 +31,16 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(n.alias("seq"), F.col("ts"), F.col("event_type").alias("symbol"), F.when(n % 2 == 1, "buy").otherwise("sell").alias("action"), F.col("value").alias("price"))
 
 
+def account_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(account, seq, symbol, action, quantity, price): each user's purchases as alternating buys and sells of three shares, by time."""
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    action = F.when(n % 2 == 1, "buy").otherwise("sell")
+    return e.select(F.col("user_id").cast("string").alias("account"), n.cast("long").alias("seq"), F.col("event_type").alias("symbol"), action.alias("action"), F.lit(3.0).alias("quantity"), F.col("value").alias("price"))
+
+
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, strike, call_oi, put_oi, iv): an option chain per nation's region, from returned and accepted lines."""
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline.operators import folds, joins, reads, rules
+from tapeline.plans import registry
 from tests.test_operators import frame
 
 START = dt.datetime(2024, 1, 2, 14, 30)
@@ -141,3 +142,9 @@ def test_setup(spark):
     assert x.stop == pytest.approx(98.2) and x.meets and x.signal == ("no_setup" if x.regime == "bearish" else "long_setup")
     assert reads.smart_money_setup(bars(spark, days[:7], 1440), bars(spark, last)).count() == 0
     assert reads.smart_money_setup(bars(spark, days[:9], 1440), bars(spark, last)).first().signal == "no_setup"
+
+
+def test_registered_reads(spark):
+    x = frame(spark, [100, 101, 102, 103, 102, 101, 100, 101, 102, 103, 104, 105])
+    assert registry.run("cluster_swing_levels", x).count() == 2 and registry.run("momentum_pct", x, minutes=500).first().base == 100
+    assert registry.run("analyze_liquidity", x).count() == 0 and registry.run("analyze_volume_profile_2", x).count() == 0
