@@ -164,9 +164,11 @@ def encoder(path: str) -> Encoder:
 _FILE = "shard int, block int, before long, doc_ids array<long>, lengths array<int>, offsets array<int>, words binary"
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, end_id: int | None = 1, to: str | None = None) -> DataFrame:
     """Encode whole texts, add end_id to each, and write token files in ascending doc_id order; returns them as a DataFrame.
 
+    The files go to the shared folder `to`, which must not exist yet, and stay there; without it, to
+    the scratch folder, until the application ends.
     Null texts count as empty. Rows with equal ids follow each other in order of their texts,
     rows without an id come first. Other columns are ignored.
     """
@@ -202,7 +204,11 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFram
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return common.materialize(dealt.mapInArrow(write, _FILE))
+    files = dealt.mapInArrow(write, _FILE)
+    if to is None:
+        return common.materialize(files)
+    files.write.parquet(to)
+    return spark.read.schema(files.schema).parquet(to)
 
 
 def read_tokens(files: DataFrame) -> DataFrame:

@@ -69,6 +69,15 @@ def test_token_files(spark):
     assert simple8b.read_tokens(simple8b.write_tokens(docs.limit(0), path)).count() == 0
 
 
+def test_token_files_at_a_destination(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "b c"), (1, "a")], "doc_id long, text string")
+    path, to = P.path("word_bpe_49k.json"), str(tmp_path / "tokens")
+    want = simple8b.read_tokens(simple8b.write_tokens(docs, path, to=to)).orderBy("start").collect()
+    assert simple8b.read_tokens(spark.read.parquet(to)).orderBy("start").collect() == want and [r.doc_id for r in want] == [1, 2]
+    with pytest.raises(Exception, match="exist"):
+        simple8b.write_tokens(docs, path, to=to)
+
+
 def test_bpe_operator(spark):
     path = P.path("byte_bpe_50k.json")
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (2, None, "z")], "doc_id long, text string, ids string")
