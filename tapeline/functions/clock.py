@@ -28,3 +28,28 @@ def session_window(t: Column) -> Column:
 
 def floor_time(t: Column, minutes: int) -> Column:
     return F.window(t, f"{minutes} minutes").getField("start")
+
+
+def is_open(t: Column) -> Column:
+    """Monday to Friday, 09:30 to before 16:00 in New York."""
+    m = minute_of_day(t)
+    return (F.weekday(eastern(t)) < 5) & (m >= 570) & (m < 960)
+
+
+def _opening(day: Column) -> Column:
+    return F.to_utc_timestamp(day.cast("timestamp") + F.expr("interval 570 minutes"), "America/New_York")
+
+
+def next_open(t: Column) -> Column:
+    """The first weekday's 09:30 in New York strictly after a time, in UTC."""
+    day = F.date_add(F.to_date(eastern(t)), F.when(minute_of_day(t) >= 570, 1).otherwise(0))
+    return _opening(F.date_add(day, F.greatest(7 - F.weekday(day), F.lit(0)) * (F.weekday(day) >= 5).cast("int")))
+
+
+def session_open(t: Column) -> Column:
+    """The opening of the session in progress, in UTC; null while the market is closed."""
+    return F.when(is_open(t), _opening(F.to_date(eastern(t))))
+
+
+def seconds_to_open(t: Column) -> Column:
+    return F.unix_seconds(next_open(t)) - F.unix_seconds(t.cast("timestamp"))

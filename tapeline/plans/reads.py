@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeline.functions import clock as T
 from tapeline.operators import bars as B
 from tapeline.operators import folds as D
 from tapeline.operators import joins as J
 from tapeline.operators import levels as L
 from tapeline.operators import reads as Q
 from tapeline.operators import rules as R
+from tapeline.operators import scans as N
 from tapeline.plans.market import DAYS, HOURS, QUARTERS, TEXT, TRADES, _BAR, days, half_up, hours, query, r, text
 from tapeline.sources import views as V
 
@@ -202,3 +204,72 @@ _FILL = "CASE WHEN p.buy THEN " + _BUY + " ELSE least(3.0, f.held) END"
 def paper_fills(spark, d):
     got = D.paper_fills(V.account_orders(spark, d))
     return got.withColumns({c: F.round(c, 6) + 0.0 for c in ("filled", "cash_after", "position_after")})
+
+
+@query(
+    "WITH e AS (SELECT event_id, ts, timezone('America/New_York', timezone('UTC', ts)) AS e FROM events), a AS (SELECT *, hour(e) * 60 + minute(e) AS m, CAST(e AS DATE) AS d FROM e), b AS (SELECT *, isodow(d) < 6 AND m >= 570 AND m < 960 AS open, d + CASE WHEN m >= 570 THEN 1 ELSE 0 END AS x FROM a), "
+    "c AS (SELECT *, timezone('UTC', timezone('America/New_York', x + CASE isodow(x) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END + INTERVAL 570 minute)) AS nxt, CASE WHEN open THEN timezone('UTC', timezone('America/New_York', d + INTERVAL 570 minute)) END AS cur FROM b) "
+    f"SELECT event_id, open, {TEXT.format('nxt')} AS next_open, {TEXT.format('cur')} AS session_open, CAST(floor(epoch(nxt)) - floor(epoch(ts)) AS BIGINT) AS seconds FROM c"
+)
+def market_hours(spark, d):
+    e = V.table(spark, d, "events")
+    t = F.col("ts")
+    return e.select("event_id", T.is_open(t).alias("open"), T.next_open(t).alias("n"), T.session_open(t).alias("s"), T.seconds_to_open(t).alias("seconds")).select("event_id", "open", text("n").alias("next_open"), text("s").alias("session_open"), "seconds")
+
+
+@query(f"WITH {QUARTERS} SELECT symbol, {TEXT.format('t')} AS t, c FROM bars WHERE t >= TIMESTAMP '2024-01-10 12:00:00' AND t < TIMESTAMP '2024-01-12 12:00:00'")
+def bars_window(spark, d):
+    return N.window(quarters(spark, d), "2024-01-10 12:00:00", "2024-01-12 12:00:00").select("symbol", text("t"), "c")
+
+
+@query(f"WITH {TRADES}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t, id) AS n FROM trades WHERE t >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 8 hour AND t < TIMESTAMP '2024-01-15 12:00:00') SELECT symbol, id, p, s FROM a WHERE n <= 10000")
+def trades_lookback(spark, d):
+    return N.lookback(V.trades(spark, d), "2024-01-15 12:00:00").select("symbol", "id", "p", "s")
+
+
+@query("WITH a AS (SELECT event_type AS symbol, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00') SELECT * FROM a WHERE rank <= 30")
+def latest_news(spark, d):
+    return N.news_page(V.news(spark, d), "2024-01-20 00:00:00", 99).select("symbol", "id", "rank")
+
+
+@query("SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
+def unseen_news(spark, d):
+    """Every event twice, those before the middle of the month seen."""
+    x = V.news(spark, d).select("id", "created_at")
+    return N.unseen(x.union(x), x.where("created_at < timestamp_ntz'2024-01-15 00:00:00'")).select("id")
+
+
+@query(
+    f"WITH {QUARTERS}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM bars), e AS (SELECT id, symbol, t AS ts, p AS price FROM trades WHERE symbol = 'purchase'), "
+    "k AS (SELECT e.id, max(i) AS i FROM e JOIN b ON b.symbol = e.symbol AND b.t + INTERVAL 15 minute <= e.ts GROUP BY e.id), a AS (SELECT k.id, count(*) AS n, avg(c) AS m FROM k JOIN b ON b.symbol = 'purchase' AND b.i <= k.i AND b.i > k.i - 10 GROUP BY k.id), "
+    "z AS (SELECT e.id, count(*) AS n, max(h) AS h, min(l) AS l, arg_max(c, t) AS c FROM e JOIN b ON b.symbol = e.symbol AND b.t > e.ts AND b.t <= e.ts + INTERVAL 1 hour GROUP BY e.id) "
+    "SELECT e.id, e.symbol, coalesce(a.n, 0) AS n_before, round(a.m, 6) AS mean_before, coalesce(z.n, 0) AS n_after, round((z.h / nullif(price, 0) - 1) * 100, 5) AS best_pct, round((z.l / nullif(price, 0) - 1) * 100, 5) AS worst_pct, z.c AS close_after FROM e LEFT JOIN a ON a.id = e.id LEFT JOIN z ON z.id = e.id"
+)
+def entry_context(spark, d):
+    entries = V.trades(spark, d).where("symbol = 'purchase'").select("id", "symbol", F.col("t").alias("ts"), F.col("p").alias("price"))
+    got = N.entry_context(entries, quarters(spark, d), 15)
+    return got.withColumns({"mean_before": F.round("mean_before", 6), "best_pct": F.round("best_pct", 5), "worst_pct": F.round("worst_pct", 5)})
+
+
+@query(
+    f"WITH {HOURS}, d AS ({_BAR.format(t="time_bucket(INTERVAL 1 day, trades.t)")}), q AS (SELECT symbol, count(*) AS quantity FROM trades GROUP BY symbol), p AS (SELECT symbol, arg_max(p, row(t, id)) AS p FROM trades WHERE symbol IN ('click', 'view') GROUP BY symbol), b AS (SELECT symbol, arg_max(c, t) AS b FROM bars WHERE symbol <> 'error' GROUP BY symbol), c AS (SELECT symbol, arg_max(c, t) AS c FROM d GROUP BY symbol) "
+    "SELECT q.symbol, quantity, coalesce(p, b, c) AS mark, round(quantity * coalesce(p, b, c), 6) AS value FROM q LEFT JOIN p ON p.symbol = q.symbol LEFT JOIN b ON b.symbol = q.symbol LEFT JOIN c ON c.symbol = q.symbol"
+)
+def marked_positions(spark, d):
+    t = V.trades(spark, d)
+    got = N.marked(t.groupBy("symbol").agg(F.count("*").alias("quantity")), t.where("symbol in ('click', 'view')"), hours(spark, d).where("symbol <> 'error'"), days(spark, d))
+    return got.withColumn("value", F.round("value", 6))
+
+
+@query(
+    "WITH x AS (SELECT o_orderpriority AS symbol, o_orderdate AS t, max(o_totalprice) AS c FROM orders GROUP BY ALL), a AS (SELECT *, count(*) OVER w AS n, max(c) OVER w AS high, min(c) OVER w AS low FROM x WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS 251 PRECEDING)) "
+    f"SELECT symbol, {TEXT.format('t')} AS t, CASE WHEN n >= 60 THEN high END AS high, CASE WHEN n >= 60 THEN low END AS low FROM a"
+)
+def long_ranges(spark, d):
+    closes = V.targets(spark, d).groupBy(F.col("firm").alias("symbol"), F.col("date").alias("t")).agg(F.max("target").alias("c"))
+    return N.long_ranges(closes).select("symbol", text("t"), "high", "low")
+
+
+@query("SELECT o_orderpriority AS firm, strftime(max(o_orderdate), '%Y-%m-%d') AS date, count(*) AS n FROM orders GROUP BY firm ORDER BY max(o_orderdate) DESC, firm LIMIT 3")
+def top_firms(spark, d):
+    return N.top_firms(V.targets(spark, d), 3).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
