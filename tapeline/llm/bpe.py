@@ -25,8 +25,6 @@ from pyspark.sql import types as T
 from tapeline.llm import common
 
 SHORT = 64
-#: Words whose ids a worker keeps; the memory is emptied when full.
-KEPT_WORDS = 200_000
 _NONE = 1 << 30
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -39,10 +37,11 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Encoder(dict):
+class Encoder(common.Memory):
     """Word to ids (little-endian unsigned 32-bit), filled as words come."""
 
     def __init__(self, path: str):
+        super().__init__()
         spec = json.load(open(path, encoding="utf-8"))
         vocab, symbol = spec["model"]["vocab"], byte_symbols()
         byte_of = {c: b for b, c in symbol.items()}
@@ -64,13 +63,10 @@ class Encoder(dict):
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.words = regex.compile(_PATTERN).findall
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
+    def make(self, word: str) -> bytes:
         parts = [self.first[b] for b in word.encode("utf-8", "surrogatepass")]
         ids = self.merge(parts) if len(parts) <= SHORT else self.merge_long(parts)
-        self[word] = out = np.array(ids, "<u4").tobytes()
-        return out
+        return np.array(ids, "<u4").tobytes()
 
     def merge(self, parts: list[int]) -> list[int]:
         get, joined = self.rank.get, self.joined

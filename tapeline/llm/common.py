@@ -52,6 +52,39 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(first)
 
 
+#: Bytes of words and of what is kept for them in either of two generations, and the longest word that is kept at all.
+KEPT_BYTES, KEPT_LENGTH = 64_000_000, 512
+
+
+class Memory(dict):
+    """What a worker remembers of recent words: `make` gives the value of a word that is not remembered.
+
+    Bounded by bytes: when the younger of two generations is full it becomes the older one, whose
+    words come back as they are met. Long words are made anew each time.
+    """
+
+    def __init__(self):
+        self.older: dict = {}
+        self.held = 0
+
+    def make(self, word):
+        raise NotImplementedError
+
+    def __missing__(self, word):
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+            if len(word) > KEPT_LENGTH:
+                return value
+        self.held += 200 + 4 * len(word) + (len(value) if isinstance(value, bytes) else 0)
+        if self.held > KEPT_BYTES:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+        self[word] = value
+        return value
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of text that an Arrow batch may hold; a value of the user's own that is smaller stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -41,8 +41,6 @@ BLOCK = 4096
 BLOCK_SHINGLES = 500_000
 #: Likeliest partners that a document outside the largest component of a bucket names, before what is then open is compared in full.
 LEADS = 4
-#: Words whose hashes a worker keeps; the memory is emptied when full.
-KEPT_WORDS = 200_000
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,12 +55,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+class _WordHash(common.Memory):
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 _words = _WordHash()

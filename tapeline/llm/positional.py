@@ -32,19 +32,14 @@ WINDOW = 13
 SHARD_WORDS = 1_000_000
 #: Windows that are sent with the tasks at once.
 PART_WINDOWS = 200_000
-#: Words whose hashes a worker keeps; the memory is emptied when full.
-KEPT_WORDS = 200_000
 
 #: Bytes that end a word become spaces, A-Z become a-z, digits, letters and all bytes from 0x80 stay.
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() and not 65 <= c <= 90 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-class _Terms(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-        return h
+class _Terms(common.Memory):
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
 _terms = _Terms()

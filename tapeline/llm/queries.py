@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, langid, lattice, licence, minhash, pii, positional, simple8b, sql, warc, wrapper
+from tapeline.llm import bpe, fim, langid, lattice, licence, minhash, packing, pii, positional, simple8b, sql, warc, whiten, wrapper
 from tapeline.llm.common import table
 
 
@@ -118,9 +118,26 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence.scan(source_tree(table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
 
 
+def op11_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), components=16).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_byte_dfa_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return done.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), sha("output").alias("output_sha256"), sha("restored").alias("restored_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_neardup, op2_simple8b_tokens, op3_positional_decontamination, op4_minmax_neardup, op5_rank_array_bpe, op6_piece_langid, op7_feistel_pii, op8_wrapper_text, op9_warc_revisits, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_lattice_neardup, op2_simple8b_tokens, op3_positional_decontamination, op4_minmax_neardup, op5_rank_array_bpe, op6_piece_langid, op7_feistel_pii, op8_wrapper_text, op9_warc_revisits, op10_licence_scan, op11_svd_whitening, op12_mixture_packing, op13_byte_dfa_fim)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lattice_neardup": sql.OP1, "op3_positional_decontamination": sql.OP3, "op4_minmax_neardup": sql.OP4, "op9_warc_revisits": OP9_SQL}
+    return {"op1_lattice_neardup": sql.OP1, "op3_positional_decontamination": sql.OP3, "op4_minmax_neardup": sql.OP4, "op9_warc_revisits": OP9_SQL, "op13_byte_dfa_fim": sql.OP13}

@@ -104,15 +104,16 @@ def unpack(offsets: np.ndarray, data: bytes) -> np.ndarray:
 
 #: A run of Latin letters that normalization only lower-cases, and a run of ASCII punctuation that no contraction can begin in.
 _PLAIN = re.compile(r"([a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
-#: Words in the younger of two generations that a worker keeps; when it is full, it becomes the older one.
-KEPT_WORDS = 400_000
+#: An ASCII capital before a character that may be a combining mark (UTF-8 lead bytes of all blocks that have such): composed first, it is lower-cased in another way.
+_MARKED = re.compile(rb"[A-Z](?:[\xcc\xcd\xd2\xd6-\xdf\xe0\xe1\xea\xf0-\xf4]|\xe2[\x83\xb3\xb5\xb7]|\xe3[\x80\x82]|\xef[\xac\xb8])")
 
 
-class Encoder(dict):
+class Encoder(common.Memory):
     """Chunk between ASCII white space to ids by the tokenizers library, which cuts words at any white space.
 
-    ASCII letters are lower-cased beforehand, as the library's normalizer does after it has
-    looked for special tokens; texts that may hold one of those go to the library whole.
+    The library's normalizer composes characters (NFC) and then lower-cases. ASCII letters are
+    lower-cased beforehand here where no mark follows a capital, so that composing can't see the
+    difference; texts where one does, and texts that may hold a special token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -120,7 +121,7 @@ class Encoder(dict):
 
         from tapeline.llm.bpe import byte_symbols
 
-        self.older: dict[bytes, bytes] = {}
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -129,29 +130,22 @@ class Encoder(dict):
         self.symbols = {b: symbols[b] for b in range(256)}
         self.marks = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        out = self.older.get(chunk)
-        if out is None:
-            text = chunk.decode("utf-8")
-            m = _PLAIN.fullmatch(text)
-            if m is None:
-                out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            elif m[2]:
-                out = self[m[1].encode()] + self[m[2].encode()]
-            else:
-                word = text if text.isascii() else text.lower().encode().decode("latin-1").translate(self.symbols)
-                out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
-        if len(self) >= KEPT_WORDS:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = out
-        return out
+    def make(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8")
+        m = _PLAIN.fullmatch(text)
+        if m is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if m[2]:
+            return self[m[1].encode()] + self[m[2].encode()]
+        word = text if text.isascii() else text.lower().encode().decode("latin-1").translate(self.symbols)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        data = text.encode("utf-8").lower()
-        if any(m in data for m in self.marks):
+        raw = text.encode("utf-8")
+        data = raw.lower()
+        if any(m in data for m in self.marks) or _MARKED.search(raw):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.frombuffer(b"".join(map(self.__getitem__, data.split())), "<u4")
 

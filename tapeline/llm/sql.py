@@ -61,3 +61,24 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN c ON d.doc_id = c.id LEFT JOIN n ON d.doc_id = n.doc_id
 """
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), x AS (
+  SELECT doc_id, t, length(t) AS n,
+         list_transform(range(0, 4), lambda k: list_reduce(list_transform(range(1, 9), lambda c: CAST(strpos('0123456789abcdef', h[8 * k + c]) - 1 AS BIGINT)), lambda a, b: 16 * a + b)) AS g
+  FROM d
+), c AS (
+  SELECT doc_id, t, n, least(g[1] % (n + 1), g[2] % (n + 1)) AS low, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS high,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 90 THEN 'plain'
+              WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM x
+), o AS (
+  SELECT doc_id, t, n, form, low, high - low AS mid, substring(t, 1, low) AS p, substring(t, low + 1, high - low) AS m, substring(t, high + 1) AS s FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN mid END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o
+"""
