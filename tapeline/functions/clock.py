@@ -14,6 +14,11 @@ def minute_of_day(t: Column) -> Column:
     return F.hour(eastern(t)) * 60 + F.minute(eastern(t))
 
 
+def ny_date(t: Column) -> Column:
+    """The New York date of a UTC time, which is the trading date."""
+    return F.to_date(eastern(t))
+
+
 def session_window(t: Column) -> Column:
     """opening_window [09:30, 11:00), midday_dead_zone [12, 14), power_hour [15, 16), other_session_hours, outside_regular_hours."""
     m, open_day = minute_of_day(t), F.weekday(eastern(t)) < 5
