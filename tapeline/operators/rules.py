@@ -56,11 +56,19 @@ def latched(rows: DataFrame, condition: Column, keys: list[str]) -> DataFrame:
     return first.select(*keys, "_x.*")
 
 
-def price_alert(trades: DataFrame, condition: str, threshold: float, seconds: int = 60) -> DataFrame:
-    """trades (symbol, t, p) with `met`: some price of the last `seconds`, the row's own included, meets an 'above' or 'below' threshold."""
-    w = W.partitionBy("symbol").orderBy(F.unix_micros(F.col("t").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+def price_alert(trades: DataFrame, condition: str, threshold: float, seconds: int = 60, slice_seconds: int = 86_400) -> DataFrame:
+    """trades (symbol, t, p) with `met`: some price of the last `seconds`, the row's own included, meets an 'above' or 'below' threshold.
+
+    A symbol is cut into time slices, each with the rows of the last `seconds` before it.
+    """
+    length = max(slice_seconds, seconds) * 1_000_000
+    us = F.unix_micros(F.col("t").cast("timestamp"))
+    own = F.floor(us / length)
+    d = trades.withColumn("_own", own).withColumn("_s", F.explode(F.array_distinct(F.array(own, F.floor((us + seconds * 1_000_000) / length)))))
+    w = W.partitionBy("symbol", "_s").orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
     best = {"above": F.max("p"), "below": F.min("p")}[condition].over(w)
-    return trades.withColumn("met", compare(best, F.lit(condition), F.lit(threshold)))
+    d = d.withColumn("met", compare(best, F.lit(condition), F.lit(threshold))).where(F.col("_own").eqNullSafe(F.col("_s")))
+    return d.drop("_own", "_s")
 
 
 def trailing_stop(bars: DataFrame, percent: float = 5.0) -> DataFrame:
