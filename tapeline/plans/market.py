@@ -273,11 +273,6 @@ def spike_news(spark, d):
     return J.within(spikes, V.news(spark, d), "symbol", "t", "created_at", 900).select("symbol", text("t"), "id")
 
 
-#: Earlier names of the two.
-for _old, _new in (("all_news_to_bar", "news_to_bar"), ("spike_all_news", "spike_news")):
-    QUERIES[_old], SQL[_old] = QUERIES[_new], SQL[_new]
-
-
 @query(f"WITH {TRADES} SELECT symbol, {TEXT.format("time_bucket(INTERVAL 1 hour, t)")} AS t, round(quantile_cont(p, 0.2), 6) AS p20, round(quantile_cont(p, 0.8), 6) AS p80 FROM trades GROUP BY symbol, time_bucket(INTERVAL 1 hour, t)")
 def trade_percentiles(spark, d):
     binned = J.in_bins(V.trades(spark, d), hours(spark, d), 60)

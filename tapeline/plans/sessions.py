@@ -6,6 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeline.operators import joins as J
+from tapeline.operators import levels as L
+from tapeline.operators import mixture as M
+from tapeline.operators import reports as N
+from tapeline.operators import rulesets as U
 from tapeline.operators import session_levels as S
 from tapeline.plans.market import _BAR, HOURS, QUARTERS, TEXT, TRADES, half_up, hours, query, r, text
 from tapeline.plans.reads import _NMS, quarters
@@ -72,3 +76,97 @@ def gap_percentiles(spark, d):
     binned = J.in_gaps(V.trades(spark, d), odd)
     g = binned.groupBy("symbol", F.col("bar_t").alias("t")).agg(F.count("*").alias("n"), F.percentile("p", 0.2).alias("p20"), F.percentile("p", 0.8).alias("p80"))
     return g.select("symbol", text("t"), "n", r("p20"), r("p80"))
+
+
+@query()
+def volume_mixture(spark, d):
+    """Three normal distributions in each symbol's volume by price."""
+    profile = L.volume_profile(hours(spark, d), 50)
+    width = F.lead("low").over(W.partitionBy("symbol").orderBy("bin")) - F.col("low")
+    h = profile.withColumn("width", F.coalesce(width, F.lag("low").over(W.partitionBy("symbol").orderBy("bin")) * -1 + F.col("low"))).select("symbol", (F.col("low") + F.col("width") / 2).alias("centre"), "v")
+    return M.fit_mixture(h, 3).select("symbol", "component", r("weight"), r("location"), r("scale"), r("log_likelihood", 3))
+
+
+def scoring_sessions(spark, d):
+    """A scoring session per user and day of events: errors are tool errors and rejections, purchases are filled orders, each kind of event is one activation."""
+    e = V.table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    of = lambda kind: F.count_if(F.col("event_type") == kind)
+    none = F.lit(0).cast("long")
+    kinds = e.groupBy("user_id", "day", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("value"), F.min("ts").alias("ts"))
+    kinds = kinds.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("event_type").alias("strategy"), F.when(F.col("n") > 1, "busy").when(F.col("value") > 10, "calm").alias("regime"), (F.col("value") > 20).alias("effective"), (F.col("n") - 1).alias("active_decisions"), F.when(F.col("value") <= 50, F.col("value")).alias("return_pct"),
+    ))).alias("activations"))
+    g = e.groupBy("user_id", "day").agg(
+        F.min("ts").cast("timestamp").alias("started_at"), F.lit("live").alias("mode"), (F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).cast("double").alias("runtime_sec"),
+        F.when(of("view") > 0, F.struct(of("view").alias("scored_cycles"), F.round(F.avg(F.when(F.col("event_type") == "view", F.col("value"))), 2).alias("mean_score"), F.min(F.when(F.col("event_type") == "view", F.col("value"))).alias("min_score"), F.array(F.min("event_type")).alias("ungrounded"))).alias("grounding"),
+        F.struct(F.count("*").alias("attempts"), of("error").alias("rejections")).alias("tactics"), F.struct(of("click").alias("calls"), of("error").alias("errors"), none.alias("quote_calls"), none.alias("quote_warnings")).alias("tools"),
+        F.struct(F.count("*").alias("total"), of("purchase").alias("buy_sell_filled"), none.alias("buy_sell_rejected"), none.alias("tactics_armed"), none.alias("alerts"), none.alias("forced_sleeps"), of("purchase").alias("active"), F.when(of("purchase") > 0, F.max("value")).alias("return_pct")).alias("decisions"),
+    )
+    return g.join(kinds, ["user_id", "day"]).select("started_at", "mode", "runtime_sec", "grounding", "tactics", "tools", "decisions", "activations")
+
+
+_SESSIONS = (
+    "s AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS started_at, floor(epoch_us(max(ts)) / 1000000) - floor(epoch_us(min(ts)) / 1000000) AS run, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS bought, count(*) FILTER (event_type = 'view') AS views, "
+    "CAST(round(CAST(CAST(avg(value) FILTER (event_type = 'view') AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS score, min(value) FILTER (event_type = 'view') AS low, max(value) AS top, min(event_type) AS least FROM events GROUP BY 1, 2)"
+)
+
+
+@query(
+    f"WITH {_SESSIONS}, g AS (SELECT day, count(*) AS sessions, round(sum(run), 1) AS total_runtime_sec, sum(views) AS scored_cycles, sum(score * views) / nullif(sum(views), 0) AS mean_score, min(low) AS min_score, count(DISTINCT CASE WHEN views > 0 THEN least END) AS ungrounded, sum(n) AS total, sum(errors) AS errors, sum(clicks) AS clicks, sum(bought) AS active, avg(CASE WHEN bought > 0 THEN top END) AS ret FROM s GROUP BY day HAVING sum(run) >= 3600) "
+    "SELECT strftime(day, '%Y-%m-%d') AS day, sessions, total_runtime_sec, CAST(scored_cycles AS BIGINT) AS scored_cycles, round(mean_score, 6) AS mean_score, min_score, ungrounded, round(errors / total, 6) AS rejection_rate, round(errors / nullif(clicks, 0), 6) AS error_rate, CAST(active AS BIGINT) AS active, round(active / total, 6) AS active_rate, round(ret, 6) AS mean_session_return_pct FROM g"
+)
+def day_reports(spark, d):
+    sessions = scoring_sessions(spark, d)
+    done = N.due_reports(sessions, spark.createDataFrame([], "day date"))
+    q = "decision_quality"
+    return done.select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "sessions", "total_runtime_sec", "grounding.scored_cycles", r("grounding.mean_score").alias("mean_score"), "grounding.min_score", F.size("grounding.ungrounded").cast("long").alias("ungrounded"),
+        r("tactics_validation.rejection_rate").alias("rejection_rate"), r("tools.error_rate").alias("error_rate"), f"{q}.active", r(f"{q}.active_rate").alias("active_rate"), r(f"{q}.mean_session_return_pct").alias("mean_session_return_pct"),
+    )
+
+
+@query(
+    "WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS started_at FROM events GROUP BY 1, 2), k AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type AS strategy, count(*) AS n, CAST(round(CAST(CAST(avg(value) AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS value FROM events GROUP BY 1, 2, 3), "
+    "a AS (SELECT k.*, s.started_at, row_number() OVER (PARTITION BY user_id, day ORDER BY strategy) AS place, CASE WHEN n > 1 THEN 'busy' WHEN value > 10 THEN 'calm' END AS regime FROM k JOIN s USING (user_id, day)), f AS (SELECT day, strategy, regime, min(row(started_at, place)) AS first FROM a WHERE regime IS NOT NULL GROUP BY ALL), "
+    "o AS (SELECT day, strategy, string_agg(regime, ',' ORDER BY first) AS regimes FROM f GROUP BY ALL) "
+    "SELECT strftime(a.day, '%Y-%m-%d') AS day, a.strategy, count(*) AS activations, count(*) FILTER (value > 20) AS effective, count(*) FILTER (n = 1) AS alert_only, round(count(*) FILTER (value > 20) / count(*), 6) AS effectiveness, round(avg(CASE WHEN value <= 50 THEN value END), 9) AS mean_return_pct, coalesce(any_value(regimes), '') AS regimes FROM a LEFT JOIN o ON a.day = o.day AND a.strategy = o.strategy GROUP BY a.day, a.strategy"
+)
+def day_strategies(spark, d):
+    g = N.strategy_stats(scoring_sessions(spark, d))
+    return g.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "strategy", "activations", "effective", "alert_only", r("effectiveness"), r("mean_return_pct", 9), F.array_join("regimes", ",").alias("regimes"))
+
+
+#: By the last digit of event_id: a condition's field, its operator, its hold, and the fault that a set then has.
+_FAULTS = {
+    0: ("last_price", "below", "30", None), 1: ("mood", "below", "30", "actions[0].conditions[0]: field is unknown"), 2: ("bid_price", "at", "30", "actions[0].conditions[0]: condition must be above or below"),
+    3: ("day_volume", "above", "601", "actions[0].conditions[0]: hold_sec must be between 0 and 600"), 4: ("vix", "below", "0", None), 5: ("ask_price", "above", '"x"', "actions[0].conditions[0]: hold_sec must be a number of seconds"),
+}
+
+
+def rule_sets(spark, d):
+    """A rule set in JSON per event: its kind says the action, its id the condition; the values of sevens are missing."""
+    e = V.table(spark, d, "events")
+    k = F.col("event_id") % 10
+    pick = lambda at: F.coalesce(*[F.when(k == n, F.lit(x[at])) for n, x in _FAULTS.items()], F.lit(_FAULTS[0][at]))
+    action = F.when(F.col("event_type") == "purchase", "buy").when(F.col("event_type") == "error", "hold").otherwise("sell")
+    value = F.when(k == 7, F.lit("null")).otherwise(F.col("value").cast("string"))
+    text_ = F.format_string('[{"action": "%s", "%s": %d, "conditions": [{"field": "%s", "condition": "%s", "value": %s, "hold_sec": %s}], "note": "n"}]', action, F.when(k == 8, "quantity_pct").otherwise("quantity"), (F.col("event_id") % 150), pick(0), pick(1), value, pick(2))
+    return e.select(F.col("event_id").alias("set_id"), F.col("event_type").alias("symbol"), text_.alias("actions"))
+
+
+_RULES = (
+    "x AS (SELECT event_id AS set_id, event_type, value, event_id % 10 AS k, event_id % 150 AS q FROM events), v AS (SELECT *, CASE WHEN event_type = 'error' THEN 'actions[0]: action must be buy or sell' WHEN k <> 8 AND q <= 0 THEN 'actions[0]: quantity must be above 0' WHEN k = 8 AND (q <= 0 OR q > 100) THEN 'actions[0]: quantity_pct must be in (0, 100]' "
+    "WHEN k = 7 THEN 'actions[0].conditions[0]: value must be a number' " + " ".join(f"WHEN k = {n} THEN '{f[3]}'" for n, f in _FAULTS.items() if f[3]) + " END AS error FROM x)"
+)
+
+
+@query(f"WITH {_RULES} SELECT set_id, error FROM v")
+def rule_set_errors(spark, d):
+    return U.validated(rule_sets(spark, d)).select("set_id", "error")
+
+
+@query(
+    f"WITH {_RULES} SELECT set_id, event_type AS symbol, CASE WHEN event_type = 'purchase' THEN 'buy' ELSE 'sell' END AS action, CASE WHEN event_type = 'purchase' THEN 'buy ' ELSE 'sell ' END || q || CASE WHEN k = 8 THEN '%' ELSE 'sh' END AS label, 'last_price' AS field, 'below' AS condition, value FROM v WHERE error IS NULL AND k <> 4"
+)
+def rule_set_levels(spark, d):
+    return U.price_levels(U.validated(rule_sets(spark, d)))
