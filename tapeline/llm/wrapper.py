@@ -7,34 +7,44 @@ text outside links varies at it, text of unaligned nodes counting at their neare
 ancestor. From these counts, summed per layout and node, the wrapper follows:
 
 - region: from the root down as long as one child has REGION of the varying text and no sibling
-  has a heading whose text varies; this is where the content is;
-- template: nodes of the region whose own text is equal on CONSTANT of the pages that have them,
-  at least ARTICLE_PAGES of them, as near copies of an article share paragraphs.
+  has a heading whose text varies, and never into an article element; this is where the content is;
+- template: outside the region, nodes whose own text is equal on CONSTANT of the pages that have
+  them; inside it, nodes whose text is equal on CONSTANT of at least ARTICLES different articles.
+
+Near copies of one article share paragraphs, which are no template. So a near copy of the
+reference counts nothing: a page with equal headings and more equal texts than other ones, or,
+where it has no heading, with ALIKE times as many. And inside the region one page counts of near
+copies of each other: pages whose differing texts share one of SIGNATURES minimum hashes are near
+copies, and the one that is first by all its hashes counts.
 
 A page's text is that of the node aligned with the region, without template nodes. Names decide
-only what the wrapper cannot: a layout of fewer than REGION_PAGES pages beside its reference, or
-a page without the region, takes its article, main or whole body; and menus, forms, adverts and
-comments within the region are left out by element or class name.
+only what the wrapper cannot: a page that is alone in its layout, or that lacks the region, takes
+its article, main or whole body; and menus, forms, adverts and comments within the region are
+left out by element or class name.
 
 Matching is exact while the children that are left after equal ends are paired make at most
 MATCH_CELLS pairs in a page; beyond it subtrees that occur once are paired by a longest increasing
-subsequence, and what lies between them in order of equal labels.
+subsequence, and what lies between them in order of equal labels. A node that finds no partner
+keeps its text, so this can leave a template text in a page but drops none.
 
-The wrappers go with the tasks while they are below WRAPPERS_BYTES in all; beyond it pages travel
-to their wrapper, dealt over many tasks per layout, and a wrapper travels once to each.
+Pages are parsed once; what is written between the steps are their trees. The wrappers go with
+the tasks while they are below WRAPPERS_BYTES in all; beyond it pages travel to their wrapper,
+dealt over many tasks per layout, and a wrapper travels once to each.
 """
 
 from __future__ import annotations
 
 import bisect
 import html as entities
-import json
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -44,10 +54,14 @@ from tapeline.llm import common
 WRAPPERS_BYTES = 16_000_000
 #: Share of pages on which a template node's text is equal.
 CONSTANT = 0.9
-#: Pages besides the reference that a template node needs inside the region.
-ARTICLE_PAGES = 5
-#: Share of the varying text that makes a child the region, and pages besides the reference that a region needs.
-REGION, REGION_PAGES = 0.7, 2
+#: Different articles besides the reference that a template node needs inside the region, and minimum hashes that tell near copies.
+ARTICLES, SIGNATURES = 5, 8
+#: Equal texts for each other one that make a page without headings a near copy of the reference.
+ALIKE = 5
+#: Share of the varying text that makes a child the region.
+REGION = 0.7
+#: Nodes and signatures that a task holds before it hands them on.
+HELD = 100_000
 #: Pairs of children compared exactly for one page.
 MATCH_CELLS = 50_000
 
@@ -163,6 +177,40 @@ def parse(page: str) -> Node:
     return root
 
 
+def dump(root: Node) -> bytes:
+    """A tree as bytes: tags with names, texts, and None where an element ends."""
+    flat: list = []
+    todo: list = [p for p in reversed(root.parts)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node):
+            flat.append((x.tag, *sorted(x.names)))
+            todo.append(None)
+            todo += reversed(x.parts)
+        else:
+            flat.append(x)
+    return pickle.dumps(flat, 5)
+
+
+_NO_NAMES: frozenset[str] = frozenset()
+
+
+def load(tree: bytes) -> Node:
+    """The tree of `dump`."""
+    root = Node("#", _NO_NAMES)
+    stack = [root]
+    for x in pickle.loads(tree):
+        if x is None:
+            stack.pop()
+        elif isinstance(x, str):
+            stack[-1].parts.append(x)
+        else:
+            node = Node(x[0], frozenset(x[1:]) if len(x) > 1 else _NO_NAMES)
+            stack[-1].parts.append(node)
+            stack.append(node)
+    return root
+
+
 def numbered(root: Node) -> list[Node]:
     out, todo = [], [root]
     while todo:
@@ -347,16 +395,41 @@ def _content(tops: list[Node], template: set[int], inside: bool) -> str:
 
 
 @lru_cache(maxsize=32)
-def _reference(page: str) -> tuple[Node, dict[int, int]]:
+def _reference(tree: bytes) -> tuple[Node, dict[int, int]]:
     """A reference page's tree, and the number of each of its nodes."""
-    ref = parse(page)
+    ref = load(tree)
     return ref, {id(n): k for k, n in enumerate(numbered(ref))}
 
 
-def varying(reference: str, root: Node) -> dict[int, list[int]]:
-    """For each node of the reference, by its number, that the page has: pages with an own text (0 or 1), of these equal ones, and letters outside links that vary."""
+def _whole(node: Node) -> str:
+    return " ".join(" ".join(p for n in numbered(node) for p in n.parts if isinstance(p, str)).split())
+
+
+def near_copy(root: Node, home: dict[int, Node]) -> bool:
+    """Whether a page is a near copy of the reference, by the partner of each of its nodes."""
+    same = other = 0
+    headings: list[bool] = []
+    todo = [root]
+    while todo:
+        y = todo.pop()
+        if y.tag in ("a", "head", "option", "button"):
+            continue
+        x, own = home.get(id(y)), y.text()
+        if own:
+            equal = x is not None and x.text() == own
+            same, other = same + equal, other + (not equal)
+        if y.tag in _HEADINGS and (whole := _whole(y)):
+            headings.append(x is not None and _whole(x) == whole)
+        todo += y.children()
+    return all(headings) and same > other * (1 if headings else ALIKE - 1)
+
+
+def varying(reference: bytes, root: Node) -> dict[int, list[int]] | None:
+    """For each node of the reference, by its number, that the page has: pages with an own text (0 or 1), of these equal ones, and letters outside links that vary; None for a near copy."""
     ref, number = _reference(reference)
     home = {id(y): x for x, y in align(ref, root)}
+    if near_copy(root, home):
+        return None
     out: dict[int, list[int]] = {}
     todo: list[tuple[Node, int, bool]] = [(root, 0, False)]
     while todo:
@@ -374,9 +447,10 @@ def varying(reference: str, root: Node) -> dict[int, list[int]]:
     return out
 
 
-def wrapper_of(reference: str, counts: dict[int, tuple[int, int, int]], pages: int) -> tuple[int | None, list[int]]:
-    """Region and template nodes of a layout from the sums of `varying` over its pages."""
-    nodes = numbered(parse(reference))
+def wrapper_of(reference: bytes, counts: dict[int, tuple[int, int, int]], pages: int) -> tuple[int | None, list[int], list[int]]:
+    """Region, template nodes outside it, and nodes inside it that may be template, from the sums of `varying` over a layout's pages."""
+    ref = load(reference)
+    nodes, articles = numbered(ref), {id(n) for n in _mains(ref) if n.tag == "article"}
     number = {id(n): k for k, n in enumerate(nodes)}
     below = [0] * len(nodes)
     headed = [False] * len(nodes)
@@ -386,26 +460,51 @@ def wrapper_of(reference: str, counts: dict[int, tuple[int, int, int]], pages: i
         kids = [number[id(c)] for c in n.children()]
         below[k] = own + sum(below[c] for c in kids)
         headed[k] = n.tag in _HEADINGS and below[k] > 0 or any(headed[c] for c in kids)
-    at = 0 if pages >= REGION_PAGES and below and below[0] else None
-    while at is not None:
+    at = 0 if pages and below and below[0] else None
+    while at is not None and id(nodes[at]) not in articles:
         kids = [number[id(c)] for c in nodes[at].children()]
         top = max(kids, key=lambda c: below[c], default=None)
         if top is None or below[top] < REGION * below[at] or any(headed[c] for c in kids if c != top):
             break
         at = top
-    least = lambda k: ARTICLE_PAGES if inside[k] else 1
-    inside = [False] * len(nodes)
-    if at is not None:
-        for n in numbered(nodes[at]):
-            inside[number[id(n)]] = nodes[at].tag not in ("#", "html", "body")
-    return at, [k for k, (n, equal, _) in sorted(counts.items()) if n >= least(k) and equal >= CONSTANT * n]
+    inside = {number[id(n)] for n in numbered(nodes[at])} if at is not None and nodes[at].tag not in ("#", "html", "body") else set()
+    template = [k for k, (n, equal, _) in sorted(counts.items()) if k not in inside and n and equal >= CONSTANT * n]
+    return at, template, [k for k, (_, equal, _) in sorted(counts.items()) if k in inside and equal >= ARTICLES]
+
+
+_ODD = np.random.default_rng(20250301).integers(1, 2**63, SIGNATURES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def extract(page: str | None, reference: str | None = None, region: int | None = None, template: list[int] = ()) -> str:
-    """The main text of a page, by its layout's wrapper: a reference page, and the numbers of its region and template nodes."""
+def article(reference: bytes, root: Node, region: int, candidates: list[int]) -> tuple[list[int], list[tuple[int, bool]]] | None:
+    """Minimum hashes of a page's texts in the region that differ from the reference, and which candidates have its text; None for a near copy of the reference, or without the region."""
+    ref, number = _reference(reference)
+    pairs = align(ref, root)
+    top = next((y for x, y in pairs if number[id(x)] == region), None)
+    if top is None:
+        return None
+    home = {id(y): x for x, y in pairs}
+    if near_copy(root, home):
+        return None
+    hashes: list[int] = []
+    flags: dict[int, bool] = {}
+    for y in numbered(top):
+        x, own = home.get(id(y)), y.text()
+        there = x.text() if x is not None else ""
+        if there:
+            flags[number[id(x)]] = there == own
+        if own and own != there:
+            hashes.append(xxhash.xxh3_64_intdigest(own))
+    if not hashes:
+        return None
+    mixed = np.array(hashes, np.uint64)[:, None] * _ODD
+    return (mixed ^ (mixed >> np.uint64(29))).min(axis=0).view(np.int64).tolist(), [(k, flags[k]) for k in candidates if k in flags]
+
+
+def extract(page: str | Node | None, reference: bytes | None = None, region: int | None = None, template: list[int] = ()) -> str:
+    """The main text of a page (html or its tree), by its layout's wrapper: a reference page, and the numbers of its region and template nodes."""
     if not page:
         return ""
-    root = parse(page)
+    root = parse(page) if isinstance(page, str) else page
     if reference and (region is not None or template):
         ref, place = _reference(reference)
         pairs, chosen = align(ref, root), set(template)
@@ -427,38 +526,42 @@ def _host():
 
 
 def _laid_out(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with host and layout; null html has no layout."""
+    """(page_id, url, host, layout, tree) of pages (page_id, url, html); null and empty html have no layout and no tree."""
+    kind = dict(pages.dtypes)["page_id"]
+    pages = pages.withColumn("host", _host())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "html"):
-            yield batch.append_column("layout", pa.array([None if h is None else layout(parse(h)) for h in batch.column("html").to_pylist()], pa.string()))
+            roots = [parse(h) if h else None for h in batch.column("html").to_pylist()]
+            layouts = pa.array([None if r is None else layout(r) for r in roots], pa.string())
+            trees = pa.array([None if r is None else dump(r) for r in roots], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), layouts, trees], names=["page_id", "url", "host", "layout", "tree"])
 
-    columns = ", ".join(f"{c} {t}" for c, t in pages.dtypes)
-    return common.materialize(pages.mapInArrow(run, f"{columns}, layout string").withColumn("host", _host()))
+    return common.materialize(pages.mapInArrow(run, f"page_id {kind}, url string, host string, layout string, tree binary"))
 
 
 def _met(pages: DataFrame, wrappers: DataFrame, run, schema: str) -> DataFrame:
-    """Run over pages (.., host, layout, html) beside the wrapper (a string) of their host and layout: run(iterator of (wrapper or None, rows))."""
+    """Run over pages (.., host, layout, tree) beside the wrapper (bytes) of their host and layout: run(iterator of (wrapper or None, rows))."""
     columns = pages.columns
     size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
     if size <= WRAPPERS_BYTES:
-        held = {(r.host, r.layout): r.wrapper for r in wrappers.select("host", "layout", "wrapper").collect()}
+        held = {(r.host, r.layout): bytes(r.wrapper) for r in wrappers.select("host", "layout", "wrapper").collect()}
         sent = pages.sparkSession.sparkContext.broadcast(held)  # bounded by WRAPPERS_BYTES
 
         def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in common.slices(batches, "html"):
+            for batch in common.slices(batches, "tree"):
                 yield from run((sent.value.get((r["host"], r["layout"])), r) for r in batch.to_pylist())
 
         return pages.mapInArrow(here, schema)
-    salted = pages.withColumn("_salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(common.SALTS)).cast("int"))
+    salted = pages.withColumn("_salt", F.pmod(F.xxhash64("tree", "page_id"), F.lit(common.SALTS)).cast("int"))
     used = salted.select("host", "layout", "_salt").distinct()
     first = wrappers.select("host", "layout", "wrapper").join(used, ["host", "layout"]).select(*[F.lit(None).cast(t).alias(c) if c not in ("host", "layout") else F.col(c) for c, t in pages.dtypes], "_salt", "wrapper")
-    met = salted.withColumn("wrapper", F.lit(None).cast("string")).unionByName(first)
+    met = salted.withColumn("wrapper", F.lit(None).cast("binary")).unionByName(first)
     met = met.repartition("host", "layout", "_salt").sortWithinPartitions("host", "layout", "_salt", F.col("wrapper").desc_nulls_last())
 
     def travelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple = (None, None, None)
-        for batch in common.slices(batches, "html"):
+        for batch in common.slices(batches, "tree"):
             rows = []
             for r in batch.to_pylist():
                 if r["wrapper"] is not None:
@@ -471,24 +574,34 @@ def _met(pages: DataFrame, wrappers: DataFrame, run, schema: str) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """pages (page_id, host, layout, html) to one wrapper per host and layout: (host, layout, wrapper), the wrapper as JSON of reference, region and template."""
+    """pages (page_id, host, layout, tree) to one wrapper per host and layout: (host, layout, wrapper), the wrapper as bytes of reference, region and template."""
     by = ["host", "layout"]
-    some = pages.where("html is not null").select("page_id", *by, "html")
-    refs = common.materialize(some.groupBy(*by).agg(F.min(F.struct("page_id", "html")).alias("r")).select(*by, F.col("r.html").alias("wrapper")))
+    some = pages.where("tree is not null").select("page_id", *by, "tree")
+    refs = common.materialize(some.groupBy(*by).agg(F.min(F.struct("page_id", "tree")).alias("r")).select(*by, F.col("r.tree").alias("wrapper")))
 
-    def count(rows: Iterator[tuple[str | None, dict]]) -> Iterator[pa.RecordBatch]:
+    def count(rows: Iterator[tuple[bytes | None, dict]]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
+
+        def flush() -> pa.RecordBatch:
+            cols = [*([k[c] for k in seen] for c in range(3)), *([n[c] for n in seen.values()] for c in range(3))]
+            types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "layout", "node", "n", "equal", "letters"])
+
         for reference, r in rows:
-            if reference is None or r["html"] == reference:
+            if reference is None or r["tree"] == reference:
+                continue
+            found_at = varying(reference, load(r["tree"]))
+            if found_at is None:
                 continue
             seen[r["host"], r["layout"], -1][0] += 1
-            for node, found in varying(reference, parse(r["html"])).items():
+            for node, found in found_at.items():
                 n = seen[r["host"], r["layout"], node]
                 for k in range(3):
                     n[k] += found[k]
-        cols = [*([k[c] for k in seen] for c in range(3)), *([n[c] for n in seen.values()] for c in range(3))]
-        types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "layout", "node", "n", "equal", "letters"])
+            if len(seen) >= HELD:
+                yield flush()
+                seen.clear()
+        yield flush()
 
     counts = _met(some, refs, count, "host string, layout string, node int, n long, equal long, letters long")
     sums = counts.groupBy(*by, "node").agg(*(F.sum(c).alias(c) for c in ("n", "equal", "letters")))
@@ -496,15 +609,66 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "wrapper"):
-            out = []
+            out, open_ = [], []
             for reference, found in zip(batch.column("wrapper").to_pylist(), batch.column("counts").to_pylist()):
                 by_node = {c["node"]: (c["n"], c["equal"], c["letters"]) for c in found or ()}
                 n = by_node.pop(-1, (0, 0, 0))[0]
-                region, template = wrapper_of(reference, by_node, n)
-                out.append(json.dumps([reference, region, template]))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array(out, pa.string())], names=["host", "layout", "wrapper"])
+                region, template, candidates = wrapper_of(reference, by_node, n)
+                out.append(pickle.dumps((reference, region, template, candidates), 5))
+                open_.append(bool(candidates))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array(out, pa.binary()), pa.array(open_, pa.bool_())], names=["host", "layout", "wrapper", "open"])
+
+    first = common.materialize(refs.join(listed, by, "left").mapInArrow(settle, "host string, layout string, wrapper binary, open boolean"))
+    undecided = first.where("open")
+    if undecided.isEmpty():
+        return first.drop("open")
+
+    def judge(rows: Iterator[tuple[bytes | None, dict]]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["host", "layout", "page", "k", "hash", "nodes", "equal"], (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+        out: list[tuple] = []
+        settled = _Settled()
+        for wrapper, r in rows:
+            if wrapper is None:
+                continue
+            reference, region, _, candidates = settled[wrapper]
+            found = article(reference, load(r["tree"]), region, candidates) if r["tree"] != reference else None
+            if found:
+                page = xxhash.xxh3_64_intdigest(r["tree"]) - (1 << 63)
+                out += [(r["host"], r["layout"], page, k, h, [n for n, _ in found[1]], [e for _, e in found[1]]) for k, h in enumerate(found[0])]
+            if len(out) >= HELD // 10:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    of_open = some.join(F.broadcast(undecided.select(*by)) if undecided.count() <= HELD else undecided.select(*by), by, "left_semi")
+    signs = _met(of_open, undecided, judge, "host string, layout string, page long, k int, hash long, nodes array<int>, equal array<boolean>")
+    # a page counts if it is the first of every hash it has: near copies of it have one of these hashes and are not
+    firsts = signs.groupBy(*by, "k", "hash").agg(F.min(F.struct("page", "nodes", "equal")).alias("p")).select(*by, "p.*")
+    counted = firsts.groupBy(*by, "page").agg(F.count("*").alias("n"), F.first("nodes").alias("nodes"), F.first("equal").alias("equal")).where(F.col("n") == SIGNATURES)
+    flags = counted.select(*by, F.explode(F.arrays_zip("nodes", "equal")).alias("f"))
+    per_node = flags.groupBy(*by, F.col("f.nodes").alias("node")).agg(F.count("*").alias("n"), F.count_if("f.equal").alias("equal")).where((F.col("n") >= ARTICLES) & (F.col("equal") >= CONSTANT * F.col("n")))
+    chosen = per_node.groupBy(*by).agg(F.collect_list("node").alias("more"))  # bounded by the nodes of a page
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for wrapper, more in zip(batch.column("wrapper").to_pylist(), batch.column("more").to_pylist()):
+                reference, region, template, _ = pickle.loads(wrapper)
+                out.append(pickle.dumps((reference, region, sorted({*template, *(more or ())}), []), 5))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array(out, pa.binary())], names=["host", "layout", "wrapper"])
+
+    return common.materialize(first.join(chosen, by, "left").select(*by, "wrapper", "more").mapInArrow(complete, "host string, layout string, wrapper binary"))
+
+
+class _Settled(dict):
+    """Wrappers that a task has read, a hundred at a time."""
 
-    return common.materialize(refs.join(listed, by, "left").mapInArrow(settle, "host string, layout string, wrapper string"))
+    def __missing__(self, wrapper: bytes) -> tuple:
+        if len(self) >= 100:
+            self.clear()
+        self[wrapper] = found = pickle.loads(wrapper)
+        return found
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -519,14 +683,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     wrappers = induce(pages)
     kind = pages.schema["page_id"].dataType
 
-    def run(rows: Iterator[tuple[str | None, dict]]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        out = []
+    def run(rows: Iterator[tuple[bytes | None, dict]]) -> Iterator[pa.RecordBatch]:
+        settled, out = _Settled(), []
         for wrapper, r in rows:
-            if wrapper is not None and wrapper not in held:
-                held = {wrapper: json.loads(wrapper)} if len(held) > 100 else held | {wrapper: json.loads(wrapper)}
-            out.append((r["page_id"], r["url"], extract(r["html"], *(held[wrapper] if wrapper else ()))))
+            out.append((r["page_id"], r["url"], "" if r["tree"] is None else extract(load(r["tree"]), *(settled[wrapper][:3] if wrapper else ()))))
         ids, urls, texts = zip(*out) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return _met(pages.select("page_id", "url", "html", "host", "layout"), wrappers, run, f"page_id {kind.simpleString()}, url string, text string, n_chars long")
+    return _met(pages, wrappers, run, f"page_id {kind.simpleString()}, url string, text string, n_chars long")

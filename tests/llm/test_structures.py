@@ -208,3 +208,63 @@ def test_damaged_warc_files():
     assert [n for n, _ in read(whole[:-30])][:1999] == [str(k) for k in range(1999)]
     assert len(read(whole[:5000] + b"broken" + whole[5006:])) >= 1
     assert read(b"") == read(b"nothing") == read(b"WARC/1.0 no end") == []
+
+
+def _paragraphs(rng, n):
+    return [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("frame", ["<body><article>{}</article></body>", "<body><div class=story>{}</div></body>", "<body><div><p>Site</p></div><div><section>{}</section></div></body>"])
+@pytest.mark.parametrize("copies", [8, 40])
+@pytest.mark.parametrize("place", ["one", "any"])
+def test_near_copies_keep_their_text(spark, frame, copies, place):
+    """Copies of one article that differ in a paragraph, the only articles of their host: none of their paragraphs is template."""
+    rng = random.Random(copies)
+    base, rows, want = _paragraphs(rng, 6), [], {}
+    for k in range(copies):
+        parts = ["Title here", *base]
+        parts[3 if place == "one" else 1 + k % 6] = f"edited {k} " + _paragraphs(rng, 1)[0]
+        rows.append((k, "http://h.example/", frame.format(f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}</p>" for p in parts[1:]))))
+        want[k] = "\n".join(parts)
+    got = {r.page_id: r.text for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: t.removeprefix("Site\n") for k, t in got.items()} == want
+
+
+def _brute(pages):
+    """The wrapper's rules over the known articles of one host: a block of the article is template if it is the same in nine of ten different articles, five at least besides the first."""
+    articles = {a: blocks for a, blocks in pages.values()}
+    template = set()
+    others = [b for a, b in articles.items() if a != min(articles)]
+    for block in articles[min(articles)]:
+        if len(others) >= 5 and sum(block in b for b in others) >= 0.9 * len(others):
+            template.add(block)
+    return {k: "\n".join(b for b in blocks if b not in template) for k, (_, blocks) in pages.items()}
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+@pytest.mark.parametrize("articles", [4, 9])
+def test_boilerplate_goes_and_copies_stay(spark, copies, articles):
+    """Many near copies of one article beside different ones: what all articles share is template, what copies share is text."""
+    rng = random.Random(10 * copies + articles)
+    pages, rows = {}, []
+    for a in range(articles):
+        base = [f"Title {a} {_paragraphs(rng, 1)[0]}", *_paragraphs(rng, 6)]
+        for c in range(copies if a == 1 else 2 if a == 0 else 1):
+            blocks = list(base)
+            if c:
+                blocks[1 + c % 6] = _paragraphs(rng, 1)[0]
+            pages[len(pages)] = (a, [blocks[0], "Share this story", *blocks[1:], "More at our shop"])
+    for k, (_, blocks) in pages.items():
+        rows.append((k, "http://h.example/", "<body><div>Top</div><article><h1>{}</h1><p>{}</p>".format(*blocks) + "".join(f"<p>{p}</p>" for p in blocks[2:]) + "</article><div>End</div></body>"))
+    first = {a: next(b for x, b in pages.values() if x == a) for a in range(articles)}
+    want = _brute({k: (a, b) for k, (a, b) in pages.items()} | {-1 - a: (a, b) for a, b in first.items()})
+    got = {r.page_id: r.text for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want[k] for k in pages}
+    assert ("Share this story" in got[0]) == (articles == 4)
+
+
+def test_trees_as_bytes():
+    page = "<div class='b a'>x<p>one<br>two &amp; <i></i></p></div>" + "<b>" * 5000 + "deep"
+    a = wrapper.parse(page)
+    b = wrapper.load(wrapper.dump(a))
+    assert [(n.tag, n.names, n.label, [p for p in n.parts if isinstance(p, str)]) for n in wrapper.numbered(a)] == [(n.tag, n.names, n.label, [p for p in n.parts if isinstance(p, str)]) for n in wrapper.numbered(b)]
