@@ -81,17 +81,24 @@ _NOT_NAMES = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "names", "parts", "label", "shape", "size")
+    """An element. Children and own text are asked for when the tree is whole, and kept."""
+
+    __slots__ = ("tag", "names", "parts", "label", "shape", "size", "kids", "own")
 
     def __init__(self, tag: str, names: frozenset[str]):
         self.tag, self.names, self.parts = tag, names, []  # parts: texts and nodes, in order
         self.label = f"{tag}.{_DIGITS.sub('#', '.'.join(sorted(names)))}" if names else tag
+        self.kids = self.own = None
 
     def children(self) -> list[Node]:
-        return [p for p in self.parts if isinstance(p, Node)]
+        if self.kids is None:
+            self.kids = [p for p in self.parts if p.__class__ is Node]
+        return self.kids
 
     def text(self) -> str:
-        return " ".join(" ".join(p for p in self.parts if isinstance(p, str)).split())
+        if self.own is None:
+            self.own = " ".join(" ".join([p for p in self.parts if p.__class__ is str]).split())
+        return self.own
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -224,8 +231,8 @@ def shaped(root: Node) -> None:
     """Give every node a hash of its subtree's labels, and its size."""
     for n in reversed(numbered(root)):
         below = n.children()
-        n.size = 1 + sum(c.size for c in below)
-        n.shape = hash((n.label, *(c.shape for c in below)))
+        n.size = 1 + sum([c.size for c in below])
+        n.shape = hash((n.label, *[c.shape for c in below])) if below else hash(n.label)
 
 
 def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
