@@ -44,19 +44,17 @@ class Whitening:
 
 
 def fixed_point(vectors: DataFrame, col: str = "embedding") -> DataFrame:
-    """vectors with `x`: floor(64 * entry) + 1,000,000 as longs.
+    """Written table (vec_id, x) of vectors: floor(64 * entry) + 1,000,000 as longs.
 
     Rows go whose vector is null, empty, or holds entries that are null, not finite or too large for
     a long. One space has one length: vectors of another length than most rows have (of equally
     frequent lengths the longest) go too.
     """
     whole = F.col(col).isNotNull() & (F.size(col) > 0) & F.forall(col, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < (1 << 53)))
-    rows = vectors.where(F.coalesce(whole, F.lit(False)))
-    per_length = rows.groupBy(F.size(col).alias("dims")).count()
-    most = per_length.agg(F.max(F.struct("count", "dims")).alias("m")).first()["m"]
-    dims = most["dims"] if most else 0
     x = F.transform(F.col(col), lambda c: F.floor(c.cast("double") * SCALE) + SHIFT)
-    return rows.where(F.size(col) == dims).withColumn("x", x)
+    rows = common.materialize(vectors.where(F.coalesce(whole, F.lit(False))).select(F.col("vec_id").cast("long"), x.alias("x")))
+    most = rows.groupBy(F.size("x").alias("dims")).count().agg(F.max(F.struct("count", "dims")).alias("m")).first()["m"]
+    return rows.where(F.size("x") == (most["dims"] if most else 0))
 
 
 def _entries(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -165,7 +163,7 @@ def whiten(vectors: DataFrame, components: int = 16) -> DataFrame:
     """
     if components < 1:
         raise ValueError("at least one component")
-    x = fixed_point(vectors.select("vec_id", "embedding")).select("vec_id", "x")
+    x = fixed_point(vectors)
     m = fit(x, components)
     schema = "vec_id long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
     if m is None:
@@ -188,4 +186,4 @@ def whiten(vectors: DataFrame, components: int = 16) -> DataFrame:
                 names=["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
             )
 
-    return x.select(F.col("vec_id").cast("long"), "x").mapInArrow(project, schema)
+    return x.mapInArrow(project, schema)
