@@ -80,9 +80,9 @@ def vwap_bands(bars: DataFrame) -> DataFrame:
 
 
 def features(bars: DataFrame) -> DataFrame:
-    """Return, log return, 20-row extremes, close's volatility, volume z-score and 5- and 20-row log-price slopes."""
+    """Return, log return, 20-row extremes, volatility (sample deviation of the log returns of 20 rows), volume z-score and 5- and 20-row log-price slopes."""
     log = F.log("c")
-    d = bars.withColumns({"_x": F.row_number().over(by()), "_y": log})
+    d = bars.withColumns({"_x": F.row_number().over(by()), "_y": log}).withColumn("_r", F.col("_y") - F.lag("_y").over(by()))
     return d.withColumns(
         {
             "ret": F.col("c") / F.lag("c").over(by()) - 1,
@@ -90,9 +90,10 @@ def features(bars: DataFrame) -> DataFrame:
             "high_20": full(F.max("h").over(over(20)), F.col("h"), 20),
             "low_20": full(F.min("l").over(over(20)), F.col("l"), 20),
             "vol_z": full((F.col("v") - F.avg("v").over(over(20))) / F.nullif(F.stddev_samp("v").over(over(20)), F.lit(0.0)), F.col("v"), 20),
+            "volatility_20": full(F.stddev_samp("_r").over(over(20)), F.col("_r"), 20),
             **{f"slope_{n}": full(F.regr_slope("_y", "_x").over(over(n)), F.col("_y"), n) for n in (5, 20)},
         }
-    ).drop("_x", "_y")
+    ).drop("_x", "_y", "_r")
 
 
 def beta(days: DataFrame, market: str, least: int = 20) -> DataFrame:

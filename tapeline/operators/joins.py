@@ -132,10 +132,21 @@ def in_bins(points: DataFrame, bars: DataFrame, minutes: int) -> DataFrame:
 
 
 def first_after(ledger: DataFrame, action: str = "sell") -> DataFrame:
-    """Each buy with the first later row of the given action, by symbol in ledger order."""
-    w = W.partitionBy("symbol").orderBy("seq").rowsBetween(1, W.unboundedFollowing)
+    """Each buy (account, symbol, seq, price) with the first later row of the given action, by account and symbol in ledger order."""
+    w = W.partitionBy("account", "symbol").orderBy("seq").rowsBetween(1, W.unboundedFollowing)
     exit_ = F.first(F.when(F.col("action") == action, F.struct("seq", "price")), ignorenulls=True).over(w)
-    return ledger.withColumn("_x", exit_).where("action = 'buy'").select("symbol", "seq", "price", F.col("_x.seq").alias("exit_seq"), F.col("_x.price").alias("exit_price"))
+    return ledger.withColumn("_x", exit_).where("action = 'buy'").select("account", "symbol", "seq", "price", F.col("_x.seq").alias("exit_seq"), F.col("_x.price").alias("exit_price"))
+
+
+def running_sums(rows: DataFrame, by: str, on: str, names: list[str], seconds: int = SLICE) -> DataFrame:
+    """rows with the columns `names` replaced by their running sums in order of `on` (unique within a key), slice by slice: sums of earlier slices and a window within the slice."""
+    d = rows.withColumn("_s", _slice(F.col(on), seconds))
+    earlier = W.partitionBy(by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    base = d.groupBy(by, "_s").agg(*[F.sum(c).alias(c) for c in names])
+    base = base.select(F.col(by).alias("_by"), F.col("_s").alias("_slice"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in names])
+    inside = W.partitionBy(by, "_s").orderBy(on).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumns({c: F.sum(c).over(inside) for c in names}).join(base, d[by].eqNullSafe(F.col("_by")) & F.col("_s").eqNullSafe(F.col("_slice")))
+    return d.select(*[(F.col(c) + F.col(f"_{c}")).alias(c) if c in names else F.col(f"`{c}`") for c in rows.columns])
 
 
 def carried_in(targets: DataFrame, start: str) -> DataFrame:

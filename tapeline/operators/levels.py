@@ -46,6 +46,33 @@ def opening_range(bars: DataFrame, minutes: int = 60) -> DataFrame:
     return inside.groupBy("symbol", "day").agg(F.max("h").alias("high"), F.min("l").alias("low"), F.avg("v").alias("avg_volume"), F.count("*").alias("n"))
 
 
+def opening_breakout(bars: DataFrame, minutes: int = 15, grace: int = 3) -> DataFrame:
+    """Opening range and what became of it, per symbol and New York date: (symbol, day, note, high, low, avg_volume, n, complete, price, status, volume_ratio).
+
+    The range is that of [09:30, 09:30 + minutes). Where the date's bars from 09:30 on begin more
+    than `grace` minutes late, they don't reach back to the open and there is no range but a note;
+    so too where no bar lies in the window. It is complete once a bar at or after its end is
+    there. price is the last close from 09:30 on; volume_ratio is the mean volume of the last three
+    bars after the window to that of the window.
+    """
+    m = minute_of_day(F.col("t"))
+    d = bars.where(m >= 570).withColumns({"day": F.date_format(eastern(F.col("t")), "yyyy-MM-dd"), "_m": m, "_in": m < 570 + minutes})
+    w = W.partitionBy("symbol", "day", "_in").orderBy(F.desc("t"))
+    d = d.withColumn("_k", F.row_number().over(w))
+    only = lambda c: F.when(F.col("_in"), F.col(c))
+    g = d.groupBy("symbol", "day").agg(
+        F.min("_m").alias("_first"), F.max(only("h")).alias("high"), F.min(only("l")).alias("low"), F.avg(only("v")).alias("avg_volume"), F.count_if("_in").alias("n"),
+        F.count_if(~F.col("_in")).alias("_after"), F.max_by("c", "t").alias("price"), F.avg(F.when(~F.col("_in") & (F.col("_k") <= 3), F.col("v"))).alias("_late"),
+    )
+    g = g.withColumn("note", F.when(F.col("_first") > 570 + grace, "bars do not reach back to the open").when(F.col("n") == 0, "no bars in the window")).withColumn("complete", F.col("_after") > 0)
+    status = F.when(~F.col("complete"), "still forming").when(F.col("price") > F.col("high"), "broken out above").when(F.col("price") < F.col("low"), "broken out below").otherwise("inside_range")
+    had = lambda c, name: F.when(F.col("note").isNull(), c).alias(name)
+    return g.select(
+        "symbol", "day", "note", *[had(F.col(c), c) for c in ("high", "low", "avg_volume", "n", "complete")], had(F.col("price"), "price"), had(status, "status"),
+        had(F.col("_late") / F.nullif("avg_volume", F.lit(0.0)), "volume_ratio"),
+    )
+
+
 def key_levels(bars: DataFrame) -> DataFrame:
     """Per symbol and New York date: premarket high and low (before 09:30), session high and low, and the previous day's high, low and close."""
     m = minute_of_day(F.col("t"))

@@ -1,4 +1,4 @@
-"""Ledgers (seq, ts, symbol, action, price): equity, round trips, extremes and session counts."""
+"""Ledgers (account, seq, ts, symbol, action, price): equity, round trips, extremes and session counts."""
 
 from __future__ import annotations
 
@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeline.operators.joins import asof_backward
+from tapeline.operators.joins import asof_backward, running_sums
 
 FEE = 1.15
 
 
 def positions(ledger: DataFrame, cash: float = 1000.0, fee: float = FEE) -> DataFrame:
-    """Running cash and position per symbol, one share a trade."""
-    w = W.partitionBy("symbol").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    """(symbol, ts, position, cash, fees) of all accounts together after each time at which a symbol is traded, one share a trade; in time slices."""
     side = F.when(F.col("action") == "buy", 1).otherwise(-1)
-    return ledger.withColumns({"position": F.sum(side).over(w), "cash": F.lit(cash) - F.sum(side * F.col("price") + fee).over(w), "fees": F.count("*").over(w) * fee})
+    g = ledger.groupBy("symbol", "ts").agg(F.sum(side).alias("position"), F.sum(side * F.col("price") + fee).alias("cash"), F.count("*").alias("fees"))
+    d = running_sums(g, "symbol", "ts", ["position", "cash", "fees"])
+    return d.select("symbol", "ts", "position", (F.lit(cash) - F.col("cash")).alias("cash"), (F.col("fees") * fee).alias("fees"))
 
 
 def equity_curve(bars: DataFrame, ledger: DataFrame, cash: float = 1000.0) -> DataFrame:
-    """Per bar: cash and position of the latest trade at or before it, marked at the bar's close."""
+    """Per bar: cash and position of the latest trades at or before it, marked at the bar's close."""
     d = asof_backward(bars.select("symbol", "t", "c"), positions(ledger, cash), "symbol", "t", "ts", ["cash", "position"])
     return d.select("symbol", "t", (F.coalesce("cash", F.lit(cash)) + F.coalesce("position", F.lit(0)) * F.col("c")).alias("equity"))
 

@@ -51,8 +51,9 @@ def held_for(rows: DataFrame, condition: Column, seconds: int) -> DataFrame:
 
 
 def latched(rows: DataFrame, condition: Column, keys: list[str]) -> DataFrame:
-    """The first row of each key, in time, on which a condition holds."""
-    first = rows.where(condition).groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), "t").alias("_x"))
+    """The first row of each key, in time, on which a condition holds; of rows at one time the one with the smallest id, where there is one."""
+    order = F.struct("t", *[c for c in ("id",) if c in rows.columns])
+    first = rows.where(condition).groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("_x"))
     return first.select(*keys, "_x.*")
 
 

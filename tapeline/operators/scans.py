@@ -7,20 +7,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeline.operators import joins
+from tapeline.operators.bars import rollup
 from tapeline.operators.indicators import by, over
 
 
 def window(rows: DataFrame, start: str, end: str, t: str = "t") -> DataFrame:
-    """Rows of the half-open time [start, end): a filter that reaches the scan."""
+    """Rows of the half-open time [start, end). On a table the filter reaches the scan; for bars rolled up from trades use bars_window."""
     at = lambda x: F.lit(x).cast(rows.schema[t].dataType)
     return rows.where((F.col(t) >= at(start)) & (F.col(t) < at(end)))
 
 
+def bars_window(trades: DataFrame, start: str, end: str, minutes: int) -> DataFrame:
+    """Bars of `minutes` with start <= t < end, from the trades of that time alone: the range, widened to whole bars, reaches the scan of the trades."""
+    at = lambda x: F.lit(x).cast(trades.schema["t"].dataType)
+    step = minutes * 60
+    floor = lambda x: F.timestamp_seconds(F.floor(F.unix_timestamp(F.lit(x).cast("timestamp")) / step) * step).cast(trades.schema["t"].dataType)
+    some = trades.where((F.col("t") >= floor(start)) & (F.col("t") < floor(end) + F.expr(f"interval {minutes} minutes")))
+    return window(rollup(some, minutes), start, end)
+
+
 def lookback(rows: DataFrame, now: str, hours: int = 8, limit: int = 10_000) -> DataFrame:
-    """Per symbol the first `limit` rows (symbol, t, id) of the last `hours` before `now`."""
+    """Per symbol the first `limit` rows (symbol, t) of the last `hours` before `now`, trades with an id or bars without; rows of one time follow each other by id, else by their other columns."""
     at = F.lit(now).cast(rows.schema["t"].dataType)
     recent = rows.where((F.col("t") >= at - F.expr(f"interval {hours} hours")) & (F.col("t") < at))
-    n = F.row_number().over(W.partitionBy("symbol").orderBy("t", "id"))
+    ties = ["id"] if "id" in rows.columns else [c for c in rows.columns if c not in ("symbol", "t")]
+    n = F.row_number().over(W.partitionBy("symbol").orderBy("t", *ties))
     return recent.withColumn("_n", n).where(F.col("_n") <= limit).drop("_n")
 
 

@@ -30,10 +30,11 @@ SQL: dict[str, str] = {}
 TRADES = "trades AS (SELECT event_type AS symbol, ts AS t, value AS p, 1 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS s, event_id AS id FROM events)"
 _BAR = "SELECT symbol, {t} AS t, arg_min(p, row(t, id)) AS o, max(p) AS h, min(p) AS l, arg_max(p, row(t, id)) AS c, CAST(sum(s) AS BIGINT) AS v, sum(p * s) / sum(s) AS vw FROM trades GROUP BY symbol, {t}"
 HOURS = f"{TRADES}, bars AS ({_BAR.format(t="time_bucket(INTERVAL 1 hour, trades.t)")})"
-DAYS = f"{TRADES}, bars AS ({_BAR.format(t="time_bucket(INTERVAL 1 day, trades.t)")})"
+NY_DAY = "CAST(CAST(timezone('America/New_York', timezone('UTC', trades.t)) AS DATE) AS TIMESTAMP)"
+DAYS = f"{TRADES}, bars AS ({_BAR.format(t=NY_DAY)})"
 QUARTERS = f"{TRADES}, bars AS ({_BAR.format(t="time_bucket(INTERVAL 15 minute, trades.t)")})"
 HALVES = f"{TRADES}, bars AS ({_BAR.format(t="time_bucket(INTERVAL 30 minute, trades.t)")})"
-LEDGER = "ledger AS (SELECT row_number() OVER (PARTITION BY event_type ORDER BY ts) AS seq, ts, event_type AS symbol, CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY ts) % 2 = 1 THEN 'buy' ELSE 'sell' END AS action, value AS price FROM events WHERE event_type = 'purchase')"
+LEDGER = "ledger AS (SELECT CAST(user_id AS VARCHAR) AS account, row_number() OVER a AS seq, ts, event_type AS symbol, CASE WHEN row_number() OVER a % 2 = 1 THEN 'buy' ELSE 'sell' END AS action, value AS price FROM events WHERE event_type = 'purchase' WINDOW a AS (PARTITION BY user_id ORDER BY ts, event_id))"
 CHAIN = "chain AS (SELECT p_brand AS symbol, CAST(p_size AS DOUBLE) AS strike, CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS call_oi, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS put_oi, round(avg(0.10 + (p_partkey % 40) / 100.0), 6) AS iv FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 TEXT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -99,7 +100,7 @@ def gap_fill(spark, d):
 @query(
     f"WITH {HOURS}, w AS (SELECT symbol, t, CASE WHEN count(*) OVER a = 20 THEN avg(c) OVER a END AS sma_20, CASE WHEN count(*) OVER b = 50 THEN avg(c) OVER b END AS sma_50, "
     "CASE WHEN count(*) OVER e = 15 THEN sum(c * v) OVER e / sum(v) OVER e END AS vwma_15 FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING), b AS (PARTITION BY symbol ORDER BY t ROWS 49 PRECEDING), e AS (PARTITION BY symbol ORDER BY t ROWS 14 PRECEDING)) "
-    f"SELECT symbol, {TEXT.format('t')} AS t, round(sma_20, 6) AS sma_20, round(sma_50, 6) AS sma_50, round(vwma_15, 6) AS vwma_15 FROM w"
+    f"SELECT symbol, {TEXT.format('t')} AS t, round(sma_20, 6) AS sma_20, round(sma_50, 6) AS sma_50, {half_up('vwma_15', 6)} AS vwma_15 FROM w"
 )
 def moving_averages(spark, d):
     x = I.vwma(I.sma(I.sma(hours(spark, d), 20, "sma_20"), 50, "sma_50"), 15, "vwma_15")
@@ -147,10 +148,10 @@ def vwap_bands(spark, d):
 
 @query(
     f"WITH {DAYS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS x FROM bars), b AS (SELECT *, c / lag(c) OVER o - 1 AS ret, ln(c) - lag(ln(c)) OVER o AS log_ret, count(*) OVER w AS n, max(h) OVER w AS hi, min(l) OVER w AS lo, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS z, count(*) OVER f AS m, regr_slope(ln(c), x) OVER f AS s5, regr_slope(ln(c), x) OVER w AS s20 FROM a WINDOW o AS (PARTITION BY symbol ORDER BY t), w AS (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING), f AS (PARTITION BY symbol ORDER BY t ROWS 4 PRECEDING)) "
-    f"SELECT symbol, {TEXT.format('t')} AS t, round(ret, 6) AS ret, round(log_ret, 6) AS log_ret, CASE WHEN n = 20 THEN hi END AS high_20, CASE WHEN n = 20 THEN lo END AS low_20, CASE WHEN n = 20 THEN round(z, 6) END AS vol_z, CASE WHEN m = 5 THEN round(s5, 6) END AS slope_5, CASE WHEN n = 20 THEN round(s20, 6) END AS slope_20 FROM b"
+    f"SELECT symbol, {TEXT.format('t')} AS t, round(ret, 6) AS ret, round(log_ret, 6) AS log_ret, CASE WHEN n = 20 THEN hi END AS high_20, CASE WHEN n = 20 THEN lo END AS low_20, CASE WHEN n = 20 THEN round(z, 6) END AS vol_z, CASE WHEN m = 5 THEN round(s5, 6) END AS slope_5, CASE WHEN n = 20 THEN round(s20, 6) END AS slope_20, round(CASE WHEN count(log_ret) OVER v = 20 THEN stddev_samp(log_ret) OVER v END, 6) AS volatility_20 FROM b WINDOW v AS (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING)"
 )
 def price_features(spark, d):
-    return I.features(days(spark, d)).select("symbol", text("t"), r("ret"), r("log_ret"), "high_20", "low_20", r("vol_z"), r("slope_5"), r("slope_20"))
+    return I.features(days(spark, d)).select("symbol", text("t"), r("ret"), r("log_ret"), "high_20", "low_20", r("vol_z"), r("slope_5"), r("slope_20"), r("volatility_20"))
 
 
 @query(
@@ -162,7 +163,7 @@ def beta(spark, d):
 
 
 @query(
-    f"WITH {HOURS}, w AS (SELECT *, lag(h) OVER o AS ph, lag(l) OVER o AS pl, lag(c) OVER o AS pc FROM ({_BAR.format(t="time_bucket(INTERVAL 1 day, trades.t)")}) WINDOW o AS (PARTITION BY symbol ORDER BY t)), p AS (SELECT symbol, t, ph AS h, pl AS l, (ph + pl + pc) / 3 AS p FROM w WHERE pc IS NOT NULL), "
+    f"WITH {HOURS}, w AS (SELECT *, lag(h) OVER o AS ph, lag(l) OVER o AS pl, lag(c) OVER o AS pc FROM ({_BAR.format(t=NY_DAY)}) WINDOW o AS (PARTITION BY symbol ORDER BY t)), p AS (SELECT symbol, t, ph AS h, pl AS l, (ph + pl + pc) / 3 AS p FROM w WHERE pc IS NOT NULL), "
     "u AS (SELECT symbol, t, 'P' AS level, p AS price FROM p UNION ALL SELECT symbol, t, 'R1', 2 * p - l FROM p UNION ALL SELECT symbol, t, 'S1', 2 * p - h FROM p UNION ALL SELECT symbol, t, 'R2', p + (h - l) FROM p UNION ALL SELECT symbol, t, 'S2', p - (h - l) FROM p UNION ALL SELECT symbol, t, 'R3', h + 2 * (p - l) FROM p UNION ALL SELECT symbol, t, 'S3', l - 2 * (h - p) FROM p) "
     f"SELECT symbol, {TEXT.format('t')} AS t, level, round(price, 6) AS price FROM u"
 )
@@ -185,13 +186,13 @@ def drawdown(spark, d):
     return L.drawdown(hours(spark, d)).select("symbol", "peak", r("drawdown_pct"))
 
 
-@query(f"WITH {HALVES}, a AS (SELECT *, t - INTERVAL 5 hour AS e FROM bars) SELECT symbol, strftime(e, '%Y-%m-%d') AS day, max(h) AS high, min(l) AS low, round(avg(v), 6) AS avg_volume, count(*) AS n FROM a WHERE hour(e) * 60 + minute(e) >= 570 AND hour(e) * 60 + minute(e) < 630 GROUP BY ALL")
+@query(f"WITH {HALVES}, a AS (SELECT *, timezone('America/New_York', timezone('UTC', t)) AS e FROM bars) SELECT symbol, strftime(e, '%Y-%m-%d') AS day, max(h) AS high, min(l) AS low, round(avg(v), 6) AS avg_volume, count(*) AS n FROM a WHERE hour(e) * 60 + minute(e) >= 570 AND hour(e) * 60 + minute(e) < 630 GROUP BY ALL")
 def opening_range(spark, d):
     return L.opening_range(B.rollup(V.trades(spark, d), 30)).select("symbol", "day", "high", "low", r("avg_volume"), "n")
 
 
 @query(
-    f"WITH {HALVES}, a AS (SELECT *, strftime(t - INTERVAL 5 hour, '%Y-%m-%d') AS day, hour(t - INTERVAL 5 hour) * 60 + minute(t - INTERVAL 5 hour) < 570 AS pre FROM bars), g AS (SELECT symbol, day, max(CASE WHEN pre THEN h END) AS premarket_high, min(CASE WHEN pre THEN l END) AS premarket_low, max(CASE WHEN NOT pre THEN h END) AS session_high, min(CASE WHEN NOT pre THEN l END) AS session_low, max(h) AS h, min(l) AS l, arg_max(c, t) AS c FROM a GROUP BY ALL) "
+    f"WITH {HALVES}, a AS (SELECT *, strftime(timezone('America/New_York', timezone('UTC', t)), '%Y-%m-%d') AS day, hour(timezone('America/New_York', timezone('UTC', t))) * 60 + minute(timezone('America/New_York', timezone('UTC', t))) < 570 AS pre FROM bars), g AS (SELECT symbol, day, max(CASE WHEN pre THEN h END) AS premarket_high, min(CASE WHEN pre THEN l END) AS premarket_low, max(CASE WHEN NOT pre THEN h END) AS session_high, min(CASE WHEN NOT pre THEN l END) AS session_low, max(h) AS h, min(l) AS l, arg_max(c, t) AS c FROM a GROUP BY ALL) "
     "SELECT symbol, day, premarket_high, premarket_low, session_high, session_low, lag(h) OVER w AS prior_high, lag(l) OVER w AS prior_low, lag(c) OVER w AS prior_close FROM g WINDOW w AS (PARTITION BY symbol ORDER BY day)"
 )
 def key_levels(spark, d):
@@ -297,7 +298,7 @@ def coverage_grid(spark, d):
     return J.coverage(V.trades(spark, d)).withColumn("d", F.date_format("d", "yyyy-MM-dd"))
 
 
-@query(f"WITH {LEDGER}, x AS (SELECT a.symbol, a.seq, a.price, (SELECT min(b.seq) FROM ledger b WHERE b.symbol = a.symbol AND b.seq > a.seq AND b.action = 'sell') AS exit_seq FROM ledger a WHERE a.action = 'buy') SELECT x.*, l.price AS exit_price FROM x LEFT JOIN ledger l ON l.symbol = x.symbol AND l.seq = x.exit_seq")
+@query(f"WITH {LEDGER}, x AS (SELECT a.account, a.symbol, a.seq, a.price, (SELECT min(b.seq) FROM ledger b WHERE b.account = a.account AND b.symbol = a.symbol AND b.seq > a.seq AND b.action = 'sell') AS exit_seq FROM ledger a WHERE a.action = 'buy') SELECT x.*, l.price AS exit_price FROM x LEFT JOIN ledger l ON l.account = x.account AND l.symbol = x.symbol AND l.seq = x.exit_seq")
 def first_exit(spark, d):
     return J.first_after(V.ledger(spark, d))
 
@@ -321,7 +322,7 @@ def gamma_flip(spark, d):
 
 
 @query(
-    f"WITH {HOURS}, {LEDGER}, p AS (SELECT symbol, ts, sum(CASE WHEN action = 'buy' THEN 1 ELSE -1 END) OVER w AS position, 1000.0 - sum(CASE WHEN action = 'buy' THEN price ELSE -price END + 1.15) OVER w AS cash FROM ledger WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING)) "
+    f"WITH {HOURS}, {LEDGER}, p AS (SELECT DISTINCT symbol, ts, sum(CASE WHEN action = 'buy' THEN 1 ELSE -1 END) OVER w AS position, 1000.0 - sum(CASE WHEN action = 'buy' THEN price ELSE -price END + 1.15) OVER w AS cash FROM ledger WINDOW w AS (PARTITION BY symbol ORDER BY ts)) "
     f"SELECT b.symbol, {TEXT.format('b.t')} AS t, round(coalesce(cash, 1000.0) + coalesce(position, 0) * c, 6) AS equity FROM bars b ASOF LEFT JOIN p ON b.symbol = p.symbol AND b.t >= p.ts"
 )
 def equity_curve(spark, d):
@@ -346,7 +347,7 @@ def ledger_summary(spark, d):
 _CLOCK = "CASE WHEN isodow(e) > 5 OR m < 570 OR m >= 960 THEN 'outside_regular_hours' WHEN m < 660 THEN 'opening_window' WHEN m >= 720 AND m < 840 THEN 'midday_dead_zone' WHEN m >= 900 THEN 'power_hour' ELSE 'other_session_hours' END"
 
 
-@query(f"WITH {TRADES}, a AS (SELECT symbol, t - INTERVAL 5 hour AS e, hour(t - INTERVAL 5 hour) * 60 + minute(t - INTERVAL 5 hour) AS m, s FROM trades) SELECT symbol, {_CLOCK} AS clock, count(*) AS n, CAST(sum(s) AS BIGINT) AS shares FROM a GROUP BY ALL")
+@query(f"WITH {TRADES}, a AS (SELECT symbol, timezone('America/New_York', timezone('UTC', t)) AS e, hour(timezone('America/New_York', timezone('UTC', t))) * 60 + minute(timezone('America/New_York', timezone('UTC', t))) AS m, s FROM trades) SELECT symbol, {_CLOCK} AS clock, count(*) AS n, CAST(sum(s) AS BIGINT) AS shares FROM a GROUP BY ALL")
 def session_clock(spark, d):
     return V.trades(spark, d).groupBy("symbol", session_window(F.col("t")).alias("clock")).agg(F.count("*").alias("n"), F.sum("s").alias("shares"))
 
@@ -505,7 +506,7 @@ def value_area(spark, d):
 
 @query(
     f"WITH {DAYS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n, max(t) OVER (PARTITION BY symbol) AS z FROM bars), a AS (SELECT symbol, avg(v) AS adv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS k FROM n WHERE t < z AND v > 0) WHERE k <= 20 GROUP BY symbol HAVING count(*) >= 5), "
-    "h AS (SELECT symbol, t AS tt, t - INTERVAL 5 hour AS e, CAST(sum(s) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS day_volume FROM trades), m AS (SELECT *, hour(e) * 60 + minute(e) + second(e) / 60.0 - 570 AS m FROM h), "
+    "h AS (SELECT symbol, t AS tt, timezone('America/New_York', timezone('UTC', t)) AS e, CAST(sum(s) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS day_volume FROM trades), m AS (SELECT *, hour(e) * 60 + minute(e) + second(e) / 60.0 - 570 AS m FROM h), "
     "c(a, x, b, y) AS (VALUES " + ", ".join(f"({p[0]}, {p[1]}, {q[0]}, {q[1]})" for p, q in zip(C.CURVE, C.CURVE[1:])) + "), "
     "f AS (SELECT m.*, CASE WHEN m < 0 THEN NULL WHEN m > 390 THEN 1.0 ELSE (SELECT min(x + (y - x) * (m - c.a) / (b - c.a)) FROM c WHERE m >= c.a AND m <= b) END AS share FROM m) "
     f"SELECT f.symbol, {TEXT.format('tt')} AS t, day_volume, round(day_volume / adv, 5) AS ratio, round(CASE WHEN share IS NOT NULL THEN day_volume / (adv * greatest(share, 0.01)) END, 5) AS pace FROM f JOIN a ON f.symbol = a.symbol"
@@ -530,14 +531,15 @@ def ratchet_stop(spark, d):
 
 
 @query(
-    f"WITH {LEDGER}, w AS (SELECT symbol, ts AS started_at, lead(ts) OVER (PARTITION BY symbol ORDER BY seq) AS ended_at, seq FROM ledger WHERE seq % 10 = 1), t AS (SELECT event_type AS symbol, ts FROM events) "
-    "SELECT w.symbol, w.seq, count(*) AS n FROM w JOIN t ON t.symbol = w.symbol AND t.ts >= w.started_at AND (w.ended_at IS NULL OR t.ts <= w.ended_at) GROUP BY ALL"
+    f"WITH {LEDGER}, w AS (SELECT account, action, ts AS started_at, lead(ts) OVER (PARTITION BY account ORDER BY seq) AS ended_at, seq FROM ledger), t AS (SELECT CAST(user_id AS VARCHAR) AS account, ts FROM events) "
+    "SELECT w.account, w.seq, count(*) AS n FROM w JOIN t ON t.account = w.account AND t.ts >= w.started_at AND (w.ended_at IS NULL OR t.ts <= w.ended_at) WHERE w.action = 'buy' GROUP BY ALL"
 )
 def activation_events(spark, d):
-    w = V.ledger(spark, d).where("seq % 10 = 1")
-    w = w.select("symbol", F.col("ts").alias("started_at"), F.lead("ts").over(W.partitionBy("symbol").orderBy("seq")).alias("ended_at"), "seq")
-    events = V.trades(spark, d).select("symbol", F.col("t").alias("ts"))
-    return G.in_windows(w, events, ["symbol"]).groupBy("symbol", "seq").agg(F.count("*").alias("n"))
+    """Events of each account while it holds what it bought."""
+    w = V.ledger(spark, d).withColumn("ended_at", F.lead("ts").over(W.partitionBy("account").orderBy("seq")))
+    w = w.where("action = 'buy'").select("account", F.col("ts").alias("started_at"), "ended_at", "seq")
+    events = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("account"), "ts")
+    return G.in_windows(w, events, ["account"]).groupBy("account", "seq").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type AS symbol, count(*) AS n, count(*) FILTER (event_type IN ('purchase')) AS active, round(count(*) FILTER (event_type IN ('purchase')) / count(*), 6) AS active_rate, round((arg_max(value, ts) / nullif(arg_min(value, ts), 0) - 1) * 100, 4) AS return_pct FROM events GROUP BY event_type")

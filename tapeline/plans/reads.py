@@ -13,7 +13,7 @@ from tapeline.operators import levels as L
 from tapeline.operators import reads as Q
 from tapeline.operators import rules as R
 from tapeline.operators import scans as N
-from tapeline.plans.market import DAYS, HOURS, QUARTERS, TEXT, TRADES, _BAR, days, half_up, hours, query, r, text
+from tapeline.plans.market import DAYS, HOURS, NY_DAY, QUARTERS, TEXT, TRADES, _BAR, days, half_up, hours, query, r, text
 from tapeline.sources import views as V
 
 
@@ -77,8 +77,8 @@ def market_regime(spark, d):
 
 
 @query(
-    f"WITH {QUARTERS}, z AS (SELECT *, max(CAST(t AS DATE)) OVER (PARTITION BY symbol) AS z FROM bars), g AS (SELECT symbol, z AS day, arg_min(o, t) AS o, max(h) AS h, min(l) AS l FROM z WHERE CAST(t AS DATE) = z GROUP BY ALL) "
-    "SELECT symbol, strftime(day, '%Y-%m-%d') AS day, o, h, l, symbol <> 'purchase' AS from_daily FROM g"
+    f"WITH {QUARTERS}, z AS (SELECT *, max(CAST(t AS DATE)) OVER (PARTITION BY symbol) AS z FROM bars), g AS (SELECT symbol, z AS day, arg_min(o, t) AS o, max(h) AS h, min(l) AS l FROM z WHERE CAST(t AS DATE) = z GROUP BY ALL), "
+    f"y AS ({_BAR.format(t=NY_DAY)}) SELECT g.symbol, strftime(day, '%Y-%m-%d') AS day, coalesce(y.o, g.o) AS o, coalesce(y.h, g.h) AS h, coalesce(y.l, g.l) AS l, y.o IS NOT NULL AS from_daily FROM g LEFT JOIN y ON y.symbol = g.symbol AND CAST(y.t AS DATE) = g.day AND y.symbol <> 'purchase'"
 )
 def todays_range(spark, d):
     """No daily bars of one symbol, which falls back to its intraday bars."""
@@ -160,12 +160,12 @@ def price_alerts(spark, d):
 
 
 @query(
-    f"WITH {TRADES}, d AS ({_BAR.format(t="time_bucket(INTERVAL 1 day, trades.t)")}), m AS (SELECT symbol, avg(v) AS adv FROM d GROUP BY symbol), a AS (SELECT symbol, CAST(t AS DATE) AS day, t, CAST(sum(s) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS v FROM trades) "
+    f"WITH {TRADES}, d AS ({_BAR.format(t=NY_DAY)}), m AS (SELECT symbol, avg(v) AS adv FROM d GROUP BY symbol), a AS (SELECT symbol, {NY_DAY} AS day, t, CAST(sum(s) OVER (PARTITION BY symbol, {NY_DAY} ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS v FROM trades) "
     f"SELECT a.symbol, strftime(a.day, '%Y-%m-%d') AS day, {TEXT.format('min(t)')} AS t, arg_min(v, t) AS v FROM a JOIN m ON a.symbol = m.symbol WHERE v >= 1.05 * adv GROUP BY a.symbol, a.day"
 )
 def volume_latch(spark, d):
-    """The first trade of a day at which its volume has passed 1.05 of the mean day's."""
-    x = V.trades(spark, d).withColumn("day", F.date_format("t", "yyyy-MM-dd"))
+    """The first trade of a trading day at which its volume has passed 1.05 of the mean day's."""
+    x = V.trades(spark, d).withColumn("day", F.date_format(T.ny_date(F.col("t")), "yyyy-MM-dd"))
     w = W.partitionBy("symbol", "day").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
     mean = days(spark, d).groupBy("symbol").agg(F.avg("v").alias("adv"))
     rows = x.select("symbol", "day", "t", F.sum("s").over(w).alias("v")).join(mean, "symbol")
@@ -219,7 +219,7 @@ def market_hours(spark, d):
 
 @query(f"WITH {QUARTERS} SELECT symbol, {TEXT.format('t')} AS t, c FROM bars WHERE t >= TIMESTAMP '2024-01-10 12:00:00' AND t < TIMESTAMP '2024-01-12 12:00:00'")
 def bars_window(spark, d):
-    return N.window(quarters(spark, d), "2024-01-10 12:00:00", "2024-01-12 12:00:00").select("symbol", text("t"), "c")
+    return N.bars_window(V.trades(spark, d), "2024-01-10 12:00:00", "2024-01-12 12:00:00", 15).select("symbol", text("t"), "c")
 
 
 @query(f"WITH {TRADES}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t, id) AS n FROM trades WHERE t >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 8 hour AND t < TIMESTAMP '2024-01-15 12:00:00') SELECT symbol, id, p, s FROM a WHERE n <= 10000")
@@ -252,7 +252,7 @@ def entry_context(spark, d):
 
 
 @query(
-    f"WITH {HOURS}, d AS ({_BAR.format(t="time_bucket(INTERVAL 1 day, trades.t)")}), q AS (SELECT symbol, count(*) AS quantity FROM trades GROUP BY symbol), p AS (SELECT symbol, arg_max(p, row(t, id)) AS p FROM trades WHERE symbol IN ('click', 'view') GROUP BY symbol), b AS (SELECT symbol, arg_max(c, t) AS b FROM bars WHERE symbol <> 'error' GROUP BY symbol), c AS (SELECT symbol, arg_max(c, t) AS c FROM d GROUP BY symbol) "
+    f"WITH {HOURS}, d AS ({_BAR.format(t=NY_DAY)}), q AS (SELECT symbol, count(*) AS quantity FROM trades GROUP BY symbol), p AS (SELECT symbol, arg_max(p, row(t, id)) AS p FROM trades WHERE symbol IN ('click', 'view') GROUP BY symbol), b AS (SELECT symbol, arg_max(c, t) AS b FROM bars WHERE symbol <> 'error' GROUP BY symbol), c AS (SELECT symbol, arg_max(c, t) AS c FROM d GROUP BY symbol) "
     "SELECT q.symbol, quantity, coalesce(p, b, c) AS mark, round(quantity * coalesce(p, b, c), 6) AS value FROM q LEFT JOIN p ON p.symbol = q.symbol LEFT JOIN b ON b.symbol = q.symbol LEFT JOIN c ON c.symbol = q.symbol"
 )
 def marked_positions(spark, d):

@@ -170,3 +170,15 @@ def rule_set_errors(spark, d):
 )
 def rule_set_levels(spark, d):
     return U.price_levels(U.validated(rule_sets(spark, d)))
+
+
+@query(
+    f"WITH {QUARTERS}, a AS (SELECT *, timezone('America/New_York', timezone('UTC', t)) AS e FROM bars), b AS (SELECT *, strftime(e, '%Y-%m-%d') AS day, hour(e) * 60 + minute(e) AS m FROM a WHERE hour(e) * 60 + minute(e) >= 570), k AS (SELECT *, m < 600 AS inside, row_number() OVER (PARTITION BY symbol, day, m < 600 ORDER BY t DESC) AS k FROM b), "
+    "g AS (SELECT symbol, day, min(m) AS first, max(h) FILTER (inside) AS high, min(l) FILTER (inside) AS low, avg(v) FILTER (inside) AS vol, count(*) FILTER (inside) AS n, count(*) FILTER (NOT inside) > 0 AS complete, arg_max(c, t) AS price, avg(v) FILTER (NOT inside AND k <= 3) AS late FROM k GROUP BY ALL), "
+    "x AS (SELECT *, CASE WHEN first > 585 THEN 'bars do not reach back to the open' WHEN n = 0 THEN 'no bars in the window' END AS note FROM g) "
+    "SELECT symbol, day, note, CASE WHEN note IS NULL THEN high END AS high, CASE WHEN note IS NULL THEN low END AS low, CASE WHEN note IS NULL THEN round(vol, 6) END AS avg_volume, CASE WHEN note IS NULL THEN n END AS n, CASE WHEN note IS NULL THEN complete END AS complete, CASE WHEN note IS NULL THEN price END AS price, "
+    "CASE WHEN note IS NOT NULL THEN NULL WHEN NOT complete THEN 'still forming' WHEN price > high THEN 'broken out above' WHEN price < low THEN 'broken out below' ELSE 'inside_range' END AS status, CASE WHEN note IS NULL THEN round(late / nullif(vol, 0), 6) END AS volume_ratio FROM x"
+)
+def opening_breakouts(spark, d):
+    got = L.opening_breakout(quarters(spark, d), 30, 15)
+    return got.withColumns({"avg_volume": F.round("avg_volume", 6), "volume_ratio": F.round("volume_ratio", 6)})

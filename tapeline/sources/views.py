@@ -23,12 +23,13 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, ts, symbol, action, price): purchases as alternating buys and sells of one share, by time."""
+    """(account, seq, ts, symbol, action, price): each user's purchases as alternating buys and sells of one share, by time and id; seq counts within the account."""
     from pyspark.sql import Window as W
 
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    n = F.row_number().over(W.partitionBy("event_type").orderBy("ts"))
-    return e.select(n.alias("seq"), F.col("ts"), F.col("event_type").alias("symbol"), F.when(n % 2 == 1, "buy").otherwise("sell").alias("action"), F.col("value").alias("price"))
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    action = F.when(n % 2 == 1, "buy").otherwise("sell")
+    return e.select(F.col("user_id").cast("string").alias("account"), n.cast("long").alias("seq"), "ts", F.col("event_type").alias("symbol"), action.alias("action"), F.col("value").alias("price"))
 
 
 def account_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +59,11 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_by_rank(primary: DataFrame, *others: DataFrame, keys: list[str]) -> DataFrame:
-    """Source fallback: per key the row of the first source that has one."""
+    """Source fallback: per key the row of the first source that has one; of a source's rows of one key the smallest, column by column."""
     from pyspark.sql import Window as W
 
     every = primary.withColumn("source_rank", F.lit(0))
     for k, df in enumerate(others, 1):
         every = every.unionByName(df.withColumn("source_rank", F.lit(k)))
-    n = F.row_number().over(W.partitionBy(*keys).orderBy("source_rank"))
+    n = F.row_number().over(W.partitionBy(*keys).orderBy("source_rank", *[c for c in primary.columns if c not in keys]))
     return every.withColumn("_n", n).where("_n = 1").drop("_n")

@@ -14,7 +14,7 @@ def rollup(trades: DataFrame, minutes: int, late: str = "10 minutes") -> DataFra
     """The batch roll-up on a stream of (id, symbol, t, p, s), each trade counted once; bars close when the watermark passes them."""
     one = trades.withColumn("t", F.col("t").cast("timestamp")).withWatermark("t", late).dropDuplicatesWithinWatermark(["id"])
     bars = one.groupBy("symbol", F.window("t", f"{minutes} minutes").alias("w")).agg(
-        F.min_by("p", "t").alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", "t").alias("c"), F.sum("s").alias("v")
+        F.min_by("p", F.struct("t", "id")).alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", F.struct("t", "id")).alias("c"), F.sum("s").alias("v")
     )
     return bars.select("symbol", F.col("w.start").alias("t"), "o", "h", "l", "c", "v")
 
