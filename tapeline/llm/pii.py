@@ -7,9 +7,13 @@ ones, without any table or shuffle. Check digits are computed anew, dates stay d
 Kinds: email (local part), phone (digits after the country code), ip (IPv4), card (13 to 19
 digits with a valid Luhn digit; the check digit is made valid again), iban (valid mod 97), ssn,
 date (ISO, or day and month and year between slashes or dots), secret (values assigned to
-password, token, secret or api key, and bearer tokens), key (cloud access keys), ip6. Numbers
-that don't validate stay as they are. National phone numbers without separators are not found.
-In a small format a value may be its own pseudonym, as in any permutation.
+password, token, secret or api key, and bearer tokens), key (cloud access keys, code-host and
+chat tokens by their prefixes, web tokens), ip6. A value is brought into one form before it is
+permuted and goes back into the layout it had: the digits of a phone number behind its country
+code, of a card or IBAN without gaps, the day of a date, the bits of an address. So spellings of
+one number stay linked. Numbers that don't validate stay as they are, as do IPv4-like numbers
+behind the word version. National phone numbers without separators are not found. In a small
+format a value may be its own pseudonym, as in any permutation.
 
 The key is secret and has no default: whoever has it can reverse the pseudonyms.
 """
@@ -37,19 +41,21 @@ KEY_SETTING = "spark.tapeline.pii.key"
 ROUNDS = 8
 
 _KINDS = {
-    "email": r"(?<![\w.+%-])\w(?:[\w.+%-]*\w)?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\w.+%-])\w(?:[\w.+%'-]*\w)?@(?:[\w-]+\.)+[^\W\d_]{2,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9_\-+/]{6,}|(?i:\bbearer\s+)[A-Za-z0-9._~+/-]{16,}",
-    "key": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
-    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){2,6})(?![\w:])",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d([/.])\d\d\1\d{4})(?!(?!T\d\d:?\d\d)[\w/-]|\.\d)",
+    "key": r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]*)(?!\w)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){1,7}:(?![\w:])|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|:(?::[0-9A-Fa-f]{1,4}){1,7}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){2,6})(?![\w:])",
+    "ip": r"(?<![\w.])(?<!(?i:version) )\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d{1,2}([/.])\d{1,2}\1\d{4})(?!(?!T\d\d:?\d\d)[\w/-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+.])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\w)",
+    "phone": r"(?<![\w+.])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?\d{1,4}(?:[ .-]?\d{2,4}){1,3}|\d{3}[-.]\d{3}[-.]\d{4})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.-])(?:\d{4}([ -])(?:\d{4}\2\d{4}\2\d{4}|\d{6}\2\d{5})|\d{13,19})(?![\w-]|\.\d)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()).replace(r"\1", "(?P=slash)").replace("([/.])", "(?P<slash>[/.])").replace(r"\2", "(?P=gap)").replace("([ -])", "(?P<gap>[ -])"))
 _IBAN = re.compile(_KINDS["iban"])
+#: Country calling codes of one and of two digits; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
@@ -139,8 +145,11 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
             return value[:cut] + f"{permute(int(body, 16), 16 ** len(body), 'hex', key):0{len(body)}x}"
         return value[:cut] + _in_alphabet(body, "secret", key)
     if kind == "key":
-        return value[:4] + _in_alphabet(value[4:], "key", key)
+        head = re.match(r"eyJ|github_pat_|glpat-|xox.-|gh._|.{4}", value).group()
+        return head + _in_alphabet(value[len(head) :], "key", key)
     if kind == "ip6":
+        if "::" in value and not digits:  # as in program text
+            return None
         try:
             x = int(ipaddress.IPv6Address(value))
         except ValueError:
@@ -153,8 +162,10 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         x = permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ip", key)
         return ".".join(map(str, x.to_bytes(4, "big")))
     if kind == "date":
-        iso = value[4] == "-"
-        y, m, d = (digits[:4], digits[4:6], digits[6:]) if iso else (digits[4:], digits[2:4], digits[:2])
+        iso = value[4:5] == "-"
+        slash = "-" if iso else value.lstrip(string.digits)[0]
+        y, m, d = value.split("-") if iso else reversed(value.split(slash))
+        short = min(len(m), len(d)) < 2
         swap = not iso and int(m) > 12
         if swap:
             m, d = d, m
@@ -165,7 +176,8 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         if not 0 <= x < _DAYS:
             return None
         t = datetime.date.fromordinal(_FIRST_DAY + permute(x, _DAYS, "date", key))
-        return t.isoformat() if iso else value[2].join([f"{t.month:02}", f"{t.day:02}", str(t.year)] if swap else [f"{t.day:02}", f"{t.month:02}", str(t.year)])
+        month, day = (f"{x:0{1 if short else 2}}" for x in (t.month, t.day))
+        return t.isoformat() if iso else slash.join([*((month, day) if swap else (day, month)), str(t.year)])
     if kind == "ssn":
         if not _ssn_ok(digits):
             return None
@@ -176,8 +188,8 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     if kind == "phone":
         if not 7 <= len(digits) <= 15:
             return None
-        head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", value).group()
-        return head + _refill(value[len(head) :], _number(digits[len(head[1:]) :], "phone", key))
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3]) if value[0] == "+" else ""
+        return _refill(value, code + _number(digits[len(code) :], "phone", key))
     if kind == "iban":
         bare = value.replace(" ", "")
         if not 15 <= len(bare) <= 34 or int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 != 1:
@@ -195,7 +207,7 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
 
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, first, end) of each in characters of the new text."""
-    if not text or "@" not in text and not any(c in text for c in string.digits) and "=" not in text and ":" not in text and "earer" not in text:
+    if not text:
         return text, []
     out, spans, at, size = [], [], 0, 0
     m = _ANY.search(text)

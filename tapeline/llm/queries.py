@@ -52,18 +52,19 @@ def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captures(pages: DataFrame) -> DataFrame:
     """Captures derived from pages: each page is a full response at second page_id; a revisit of it follows
-    1000 seconds later with the tag of its payload, for every third page with another one."""
+    1000 seconds later with the tag of its payload, for every third page with another one. Every
+    eleventh page answers with an error instead, which no revisit refers to."""
     tag, at = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.col("page_id")
     day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp")
     when = lambda s: F.timestamp_seconds(F.unix_timestamp(day) + s)
     full = pages.select(
         F.concat(F.lit("r"), at).alias("record_id"), F.lit("response").alias("kind"), "url", when(at).alias("ts"),
-        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), at.cast("string")).alias("headers"), F.md5("html").alias("digest"),
+        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), at.cast("string")).alias("headers"), F.md5("html").alias("digest"), F.when(at % 11 == 5, 503).otherwise(200).alias("status"),
     )
     again = pages.select(
         F.concat(F.lit("v"), at), F.lit("revisit"), "url", when(at + 1000),
         F.create_map(F.lit("etag"), F.when(at % 3 == 0, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag)), F.lit("content-type"), F.lit("text/plain"), F.lit("date"), (at + 1000).cast("string")),
-        F.lit(None).cast("string"),
+        F.lit(None).cast("string"), F.lit(304),
     )
     return full.union(again)
 
@@ -93,7 +94,7 @@ WITH p AS (
   FROM p
 ), v AS (
   SELECT 'v' || a.page_id AS record_id, a.url_key, a.page_id, a.digest AS own, max(b.page_id) AS ref
-  FROM k a LEFT JOIN k b ON a.url_key = b.url_key AND b.page_id < a.page_id + 1000 GROUP BY ALL
+  FROM k a LEFT JOIN k b ON a.url_key = b.url_key AND b.page_id < a.page_id + 1000 AND b.page_id % 11 <> 5 GROUP BY ALL
 )
 SELECT record_id, v.url_key,
        CASE WHEN ref IS NULL THEN 'no response' WHEN v.page_id % 3 <> 0 AND k.digest = own THEN 'resolved' ELSE 'validators differ' END AS verdict,

@@ -98,6 +98,10 @@ def _fields(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if _}
 
 
+#: Statuses of a response whose payload is the whole resource.
+FULL = (200, 203)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Captures of the WARC files at path, one task a file at most; ts is a timestamp."""
     schema = "record_id string, kind string, url string, ts string, status int, headers map<string,string>, digest string, payload binary"
@@ -126,8 +130,12 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     headers (merged) and digest. `kind` is 'response' for a full answer or 'revisit'; others are
     ignored. Of responses at one time the largest record_id counts as the latest; a response at
     the revisit's own time is not earlier. Rows without a url or ts never match: such a revisit
-    has 'no response'. Other columns are ignored.
+    has 'no response'. Where captures have a status, a response is full if its status is one of
+    FULL or null; error pages, redirects and partial answers are passed over, so a revisit refers
+    to the full response before them. Other columns are ignored.
     """
+    if "status" in captures.columns:
+        captures = captures.where((F.col("kind") != "response") | F.coalesce(F.col("status").isin(*FULL), F.lit(True)))
     c = captures.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", "kind", canonical_url(F.col("url")).alias("url_key"), "ts", F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("headers"), "digest"
     )

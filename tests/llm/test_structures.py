@@ -268,3 +268,11 @@ def test_trees_as_bytes():
     a = wrapper.parse(page)
     b = wrapper.load(wrapper.dump(a))
     assert [(n.tag, n.names, n.label, [p for p in n.parts if isinstance(p, str)]) for n in wrapper.numbered(a)] == [(n.tag, n.names, n.label, [p for p in n.parts if isinstance(p, str)]) for n in wrapper.numbered(b)]
+
+
+def test_error_pages_are_no_full_response(spark):
+    rows = [("r1", "response", "http://a.example/x", 1, {"etag": '"t"'}, "d", 200), ("r2", "response", "http://a.example/x", 2, {"etag": '"t"'}, "e", 503), ("r3", "response", "http://a.example/x", 3, {"etag": '"t"'}, "f", 206), ("v", "revisit", "http://a.example/x", 9, {"etag": '"t"'}, None, 304), ("w", "revisit", "http://b.example/", 9, {}, None, None), ("r4", "response", "http://b.example/", 2, {"etag": '"u"'}, "g", 404)]
+    df = spark.createDataFrame(rows, "record_id string, kind string, url string, s long, headers map<string,string>, digest string, status int").selectExpr("*", "timestamp_seconds(s) as ts")
+    got = {r.record_id: (r.refers_to, r.verdict) for r in warc.resolve_revisits(df).collect()}
+    assert got == {"v": ("r1", "resolved"), "w": (None, "no response")}
+    assert {r.refers_to for r in warc.resolve_revisits(df.withColumn("status", df.status * None)).where("record_id = 'v'").select("refers_to").collect()} == {"r3"}
