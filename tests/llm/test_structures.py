@@ -276,3 +276,15 @@ def test_error_pages_are_no_full_response(spark):
     got = {r.record_id: (r.refers_to, r.verdict) for r in warc.resolve_revisits(df).collect()}
     assert got == {"v": ("r1", "resolved"), "w": (None, "no response")}
     assert {r.refers_to for r in warc.resolve_revisits(df.withColumn("status", df.status * None)).where("record_id = 'v'").select("refers_to").collect()} == {"r3"}
+
+
+@pytest.mark.parametrize("line,want", [
+    ("SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"), ("Licensed under CC BY 3.0", "CC-BY-3.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY 2.0", None),
+    ("This work is licensed under the GNU General Public License, version 3 or later", "GPL-3.0"), ("licensed under the GNU General Public License, version 2", "GPL-2.0"), ("Licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    ("Licensed under the Apache License, Version 2.0 (the License)", "Apache-2.0"), ("Licensed under the Apache License, Version 1.1", None), (licence._BSD + licence._BSD_END, "BSD-2-Clause"), (licence._BSD + licence._BSD_THREE + licence._BSD_END, "BSD-3-Clause"), (licence._MIT, "MIT"), (licence._ISC, "ISC"),
+    ("The public library has a version 3 of the general work", None),
+])
+def test_versions_and_families_are_kept_apart(line, want):
+    df = Counter({w: 3 for _, t in licence.TEMPLATES for w in set(licence.words(t))} | dict.fromkeys(("the", "of", "to", "and", "in", "this", "license", "licensed", "under"), 400))
+    found = licence.Scanner(df, 1000).passage(line)
+    assert (found and found[0]) == want
