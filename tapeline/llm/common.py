@@ -53,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 
 
 #: Bytes of words and of what is kept for them in either of two generations, and the longest word that is kept at all.
-KEPT_BYTES, KEPT_LENGTH = 64_000_000, 512
+KEPT_BYTES, KEPT_LENGTH = 24_000_000, 512
 
 
 class Memory(dict):
@@ -63,9 +63,9 @@ class Memory(dict):
     words come back as they are met. Long words are made anew each time.
     """
 
-    def __init__(self):
+    def __init__(self, most: int = KEPT_BYTES):
         self.older: dict = {}
-        self.held = 0
+        self.held, self.most = 0, most
 
     def make(self, word):
         raise NotImplementedError
@@ -77,7 +77,7 @@ class Memory(dict):
             if len(word) > KEPT_LENGTH:
                 return value
         self.held += 200 + 4 * len(word) + (len(value) if isinstance(value, bytes) else 0)
-        if self.held > KEPT_BYTES:
+        if self.held > self.most:
             self.older = dict(self)
             self.clear()
             self.held = 0

@@ -108,6 +108,10 @@ _PLAIN = re.compile(r"([a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 _MARKED = re.compile(rb"[A-Z](?:[\xcc\xcd\xd2\xd6-\xdf\xe0\xe1\xea\xf0-\xf4]|\xe2[\x83\xb3\xb5\xb7]|\xe3[\x80\x82]|\xef[\xac\xb8])")
 
 
+#: Bytes of words and ids that a worker keeps in either generation.
+KEPT_BYTES = 100_000_000
+
+
 class Encoder(common.Memory):
     """Chunk between ASCII white space to ids by the tokenizers library, which cuts words at any white space.
 
@@ -121,7 +125,7 @@ class Encoder(common.Memory):
 
         from tapeline.llm.bpe import byte_symbols
 
-        super().__init__()
+        super().__init__(KEPT_BYTES)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

@@ -85,3 +85,28 @@ def test_bpe_operator(spark):
     assert sorted((r.doc_id, r.n_tokens, r.decoded) for r in rows) == [(1, 2, "a b"), (1, 2, "a b"), (2, 0, "")]
     assert bpe.encode(docs.limit(0), path).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("text", ["T̈ Ẅ Y̊ T̨̈", "Für K̂ T⃐̈", "A：B ABC，日 I’m T恤", "Ḍ̇ D̴̈ ﬞאT"])
+def test_capitals_before_marks(text):
+    path = P.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), simple8b.Encoder(path)
+    assert own.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_word_memories_are_bounded_by_bytes():
+    from tapeline.llm import common
+
+    class Echo(common.Memory):
+        def make(self, word):
+            return word * 2
+
+    m = Echo(10_000)
+    for k in range(3000):
+        assert m[b"%d" % k] == b"%d" % k * 2
+    assert len(m) + len(m.older) < 100 and m[b"1"] == b"11"
+    own = simple8b.Encoder(P.path("word_bpe_49k.json"))
+    paragraph = "日本語の文章" * 400  # a text without white space is one long word, which is not kept
+    for k in range(50):
+        own.encode(paragraph + chr(0x4E00 + k))
+    assert sum(map(len, own)) + sum(map(len, own.older)) < 1000
