@@ -33,46 +33,59 @@ _LIMITS = np.array([1 << b for _, b in LAYOUT], np.uint64)
 _NARROWER = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 
 
-def _pack_frame(v: np.ndarray) -> np.ndarray:
+#: Frames that are coded with one set of array operations.
+_TOGETHER = 16
+
+
+def _pack_frames(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each frame, and the words; no word reaches over the end of its frame."""
     n = len(v)
-    best = np.zeros(n, np.int64)  # the escape, until a selector fits
-    wide = _NARROWER[v] if v.max(initial=0) < len(_NARROWER) else np.searchsorted(_LIMITS, v, side="right")  # selectors too narrow for each value
+    best = np.zeros(n, np.uint8)  # the escape, until a selector fits
+    wide = _NARROWER[v] if v.max(initial=0) < len(_NARROWER) else np.searchsorted(_LIMITS, v, side="right").astype(np.uint8)  # selectors too narrow for each value
     narrow = np.cumsum(np.bincount(wide, minlength=len(LAYOUT) + 1))
+    place = np.arange(n)
+    room = np.minimum(FRAME - place % FRAME, n - place)
     for s in range(len(LAYOUT), 0, -1):
         count = LAYOUT[s - 1][0]
         if count <= n and narrow[s - 1] >= count:  # else no run of so many values can fit
             over = np.zeros(n + 1, np.int32)
             np.cumsum(wide >= s, out=over[1:])
-            best[: n - count + 1][over[count:] == over[: n - count + 1]] = s
+            np.putmask(best[: n - count + 1], (over[count:] == over[: n - count + 1]) & (room[: n - count + 1] >= count), s)
     step = np.array([1] + [c for c, _ in LAYOUT])
-    after, at, starts = (np.arange(n) + step[best]).tolist(), 0, []
+    after, at, starts = (place + step[best]).tolist(), 0, []
     while at < n:
         starts.append(at)
         at = after[at]
     starts_a = np.array(starts, np.int64)
     sel = best[starts_a]
-    place = np.arange(len(sel)) + np.concatenate([[0], np.cumsum(sel == 0)[:-1]])
-    out = np.zeros(len(sel) + int((sel == 0).sum()), np.uint64)
+    size = 1 + (sel == 0)
+    first = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint64)
     for s in np.unique(sel).tolist():
-        here = starts_a[sel == s]
+        which = sel == s
+        here = starts_a[which]
         if s == 0:
-            out[place[sel == 0] + 1] = v[here]
+            out[first[which] + 1] = v[here]
             continue
         count, bits = LAYOUT[s - 1]
-        shift = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-        out[place[sel == s]] = np.bitwise_or.reduce(v[here[:, None] + np.arange(count)] << shift, axis=1) | np.uint64(s << 60)
-    return out
+        word = np.full(len(here), s << 60, np.uint64)
+        for k in range(count):
+            word |= v[here + k] << np.uint64(k * bits)
+        out[first[which]] = word
+    per_frame = np.bincount(starts_a // FRAME, weights=size).astype(np.int64)
+    return per_frame, out
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Frame offsets (in words, one more than frames) and the little-endian words of unsigned values."""
     v = np.asarray(values, np.uint64)
-    frames = [_pack_frame(v[k : k + FRAME]) for k in range(0, len(v), FRAME)]
-    offsets = np.cumsum([0] + [len(f) for f in frames]).astype(np.int32)
-    return offsets, (np.concatenate(frames) if frames else v[:0]).astype("<u8").tobytes()
+    parts = [_pack_frames(v[k : k + FRAME * _TOGETHER]) for k in range(0, len(v), FRAME * _TOGETHER)]
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([p[0] for p in parts]))] if parts else [[0]]).astype(np.int32)
+    return offsets, (np.concatenate([p[1] for p in parts]) if parts else v[:0]).astype("<u8").tobytes()
 
 
-def _unpack_frame(w: np.ndarray) -> np.ndarray:
+def _unpack_frames(w: np.ndarray) -> np.ndarray:
+    """The values of whole frames that follow each other."""
     sel = (w >> np.uint64(60)).astype(np.int64)
     raw = np.zeros(len(w), bool)
     if (sel == 0).any():  # a raw word may look like an escape: follow them in order
@@ -98,7 +111,8 @@ def _unpack_frame(w: np.ndarray) -> np.ndarray:
 
 def unpack(offsets: np.ndarray, data: bytes) -> np.ndarray:
     w = np.frombuffer(data, "<u8")
-    frames = [_unpack_frame(w[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+    ends = [*range(0, len(offsets) - 1, _TOGETHER), len(offsets) - 1]
+    frames = [_unpack_frames(w[offsets[a] : offsets[b]]) for a, b in zip(ends, ends[1:])]
     return np.concatenate(frames) if frames else np.zeros(0, np.uint64)
 
 
