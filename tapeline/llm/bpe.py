@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from tapeline.llm import common
 
 SHORT = 64
-#: Bytes of words and ids that a worker keeps in either generation.
-KEPT_BYTES = 32_000_000
+#: Words that a worker keeps in either generation.
+KEPT_WORDS = 100_000
 _NONE = 1 << 30
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -43,7 +43,7 @@ class Encoder(common.Memory):
     """Word to ids (little-endian unsigned 32-bit), filled as words come."""
 
     def __init__(self, path: str):
-        super().__init__(KEPT_BYTES)
+        super().__init__(KEPT_WORDS)
         spec = json.load(open(path, encoding="utf-8"))
         vocab, symbol = spec["model"]["vocab"], byte_symbols()
         byte_of = {c: b for b, c in symbol.items()}

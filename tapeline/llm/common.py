@@ -52,20 +52,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(first)
 
 
-#: Bytes of words and of what is kept for them in either of two generations, and the longest word that is kept at all.
-KEPT_BYTES, KEPT_LENGTH = 24_000_000, 512
+#: Words in either of two generations, and the bytes of the longest word that is kept at all: together they bound a memory's bytes.
+KEPT_WORDS, KEPT_LENGTH = 100_000, 64
 
 
 class Memory(dict):
     """What a worker remembers of recent words: `make` gives the value of a word that is not remembered.
 
-    Bounded by bytes: when the younger of two generations is full it becomes the older one, whose
-    words come back as they are met. Long words are made anew each time.
+    When the younger of two generations is full it becomes the older one, whose words come back as
+    they are met. Long words are made anew each time, so an entry is some hundred bytes at most.
     """
 
-    def __init__(self, most: int = KEPT_BYTES):
+    def __init__(self, most: int = KEPT_WORDS):
         self.older: dict = {}
-        self.held, self.most = 0, most
+        self.most = most
 
     def make(self, word):
         raise NotImplementedError
@@ -76,11 +76,9 @@ class Memory(dict):
             value = self.make(word)
             if len(word) > KEPT_LENGTH:
                 return value
-        self.held += 200 + 4 * len(word) + (len(value) if isinstance(value, bytes) else 0)
-        if self.held > self.most:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-            self.held = 0
         self[word] = value
         return value
 

@@ -122,8 +122,8 @@ _PLAIN = re.compile(r"([a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 _MARKED = re.compile(rb"[A-Z](?:[\xcc\xcd\xd2\xd6-\xdf\xe0\xe1\xea\xf0-\xf4]|\xe2[\x83\xb3\xb5\xb7]|\xe3[\x80\x82]|\xef[\xac\xb8])")
 
 
-#: Bytes of words and ids that a worker keeps in either generation.
-KEPT_BYTES = 100_000_000
+#: Words that a worker keeps in either generation.
+KEPT_WORDS = 400_000
 
 
 class Encoder(common.Memory):
@@ -139,24 +139,27 @@ class Encoder(common.Memory):
 
         from tapeline.llm.bpe import byte_symbols
 
-        super().__init__(KEPT_BYTES)
+        super().__init__(KEPT_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         symbols = byte_symbols()
         self.symbols = {b: symbols[b] for b in range(256)}
+        self.ids = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.marks = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def make(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8")
+        if chunk.isalpha():  # ASCII letters alone, lower-cased already
+            return b"".join([self.ids[t.id] for t in self.model.tokenize(text)])
         m = _PLAIN.fullmatch(text)
         if m is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if m[2]:
             return self[m[1].encode()] + self[m[2].encode()]
         word = text if text.isascii() else text.lower().encode().decode("latin-1").translate(self.symbols)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(word)])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
