@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,6 +52,38 @@ def terms(text: str | None) -> np.ndarray:
     return np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
 
 
+def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2**35 in bytes of seven bits, low ones first, all but a number's last with the high bit set; and where each ends."""
+    size = 1 + sum((values >> 7 * k > 0).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(size > k)
+        out[ends[some] - size[some] + k] = values[some] >> 7 * k & 127 | (size[some] > k + 1) << 7
+    return out, ends
+
+
+def _unpack(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of _pack, and where each ends."""
+    ends = np.flatnonzero(data < 128) + 1
+    starts = np.r_[0, ends][:-1]
+    values = (data[starts] & 127).astype(np.int64)
+    for k in range(1, 5):
+        some = np.flatnonzero(ends - starts > k)
+        values[some] |= (data[starts[some] + k] & 127).astype(np.int64) << 7 * k
+    return values, ends
+
+
+def _lists(positions: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of all rows one after the other, and where each row's end."""
+    offsets = np.frombuffer(positions.buffers()[1], np.int32)[positions.offset : positions.offset + len(positions) + 1].astype(np.int64)
+    gaps, ends = _unpack(np.frombuffer(positions.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    bounds = np.searchsorted(ends, offsets - offsets[0], side="right")
+    at = np.cumsum(gaps)
+    before = np.r_[0, at][bounds[:-1]]
+    return at - np.repeat(before, np.diff(bounds)), bounds[1:]
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Document ids and words of one shard after the other."""
     ids, texts, size = [], [], 0
@@ -74,11 +107,15 @@ def _write_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term = np.concatenate(texts)
         at = np.arange(len(term), dtype=np.int64) + np.repeat(np.arange(len(texts)), sizes)  # one free place between documents
         order = np.argsort(term, kind="stable")
-        term, at = term[order], at[order].astype("<u4")
+        term, at = term[order], at[order]
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
         ends = np.r_[first, len(term)]
         k = len(first)
-        postings = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(at.tobytes())])
+        gaps = np.diff(at, prepend=0)
+        gaps[first] = at[first]
+        packed, stops = _pack(gaps)
+        offsets = np.r_[0, stops][ends].astype(np.int32)
+        postings = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
         no_lists = [pa.nulls(k, pa.list_(ids.type)), pa.nulls(k, pa.list_(pa.int32()))]
         listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(sizes, pa.int32()))]
         one = [pa.array([0], pa.int32()), pa.array([shard]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *listed]
@@ -97,8 +134,8 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write the index of docs (doc_id, text) to path, or to the shared folder, and return it.
 
-    Rows of kind 1: (term, shard, n, positions), the positions as little-endian unsigned 32-bit
-    places in the shard. Rows of kind 0: a shard's doc_ids and n_words. Null and empty texts have
+    Rows of kind 1: (term, shard, n, positions), the positions being places in the shard, each as
+    its distance from the one before, in bytes of seven bits (_pack). Rows of kind 0: a shard's doc_ids and n_words. Null and empty texts have
     no words; rows with equal ids or none stay apart; other columns are ignored.
     """
     common.small_batches(docs.sparkSession)
@@ -213,19 +250,19 @@ def _search_part(index: DataFrame, windows: list, slop: int | None) -> DataFrame
         number = np.array(known, np.int64)
         numbered = {int(np.searchsorted(number, t)): [([(o, int(np.searchsorted(number, x))) for o, x in order], g) for order, g in found] for t, found in by_anchor.items()}
         for (shard,), part in common.runs(batches, ["shard"]):
-            sizes, lists = None, {}
-            for term, positions, n_words in zip(*(part.column(c).to_pylist() for c in ("term", "positions", "n_words"))):
-                if term is None:
-                    sizes = np.array(n_words, np.int64)
-                else:
-                    lists[int(np.searchsorted(number, term))] = np.frombuffer(positions, "<u4").astype(np.int64)
-            if not lists.keys() & numbered.keys():
+            sizes = np.concatenate([np.array(x, np.int64) for x in part.column("n_words").to_pylist() if x is not None])
+            part = part.filter(pc.is_valid(part.column("term")))
+            if not part.num_rows:
+                continue
+            held = np.searchsorted(number, part.column("term").to_numpy())
+            if not numbered.keys() & set(held.tolist()):
                 continue
+            at, ends = _lists(pa.concat_arrays(part.column("positions").chunks))
+            lists = dict(zip(held.tolist(), np.split(at, ends[:-1])))
             starts = _starts(sizes)
             if slop is None:
                 place = np.full(int(starts[-1] + sizes[-1]), -1, np.int32)
-                for t, x in lists.items():
-                    place[x] = t
+                place[at] = np.repeat(held, np.diff(ends, prepend=0))
                 found = _phrases(lists, place, numbered)
             else:
                 found = _near(lists, starts, numbered, slop)

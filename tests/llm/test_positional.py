@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tapeline.llm import common, positional
@@ -72,6 +73,15 @@ def test_stored_index_serves_two_test_sets(spark, tmp_path):
         assert {(r.doc_id, r.n_words, sum(s.last - s.first + 1 for s in r.spans)) for r in got} == want
 
 
+def test_packed_positions_come_back():
+    rng = np.random.default_rng(3)
+    edges = [(1 << k) + d for k in (7, 14, 21, 28, 32) for d in (-1, 0, 1)]
+    for values in ([], [0], [127, 128], edges, rng.integers(0, 1 << 33, 5000).tolist()):
+        packed, ends = positional._pack(np.array(values, np.int64))
+        back, again = positional._unpack(packed)
+        assert back.tolist() == values and again.tolist() == ends.tolist()
+
+
 def near(words, item, slop):
     need, reach = Counter(item), len(item) + slop
     return any(not need - Counter(words[k : k + reach]) for k in range(len(words)))
