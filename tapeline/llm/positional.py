@@ -43,7 +43,7 @@ class _Terms(common.Memory):
         return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
-_terms = _Terms()
+_terms = _Terms(400_000)
 
 
 def terms(text: str | None) -> np.ndarray:
