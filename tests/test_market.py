@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tapeline.plans import context, market, reads, sessions, streams  # noqa: F401
+from tapeline.plans import context, market, reads, records, sessions, streams  # noqa: F401
 
 DATA = os.environ.get("TAPELINE_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
