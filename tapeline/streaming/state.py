@@ -1,10 +1,11 @@
 """Stateful stream operators: rows in order of their times, bounded buffers, seeded sums, timers.
 
 Each has a batch twin that gives the same rows. A stream may be shuffled and cut into any batches
-as long as rows are no later than the watermark: rows wait in list state until the watermark has
+as long as rows are no later than the watermark: rows wait in map state until the watermark has
 passed them, an event-time timer then releases them in order of (t, id), and a fold takes them
 one by one with the key's value state. Folds see a key's rows exactly as a window ordered by
 (t, id) does. Waiting rows are bounded by the watermark's delay, the folds' state by a tuple.
+A first batch over a whole table waits in the state store as a whole, a worker holds one slot of it.
 
 Streams need the RocksDB state store (`use_rocksdb`), which keeps state on disk and in the
 checkpoint, so a lost executor or a restart goes on from the last batch.
@@ -15,16 +16,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tapeline.functions.clock import ny_date
 
 #: Bars that a buffer holds for a symbol, and how far behind its newest bar one may arrive.
 BUFFER_BARS, BUFFER_HOURS = 420, 16
+#: Width of the slots in which rows wait, in microseconds, and rows that a worker packs, keeps or gives out at a time.
+SLOT_US, BLOCK_ROWS = 3_600_000_000, 50_000
 
 Fold = Callable[[tuple, Row], tuple[tuple, list[tuple]]]
 
@@ -33,65 +41,161 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _timer(micros: int) -> int:
+    """The timer that fires once the watermark stands at a time or behind it; a timer fires when the watermark is above it."""
+    return -(-micros // 1000) - 1
+
+
+def _packed(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as w:
+        w.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """An order that brings equal values together, rising and stable, and the bounds of each value's run in it."""
+    order = np.argsort(values, kind="stable")
+    ends = np.r_[0, np.flatnonzero(np.diff(values[order])) + 1, len(values)]
+    return order, list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+
+
+def _gathered(tables: Iterator[pa.Table], most: int = BLOCK_ROWS) -> Iterator[pa.Table]:
+    """The rows of tables in tables of about `most` rows."""
+    held: list[pa.Table] = []
+    n = 0
+    for x in tables:
+        held.append(x)
+        n += x.num_rows
+        if n >= most:
+            yield pa.concat_tables(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _pack(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows of one key: the keys, the newest time in the block and its rows without the keys."""
+    for rows in _gathered(pa.Table.from_batches([b]) for b in batches):
+        code = np.zeros(rows.num_rows, np.int64)
+        for k in keys:
+            x = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(x.dictionary) + x.indices.to_numpy(), return_inverse=True)[1]
+        order, runs = _runs(code)
+        dealt = rows.take(order)
+        blocks = [dealt.slice(a, b - a) for a, b in runs]
+        columns = [dealt.column(k).take([a for a, _ in runs]).combine_chunks() for k in keys]
+        columns += [pa.array([pc.max(x.column("_us")).as_py() for x in blocks], pa.int64()), pa.array([_packed(x.drop_columns(keys)) for x in blocks], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "last_us", "packed"])
+
+
 class InOrder(StatefulProcessor):
-    """Feeds a key's rows to a fold in order of (_us, _id) once the watermark has passed them."""
+    """Feeds a key's rows to a fold in order of (_us, _id) once the watermark has passed them.
+
+    Rows come, wait and leave in Arrow blocks. They wait by slots of time, and slots are released
+    one after the other, so a worker holds a few blocks or one slot of a key, never all its rows.
+    """
 
-    def __init__(self, fold: Fold, start: tuple, rows: T.StructType, state: T.StructType, out: T.StructType, seed: Callable[[Row], tuple] | None = None):
-        self.fold, self.start, self.rows, self.state_schema, self.seed = fold, start, rows, state, seed
-        self.names = out.names
+    def __init__(self, fold: Fold, start: Callable[[Row], tuple], state: T.StructType, out: T.StructType):
+        self.fold, self.start, self.state_schema, self.out = fold, start, state, out
 
     def init(self, handle: Any) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.waiting = handle.getMapState("waiting", "slot long, part int", "rows binary")
+        self.parts = handle.getMapState("parts", "slot long", "n int")
+        self.passed = handle.getValueState("passed", "us long")
         self.value = handle.getValueState("value", self.state_schema)
 
-    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
-        if self.seed is not None:
-            self.value.update(self.seed(initialState))
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new = [tuple(r[c] for c in self.rows.names) for r in rows]
-        if new:
-            self.waiting.appendList(new)
-            self._wake(min(r[0] for r in new))
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        passed = self.passed.get()[0] if self.passed.exists() else None
+        for new in _gathered(_unpacked(x) for frame in rows for x in frame["packed"]):
+            # a block may hold rows that are later than the watermark beside others; those that the fold has passed are dropped
+            new = new if passed is None else new.filter(pc.greater(new.column("_us"), passed))
+            if new.num_rows:
+                self._keep(new)
+                self._wake(pc.min(new.column("_us")).as_py())
         return iter([])
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((Row(*self.rows.names)(*r) for r in self.waiting.get()), key=lambda r: (r[0], r[1]))
-        due = [r for r in waiting if r[0] <= passed]
-        value = tuple(self.value.get()) if self.value.exists() else self.start
-        out: list[Row] = []
-        for r in due:
-            value, made = self.fold(value, r)
-            out += [Row(*self.names)(*key, *m) for m in made]
-        self.value.update(value)
-        left = [tuple(r) for r in waiting[len(due) :]]
-        self.waiting.clear()
-        if left:
-            self.waiting.put(left)
-            self._wake(left[0][0])
-        return iter(out)
+        slots = sorted(s for (s,) in self.parts.keys())
+        due = [s for s in slots if s * SLOT_US <= passed]
+        if not due:
+            return
+        value = tuple(self.value.get()) if self.value.exists() else None
+        out: list[tuple] = []
+        for slot in due:
+            rows = self._take(slot)
+            ready = int(np.searchsorted(rows.column("_us").to_numpy(), passed, side="right"))
+            shape = Row(*rows.column_names)
+            for k in range(0, ready, BLOCK_ROWS):
+                for r in zip(*(c.to_pylist() for c in rows.slice(k, min(BLOCK_ROWS, ready - k)).columns)):
+                    row = shape(*r)
+                    value, made = self.fold(self.start(row) if value is None else value, row)
+                    out += made
+                    if len(out) >= BLOCK_ROWS:
+                        yield self._made(key, out)
+                        out = []
+            if ready < rows.num_rows:
+                self._keep(rows.slice(ready))
+                self._wake(rows.column("_us")[ready].as_py())
+        if len(due) < len(slots):
+            self._wake(slots[len(due)] * SLOT_US)
+        self.passed.update((passed,))
+        if value is not None:
+            self.value.update(value)
+        if out:
+            yield self._made(key, out)
+
+    def _keep(self, rows: pa.Table) -> None:
+        order, runs = _runs(rows.column("_us").to_numpy() // SLOT_US)
+        rows = rows.take(order).combine_chunks()
+        for a, b in runs:
+            slot = rows.column("_us")[a].as_py() // SLOT_US
+            n = (self.parts.getValue((slot,)) or (0,))[0]
+            self.waiting.updateValue((slot, n), (_packed(rows.slice(a, b - a)),))
+            self.parts.updateValue((slot,), (n + 1,))
+
+    def _take(self, slot: int) -> pa.Table:
+        """The rows of a slot in order; the slot is empty afterwards."""
+        parts = range(self.parts.getValue((slot,))[0])
+        rows = pa.concat_tables([_unpacked(self.waiting.getValue((slot, k))[0]) for k in parts])
+        for k in parts:
+            self.waiting.removeKey((slot, k))
+        self.parts.removeKey((slot,))
+        return rows.take(pc.sort_indices(rows, [("_us", "ascending"), ("_id", "ascending")], null_placement="at_start")).combine_chunks()
+
+    def _made(self, key: tuple, made: list[tuple]) -> pd.DataFrame:
+        columns = [*([k] * len(made) for k in key), *zip(*made)]
+        rows = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(self.out))], names=self.out.names)
+        return pd.DataFrame({"packed": [_packed(rows)]})
 
     def _wake(self, micros: int) -> None:
-        self.handle.registerTimer(micros // 1000 + 1)
+        self.handle.registerTimer(_timer(micros))
 
 
-def in_order(
-    rows: DataFrame, keys: list[str], columns: list[str], late: str, fold: Fold, start: tuple, state: str, out: str,
-    seeds: DataFrame | None = None, seed: Callable[[Row], tuple] | None = None,
-) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], columns: list[str], late: str, fold: Fold, start: Callable[[Row], tuple], state: str, out: str) -> DataFrame:
     """Run a fold over a stream of (t, id, keys, columns); out names the columns it yields behind the keys, times as microseconds.
 
-    seeds: a row per key that `seed` turns into the state a key begins with.
+    start: the state that a key begins with, from its first row. Rows without a time are left out.
     """
-    timed = rows.withColumn("t", F.col("t").cast("timestamp")).withWatermark("t", late)
-    fed = timed.select("t", F.unix_micros("t").alias("_us"), F.col("id").alias("_id"), *keys, *columns)
-    shape = T.StructType([fed.schema[c] for c in ["_us", "_id", *columns]])
-    made = T.StructType([fed.schema[c] for c in keys] + T._parse_datatype_string(out).fields)
-    processor = InOrder(fold, start, shape, T._parse_datatype_string(state), made, seed)
-    first = seeds.groupBy(*keys) if seeds is not None else None
-    return fed.groupBy(*keys).transformWithState(processor, made, "Append", "EventTime", first)
+    fed = rows.select(F.unix_micros(F.col("t").cast("timestamp")).alias("_us"), F.col("id").alias("_id"), *keys, *columns).where("_us is not null")
+    named = [fed.schema[c] for c in keys]
+    made = T.StructType(named + T._parse_datatype_string(out).fields)
+    blocks = fed.mapInArrow(lambda batches: _pack(batches, keys), T.StructType(named + T._parse_datatype_string("last_us long, packed binary").fields))
+    timed = blocks.select(F.timestamp_micros("last_us").alias("t"), *keys, "packed").withWatermark("t", late)
+    done = timed.groupBy(*keys).transformWithStateInPandas(InOrder(fold, start, T._parse_datatype_string(state), made), "packed binary", "Append", "EventTime")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("packed"):
+                yield from _unpacked(block.as_py()).to_batches()
+
+    return done.mapInArrow(unpack, made)
 
 
 def held_for(rows: DataFrame, condition: Column, seconds: int, late: str = "10 minutes") -> DataFrame:
@@ -111,7 +215,7 @@ def held_for(rows: DataFrame, condition: Column, seconds: int, late: str = "10 m
         return (start, fired), []
 
     fed = rows.withColumn("_ok", F.coalesce(condition, F.lit(False)))
-    out = in_order(fed, ["symbol"], ["_ok"], late, fold, (None, False), "start long, fired boolean", "start long, fired_at long")
+    out = in_order(fed, ["symbol"], ["_ok"], late, fold, lambda r: (None, False), "start long, fired boolean", "start long, fired_at long")
     return out.select("symbol", F.timestamp_micros("start").alias("start"), F.timestamp_micros("fired_at").alias("fired_at"))
 
 
@@ -123,7 +227,7 @@ def latched(rows: DataFrame, condition: Column, keys: list[str], take: list[str]
 
     fed = rows.withColumn("_ok", F.coalesce(condition, F.lit(False)))
     out = ", ".join(["t long", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in take]])
-    done = in_order(fed, keys, ["_ok", *take], late, fold, (False,), "fired boolean", out)
+    done = in_order(fed, keys, ["_ok", *take], late, fold, lambda r: (False,), "fired boolean", out)
     return done.withColumn("t", F.timestamp_micros("t"))
 
 
@@ -141,8 +245,12 @@ def day_volume(bars: DataFrame, seeds: DataFrame | None = None, late: str = "10
         return (r["_day"], total), [(r["_us"], r["v"], total)]
 
     fed = bars.withColumn("_day", ny_date(F.col("t").cast("timestamp")).cast("string")).withColumn("v", F.col("v").cast("long"))
-    first = None if seeds is None else seeds.select("symbol", F.col("day").cast("string").alias("day"), F.coalesce(F.col("v").cast("long"), F.lit(0)).alias("v"))
-    out = in_order(fed, ["symbol"], ["_day", "v"], late, fold, (None, 0), "day string, total long", "t long, v long, day_volume long", first, lambda r: (r["day"], r["v"]))
+    if seeds is None:
+        fed = fed.withColumn("_seed_day", F.lit(None).cast("string")).withColumn("_seed", F.lit(0).cast("long"))
+    else:
+        first = seeds.select("symbol", F.col("day").cast("string").alias("_seed_day"), F.coalesce(F.col("v").cast("long"), F.lit(0)).alias("_seed")).dropDuplicates(["symbol"])
+        fed = fed.join(first, "symbol", "left")
+    out = in_order(fed, ["symbol"], ["_day", "v", "_seed_day", "_seed"], late, fold, lambda r: (r["_seed_day"], r["_seed"]), "day string, total long", "t long, v long, day_volume long")
     return out.withColumn("t", F.timestamp_micros("t"))
 
 

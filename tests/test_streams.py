@@ -5,7 +5,10 @@ import json
 import os
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tapeline.operators import rules
@@ -110,6 +113,118 @@ def test_day_volume_stream_with_seed(spark, tmp_path):
     assert second.day_volume == second.v
 
 
+def one_batch(spark, tmp_path, make, n):
+    """What a stream gives for n rows of a symbol in its first batch, and those rows."""
+    rows = [(T0 + dt.timedelta(seconds=k // 2), "X", k, float(k % 4), 1) for k in range(n)]
+    closing = [(T0 + dt.timedelta(days=9), "X", 10**6, 0.0, 0)]
+    path, out, cp = (str(tmp_path / f"{x}{n}") for x in ("in", "out", "cp"))
+    feed(spark, path, [rows + closing], SCHEMA)
+    return drain(make(stream_of(spark, path, SCHEMA)), out, cp), spark.createDataFrame(rows, SCHEMA)
+
+
+def test_first_batch_over_many_blocks_and_slots(spark, tmp_path, monkeypatch):
+    # blocks of 700 rows: slots of an hour hold several, and results leave in several
+    monkeypatch.setattr(state, "BLOCK_ROWS", 700)
+    got, rows = one_batch(spark, tmp_path, state.day_volume, 20_000)
+    want = state.day_volume_batch(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+class FakeHandle:
+    """State in memory that notes how large the values are."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers, self.most = {}, {}, set(), 0
+
+    def getMapState(self, name, *_):
+        return FakeMap(self, self.maps.setdefault(name, {}))
+
+    def getValueState(self, name, *_):
+        return FakeValue(self.values.setdefault(name, []))
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class FakeMap:
+    def __init__(self, handle, held):
+        self.handle, self.held = handle, held
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.handle.most = max(self.handle.most, len(value[0]) if isinstance(value[0], bytes) else 0)
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+class FakeValue:
+    def __init__(self, held):
+        self.held = held
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[0]
+
+    def update(self, value):
+        self.held[:] = [value]
+
+    def clear(self):
+        self.held.clear()
+
+
+class Times:
+    def __init__(self, us):
+        self.us = us
+
+    def getCurrentWatermarkInMs(self):
+        return self.us // 1000
+
+
+def test_waiting_rows_leave_slot_by_slot(monkeypatch):
+    """Ten times the rows take no larger state values and no larger frames; order and sums are whole, late rows that the fold has passed are dropped."""
+    from pyspark.sql import types as T
+
+    monkeypatch.setattr(state, "BLOCK_ROWS", 5000)
+    made = T._parse_datatype_string("symbol string, us long, n long")
+    fold = lambda s, r: ((s[0] + 1,), [(r["_us"], s[0])])
+    peaks = []
+    for hours in (24, 240):
+        handle, p = FakeHandle(), state.InOrder(fold, lambda r: (0,), T._parse_datatype_string("n long"), made)
+        p.init(handle)
+        us = [k * 3_600_000_000 // 1000 for k in range(1000 * hours)]
+        random.Random(1).shuffle(us)
+        blocks = [state._packed(pa.table({"_us": us[k : k + 5000], "_id": us[k : k + 5000]})) for k in range(0, len(us), 5000)]
+        p.handleInputRows(("X",), iter([pd.DataFrame({"packed": blocks})]), None)
+        half, out, frames = hours * 1_800_000_000, [], []
+        for passed in (half, 10**15):
+            for frame in p.handleExpiredTimer(("X",), Times(passed), None):
+                frames.append(max(len(x) for x in frame["packed"]))
+                out += [r for x in frame["packed"] for r in state._unpacked(x).to_pylist()]
+            assert [r["us"] for r in out] == sorted(u for u in us if u <= passed)
+            p.handleInputRows(("X",), iter([pd.DataFrame({"packed": [state._packed(pa.table({"_us": [half - 1], "_id": [0]}))]})]), None)
+        assert [r["n"] for r in out] == list(range(len(us))) and not any(handle.maps.values())
+        peaks.append((handle.most, max(frames)))
+    assert all(b < 2 * a for a, b in zip(*peaks)), peaks
+
+
+def test_rows_at_the_watermark_are_released(spark, tmp_path):
+    rows = [(T0, "X", 0, 3.0, 1), (T0 + dt.timedelta(minutes=10), "Y", 1, 0.0, 1)]
+    for name, make in (("l", lambda s: state.latched(s, F.col("p") > 2, ["symbol"], ["id"])), ("d", state.day_volume)):
+        path = str(tmp_path / f"in{name}")
+        feed(spark, path, [rows], SCHEMA)
+        got = drain(make(stream_of(spark, path, SCHEMA)), str(tmp_path / f"out{name}"), str(tmp_path / f"cp{name}")).collect()
+        assert [(r.symbol, r.t) for r in got] == [("X", T0)], name
+
+
 BAR = "symbol string, t timestamp, o double, h double, l double, c double, v long, arrival long"
 
 
