@@ -13,6 +13,8 @@ from tapeline.llm.common import materialize, table
 LEAST_SCORE = 0.3
 #: Jaccard over five-word shingles, in hundredths, from which documents are near copies.
 NEAR = 80
+#: Words that a worker remembers in either generation while it indexes; executors hold what earlier stages left, too.
+KEPT_WORDS = 100_000
 #: SQL can express neither the language model nor the pseudonyms.
 ORACLE_SQL = None
 
@@ -43,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A row goes if any row of its doc_id is contaminated; rows without an id stay, as do null and
     empty texts; an empty benchmark drops nothing; extra columns pass. No rows give no rows.
     """
-    gone = positional.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    gone = positional.decontaminate(docs, table(spark, sf_dir, "benchmark"), KEPT_WORDS).where("contaminated").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

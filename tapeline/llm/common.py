@@ -70,6 +70,12 @@ class Memory(dict):
     def make(self, word):
         raise NotImplementedError
 
+    def forget(self) -> None:
+        """Let both generations go, and what Arrow holds unused: workers live on for other stages."""
+        self.older = {}
+        self.clear()
+        pa.default_memory_pool().release_unused()
+
     def __missing__(self, word):
         value = self.older.get(word)
         if value is None:

@@ -118,7 +118,7 @@ def _profile(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
             ],
             names=["id", "n_shingles", "digest", "bands"],
         )
-    _words.clear()  # workers live on for other stages
+    _words.forget()
 
 
 def _write_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def _write_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
             names=["id", "n", "shingles", "sig"],
         )
-    _words.clear()
+    _words.forget()
 
 
 def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:

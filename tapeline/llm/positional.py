@@ -43,7 +43,9 @@ class _Terms(common.Memory):
         return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
-_terms = _Terms(400_000)
+#: Words that a worker remembers in either generation.
+KEPT_WORDS = 400_000
+_terms = _Terms(KEPT_WORDS)
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -98,7 +100,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
         yield pa.concat_arrays(ids), texts
 
 
-def _write_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write_index(batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[pa.RecordBatch]:
+    _terms.most = kept
     shard = TaskContext.get().partitionId() << 32
     names = ["kind", "shard", "term", "n", "positions", "doc_ids", "n_words"]
     for ids, texts in _shards(batches):
@@ -123,7 +126,7 @@ def _write_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assert not len(texts) or starts[-1] + sizes[-1] < 1 << 32
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, shard)), pa.array(term[first]), pa.array(np.diff(ends).astype(np.int32)), postings, *no_lists], names=names)
         shard += 1
-    _terms.clear()  # workers live on for other stages
+    _terms.forget()
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
@@ -131,17 +134,18 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes + 1) - (sizes + 1)
 
 
-def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+def build_index(docs: DataFrame, path: str | None = None, kept: int = KEPT_WORDS) -> DataFrame:
     """Write the index of docs (doc_id, text) to path, or to the shared folder, and return it.
 
     Rows of kind 1: (term, shard, n, positions), the positions being places in the shard, each as
     its distance from the one before, in bytes of seven bits (_pack). Rows of kind 0: a shard's doc_ids and n_words. Null and empty texts have
-    no words; rows with equal ids or none stay apart; other columns are ignored.
+    no words; rows with equal ids or none stay apart; other columns are ignored. kept: words that a
+    worker remembers in either generation; fewer take less memory and more time.
     """
     common.small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType
     fields = [("kind", T.IntegerType()), ("shard", T.LongType()), ("term", T.LongType()), ("n", T.IntegerType()), ("positions", T.BinaryType()), ("doc_ids", T.ArrayType(id_type)), ("n_words", T.ArrayType(T.IntegerType()))]
-    rows = docs.select("doc_id", "text").mapInArrow(_write_index, T.StructType([T.StructField(*f) for f in fields]))
+    rows = docs.select("doc_id", "text").mapInArrow(lambda batches: _write_index(batches, kept), T.StructType([T.StructField(*f) for f in fields]))
     ranges = F.shiftright("term", 56)  # terms are hashes, so their ranges are even; a frequent term's shards are dealt further
     rows = rows.repartition(ranges, F.pmod(F.xxhash64("shard"), F.lit(64))).sortWithinPartitions("kind", "term", "shard")
     if path is None:
@@ -305,7 +309,7 @@ def search(index: DataFrame, tests: DataFrame, size: int = WINDOW, slop: int | N
     return spans.join(items, ["shard", "k"])
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, tests: DataFrame, kept: int = KEPT_WORDS) -> DataFrame:
     """One row per row of docs: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated).
 
     n_hit: words inside an occurrence of any window; n_items: items with occurring windows;
@@ -313,7 +317,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame) -> DataFrame:
     with a null id or text or without words have no windows; repeated ids keep a row each, and
     other columns are ignored. Empty tables give an empty result, or no hits.
     """
-    index = build_index(docs)
+    index = build_index(docs, kept=kept)
     found = search(index, tests).withColumn("n_hit", F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.first, s.last)))))"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))

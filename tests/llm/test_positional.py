@@ -11,6 +11,14 @@ from tapeline.llm import common, positional
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def test_a_worker_forgets_both_generations_of_words():
+    words = positional._Terms(2)
+    found = [words[w] for w in (b"a", b"b", b"c", b"a")]
+    assert found[0] == found[3] and words.older
+    words.forget()
+    assert not words and not words.older
+
+
 def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
