@@ -78,14 +78,19 @@ def _gathered(tables: Iterator[pa.Table], most: int = BLOCK_ROWS) -> Iterator[pa
         yield pa.concat_tables(held).combine_chunks()
 
 
+def _codes(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number for each row, equal where the keys are."""
+    code = np.zeros(rows.num_rows, np.int64)
+    for k in keys:
+        x = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = np.unique(code * len(x.dictionary) + x.indices.to_numpy(), return_inverse=True)[1]
+    return code
+
+
 def _pack(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Blocks of rows of one key: the keys, the newest time in the block and its rows without the keys."""
     for rows in _gathered(pa.Table.from_batches([b]) for b in batches):
-        code = np.zeros(rows.num_rows, np.int64)
-        for k in keys:
-            x = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
-            code = np.unique(code * len(x.dictionary) + x.indices.to_numpy(), return_inverse=True)[1]
-        order, runs = _runs(code)
+        order, runs = _runs(_codes(rows, keys))
         dealt = rows.take(order)
         blocks = [dealt.slice(a, b - a) for a, b in runs]
         columns = [dealt.column(k).take([a for a, _ in runs]).combine_chunks() for k in keys]
@@ -219,15 +224,61 @@ def held_for(rows: DataFrame, condition: Column, seconds: int, late: str = "10 m
     return out.select("symbol", F.timestamp_micros("start").alias("start"), F.timestamp_micros("fired_at").alias("fired_at"))
 
 
-def latched(rows: DataFrame, condition: Column, keys: list[str], take: list[str], late: str = "10 minutes") -> DataFrame:
-    """Stream twin of rules.latched on (t, id, ...): keys, t and the columns `take` of the first row of each key, by (t, id), on which the condition holds."""
+def _firsts(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of each block and key the first row by (_us, _id) that is `_ok`, nulls beside the keys if there is none, and the newest time of all its rows."""
+    for rows in _gathered(pa.Table.from_batches([b]) for b in batches):
+        rows = rows.append_column("_code", pa.array(_codes(rows, keys))).append_column("_not", pc.invert(rows.column("_ok")))
+        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ("_code", "_not", "_us", "_id")], null_placement="at_start"))
+        at = np.flatnonzero(np.diff(rows.column("_code").to_numpy(), prepend=-1))
+        last = pa.array(np.maximum.reduceat(rows.column("_us").to_numpy(), at))
+        heads = rows.take(at).drop_columns(["_code", "_not"])
+        columns = [x if c in keys else pc.if_else(heads.column("_ok"), x, pa.scalar(None, x.type)) for c, x in zip(heads.column_names, heads.columns) if c != "_ok"]
+        names = [c for c in heads.column_names if c != "_ok"]
+        yield from pa.Table.from_arrays([*columns, last], names=[*names, "last_us"]).combine_chunks().to_batches()
 
-    def fold(state: tuple, r: Row) -> tuple[tuple, list[tuple]]:
-        return ((True,), [(r["_us"], *[r[c] for c in take])]) if r["_ok"] and not state[0] else (state, [])
 
-    fed = rows.withColumn("_ok", F.coalesce(condition, F.lit(False)))
-    out = ", ".join(["t long", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in take]])
-    done = in_order(fed, keys, ["_ok", *take], late, fold, lambda r: (False,), "fired boolean", out)
+class First(StatefulProcessor):
+    """A key's first row by (_us, _id), once the watermark has passed it; no other row is kept."""
+
+    def __init__(self, row: T.StructType, out: T.StructType):
+        self.row, self.out = row, out
+
+    def init(self, handle: Any) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", self.row)
+        self.fired = handle.getValueState("fired", "fired boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        at = self.row.names
+        new = min((r for r in rows if r["_us"] is not None), key=self._order, default=None)
+        if new is None or self.fired.exists():
+            return iter([])
+        if not self.best.exists() or self._order(new) < self._order(Row(*at)(*self.best.get())):
+            self.best.update(tuple(new[c] for c in at))
+            self.handle.registerTimer(_timer(new["_us"]))
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        best = None if self.fired.exists() else tuple(self.best.get())
+        if best is None or best[0] > timerValues.getCurrentWatermarkInMs() * 1000:
+            return iter([])
+        self.fired.update((True,))
+        self.best.clear()
+        return iter([Row(*self.out.names)(*key, best[0], *best[2:])])
+
+    @staticmethod
+    def _order(r: Row) -> tuple:
+        return r["_us"], r["_id"] is not None, r["_id"]
+
+
+def latched(rows: DataFrame, condition: Column, keys: list[str], take: list[str], late: str = "10 minutes") -> DataFrame:
+    """Stream twin of rules.latched on (t, id, ...): keys, t and the columns `take` of the first row of each key, by (t, id), on which the condition holds."""
+    fed = rows.withColumn("_ok", F.coalesce(condition, F.lit(False))).select(F.unix_micros(F.col("t").cast("timestamp")).alias("_us"), F.col("id").alias("_id"), "_ok", *keys, *[c for c in take if c not in keys]).where("_us is not null")
+    firsts = fed.mapInArrow(lambda batches: _firsts(batches, keys), T.StructType([f for f in fed.schema.fields if f.name != "_ok"] + [T.StructField("last_us", T.LongType())]))
+    met = firsts.withColumn("t", F.timestamp_micros("last_us")).drop("last_us").withWatermark("t", late)
+    fields = ["_us", "_id", *take]
+    out = T.StructType([met.schema[c] for c in keys] + [T.StructField("t", T.LongType())] + [met.schema[c] for c in take])
+    done = met.groupBy(*keys).transformWithState(First(T.StructType([met.schema[c] for c in fields]), out), out, "Append", "EventTime")
     return done.withColumn("t", F.timestamp_micros("t"))
 
 

@@ -225,6 +225,22 @@ def test_rows_at_the_watermark_are_released(spark, tmp_path):
         assert [(r.symbol, r.t) for r in got] == [("X", T0)], name
 
 
+def test_latch_keeps_one_row():
+    """A key's state is its best row so far, whatever the number of rows."""
+    from pyspark.sql import types as T
+
+    handle = FakeHandle()
+    p = state.First(T._parse_datatype_string("_us long, _id long, p double"), T._parse_datatype_string("symbol string, t long, p double"))
+    p.init(handle)
+    rows = [Row(_us=u, _id=k, p=float(k)) for k, u in enumerate([None, *random.Random(3).sample(range(5_000, 10**6), 3000), 4_000, 4_000])]
+    for k in range(0, len(rows), 500):
+        assert list(p.handleInputRows(("X",), iter(rows[k : k + 500]), None)) == []
+    assert handle.values["best"] == [(4_000, 3001, 3001.0)] and not handle.maps
+    assert list(p.handleExpiredTimer(("X",), Times(3_000), None)) == []
+    assert [tuple(r) for r in p.handleExpiredTimer(("X",), Times(4_000), None)] == [("X", 4_000, 3001.0)]
+    assert list(p.handleExpiredTimer(("X",), Times(9_000), None)) == [] and not handle.values["best"]
+
+
 BAR = "symbol string, t timestamp, o double, h double, l double, c double, v long, arrival long"
 
 
