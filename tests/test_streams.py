@@ -130,6 +130,16 @@ def test_first_batch_over_many_blocks_and_slots(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_held_runs_over_blocks_and_slots_of_one_batch(spark, tmp_path, monkeypatch):
+    # runs of an hour and a half, broken by one row, cross slots and blocks
+    monkeypatch.setattr(state, "BLOCK_ROWS", 700)
+    broken = lambda d: F.col("id") % 10_800 != 0
+    got, rows = one_batch(spark, tmp_path, lambda s: state.held_for(s, broken(s), 900), 40_000)
+    want = rules.held_for(rows, broken(rows), 900).select("symbol", "start", "fired_at")
+    got = sorted(map(tuple, got.where(F.col("start") < F.lit(T0 + dt.timedelta(days=8))).collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 4
+
+
 class FakeHandle:
     """State in memory that notes how large the values are."""
 
