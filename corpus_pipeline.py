@@ -65,8 +65,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One row per row, repeated ones included; null texts count as empty. No rows give no rows.
     """
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
 
 
 STAGES = [

@@ -118,21 +118,24 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit integers; null is as empty.
 
     One row per row of docs, repeated ones included, in no set order; texts of any length are
-    encoded whole; other columns are ignored; an empty table gives an empty result.
+    encoded whole; other columns are ignored; an empty table gives an empty result. decoded: add
+    what the ids decode to, as `decode` does, in the same worker.
     """
     common.small_batches(docs.sparkSession)
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), *[("decoded", pa.string())] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in common.slices(batches, "text"):
             ids = [e.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            columns = [batch.column(0), [len(x) // 4 for x in ids], ids, *[map(e.decode, ids)] * decoded]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tapeline.llm import pii
+from tapeline.llm import bpe, pii
 
 
 def test_pipeline_matches_plain_version(spark, tmp_path):
@@ -64,3 +64,16 @@ def test_empty_tables_and_extra_columns(spark, tmp_path):
         kept.write.parquet(str(tmp_path / name / "documents.parquet"))
         spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / name / "benchmark.parquet"))
         assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == (13 if name == "a" else 0)
+
+
+def test_tokens_take_one_worker_a_task(spark):
+    """Encoding and decoding share a worker: two a task passed the memory of an executor."""
+    path = P.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "a b <|endoftext|> \u00e9\u0301 \U0001f600", "x"), (1, "a  b\n", "y"), (2, None, "z"), (None, "", "z")], "doc_id long, text string, lang string")
+    done = corpus_pipeline.tokens(spark, docs, "")
+    assert done._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = bpe.decode(bpe.encode(docs, path), path)
+    assert done.columns == want.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    key = lambda r: (r.doc_id is None, r.doc_id, r.decoded)
+    assert sorted(done.collect(), key=key) == sorted(want.collect(), key=key)
+    assert sorted(r.decoded for r in done.collect()) == ["", "", "a  b\n", "a b <|endoftext|> \u00e9\u0301 \U0001f600"]
